@@ -39,3 +39,33 @@ def bounded_sample(frame: DataFrame, key: str, most: int) -> DataFrame:
         share = int(1.3 * most / total * (1 << 30)) + 1
         frame = frame.where(F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1 << 30)) < share)
     return frame.limit(most)
+
+
+#: A key of more than one in so many rows is salted in a lookup; there are fewer such keys than that.
+HOT_SHARE = 1000
+
+
+def lookup(rows: DataFrame, found: DataFrame, keys: list[str], size: str, salts: int = 64) -> DataFrame:
+    """Join rows to a table that has one row for each key and says how many rows have it.
+
+    Keys of many rows are spread over `salts` tasks: their rows in the table are repeated for each salt. Which keys these
+    are is broadcast; as each has more than one in HOT_SHARE of all rows, they are fewer than HOT_SHARE. Rows need a
+    doc_id, by which they are salted.
+    """
+    total = found.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot = F.col(size) > max(1000, total // HOT_SHARE)
+    marks = found.where(hot).select(*keys, F.lit(True).alias("_hot"))
+    salt = F.pmod(F.xxhash64("doc_id", *keys), F.lit(salts)).cast("int")
+    left = rows.join(F.broadcast(marks), keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    right = found.withColumn("_salt", F.explode(F.when(hot, every).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
+#: Rows of ids that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(frame: DataFrame) -> DataFrame:
+    """The frame, marked for broadcasting if it has at most BROADCAST_ROWS rows. It is counted: pass what is written."""
+    return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame

@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from plumbline.session import written
 
+from .common import lookup
+
 SALTS = 64
-#: A digest of more than one in so many rows is salted in the join; there are fewer than that of them.
-HOT_SHARE = 1000
 #: No document is longer than 2**31 characters, and ids have 64 bits: n * WEIGHT - id orders by length, then by least id.
 WEIGHT = 10**20
 NO_ID = (1 << 63) - 1
@@ -64,13 +64,7 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, s
     if digest is not sha256 and not table.groupBy("digest").count().where("count > 1").isEmpty():
         joined = rows.join(groups, ["digest", "body"])
     else:
-        total = table.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-        hot = F.col("group_size") > max(1000, total // HOT_SHARE)
-        marks = table.where(hot).select("digest", F.lit(True).alias("hot"))
-        left = rows.join(F.broadcast(marks), "digest", "left").withColumn("salt", F.when(F.col("hot"), F.col("salt")).otherwise(0))
-        every = F.sequence(F.lit(0), F.lit(salts - 1))
-        right = table.withColumn("salt", F.explode(F.when(hot, every).otherwise(F.array(F.lit(0)))))
-        joined = left.join(right, ["digest", "salt"])
+        joined = lookup(rows, table, ["digest"], "group_size")
     return joined.select(
         "doc_id",
         F.when(F.col("winner") != NO_ID, F.col("winner")).alias("keep_id"),

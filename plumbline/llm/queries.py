@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, html_extract, language_id, packing, quality, token_binary, toxicity
+from . import decontamination, exact_dedup, html_extract, language_id, minhash_dedup, packing, quality, token_binary, toxicity
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents by two-word shingles."""
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document."""
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -53,7 +58,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op3_exact_dedup, op4_html_extraction, op5_language_id, op7_quality, op8_toxicity, op9_token_binary, op10_decontamination)
+    f.__name__: f for f in (op1_packing, op3_exact_dedup, op4_html_extraction, op5_language_id, op6_minhash_dedup, op7_quality, op8_toxicity, op9_token_binary, op10_decontamination)
 }
 
 ORACLES: dict[str, str] = {
@@ -66,6 +71,29 @@ ORACLES: dict[str, str] = {
         SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.body) AS text_sha256
         FROM n JOIN g USING (body)
     """,
+    "op6_minhash_dedup": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS sh
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), hs AS (
+            SELECT doc_id, hash(sh) AS h FROM s
+        ), pairs AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM hs x JOIN hs y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2
+        ), link AS (
+            SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 80 * (na.n + nb.n - common)
+        ), edge AS (
+            SELECT a, b FROM link UNION SELECT b, a FROM link
+        ), reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a
+        ), c AS (
+            SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+        )
+        SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+    """,
     "op10_decontamination": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
