@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, exact_dedup, language_id, packing
+from plumbline.llm import decontamination, exact_dedup, language_id, minhash_dedup, packing
 from plumbline.llm.common import table
 from plumbline.session import ship_package, written
 
@@ -36,6 +36,12 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return without(docs, exact_dedup.exact_groups(docs).where(~F.col("kept")))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 or more of their five-word shingles, the one of least id stays."""
+    ship_package(spark)
+    return without(docs, minhash_dedup.near_duplicates(docs, shingle=5, percent=80).where(~F.col("kept")))
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
     ship_package(spark)
@@ -52,6 +58,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", identify_languages),
     ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
     ("decontamination", drop_contaminated),
     ("packing", pack),
 ]
