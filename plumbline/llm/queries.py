@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, html_extract, language_id, minhash_dedup, packing, quality, token_binary, toxicity
+from . import decontamination, exact_dedup, html_extract, language_id, minhash_dedup, packing, quality, suffix_dedup, token_binary, toxicity
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without 50-byte strings that start in a document of smaller id."""
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), length=50).drop("kept")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that are equal but for ASCII white space."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -58,10 +63,36 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op3_exact_dedup, op4_html_extraction, op5_language_id, op6_minhash_dedup, op7_quality, op8_toxicity, op9_token_binary, op10_decontamination)
+    f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_exact_dedup, op4_html_extraction, op5_language_id, op6_minhash_dedup, op7_quality, op8_toxicity, op9_token_binary, op10_decontamination)
 }
 
 ORACLES: dict[str, str] = {
+    "op2_suffix_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+        ), g AS (
+            SELECT doc_id, i, hash(substr(hx, 2 * i + 1, 100)) AS h
+            FROM (SELECT doc_id, hx, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)
+        ), f AS (
+            SELECT h, min(doc_id) AS least FROM g GROUP BY h
+        ), hit AS (
+            SELECT doc_id, i FROM g JOIN f USING (h) WHERE least < doc_id
+        ), run AS (
+            SELECT doc_id, grp, min(i) AS a, max(i) + 50 AS b FROM (
+                SELECT doc_id, i, sum(CASE WHEN i - prev <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS grp
+                FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM hit)
+            ) GROUP BY doc_id, grp
+        ), span AS (
+            SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a) AS removed, count(*) AS spans FROM run GROUP BY doc_id
+        ), kept AS (
+            SELECT d.doc_id, string_agg(substr(hx, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS rest
+            FROM (SELECT span.doc_id, unnest(list_concat([0], span.b)) AS f, unnest(list_concat(span.a, [d.n])) AS t FROM span JOIN d USING (doc_id)) x JOIN d USING (doc_id)
+            GROUP BY d.doc_id
+        )
+        SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(rest, CASE WHEN removed IS NULL THEN hx ELSE '' END))) AS kept_sha256
+        FROM d LEFT JOIN span USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
     "op3_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents
