@@ -71,8 +71,9 @@ ORACLES: dict[str, str] = {
         WITH d AS (
             SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, octet_length(encode(coalesce(text, ''))) AS n FROM documents
         ), g AS (
-            SELECT doc_id, i, hash(substr(hx, 2 * i + 1, 100)) AS h
-            FROM (SELECT doc_id, hx, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)
+            SELECT doc_id, off + i AS i, hash(substr(piece, 2 * i + 1, 100)) AS h
+            FROM (SELECT doc_id, off, piece, unnest(range(0, octet_length(encode(piece)) // 2 - 49)) AS i
+                  FROM (SELECT doc_id, off, substr(hx, 2 * off + 1, 2 * (256 + 49)) AS piece FROM (SELECT doc_id, hx, unnest(range(0, n - 49, 256)) AS off FROM d WHERE n >= 50)))
         ), f AS (
             SELECT h, min(doc_id) AS least FROM g GROUP BY h
         ), hit AS (
