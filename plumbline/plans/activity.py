@@ -1,0 +1,275 @@
+"""Queries over envelopes: sessions, usage, tools, traces."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.operators import ingest, sessions, trace
+from plumbline.plans.adapter import duck_envelopes, envelopes, raw_envelopes
+from plumbline.sources.envelopes import dedup_events
+
+SINCE, UNTIL = "2024-01-10T00:00:00Z", "2024-01-16T00:00:00Z"
+
+
+def _on(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: operator(envelopes(spark, sf_dir))
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pull requests: merged when filled, with the lines' quantities as lines of code."""
+    orders, lines = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    loc = lines.groupBy(F.col("l_orderkey").alias("number")).agg(F.sum(F.floor("l_quantity")).cast("long").alias("additions"), F.sum(F.floor(F.col("l_discount") * 100)).cast("long").alias("deletions"))
+    pulls = orders.select(F.col("o_orderkey").alias("number"), F.when(F.col("o_orderstatus") == "F", "MERGED").when(F.col("o_orderstatus") == "O", "OPEN").otherwise("CLOSED").alias("state"), F.col("o_orderdate").cast("date").cast("string").alias("merged_day"), F.col("o_custkey").alias("author_key"))
+    return pulls.join(loc, "number", "left")
+
+
+def _identities(events: DataFrame) -> DataFrame:
+    found = trace.spans(events)
+    ids = trace.jobs(found).select(F.col("job_id").alias("id"), F.lit(1).alias("precedence"), F.lit("job").alias("entity"))
+    ids = ids.unionByName(trace.turns(events, found).select(F.col("turn_id").alias("id"), F.lit(2).alias("precedence"), F.lit("turn").alias("entity")))
+    return ids.unionByName(found.select(F.col("span_id").alias("id"), F.lit(3).alias("precedence"), F.lit("span").alias("entity")))
+
+
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "dedup_events": lambda s, d: dedup_events(raw_envelopes(s, d)).select("event_id", "session_id", "kind", "ord"),
+    "session_rollup": _on(lambda e: sessions.session_rollup(e)),
+    "session_context": _on(sessions.session_context),
+    "session_tokens": _on(sessions.session_tokens),
+    "session_models": _on(sessions.session_models),
+    "codex_last_snapshot": _on(sessions.snapshots),
+    "session_tool_mix": _on(sessions.session_tool_mix),
+    "status_by_tool": _on(sessions.status_by_tool),
+    "day_stats": _on(sessions.day_stats),
+    "weekly_stats": _on(lambda e: sessions.weekly_stats(sessions.day_stats(e), 6)),
+    "tokens_4w": _on(lambda e: sessions.tokens_4w(sessions.day_stats(e))),
+    "tool_names": _on(sessions.tool_names),
+    "tool_profile": _on(sessions.tool_profile),
+    "tool_days": _on(sessions.tool_days),
+    "tool_arg_keys": _on(sessions.tool_arg_keys),
+    "tool_arg_tops": _on(sessions.tool_arg_tops),
+    "tool_samples": _on(sessions.last_samples),
+    "usage_coverage": _on(sessions.usage_coverage),
+    "struggle": _on(lambda e: sessions.struggle(sessions.session_rollup(e))),
+    "longest_turns": _on(lambda e: sessions.longest_turns(e, 3)),
+    "loc_by_day": lambda s, d: sessions.loc_by_day(_items(s, d)),
+    "activity_by_day": lambda s, d: sessions.activity_by_day(sessions.day_stats(envelopes(s, d)), sessions.loc_by_day(_items(s, d))),
+    "spans": _on(lambda e: trace.spans(e).drop("has_data", "ord")),
+    "turns_task": _on(lambda e: trace.turns_task(e, trace.spans(e))),
+    "turns_prompt": _on(lambda e: trace.turns_prompt(e, trace.spans(e))),
+    "jobs": _on(lambda e: trace.jobs(trace.spans(e))),
+    "trace_list_turns": _on(lambda e: trace.trace_list(trace.turns(e), "turns", has_errors=True, sort="duration", limit=50).select("turn_id", "session_id", "status", "duration_ms", "errors")),
+    "trace_list_spans": _on(lambda e: trace.trace_list(trace.spans(e), "spans", status="ERROR", operation="exec", sort="duration", limit=50).select("span_id", "operation", "status", "duration_ms")),
+    "trace_list_jobs": _on(lambda e: trace.trace_list(trace.jobs(trace.spans(e)), "jobs", since=SINCE, sort="wait", limit=50).select("job_id", "status", "wait_ms", "elapsed_ms")),
+    "trace_search": _on(lambda e: trace.trace_search(e, "Step-4", kind="tool_call", limit=40).select("event_id", "session_id", "kind", "ts", "summary")),
+    "trace_compare": _on(lambda e: trace.trace_compare(trace.spans(e).select("span_id", "operation", "status", "started", "exit_code", "input"), "span_id", "e13", "e4238")),
+    "turn_timeline": _on(lambda e: trace.turn_timeline(e, trace.spans(e), trace.jobs(trace.spans(e)), "u133-2024-01-13")),
+    "event_window": _on(lambda e: trace.event_window(e, "e4238", 3, 4)),
+    "first_context_rows": _on(lambda e: trace.first_context_rows(e).select("session_id", "kind", "event_id", "ts")),
+    "raw_window_select": _on(lambda e: trace.raw_window(e, SINCE, UNTIL, kinds=["tool_result", "tool_call"], source="co", needle="exit").select("event_id", "stream", "ts", "kind")),
+    "expand_sessions": _on(lambda e: trace.expand_sessions(e, trace.raw_window(e, SINCE, UNTIL, kinds=["tool_result"], needle="step")).groupBy("session_id").agg(F.count(F.lit(1)).alias("events"))),
+    "resolve_prefix": _on(lambda e: trace.resolve_prefix(_identities(e), "e423")),
+    "docs_from_events": _on(lambda e: ingest.docs_from_events(e).select("event_id", "session_id", "kind", "author", "chars")),
+    "capture_boundary": _on(lambda e: ingest.capture_boundary(e, SINCE).groupBy("kind").agg(F.count(F.lit(1)).alias("events"))),
+    "session_visible": _on(lambda e: ingest.visible_sessions(e, SINCE).select("session_id").distinct()),
+    "exit_code_parse": _on(lambda e: ingest.result_fields(e)),
+    "session_gap": lambda s, d: trace.session_gaps(s.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("ts_ms")), 30),
+    "recency_cap": _on(lambda e: ingest.recency_cap(ingest.docs_from_events(e), 500).select("event_id", "ts")),
+    "display_prefixes": _on(lambda e: trace.display_prefixes(e.select(F.concat(F.lit("job:"), F.col("event_id")).alias("id")), 6)),
+}
+
+
+def _ev(sql: str) -> str:
+    """SQL over `e`: envelopes, each event once, with the payload's fields."""
+    return (
+        "WITH raw AS (" + duck_envelopes() + """), e AS (
+            SELECT event_id, stream, seq, ts, source, session_id, kind, payload, ord, substr(ts, 1, 10) AS day, epoch_ms(CAST(ts AS TIMESTAMP)) AS ts_ms,
+                   payload->>'$.text' AS text, coalesce(payload->>'$.tool_use_id', payload->>'$.call_id', '') AS call, payload->>'$.name' AS name,
+                   coalesce(payload->>'$.input', payload->>'$.arguments', payload->>'$.action') AS args, coalesce(payload->>'$.output', payload->>'$.content', '') AS output,
+                   coalesce(payload->>'$.is_error' = 'true', false) AS is_error, payload->>'$.subtype' AS subtype, payload->>'$.event_kind' AS event_kind
+            FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ord) AS sighting FROM raw) WHERE sighting = 1
+        ), prompts AS (
+            SELECT *, kind = 'user_prompt' AND octet_length(encode(trim(coalesce(text, '')))) >= 12 AND NOT regexp_matches(ltrim(coalesce(text, '')), '^<(task-notification|bash-input|bash-stdout|bash-stderr|command-|local-command|system-reminder|user-prompt-submit-hook)') AS asks,
+                   kind = 'user_prompt' AND trim(coalesce(text, '')) <> '' AND NOT regexp_matches(lower(ltrim(coalesce(text, ''))), '^(<(task-notification|bash-input|bash-stdout|bash-stderr|command-|local-command|system-reminder|user-prompt-submit-hook)|# agents.md instructions|<environment_context>|<permissions instructions>|<collaboration_mode>)') AS real_prompt
+            FROM e
+        ) """
+        + sql
+    )
+
+
+_USAGE = """, u0 AS (
+    SELECT session_id, day, ts, ord, coalesce(payload->>'$.msg_id', '') AS msg_id, coalesce(payload->>'$.model', '?') AS model, CAST(payload->>'$.usage.in' AS BIGINT) AS tin, CAST(payload->>'$.usage.out' AS BIGINT) AS tout,
+           CAST(payload->>'$.usage.cache_read' AS BIGINT) AS cr, CAST(payload->>'$.usage.cache_create' AS BIGINT) AS cc FROM e WHERE kind = 'agent_meta' AND subtype = 'usage'
+), us AS (
+    SELECT * FROM u0 WHERE msg_id = '' UNION ALL SELECT * FROM u0 WHERE msg_id <> '' QUALIFY row_number() OVER (PARTITION BY session_id, msg_id ORDER BY ts, ord) = 1
+), ug AS (
+    SELECT * FROM u0 WHERE msg_id = '' UNION ALL SELECT * FROM u0 WHERE msg_id <> '' QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY ts, ord) = 1
+), snap AS (
+    SELECT session_id, max(day) AS day, greatest(arg_max(CAST(payload->>'$.payload.info.total_token_usage.input_tokens' AS BIGINT) - CAST(payload->>'$.payload.info.total_token_usage.cached_input_tokens' AS BIGINT), (ts, ord)), 0) AS tok_in,
+           arg_max(CAST(payload->>'$.payload.info.total_token_usage.output_tokens' AS BIGINT), (ts, ord)) AS tok_out, arg_max(CAST(payload->>'$.payload.info.total_token_usage.cached_input_tokens' AS BIGINT), (ts, ord)) AS cache_read
+    FROM e WHERE event_kind = 'token_count' GROUP BY session_id
+), tok AS (
+    SELECT day, sum(tin) AS tok_in, sum(tout) AS tok_out, sum(cr) AS cache_read, sum(cc) AS cache_create FROM (
+        SELECT day, tin, tout, cr, cc FROM ug UNION ALL SELECT day, tok_in, tok_out, cache_read, 0 FROM snap) GROUP BY day
+), days AS (
+    SELECT a.day, coalesce(tok_in, 0)::BIGINT AS tok_in, coalesce(tok_out, 0)::BIGINT AS tok_out, coalesce(cache_read, 0)::BIGINT AS cache_read, coalesce(cache_create, 0)::BIGINT AS cache_create, tools, sessions
+    FROM (SELECT day, count(*) FILTER (kind = 'tool_call') AS tools, count(DISTINCT session_id) FILTER (session_id <> '') AS sessions FROM e GROUP BY day) a LEFT JOIN tok USING (day)
+) """
+
+_CALLS = """, cr AS (
+    SELECT session_id, day, ts, ord, kind, call, is_error, coalesce(length(args), length(nullif(output, '')), 0) AS chars, coalesce(name, '?') AS called FROM e WHERE kind IN ('tool_call', 'tool_result') AND call <> ''
+), sc AS (
+    SELECT *, CASE WHEN kind = 'tool_call' THEN called ELSE last_value(CASE WHEN kind = 'tool_call' THEN called END IGNORE NULLS) OVER (PARTITION BY session_id, call ORDER BY ts, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS tool FROM cr
+), gc AS (
+    SELECT *, CASE WHEN kind = 'tool_call' THEN called ELSE last_value(CASE WHEN kind = 'tool_call' THEN called END IGNORE NULLS) OVER (PARTITION BY call ORDER BY ts, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS tool FROM cr
+) """
+
+_SPANS = """, paired AS (
+    SELECT *, last_value(CASE WHEN kind = 'tool_call' THEN event_id END IGNORE NULLS) OVER (PARTITION BY session_id, call ORDER BY ts, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS span_id
+    FROM e WHERE kind IN ('tool_call', 'tool_result') AND call <> ''
+), res AS (
+    SELECT *, coalesce(TRY_CAST(nullif(regexp_extract(output, 'Process exited with code \\s*([0-9-]+)', 1), '') AS BIGINT), TRY_CAST(nullif(regexp_extract(output, 'Exit code \\s*([0-9-]+)', 1), '') AS BIGINT),
+                 TRY_CAST(nullif(regexp_extract(output, 'exited with code \\s*([0-9-]+)', 1), '') AS BIGINT)) AS code,
+           CAST(round(TRY_CAST(nullif(regexp_extract(output, 'Wall time:\\s*([0-9.]+)', 1), '') AS DOUBLE) * 1000) AS BIGINT) AS wall, regexp_extract(output, '(?i)process running with session id ([A-Za-z0-9_-]+)', 1) AS running_id
+    FROM paired WHERE kind = 'tool_result' AND span_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id, span_id ORDER BY ts, ord) = 1
+), spans AS (
+    SELECT c.event_id AS span_id, c.session_id, c.source, c.day, coalesce(c.name, '?') AS operation, c.ts AS started, coalesce(r.ts, '') AS ended, r.event_id AS result_id,
+           CASE WHEN r.event_id IS NULL THEN 'open' WHEN r.is_error OR coalesce(r.code, 0) <> 0 OR lower(r.output) LIKE '%write\\_stdin failed:%' ESCAPE '\\' THEN 'error' WHEN lower(r.output) LIKE '%aborted by user%' THEN 'aborted'
+                WHEN lower(r.output) LIKE '%process running with session id%' THEN 'running' ELSE 'ok' END AS status,
+           r.code AS exit_code, coalesce(r.wall, CASE WHEN r.ts IS NOT NULL THEN greatest(epoch_ms(CAST(r.ts AS TIMESTAMP)) - c.ts_ms, 0) END) AS duration_ms,
+           CASE WHEN r.wall IS NOT NULL THEN 'reported' WHEN r.event_id IS NOT NULL THEN 'event_gap' ELSE '' END AS duration_source,
+           coalesce(nullif(c.args->>'$.session_id', ''), r.running_id, '') AS process_id,
+           coalesce(c.args->>'$.cmd', c.args) AS input, coalesce(r.output, '') AS output, coalesce(c.args->>'$.chars', '') <> '' AS has_data
+    FROM e c LEFT JOIN res r ON r.session_id = c.session_id AND r.span_id = c.event_id WHERE c.kind = 'tool_call' AND c.call <> ''
+), jr AS (
+    SELECT *, CASE WHEN operation = 'write_stdin' AND status = 'error' AND exit_code IS NULL AND contains(lower(output), 'write_stdin failed:') THEN 'unknown' ELSE status END AS job_status, operation = 'exec_command' AND status = 'running' AS opens
+    FROM spans WHERE source = 'codex_cli' AND process_id <> '' AND (operation = 'write_stdin' OR operation = 'exec_command' AND status = 'running')
+), js AS (
+    SELECT *, coalesce(sum(CASE WHEN operation = 'write_stdin' AND job_status NOT IN ('running', 'open', 'unknown') THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, process_id ORDER BY started, span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM jr
+), jn AS (
+    SELECT *, sum(CASE WHEN opens OR nth = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, process_id ORDER BY started, span_id) AS job
+    FROM (SELECT *, row_number() OVER (PARTITION BY session_id, process_id, seg ORDER BY started, span_id) AS nth FROM js)
+), jobs AS (
+    SELECT session_id, process_id, 'job:' || arg_min(span_id, (started, span_id)) AS job_id, arg_min(CASE WHEN opens THEN 'exact_process_session_id' ELSE 'continuation_only' END, (started, span_id)) AS association,
+           min(started) AS started, arg_max(CASE WHEN ended <> '' THEN ended ELSE started END, (started, span_id)) AS ended, arg_max(job_status, (started, span_id)) AS status, count(*) AS spans,
+           count(*) FILTER (operation = 'write_stdin') AS polls, count(*) FILTER (operation = 'write_stdin' AND has_data) AS stdin_writes, count(*) FILTER (status = 'error') AS errors,
+           sum(CASE WHEN duration_source = 'reported' THEN duration_ms ELSE 0 END)::BIGINT AS wait_ms, arg_min(input, (started, span_id)) AS command,
+           greatest(epoch_ms(CAST(arg_max(CASE WHEN ended <> '' THEN ended ELSE started END, (started, span_id)) AS TIMESTAMP)) - epoch_ms(CAST(min(started) AS TIMESTAMP)), 0) AS elapsed_ms
+    FROM jn GROUP BY session_id, process_id, job
+) """
+
+_TURNS = _SPANS + """, tt0 AS (
+    SELECT *, coalesce(event_kind = 'task_started', false) AS starts, coalesce(event_kind IN ('task_complete', 'turn_aborted'), false) AS closer FROM prompts WHERE source = 'codex_cli' AND session_id <> ''
+), tt1 AS (
+    SELECT *, coalesce(sum(closer::INT) OVER (PARTITION BY session_id ORDER BY ts, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM tt0
+), tt2 AS (
+    SELECT *, starts OR (real_prompt AND coalesce(sum((starts OR real_prompt)::INT) OVER (PARTITION BY session_id, seg ORDER BY ts, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0) AS opens FROM tt1
+), tt3 AS (
+    SELECT *, sum(opens::INT) OVER (PARTITION BY session_id ORDER BY ts, ord) AS turn, sum(opens::INT) OVER (PARTITION BY session_id, seg ORDER BY ts, ord) AS inside FROM tt2
+), tp0 AS (
+    SELECT *, coalesce(subtype = 'turn_duration', false) OR kind = 'session_end' AS closer, sum(real_prompt::INT) OVER (PARTITION BY session_id ORDER BY ts, ord) AS turn FROM prompts WHERE source <> 'codex_cli' AND session_id <> ''
+), tp1 AS (
+    SELECT *, coalesce(sum(closer::INT) OVER (PARTITION BY session_id, turn ORDER BY ts, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS closed FROM tp0 WHERE turn > 0
+), members AS (
+    SELECT session_id, turn, event_id, source, ts, ord, text, real_prompt, closer, payload, true AS task, CASE WHEN event_kind = 'task_complete' THEN 'ok' WHEN event_kind = 'turn_aborted' THEN 'aborted' END AS ends,
+           CASE WHEN starts THEN coalesce(payload->>'$.turn_id', event_id) ELSE event_id END AS head FROM tt3 WHERE inside > 0
+    UNION ALL
+    SELECT session_id, turn, event_id, source, ts, ord, text, real_prompt, closer, payload, false, CASE WHEN subtype = 'turn_duration' THEN 'ok' WHEN kind = 'session_end' THEN 'unknown' END, event_id FROM tp1 WHERE closed = 0
+), turns AS (
+    SELECT task, arg_min(head, (ts, ord)) AS turn_id, session_id, arg_min(source, (ts, ord)) AS source, min(ts) AS started, max(ts) AS ended, turn = max(turn) OVER (PARTITION BY session_id, task) AS last,
+           max(ends) AS closing, max(CASE WHEN closer THEN CAST(payload->>'$.duration_ms' AS BIGINT) END) AS reported, count(*) AS events, count(s.span_id) AS spans, count(*) FILTER (s.status = 'error') AS errors,
+           coalesce(arg_min(CASE WHEN length(trim(text)) > 220 THEN left(trim(text), 220) || '…' ELSE trim(text) END, (ts, ord)) FILTER (real_prompt), '') AS ask
+    FROM (SELECT m.*, m.turn FROM members m) m LEFT JOIN (SELECT span_id, session_id AS sid, status FROM spans) s ON s.span_id = m.event_id AND s.sid = m.session_id GROUP BY task, session_id, turn
+), tv AS (
+    SELECT task, turn_id, session_id, source, started, ended, coalesce(closing, CASE WHEN last THEN 'open' ELSE 'unknown' END) AS status,
+           coalesce(reported, CASE WHEN task AND last AND closing IS NULL AND events = 1 THEN NULL ELSE greatest(epoch_ms(CAST(ended AS TIMESTAMP)) - epoch_ms(CAST(started AS TIMESTAMP)), 0) END) AS duration_ms,
+           regexp_replace(ask, '\\s+', ' ', 'g') AS ask, events, spans, errors FROM turns
+) """
+
+_ROLLUP = """, roll AS (
+    SELECT session_id, min(ts) AS started, max(ts) AS ended, arg_min(source, (ts, ord)) AS source, arg_min(regexp_replace(trim(text), '\\s+', ' ', 'g'), (ts, ord)) FILTER (asks) AS whole, count(*) FILTER (asks) AS prompts,
+           count(*) FILTER (kind = 'assistant_message') AS assistant, count(*) FILTER (kind = 'tool_call') AS tools, count(*) FILTER (kind = 'tool_result' AND is_error) AS errors,
+           count(DISTINCT CASE WHEN kind = 'attachment_ref' THEN regexp_extract(payload->>'$.local_path', '([^/]+/[^/]+/[^/]+)$', 1) END) AS files,
+           arg_min('gh:' || regexp_extract(payload->>'$.pr_url', '([^/]+)/pull/([0-9]+)', 1) || '#' || regexp_extract(payload->>'$.pr_url', '/pull/([0-9]+)', 1), (ts, ord)) FILTER (payload->>'$.pr_url' IS NOT NULL) AS linked,
+           arg_max(payload->>'$.cwd', (ts, ord)) FILTER (kind = 'session_start') AS cwd, arg_max(payload->>'$.actor', (ts, ord)) FILTER (kind = 'session_start') AS actor
+    FROM prompts WHERE session_id <> '' GROUP BY session_id
+) """
+
+_DOCS = """, docs AS (
+    SELECT p.event_id, p.session_id, p.kind, p.ts, p.ord, coalesce(a.actor, '') AS author, least(length(trim(text)), 6000) AS chars
+    FROM prompts p LEFT JOIN (SELECT session_id, arg_max(payload->>'$.actor', (ts, ord)) AS actor FROM e WHERE kind = 'session_start' AND coalesce(payload->>'$.actor', '') <> '' GROUP BY session_id) a USING (session_id)
+    WHERE asks OR (kind IN ('assistant_message', 'thinking') AND octet_length(encode(trim(coalesce(text, '')))) >= 12)
+) """
+
+ORACLES: dict[str, str] = {
+    "dedup_events": _ev("SELECT event_id, session_id, kind, ord FROM e"),
+    "session_rollup": _ev(_ROLLUP + "SELECT * EXCLUDE (whole), CASE WHEN length(whole) > 200 THEN left(whole, 200) || '…' ELSE whole END AS ask FROM roll"),
+    "session_context": _ev("""SELECT session_id, arg_min(source, (ts, ord)) AS source, arg_min(regexp_replace(regexp_replace(stream, '^edge-', ''), '-(claudecode|codex|cowork)$', ''), (ts, ord)) AS machine,
+        arg_min(payload->>'$.cwd', (ts, ord)) FILTER (payload->>'$.cwd' IS NOT NULL) AS cwd, arg_min(payload->>'$.campaign_id', (ts, ord)) FILTER (payload->>'$.campaign_id' IS NOT NULL) AS campaign,
+        arg_min(payload->>'$.campaign_role', (ts, ord)) FILTER (payload->>'$.campaign_role' IS NOT NULL) AS role FROM e GROUP BY session_id"""),
+    "session_tokens": _ev(_USAGE + "SELECT session_id, sum(tin)::BIGINT AS tok_in, sum(tout)::BIGINT AS tok_out, sum(cr)::BIGINT AS cache_read, sum(cc)::BIGINT AS cache_create, count(*) AS turns FROM us GROUP BY session_id"),
+    "session_models": _ev(_USAGE + "SELECT session_id, model, sum(tin)::BIGINT AS tok_in, sum(tout)::BIGINT AS tok_out, sum(cr)::BIGINT AS cache_read, sum(cc)::BIGINT AS cache_create, count(*) AS turns FROM us GROUP BY session_id, model"),
+    "codex_last_snapshot": _ev(_USAGE + "SELECT * FROM snap"),
+    "session_tool_mix": _ev(_CALLS + "SELECT session_id, tool, count(*) FILTER (kind = 'tool_call') AS calls, count(*) FILTER (kind = 'tool_result' AND is_error) AS errors, sum(chars)::BIGINT AS chars FROM sc WHERE tool IS NOT NULL GROUP BY session_id, tool"),
+    "status_by_tool": _ev(_CALLS + """, ag AS (SELECT session_id, CASE arg_min(source, (ts, ord)) WHEN 'claude_code' THEN 'claude' WHEN 'codex_cli' THEN 'codex' ELSE split_part(arg_min(source, (ts, ord)), '_', 1) END AS agent FROM e GROUP BY session_id)
+        SELECT tool, string_agg(DISTINCT agent, '+' ORDER BY agent) AS agents, count(*) FILTER (kind = 'tool_call') AS calls, count(*) FILTER (kind = 'tool_result' AND is_error) AS errors, sum(chars)::BIGINT AS chars FROM sc JOIN ag USING (session_id) WHERE tool IS NOT NULL GROUP BY tool"""),
+    "day_stats": _ev(_USAGE + "SELECT * FROM days"),
+    "weekly_stats": _ev(_USAGE + """, grid AS (SELECT unnest(generate_series(date_trunc('week', CAST(max(day) AS DATE)) - INTERVAL 35 DAY, date_trunc('week', CAST(max(day) AS DATE)), INTERVAL 7 DAY)) AS w FROM days)
+        SELECT CAST(CAST(w AS DATE) AS VARCHAR) AS week, coalesce(sum(tok_in), 0)::BIGINT AS tok_in, coalesce(sum(tok_out), 0)::BIGINT AS tok_out, coalesce(sum(tools), 0)::BIGINT AS tools, coalesce(sum(sessions), 0)::BIGINT AS sessions
+        FROM grid LEFT JOIN days ON date_trunc('week', CAST(day AS DATE)) = w GROUP BY w"""),
+    "tokens_4w": _ev(_USAGE + "SELECT sum(tok_in)::BIGINT AS tok_in, sum(tok_out)::BIGINT AS tok_out, sum(cache_read)::BIGINT AS cache_read, sum(cache_create)::BIGINT AS cache_create FROM days WHERE CAST(day AS DATE) > (SELECT max(CAST(day AS DATE)) FROM days) - INTERVAL 28 DAY"),
+    "tool_names": _ev("SELECT DISTINCT name AS tool FROM e WHERE kind = 'tool_call' AND coalesce(name, '') <> ''"),
+    "tool_profile": _ev(_CALLS + """, n AS (SELECT *, sum((kind = 'tool_call')::INT) OVER (PARTITION BY call, tool ORDER BY ts, ord) AS nth FROM gc WHERE tool IS NOT NULL),
+        one AS (SELECT * FROM n WHERE kind = 'tool_call' UNION ALL SELECT * FROM n WHERE kind = 'tool_result' QUALIFY row_number() OVER (PARTITION BY call, tool, nth ORDER BY ts, ord) = 1)
+        SELECT tool, count(*) FILTER (kind = 'tool_call') AS calls, count(*) FILTER (kind = 'tool_result' AND is_error) AS errors, quantile_disc(chars, 0.5) FILTER (kind = 'tool_result') AS p50, quantile_disc(chars, 0.95) FILTER (kind = 'tool_result') AS p95,
+               count(DISTINCT day) AS days, coalesce(sum(chars) FILTER (kind = 'tool_result'), 0)::BIGINT AS result_chars FROM one GROUP BY tool"""),
+    "tool_days": _ev("SELECT coalesce(name, '?') AS tool, day, count(*) AS calls FROM e WHERE kind = 'tool_call' GROUP BY 1, 2"),
+    "tool_arg_keys": _ev("SELECT tool, key, count(*) AS calls FROM (SELECT coalesce(name, '?') AS tool, unnest(json_keys(args)) AS key FROM e WHERE kind = 'tool_call') GROUP BY tool, key"),
+    "tool_arg_tops": _ev("""SELECT tool, key, value, n, place FROM (
+            SELECT *, row_number() OVER (PARTITION BY tool, key ORDER BY n DESC, value) AS place, count(*) OVER (PARTITION BY tool, key) AS kinds, max(n) OVER (PARTITION BY tool, key) AS most
+            FROM (SELECT tool, key, json_extract_string(args, '$."' || key || '"') AS value, count(*) AS n FROM (SELECT coalesce(name, '?') AS tool, args, unnest(json_keys(args)) AS key FROM e WHERE kind = 'tool_call') WHERE length(json_extract_string(args, '$."' || key || '"')) <= 32 GROUP BY ALL)
+        ) WHERE kinds <= 8 AND most > 1 AND place <= 3"""),
+    "tool_samples": _ev("SELECT tool, event_id, place FROM (SELECT coalesce(name, '?') AS tool, event_id, row_number() OVER (PARTITION BY coalesce(name, '?') ORDER BY ord DESC) AS place FROM e WHERE kind = 'tool_call') WHERE place <= 3"),
+    "usage_coverage": _ev("SELECT count(*) AS sessions, sum(has)::BIGINT AS with_usage, (100 * sum(has) // count(*))::BIGINT AS percent FROM (SELECT session_id, max((coalesce(subtype = 'usage', false) OR coalesce(event_kind = 'token_count', false))::INT) AS has FROM e GROUP BY session_id)"),
+    "struggle": _ev(_ROLLUP + """, z AS (SELECT session_id, prompts, round((prompts - avg(prompts) OVER ()) / greatest(stddev_pop(prompts) OVER (), 1e-9) + (errors - avg(errors) OVER ()) / greatest(stddev_pop(errors) OVER (), 1e-9), 6) AS score FROM roll)
+        SELECT session_id, score, round((row_number() OVER (ORDER BY score, session_id) - 1) / greatest(count(*) OVER () - 1, 1), 6) AS position FROM z WHERE prompts > 0"""),
+    "longest_turns": _ev("""SELECT session_id, event_id, bytes, row_number() OVER (PARTITION BY session_id ORDER BY ord) AS nth FROM (
+        SELECT session_id, event_id, ord, octet_length(encode(text)) AS bytes FROM e WHERE kind IN ('user_prompt', 'assistant_message') AND coalesce(text, '') <> '' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY octet_length(encode(text)) DESC, ord) <= 3)"""),
+    "loc_by_day": "SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, coalesce(sum(a), 0)::BIGINT AS loc_add, coalesce(sum(d), 0)::BIGINT AS loc_del, count(*) AS prs FROM orders LEFT JOIN (SELECT l_orderkey, sum(floor(l_quantity)) AS a, sum(floor(l_discount * 100)) AS d FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1",
+    "activity_by_day": _ev(_USAGE + """, loc AS (SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, coalesce(sum(a), 0)::BIGINT AS loc_add, coalesce(sum(d), 0)::BIGINT AS loc_del, count(*) AS prs FROM orders LEFT JOIN (SELECT l_orderkey, sum(floor(l_quantity)) AS a, sum(floor(l_discount * 100)) AS d FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1)
+        SELECT coalesce(days.day, loc.day) AS day, coalesce(tok_in, 0) AS tok_in, coalesce(tok_out, 0) AS tok_out, coalesce(tools, 0) AS tools, coalesce(sessions, 0) AS sessions, coalesce(loc_add, 0) AS loc_add, coalesce(loc_del, 0) AS loc_del, coalesce(prs, 0) AS prs FROM days FULL JOIN loc ON days.day = loc.day"""),
+    "spans": _ev(_SPANS + "SELECT * EXCLUDE (has_data) FROM spans"),
+    "turns_task": _ev(_TURNS + "SELECT * EXCLUDE (task) FROM tv WHERE task"),
+    "turns_prompt": _ev(_TURNS + "SELECT * EXCLUDE (task) FROM tv WHERE NOT task"),
+    "jobs": _ev(_SPANS + "SELECT * FROM jobs"),
+    "trace_list_turns": _ev(_TURNS + "SELECT turn_id, session_id, status, duration_ms, errors FROM tv WHERE errors > 0 ORDER BY coalesce(duration_ms, 0) DESC, started DESC, turn_id LIMIT 50"),
+    "trace_list_spans": _ev(_SPANS + "SELECT span_id, operation, status, duration_ms FROM spans WHERE status = 'error' AND (contains(lower(operation), 'exec') OR contains(lower(input), 'exec')) ORDER BY coalesce(duration_ms, 0) DESC, started DESC, span_id LIMIT 50"),
+    "trace_list_jobs": _ev(_SPANS + f"SELECT job_id, status, wait_ms, elapsed_ms FROM jobs WHERE started >= '{SINCE}' ORDER BY wait_ms DESC, started DESC, job_id LIMIT 50"),
+    "trace_search": _ev("SELECT event_id, session_id, kind, ts, coalesce(name, '?') || ' · ' || coalesce(args->>'$.cmd', args) AS summary FROM e WHERE kind = 'tool_call' AND contains(lower(left(kind || ' ' || source || ' ' || session_id || ' ' || coalesce(name, '?') || ' · ' || coalesce(args->>'$.cmd', args) || ' ' || payload, 512)), 'step-4') ORDER BY ts DESC, ord DESC LIMIT 40"),
+    "trace_compare": _ev(_SPANS + """, f AS (SELECT span_id, unnest(['operation', 'status', 'started', 'exit_code', 'input']) AS field, unnest([operation, status, started, exit_code::VARCHAR, input]) AS value FROM spans WHERE span_id IN ('e13', 'e4238'))
+        SELECT coalesce(a.field, b.field) AS field, a.value AS left_value, b.value AS right_value FROM (FROM f WHERE span_id = 'e13') a FULL JOIN (FROM f WHERE span_id = 'e4238') b ON a.field = b.field WHERE a.value IS DISTINCT FROM b.value"""),
+    "turn_timeline": _ev(_SPANS + """, shown AS (SELECT * FROM e WHERE session_id = 'u133-2024-01-13' AND kind IN ('user_prompt', 'assistant_message', 'tool_call', 'session_start', 'session_end')
+            AND event_id NOT IN (SELECT span_id FROM spans WHERE operation = 'write_stdin' AND process_id <> '' AND source = 'codex_cli' AND 'job:' || span_id NOT IN (SELECT job_id FROM jobs)))
+        SELECT event_id, kind, row_number() OVER (ORDER BY ts, ord) AS place, ts_ms - first_value(ts_ms) OVER (ORDER BY ts, ord) AS offset_ms FROM shown QUALIFY row_number() OVER (ORDER BY ts, ord) <= 200"""),
+    "event_window": _ev("""SELECT event_id, session_id, kind, pos - centre AS "offset" FROM (
+        SELECT *, max(CASE WHEN event_id = 'e4238' THEN pos END) OVER () AS centre FROM (SELECT *, row_number() OVER (ORDER BY ts, ord) AS pos FROM e WHERE session_id = (SELECT session_id FROM e WHERE event_id = 'e4238'))) WHERE pos BETWEEN centre - 3 AND centre + 4"""),
+    "first_context_rows": _ev("SELECT session_id, kind, event_id, ts FROM e WHERE session_id <> '' QUALIFY row_number() OVER (PARTITION BY session_id, kind ORDER BY ts, ord) = 1"),
+    "raw_window_select": _ev(f"SELECT event_id, stream, ts, kind FROM e WHERE ts >= '{SINCE}' AND ts < '{UNTIL}' AND kind IN ('tool_result', 'tool_call') AND contains(source, 'co') AND contains(lower(payload), 'exit')"),
+    "expand_sessions": _ev(f"SELECT session_id, count(*) AS events FROM e WHERE session_id IN (SELECT session_id FROM e WHERE ts >= '{SINCE}' AND ts < '{UNTIL}' AND kind = 'tool_result' AND contains(lower(payload), 'step')) GROUP BY session_id"),
+    "resolve_prefix": _ev(_TURNS + "SELECT * FROM (SELECT job_id AS id, 1 AS precedence, 'job' AS entity FROM jobs UNION ALL SELECT turn_id, 2, 'turn' FROM tv UNION ALL SELECT span_id, 3, 'span' FROM spans) WHERE starts_with(id, 'e423') ORDER BY precedence, id LIMIT 9"),
+    "docs_from_events": _ev(_DOCS + "SELECT event_id, session_id, kind, author, chars FROM docs"),
+    "capture_boundary": _ev(f"SELECT kind, count(*) AS events FROM e WHERE kind = 'session_start' OR CAST(ts AS TIMESTAMP) >= TIMESTAMP '2024-01-10 00:00:00' GROUP BY kind"),
+    "session_visible": _ev(f"SELECT DISTINCT session_id FROM e WHERE kind <> 'session_start' AND ts >= '{SINCE}' AND session_id <> ''"),
+    "exit_code_parse": _ev(_SPANS + """SELECT event_id, coalesce(TRY_CAST(nullif(regexp_extract(output, 'Process exited with code \\s*([0-9-]+)', 1), '') AS BIGINT), TRY_CAST(nullif(regexp_extract(output, 'Exit code \\s*([0-9-]+)', 1), '') AS BIGINT)) AS exit_code,
+        CAST(round(TRY_CAST(nullif(regexp_extract(output, 'Wall time:\\s*([0-9.]+)', 1), '') AS DOUBLE) * 1000) AS BIGINT) AS wall_ms, regexp_extract(output, '(?i)process running with session id ([A-Za-z0-9_-]+)', 1) AS process_id FROM e WHERE kind = 'tool_result'"""),
+    "session_gap": """SELECT user_id, nth, min(ms) AS started_ms, max(ms) AS ended_ms, count(*) AS events FROM (
+        SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS nth FROM (
+            SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, CASE WHEN epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) <= 1800000 THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, nth""",
+    "recency_cap": _ev(_DOCS + "SELECT event_id, ts FROM docs ORDER BY ts DESC, ord DESC LIMIT CASE WHEN (SELECT count(*) FROM docs) > 500 THEN 450 ELSE 500 END"),
+    "display_prefixes": _ev("""SELECT id, left(id, CAST(greatest(6, 1 + coalesce(length(list_max(list_filter(list_transform(range(1, length(id) + 1), lambda n: left(id, n)), lambda p: starts_with(prev, p)))), 0), 1 + coalesce(length(list_max(list_filter(list_transform(range(1, length(id) + 1), lambda n: left(id, n)), lambda p: starts_with(next, p)))), 0)) AS BIGINT)) AS prefix
+        FROM (SELECT id, lag(id) OVER (ORDER BY id) AS prev, lead(id) OVER (ORDER BY id) AS next FROM (SELECT 'job:' || event_id AS id FROM e))"""),
+}

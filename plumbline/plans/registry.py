@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from plumbline.plans import activity
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**activity.QUERIES}
+ORACLES: dict[str, str] = {**activity.ORACLES}
