@@ -1,0 +1,230 @@
+"""Queries over documents, the fleet, topics, terms and vectors."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.functions import text as T
+from plumbline.operators import ingest, insight, sessions, vectors
+from plumbline.plans.activity import _ROLLUP, _ev, _items
+from plumbline.plans.adapter import envelopes
+from plumbline.session import shared_folder
+
+NEWEST = "2024-01-31"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as indexed texts: repository, author, kind, session and source of each."""
+    d = _table(spark, sf_dir, "documents")
+    return d.select(
+        "doc_id", "text", F.col("source").alias("repo"), F.concat(F.lit("user"), F.col("doc_id") % 20).alias("author"), F.when(F.col("doc_id") % 3 == 0, "pr").when(F.col("doc_id") % 3 == 1, "issue").otherwise("message").alias("kind"),
+        F.when(F.col("doc_id") % 3 == 2, F.concat(F.lit("s"), F.floor(F.col("doc_id") / 9).cast("long"))).alias("session_id"), F.when(F.col("doc_id") % 3 < 2, "github").otherwise("claude_code").alias("source"),
+        F.concat(F.lit("camp"), F.col("doc_id") % 4).alias("campaign"), F.when(F.col("doc_id") % 2 == 0, "writer").otherwise("reviewer").alias("role"),
+    )
+
+
+def _spend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    return e.select(F.concat(F.lit("src"), F.col("user_id") % 30).alias("repo"), F.concat(F.lit("user"), F.col("user_id") % 25).alias("author"), F.floor("value").cast("long").alias("tok_out"), (F.col("event_type") == "click").cast("long").alias("tools"))
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _items(spark, sf_dir)
+    return items.select((F.col("author_key") % 12).alias("topic"), F.when(F.col("number") % 3 == 0, "session").otherwise("pr").alias("unit"), F.col("merged_day").alias("day"), F.col("number").alias("member"))
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select((F.col("item_id") % 5).alias("cluster"), F.col("item_id").alias("member"), "text")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("long").alias("community"))
+
+
+def _query_matrix(spark: SparkSession, sf_dir: str) -> np.ndarray:
+    rows = _table(spark, sf_dir, "embeddings").where("vec_id < 3").orderBy("vec_id").collect()
+    return np.array([r.embedding for r in rows], float)
+
+
+def _neighbours(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return vectors.knn(_vectors(spark, sf_dir), k)
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.mutual_edges(_neighbours(spark, sf_dir, 6))
+
+
+def _near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_folder(spark)
+    return vectors.near_duplicate_groups(_neighbours(spark, sf_dir, 6), 0.3)
+
+
+def _coverage(spark: SparkSession, sf_dir: str, part: int) -> DataFrame:
+    actors = sessions.session_rollup(envelopes(spark, sf_dir)).select("actor")
+    orders, customers = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    authors = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.upper("c_name").alias("author"))
+    members = customers.where("c_acctbal > 0").select(F.col("c_name").alias("login"))
+    return insight.fleet_coverage(actors, authors, members, ("customer#000000003",))[part]
+
+
+def _repo_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rolled = sessions.session_rollup(envelopes(spark, sf_dir))
+    return sessions.repo_of(rolled, _table(spark, sf_dir, "nation").select(F.col("n_name").alias("repo")))
+
+
+def _attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _documents(spark, sf_dir)
+    footer = F.when(F.col("doc_id") % 7 == 0, "\nCo-authored-by: Cursor Agent").when(F.col("doc_id") % 7 == 1, "\nGenerated with Aider").when(F.col("doc_id") % 7 == 2, "\nI like devin").otherwise("")
+    login = F.when(F.col("doc_id") % 11 == 0, "Copilot[bot]").otherwise(F.col("author"))
+    body = F.concat(F.lit("title"), footer)
+    return d.select("doc_id", F.coalesce(T.detect_agent(body, login), F.lit("")).alias("agent"), T.is_bot(login).alias("bot"))
+
+
+def _previous_members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v = _vectors(spark, sf_dir)
+    old = v.where("key % 10 <> 0").select((F.col("community") + 100).alias("topic"), F.col("key").alias("member"))
+    return old, v.where("key % 7 <> 0").select(F.col("community").alias("topic"), F.col("key").alias("member"))
+
+
+def _orders_as_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders")
+    return o.select((F.col("o_custkey") % 5).alias("repo"), F.col("o_orderkey").alias("number"), F.col("o_orderstatus").alias("state"), F.col("o_orderdate").cast("date").cast("string").alias("created"))
+
+
+def _stable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").select(F.md5(F.coalesce("text", F.lit(""))).alias("hash"), F.col("doc_id").alias("pos"))
+    return ingest.stable_order(d.where("pos % 5 <> 0"), d.where("pos % 4 <> 0"))
+
+
+def _maxsim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.maxsim_topk(vectors.matrices(_table(spark, sf_dir, "embeddings"), 4), _query_matrix(spark, sf_dir), 10)
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = _neighbours(spark, sf_dir, 5).select(F.col("src").alias("query"), F.col("dst").alias("answer"), "place")
+    v = _vectors(spark, sf_dir).select("key", "community")
+    gold = v.join(v.select(F.col("key").alias("other"), "community"), "community").where("key <> other").select(F.col("key").alias("query"), F.col("other").alias("answer"))
+    return insight.hit_at(ranked, gold, 5)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "status_by_kind": lambda s, d: _documents(s, d).groupBy("kind").agg(F.count(F.lit(1)).alias("docs")).orderBy(F.desc("docs"), "kind"),
+    "status_by_repo": lambda s, d: insight.status_with_spend(_documents(s, d), _spend(s, d), "repo"),
+    "status_by_author": lambda s, d: insight.status_with_spend(_documents(s, d), _spend(s, d), "author"),
+    "scope_filter": lambda s, d: insight.scope_filter(_documents(s, d), insight.ReadScope(repos=("src1", "src2", "src3"), campaigns=("camp0", "camp1"), sources=("github",))).select("doc_id", "repo", "campaign"),
+    "metadata_filter": lambda s, d: insight.metadata_filter(_documents(s, d), "repo=src4").select("doc_id", "kind"),
+    "fleet_machines": lambda s, d: insight.fleet_machines(envelopes(s, d), NEWEST),
+    "fleet_coverage": lambda s, d: _coverage(s, d, 0),
+    "fleet_untracked": lambda s, d: _coverage(s, d, 1),
+    "repo_fold": _repo_fold,
+    "agent_attribution": _attributed,
+    "redact_text": lambda s, d: _table(s, d, "documents").select("doc_id", F.md5(T.redacted(F.coalesce("text", F.lit("")))).alias("digest")),
+    "units_feed": lambda s, d: insight.units_feed(sessions.session_rollup(envelopes(s, d)), _items(s, d).select((F.col("author_key") % 5).alias("repo"), "number", "state", F.col("merged_day").alias("day"), F.concat(F.lit("order "), F.col("number")).alias("title"))),
+    "topic_facets": lambda s, d: insight.topic_facets(_units(s, d)),
+    "topic_activity": lambda s, d: insight.topic_activity(_units(s, d), 8),
+    "topic_days": lambda s, d: insight.most_frequent(_units(s, d), "topic", "day").where("place <= 3"),
+    "topic_lineage_jaccard": lambda s, d: insight.lineage(*_previous_members(s, d)),
+    "cluster_idf": lambda s, d: insight.cluster_idf(_members(s, d)),
+    "cluster_terms": lambda s, d: insight.cluster_terms(_members(s, d), 5),
+    "keyword_labels": lambda s, d: insight.keyword_labels(_members(s, d)),
+    "related_query_terms": lambda s, d: insight.related_terms(_table(s, d, "benchmark").select(F.col("item_id").alias("key"), "text")),
+    "manifest_diff": lambda s, d: insight.manifest_diff(_table(s, d, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("file"), F.col("o_custkey").alias("hash")), _table(s, d, "orders").where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("file"), (F.col("o_custkey") + F.when(F.col("o_orderkey") % 10 == 1, 1).otherwise(0)).alias("hash"))),
+    "pending_summaries": lambda s, d: insight.pending(_table(s, d, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_custkey") % 7).alias("hash")), _table(s, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("key"), (F.col("o_custkey") % 5).alias("hash"))),
+    "upsert_merge": lambda s, d: insight.upsert_merge(_orders_as_items(s, d), _orders_as_items(s, d).where("number % 4 = 0").withColumn("state", F.lit("NEW")), "1996-01-01").select("repo", "number", "state", "created"),
+    "stable_order": _stable,
+    "departed_docs": lambda s, d: ingest.departed(_table(s, d, "documents").select(F.md5("text").alias("hash")), _table(s, d, "documents").where("doc_id % 3 = 0").select(F.md5("text").alias("hash"))).groupBy("hash").agg(F.count(F.lit(1)).alias("n")),
+    "mean_pool": lambda s, d: vectors.mean_pool(vectors.matrices(_table(s, d, "embeddings"), 4)).select("key", F.round(F.col("pooled")[0], 5).alias("p0"), F.round(F.element_at("pooled", -1), 5).alias("p_last")),
+    "maxsim_topk": _maxsim,
+    "knn_topk": lambda s, d: _neighbours(s, d, 4),
+    "mutual_knn_edges": _edges,
+    "near_dup_groups": _near_dup,
+    "modularity": lambda s, d: vectors.modularity(_edges(s, d), _vectors(s, d)),
+    "centrality_rank": lambda s, d: vectors.centrality(_neighbours(s, d, 8), _vectors(s, d)),
+    "cluster_quality": lambda s, d: vectors.cluster_quality(_neighbours(s, d, 5), _vectors(s, d)),
+    "louvain_topics": lambda s, d: vectors.louvain(_edges(s, d)),
+    "hit_at_5": _hits,
+}
+
+_DOC = """WITH docs AS (SELECT doc_id, text, source AS repo, 'user' || (doc_id % 20) AS author, CASE doc_id % 3 WHEN 0 THEN 'pr' WHEN 1 THEN 'issue' ELSE 'message' END AS kind,
+    CASE WHEN doc_id % 3 = 2 THEN 's' || (doc_id // 9) END AS session_id, CASE WHEN doc_id % 3 < 2 THEN 'github' ELSE 'claude_code' END AS src, 'camp' || (doc_id % 4) AS campaign FROM documents),
+    spend AS (SELECT 'src' || (user_id % 30) AS repo, 'user' || (user_id % 25) AS author, CAST(floor(value) AS BIGINT) AS tok, (event_type = 'click')::BIGINT AS tool FROM events) """
+
+
+def _status(key: str) -> str:
+    return _DOC + f"""SELECT {key}, coalesce(docs, 0) AS docs, coalesce(github_docs, 0) AS github_docs, coalesce(sessions, 0) AS sessions, coalesce(tok_out, 0)::BIGINT AS tok_out, coalesce(tools, 0)::BIGINT AS tools FROM
+        (SELECT {key}, count(*) AS docs, count(*) FILTER (src = 'github') AS github_docs, count(DISTINCT session_id) AS sessions FROM docs GROUP BY 1) FULL JOIN (SELECT {key}, sum(tok) AS tok_out, sum(tool) AS tools FROM spend GROUP BY 1) USING ({key})"""
+
+
+_UNITS = "WITH units AS (SELECT o_custkey % 12 AS topic, CASE WHEN o_orderkey % 3 = 0 THEN 'session' ELSE 'pr' END AS unit, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders) "
+_WORDS = (
+    "WITH w AS (SELECT cluster, member, word FROM (SELECT DISTINCT item_id % 5 AS cluster, item_id AS member, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}-]+')) AS word FROM benchmark) WHERE octet_length(encode(word)) >= 3 AND regexp_matches(word, '\\p{L}') AND word NOT IN ("
+    + ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+    + ")), idf AS (SELECT word, count(DISTINCT cluster) AS cf, round(ln((1 + (SELECT count(DISTINCT item_id % 5) FROM benchmark)) / (1 + count(DISTINCT cluster))) + 1, 6) AS idf FROM w GROUP BY word), "
+    "terms AS (SELECT cluster, word, round(count(*) / any_value(n) * any_value(idf), 6) AS score FROM w JOIN idf USING (word) JOIN (SELECT item_id % 5 AS cluster, count(*) AS n FROM benchmark GROUP BY 1) USING (cluster) GROUP BY cluster, word), "
+    "placed AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, word) AS place FROM terms) "
+)
+_KNN = "WITH v AS (SELECT vec_id AS key, CAST(embedding AS DOUBLE[]) AS e, CAST(label AS BIGINT) AS c FROM embeddings), pairs AS (SELECT a.key AS src, b.key AS dst, round(list_dot_product(a.e, b.e), 5) AS weight FROM v a JOIN v b ON a.key <> b.key), knn AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS place FROM pairs) "
+_EDGES = _KNN + ", sc AS (SELECT src, dst, weight / best AS w FROM (SELECT *, max(weight) OVER (PARTITION BY src) AS best FROM knn WHERE place <= 6) WHERE best > 0 AND weight / best >= 0.6), edges AS (SELECT a.src, a.dst, round(a.w + b.w, 4) AS weight FROM sc a JOIN sc b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst) "
+_ACTORS = ", actors AS (SELECT DISTINCT lower(actor) AS login FROM roll WHERE coalesce(actor, '') <> ''), active AS (SELECT lower(c_name) AS login, count(*) AS items FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0 AND lower(c_name) <> 'customer#000000003' GROUP BY 1) "
+
+ORACLES: dict[str, str] = {
+    "status_by_kind": _DOC + "SELECT kind, count(*) AS docs FROM docs GROUP BY kind",
+    "status_by_repo": _status("repo"),
+    "status_by_author": _status("author"),
+    "scope_filter": _DOC + "SELECT doc_id, repo, campaign FROM docs WHERE repo IN ('src1', 'src2', 'src3') AND campaign IN ('camp0', 'camp1') AND src = 'github'",
+    "metadata_filter": _DOC + "SELECT doc_id, kind FROM docs WHERE repo = 'src4'",
+    "fleet_machines": _ev(f"""SELECT regexp_extract(stream, '^edge-(.+)-([^-]+)$', 1) AS machine, max(ts) AS last_ts, string_agg(DISTINCT source, '+' ORDER BY source) AS sources, count(DISTINCT CASE WHEN kind = 'session_start' THEN payload->>'$.actor' END) AS actors,
+        arg_max(payload->>'$.tracker_version', (ts, ord)) FILTER (kind = 'session_start') AS version, count(*) FILTER (CAST(day AS DATE) > DATE '{NEWEST}' - 30) AS recent, max(CAST(day AS DATE)) < DATE '{NEWEST}' - 7 AS quiet FROM e GROUP BY 1"""),
+    "fleet_coverage": _ev(_ROLLUP + _ACTORS + "SELECT count(*) AS active, count(actors.login) AS both, (100 * count(actors.login) // count(*))::BIGINT AS percent FROM active LEFT JOIN actors USING (login)"),
+    "fleet_untracked": _ev(_ROLLUP + _ACTORS + "SELECT login, items FROM active WHERE login NOT IN (SELECT login FROM actors)"),
+    "repo_fold": _ev(_ROLLUP + ", seg AS (SELECT DISTINCT cwd, unnest(range(1, len(string_split(cwd, '/')) + 1)) AS pos FROM roll WHERE cwd IS NOT NULL), hit AS (SELECT cwd, pos, arg_max(n_name, length(n_name)) AS repo FROM seg JOIN nation ON string_split(cwd, '/')[pos] = n_name OR starts_with(string_split(cwd, '/')[pos], n_name || '-') GROUP BY 1, 2) SELECT cwd, arg_min(repo, pos) AS repo FROM hit GROUP BY cwd"),
+    "agent_attribution": "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'copilot' WHEN doc_id % 7 = 0 THEN 'cursor' WHEN doc_id % 7 = 1 THEN 'aider' ELSE '' END AS agent, doc_id % 11 = 0 AS bot FROM documents",
+    "redact_text": "SELECT doc_id, md5(CASE WHEN length(t) > 32768 THEN left(t, 32768) || chr(10) || '[TRUNCATED]' ELSE t END) AS digest FROM (SELECT doc_id, "
+    + "".join("regexp_replace(" for _ in T.SECRETS)
+    + "coalesce(text, '')"
+    + "".join(f", '{p}', '[REDACTED]', 'g')" for p in T.SECRETS)
+    + " AS t FROM documents)",
+    "units_feed": _ev(_ROLLUP + """SELECT session_id AS key, 'session' AS unit, substr(ended, 1, 10) AS day, coalesce(CASE WHEN length(whole) > 200 THEN left(whole, 200) || '…' ELSE whole END, '') AS title,
+        CASE WHEN linked IS NOT NULL THEN '→ ' || linked WHEN files > 0 THEN files || ' files' ELSE prompts || ' prompts' END AS outcome FROM roll WHERE prompts > 0
+        UNION ALL SELECT 'gh:' || (o_custkey % 5) || '#' || o_orderkey, 'pr', CAST(CAST(o_orderdate AS DATE) AS VARCHAR), 'order ' || o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'merged' WHEN 'O' THEN 'open' ELSE 'closed' END FROM orders"""),
+    "topic_facets": _UNITS + "SELECT topic, count(*) AS size, min(day) AS first_day, max(day) AS last_active, count(*) FILTER (unit = 'session') AS sessions, count(*) FILTER (unit = 'pr') AS prs FROM units GROUP BY topic",
+    "topic_activity": _UNITS + "SELECT topic, week, count(*) AS units FROM (SELECT topic, CAST((max(CAST(day AS DATE)) OVER (PARTITION BY topic) - CAST(day AS DATE)) // 7 AS INT) AS week FROM units) WHERE week < 8 GROUP BY 1, 2",
+    "topic_days": _UNITS + "SELECT topic, day, n, place FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, day) AS place FROM (SELECT topic, day, count(*) AS n FROM units GROUP BY 1, 2)) WHERE place <= 3",
+    "topic_lineage_jaccard": """WITH o AS (SELECT label + 100 AS t, vec_id FROM embeddings WHERE vec_id % 10 <> 0), n AS (SELECT label AS t, vec_id FROM embeddings WHERE vec_id % 7 <> 0),
+        j AS (SELECT n.t AS new_topic, o.t AS old_topic, count(*) AS x FROM n JOIN o USING (vec_id) GROUP BY 1, 2), s AS (SELECT new_topic, old_topic, round(x / ((SELECT count(*) FROM n WHERE t = new_topic) + (SELECT count(*) FROM o WHERE t = old_topic) - x), 6) AS jaccard FROM j)
+        SELECT new_topic, old_topic, jaccard FROM s WHERE jaccard >= 0.5 QUALIFY row_number() OVER (PARTITION BY new_topic ORDER BY jaccard DESC, old_topic) = 1""",
+    "cluster_idf": _WORDS + "SELECT * FROM idf",
+    "cluster_terms": _WORDS + "SELECT * FROM placed WHERE place <= 5",
+    "keyword_labels": _WORDS + "SELECT cluster, string_agg(word, ' · ' ORDER BY place) AS label FROM placed WHERE place <= 3 GROUP BY cluster",
+    "related_query_terms": "SELECT key, word, place FROM (SELECT key, word, row_number() OVER (PARTITION BY key ORDER BY min(pos)) AS place FROM (SELECT item_id AS key, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}-]+') AS ws FROM benchmark)) WHERE octet_length(encode(word)) >= 3 AND NOT regexp_full_match(word, '[0-9]+') AND word NOT IN ("
+    + ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+    + ") GROUP BY key, word) WHERE place <= 40",
+    "manifest_diff": """SELECT coalesce(a.file, b.file) AS file, CASE WHEN a.file IS NULL THEN 'add' WHEN b.file IS NULL THEN 'remove' WHEN a.hash <> b.hash THEN 'replace' ELSE 'keep' END AS action
+        FROM (SELECT o_orderkey AS file, o_custkey AS hash FROM orders WHERE o_orderkey % 3 <> 0) a FULL JOIN (SELECT o_orderkey AS file, o_custkey + CASE WHEN o_orderkey % 10 = 1 THEN 1 ELSE 0 END AS hash FROM orders WHERE o_orderkey % 4 <> 0) b ON a.file = b.file""",
+    "pending_summaries": "SELECT o_orderkey AS key, o_custkey % 7 AS hash FROM orders WHERE NOT (o_orderkey % 2 = 0 AND o_custkey % 7 = o_custkey % 5)",
+    "upsert_merge": "SELECT o_custkey % 5 AS repo, o_orderkey AS number, CASE WHEN o_orderkey % 4 = 0 THEN 'NEW' ELSE o_orderstatus END AS state, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS created FROM orders WHERE o_orderdate >= DATE '1996-01-01'",
+    "stable_order": """WITH d AS (SELECT md5(coalesce(text, '')) AS hash, doc_id AS pos FROM documents), o AS (SELECT hash, pos AS old_pos, row_number() OVER (PARTITION BY hash ORDER BY pos) AS nth FROM d WHERE pos % 5 <> 0), c AS (SELECT hash, pos, row_number() OVER (PARTITION BY hash ORDER BY pos) AS nth FROM d WHERE pos % 4 <> 0)
+        SELECT c.hash, pos, old_pos, old_pos IS NULL AS is_new FROM c LEFT JOIN o USING (hash, nth)""",
+    "departed_docs": "SELECT hash, n FROM (SELECT md5(text) AS hash, count(*) - count(*) FILTER (doc_id % 3 = 0) AS n FROM documents GROUP BY 1) WHERE n > 0",
+    "mean_pool": """WITH p AS (SELECT vec_id // 4 AS key, generate_subscripts(embedding, 1) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings), m AS (SELECT key, i, avg(x) AS x FROM p GROUP BY 1, 2), n AS (SELECT key, sqrt(sum(x * x)) AS norm, max(i) AS width FROM m GROUP BY 1)
+        SELECT key, round(max(CASE WHEN i = 1 THEN x / norm END), 5) AS p0, round(max(CASE WHEN i = width THEN x / norm END), 5) AS p_last FROM m JOIN n USING (key) GROUP BY key""",
+    "maxsim_topk": "WITH s AS (SELECT d.vec_id // 4 AS key, q.vec_id AS q, max(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[]))) AS best FROM embeddings d, embeddings q WHERE q.vec_id < 3 GROUP BY 1, 2) SELECT key, round(sum(best), 5) AS score FROM s GROUP BY key ORDER BY score DESC, key LIMIT 10",
+    "knn_topk": _KNN + "SELECT * FROM knn WHERE place <= 4",
+    "mutual_knn_edges": _EDGES + "SELECT * FROM edges",
+    "near_dup_groups": _KNN.replace("WITH v", "WITH RECURSIVE v") + ", l AS (SELECT src AS a, dst AS b FROM knn WHERE place <= 6 AND weight >= 0.3), edge AS (SELECT a, b FROM l UNION SELECT b, a FROM l), reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a) SELECT a AS key, least(a, min(b)) AS rep FROM reach GROUP BY a",
+    "modularity": _EDGES + """, ends AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges), t AS (SELECT x.c, sum(weight) AS total, sum(CASE WHEN x.c = y.c THEN weight ELSE 0 END) AS inn FROM ends JOIN v x ON x.key = src JOIN v y ON y.key = dst GROUP BY 1)
+        SELECT round(sum(inn / m2 - (total / m2) * (total / m2)), 6) AS modularity FROM t, (SELECT sum(total) AS m2 FROM t)""",
+    "centrality_rank": _KNN + """, s AS (SELECT x.key, sum(CAST(round(weight * 100000) AS BIGINT))::BIGINT AS strength FROM knn JOIN v x ON x.key = src JOIN v y ON y.key = dst WHERE place <= 8 AND x.c = y.c GROUP BY 1)
+        SELECT key, c AS community, coalesce(strength, 0) AS strength, row_number() OVER (PARTITION BY c ORDER BY coalesce(strength, 0) DESC, key) - 1 AS place FROM v LEFT JOIN s USING (key)""",
+    "cluster_quality": _KNN + """, votes AS (SELECT src, x.c, y.c AS vote, count(*) AS n FROM knn JOIN v x ON x.key = src JOIN v y ON y.key = dst WHERE place <= 5 GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, y.c) = 1)
+        SELECT c AS community, count(*) AS rows, sum((vote <> c)::INT)::BIGINT AS misplaced, round(avg(weight) / (SELECT avg(weight) FROM knn WHERE place = 1), 4) AS cohesion FROM votes JOIN knn USING (src) WHERE place = 1 GROUP BY c""",
+    "hit_at_5": _KNN + ", q AS (SELECT key, max((place <= 5 AND y.c = x.c)::INT) AS hit FROM v x JOIN knn ON src = x.key JOIN (SELECT key AS k2, c FROM v) y ON y.k2 = dst WHERE x.c IN (SELECT c FROM v GROUP BY c HAVING count(*) > 1) GROUP BY key) SELECT count(*) AS queries, sum(hit)::BIGINT AS hits, round(sum(hit) / count(*), 6) AS rate FROM q",
+}
