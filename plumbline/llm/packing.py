@@ -97,13 +97,15 @@ class Packer:
         return pieces
 
     def pack(self, final: bool = False) -> None:
-        """Pack what is kept; less than the shortest tier may stay unless this is the end."""
+        """Pack what is kept; less than a window of the longest tier that is in use may stay unless this is the end."""
+        total = sum(x[0] for x in self.rests)
         for size, below in zip(reversed(self.tiers), (*reversed(self.tiers[:-1]), 0), strict=True):
-            while self.rests and self.rests[-1][0] > below:
-                if sum(x[0] for x in self.rests[-8:]) < size and sum(x[0] for x in self.rests) < size:
-                    break
-                _, _, ids, doc_id, (start, total) = self.rests.pop()
-                self._emit(self._fill(size, (ids, doc_id, start, total)), size)
+            while total >= size and self.rests[-1][0] > below:
+                _, _, ids, doc_id, (start, whole) = self.rests.pop()
+                self._emit(self._fill(size, (ids, doc_id, start, whole)), size)
+                total -= size
+            if self.rests and self.rests[-1][0] > below:
+                break
         if final:
             left = sum(x[0] for x in self.rests)
             while left:
