@@ -40,8 +40,10 @@ PAYLOAD = (
 def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
     """Scan a folder of envelope lines; `file` and `ord` give the order of reading, malformed lines have `corrupt`."""
     schema = T.StructType([*ENVELOPE.fields, T.StructField("corrupt", T.StringType())])
-    lines = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").option("recursiveFileLookup", "true").json(path)
-    return lines.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord")).withColumn("v", F.coalesce("v", F.lit(1)))
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).where(F.trim("value") != "")
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"})
+    rows = lines.select(parsed.alias("e"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord"))
+    return rows.select("e.*", "file", "ord").withColumn("v", F.coalesce("v", F.lit(1)))
 
 
 def well_formed(lines: DataFrame) -> DataFrame:

@@ -24,14 +24,14 @@ def publish(spark: SparkSession, root: str, build: str, tables: dict[str, DataFr
     out = system.create(temporary, True)
     out.write(bytearray(pointer.encode()))
     out.close()
-    target, _ = _filesystem(spark, f"{root}/_current.json")
+    target, _ = _filesystem(spark, f"{root}/current.json")
     system.delete(target, False)
     system.rename(temporary, target)
 
 
 def current(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The tables of the build that is pointed to."""
-    pointer = json.loads(spark.read.text(f"{root}/_current.json").first()[0])
+    pointer = json.loads(spark.read.text(f"{root}/current.json").first()[0])
     if pointer["format"] != FORMAT:
         raise ValueError(f"unknown format {pointer['format']}")
     return {name: spark.read.parquet(f"{root}/builds/{pointer['build']}/{name}") for name in pointer["tables"]}
@@ -61,4 +61,4 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_extract(name, r"^(.+)__[^_]+\.json$", 1).alias("repo"), F.regexp_extract(name, r"__([^_]+)\.json$", 1).alias("kind"), "number", text.alias("text"), "state", "url", F.col("createdAt").alias("created"),
         F.coalesce("author.login", F.lit("")).alias("author"), F.transform(F.coalesce("labels", F.array().cast("array<struct<name:string>>")), lambda x: x["name"]).alias("labels"), "additions", "deletions", F.substring("mergedAt", 1, 10).alias("merged_day"),
     )
-    return shaped.where(F.trim("text") != "")
+    return shaped.where(F.length(F.regexp_replace("text", r"\s+", "")) > 0)
