@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
-from plumbline.operators import ingest, insight, sessions, vectors
+from plumbline.operators import ingest, insight, sessions, topics, vectors
 from plumbline.plans.activity import _ROLLUP, _ev, _items
 from plumbline.plans.adapter import envelopes
 from plumbline.session import shared_folder
@@ -115,6 +115,32 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insight.hit_at(ranked, gold, 5)
 
 
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.at_least(_vectors(spark, sf_dir).where("key % 50 <> community").select("key", "community"), 45)
+
+
+def _reassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_folder(spark)
+    return topics.reassigned(_assigned(spark, sf_dir), _neighbours(spark, sf_dir, 6), 1)
+
+
+def _snapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _vectors(spark, sf_dir).where("key % 9 = 0").select("key", (F.col("key") + 1).alias("linked"))
+    return topics.snapped(_assigned(spark, sf_dir), links)
+
+
+def _inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _documents(spark, sf_dir).withColumn("key", F.col("doc_id"))
+    summaries = d.select("key", F.when(F.col("key") % 4 == 0, "").otherwise(F.concat(F.lit("about "), "key")).alias("summary"))
+    chosen = d.where("kind = 'message'").select("key", "repo", F.array(F.lit("a.py"), F.concat("author", F.lit(".py"))).alias("files"))
+    return topics.cluster_inputs(chosen, d.where("kind <> 'message'").select("key", F.left(F.regexp_replace("text", r"[^A-Za-z]", ""), F.lit(700)).alias("body")), summaries)
+
+
+def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.matrices(_table(spark, sf_dir, "embeddings"), 4).select((F.col("key") % 9).alias("topic"), "key", "matrix", "rows")
+    return topics.name_gate(found, found.where("key < 9"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "status_by_kind": lambda s, d: _documents(s, d).groupBy("kind").agg(F.count(F.lit(1)).alias("docs")).orderBy(F.desc("docs"), "kind"),
     "status_by_repo": lambda s, d: insight.status_with_spend(_documents(s, d), _spend(s, d), "repo"),
@@ -151,6 +177,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cluster_quality": lambda s, d: vectors.cluster_quality(_neighbours(s, d, 5), _vectors(s, d)),
     "louvain_topics": lambda s, d: vectors.louvain(_edges(s, d)),
     "hit_at_5": _hits,
+    "cluster_inputs": _inputs,
+    "topic_size_floor": _assigned,
+    "topic_reassign": _reassigned,
+    "topic_snap": _snapped,
+    "topic_labels": lambda s, d: topics.labels(_members(s, d).select(F.col("cluster").alias("topic"), F.col("text").alias("summary"))),
+    "topic_filter": lambda s, d: topics.containing(_members(s, d).groupBy(F.col("cluster").alias("topic")).agg(F.concat(F.lit("label "), F.first("cluster")).alias("label")), _members(s, d).select(F.col("cluster").alias("topic"), F.left("text", F.lit(60)).alias("title")), "THE"),
+    "name_gate": _gate,
+    "json_envelopes": lambda s, d: topics.json_lines(_documents(s, d).groupBy("kind").agg(F.count(F.lit(1)).alias("docs")), "status"),
 }
 
 _DOC = """WITH docs AS (SELECT doc_id, text, source AS repo, 'user' || (doc_id % 20) AS author, CASE doc_id % 3 WHEN 0 THEN 'pr' WHEN 1 THEN 'issue' ELSE 'message' END AS kind,
@@ -173,9 +207,18 @@ _WORDS = (
 )
 _KNN = "WITH v AS (SELECT vec_id AS key, CAST(embedding AS DOUBLE[]) AS e, CAST(label AS BIGINT) AS c FROM embeddings), pairs AS (SELECT a.key AS src, b.key AS dst, round(list_dot_product(a.e, b.e), 5) AS weight FROM v a JOIN v b ON a.key <> b.key), knn AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS place FROM pairs) "
 _EDGES = _KNN + ", sc AS (SELECT src, dst, weight / best AS w FROM (SELECT *, max(weight) OVER (PARTITION BY src) AS best FROM knn WHERE place <= 6) WHERE best > 0 AND weight / best >= 0.6), edges AS (SELECT a.src, a.dst, round(a.w + b.w, 4) AS weight FROM sc a JOIN sc b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst) "
+_FLOOR = ", a AS (SELECT vec_id AS key, CAST(label AS BIGINT) AS c FROM embeddings WHERE vec_id % 50 <> label), sizes AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, c) - 1 AS topic FROM a GROUP BY c HAVING count(*) >= 45), assigned AS (SELECT key, topic FROM a LEFT JOIN sizes USING (c)) "
 _ACTORS = ", actors AS (SELECT DISTINCT lower(actor) AS login FROM roll WHERE coalesce(actor, '') <> ''), active AS (SELECT lower(c_name) AS login, count(*) AS items FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0 AND lower(c_name) <> 'customer#000000003' GROUP BY 1) "
 
 ORACLES: dict[str, str] = {
+    "cluster_inputs": _DOC + """SELECT doc_id AS key, CASE WHEN kind = 'message' THEN repo || ' a.py ' || author || '.py about ' || doc_id ELSE left('about ' || doc_id || ' ' || left(regexp_replace(text, '[^A-Za-z]', '', 'g'), 700), 500) END AS text FROM docs WHERE doc_id % 4 <> 0""",
+    "topic_size_floor": "WITH x AS (SELECT 1)" + _FLOOR + "SELECT * FROM assigned",
+    "topic_reassign": _KNN + _FLOOR + """, s AS (SELECT src AS key, topic AS vote, sum(CAST(round(weight * 100000) AS BIGINT)) AS w FROM knn JOIN assigned ON assigned.key = dst WHERE place <= 6 AND topic IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY src ORDER BY sum(CAST(round(weight * 100000) AS BIGINT)) DESC, topic) = 1)
+        SELECT assigned.key, coalesce(vote, topic) AS topic FROM assigned LEFT JOIN s USING (key)""",
+    "topic_snap": "WITH x AS (SELECT 1)" + _FLOOR + "SELECT a1.key, coalesce(CASE WHEN a1.key % 9 = 0 THEN a2.topic END, a1.topic) AS topic FROM assigned a1 LEFT JOIN assigned a2 ON a2.key = a1.key + 1",
+    "topic_labels": "SELECT topic, CASE WHEN length(s) > 60 THEN left(s, 60) || '…' ELSE s END AS label FROM (SELECT item_id % 5 AS topic, regexp_replace(trim(arg_min(text, (octet_length(encode(text)), text))), '\\s+', ' ', 'g') AS s FROM benchmark GROUP BY 1)",
+    "topic_filter": "SELECT item_id % 5 AS topic, 'label ' || (item_id % 5) AS label FROM benchmark GROUP BY 1, 2 HAVING bool_or(contains(lower(left(text, 60)), 'the')) OR contains('label', 'the')",
+    "json_envelopes": _DOC + "SELECT '{\"v\":1,\"kind\":\"status\",\"data\":{\"kind\":\"' || kind || '\",\"docs\":' || count(*) || '}}' AS json FROM docs GROUP BY kind",
     "status_by_kind": _DOC + "SELECT kind, count(*) AS docs FROM docs GROUP BY kind",
     "status_by_repo": _status("repo"),
     "status_by_author": _status("author"),
