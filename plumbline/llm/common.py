@@ -62,10 +62,11 @@ def lookup(rows: DataFrame, found: DataFrame, keys: list[str], size: str, salts:
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
-#: Rows of ids that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that may be broadcast; more is joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
-def small(frame: DataFrame) -> DataFrame:
-    """The frame, marked for broadcasting if it has at most BROADCAST_ROWS rows. It is counted: pass what is written."""
-    return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
+def small(frame: DataFrame, row_bytes: str = "64") -> DataFrame:
+    """The frame, marked for broadcasting if its rows come to at most BROADCAST_BYTES. It is measured: pass what is written."""
+    total = frame.agg(F.coalesce(F.sum(F.expr(row_bytes).cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(frame) if total <= BROADCAST_BYTES else frame

@@ -293,5 +293,6 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     found = grouped.mapInArrow(lambda batches: _matched(batches, length), "doc_id long, runs array<long>")
     runs = written(found.groupBy("doc_id").agg(F.collect_list("runs").alias("runs")), "repeat-runs")
     marks = written(runs.withColumn("is_copy", F.lit(False)).unionByName(copies.select("doc_id", F.lit(None).cast("array<array<long>>").alias("runs"), F.lit(True).alias("is_copy"))), "repeat-marks")
-    joined = texts.join(small(marks), "doc_id", "left").withColumn("is_copy", F.coalesce("is_copy", F.lit(False)))
+    size = "64 + coalesce(aggregate(runs, 0, (total, run) -> total + 24 + 8 * size(run)), 0)"
+    joined = texts.join(small(marks, size), "doc_id", "left").withColumn("is_copy", F.coalesce("is_copy", F.lit(False)))
     return joined.mapInArrow(lambda batches: _cleaned(batches, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
