@@ -124,7 +124,10 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
         temporary = f"{base}/_{name}.{uuid.uuid4().hex}"
         with system.open_output_stream(temporary) as out:
             out.write(pack_file(doc_ids, all_ids, dictionary, frames))
-        system.move(temporary, f"{base}/{name}")
+        if system.get_file_info(f"{base}/{name}").is_file:  # another attempt of this task was first; its file is the same
+            system.delete_file(temporary)
+        else:
+            system.move(temporary, f"{base}/{name}")
         row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int64()), pa.array([n_file], pa.int64()), pa.array([sum(map(len, all_ids)) // 4], pa.int64())], names=["file", "part", "n_file", "n_ids"])
         doc_ids.clear(), all_ids.clear(), frames.clear()
         text_bytes, n_file = 0, n_file + 1
@@ -201,7 +204,7 @@ def token_files(docs: DataFrame, folder: str | None = None, tokenizer: str | Non
 
     Returns a row per document: doc_id, start (ids of all documents before it), n_tokens (with the end id) and
     ids_crc32. A null or empty text is the end id alone. Null doc_ids come first; rows that repeat a doc_id stand
-    next to each other in any order. An empty table gives no rows.
+    next to each other in any order. An empty table gives no rows. `folder` must be new or empty.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "token-binary")
