@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from plumbline.session import written
 
+#: Labels that one task writes; a round over a small graph is then a few small tasks.
+ROWS_PER_FILE = 500_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """The least node reachable from each node of the links (a, b): node, component.
@@ -15,14 +18,15 @@ def components(links: DataFrame) -> DataFrame:
     halved; each round's labels are written to the shared folder. Nodes without links aren't listed.
     """
     edges = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
+    parts = max(1, -(-edges.count() // ROWS_PER_FILE))  # labels are no more than edges
+    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")).coalesce(parts), "labels")
     while True:
         seen = labels.select(F.col("node").alias("b"), "component")
         least = edges.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         closer = labels.join(least, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         further = labels.select(F.col("node").alias("component"), F.col("component").alias("beyond"))
         jumped = closer.join(further, "component").select("node", "old", F.least("component", "beyond").alias("component"))
-        step = written(jumped, "labels")
+        step = written(jumped.coalesce(parts), "labels")
         labels = step.select("node", "component")
         if step.where("old <> component").isEmpty():
             return labels

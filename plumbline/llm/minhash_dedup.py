@@ -9,11 +9,13 @@
    registers, corrected for registers that agree by chance; pairs that can't reach the threshold go.
 5. Likely pairs are confirmed on the full sets of shingles of their texts: first each class's likeliest partner, then
    the likely pairs that still lie in different components.
-6. What a bucket's two members didn't settle is done by further rounds with other members, and in the end by comparing
-   the bucket's members of different components with each other, so no link between components is lost.
+6. In buckets that still hold several components, members outside the commonest one are held against two of its
+   members once more. Those that stay outside are compared, on their full sets, with all members that share a bucket
+   with them: blocks of them go against chunks of the others, and only links leave the task. So no link between
+   components is lost, and no pairs are written down.
 
 No bucket is gathered in one task: buckets are joined with their chosen members, and texts travel only for the pairs
-that are confirmed.
+and blocks that are confirmed.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: How far below the threshold an estimate may lie: five standard deviations at 0.8.
 MARGIN = 0.15
-#: Rounds with two members of each bucket before its components are compared exhaustively.
-ROUNDS = 2
+#: Documents outside a component that are compared at once, and members that they are streamed past in one task.
+BLOCK, STREAM = 256, 4096
 #: Members that are confirmed beside one copy of their partner's text.
 CHUNK = 64
 
@@ -171,8 +173,8 @@ class _Search:
         both = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
         return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
-    def settle(self, pairs: DataFrame) -> None:
-        """Find all links among the pairs that join components."""
+    def settle(self, pairs: DataFrame, fully: bool) -> None:
+        """Confirm each class's likeliest partner and, `fully`, all other likely pairs that still lie apart."""
         likely = self.likely(pairs)
         if likely.isEmpty():
             return
@@ -180,10 +182,78 @@ class _Search:
         best = ends.groupBy("x").agg(F.max_by("y", F.col("estimate")).alias("y"))
         first = written(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "first")
         self.confirm(first)
+        if not fully:
+            return
         rest = written(self.apart(likely.select("a", "b").join(first, ["a", "b"], "left_anti")), "rest")
         if not rest.isEmpty():
             self.confirm(rest)
 
+    def split_buckets(self, members: DataFrame) -> DataFrame:
+        """The members (band, rep) of buckets with several components: component, and the bucket's commonest one as main."""
+        labelled = members.join(self.labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        split = labelled.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("band")
+        kept = labelled.join(split, "band")
+        sizes = kept.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+        main = sizes.groupBy("band").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
+        return written(kept.join(main, "band"), "split-buckets")
+
+    def compare(self, members: DataFrame) -> None:
+        """Hold what lies outside a main component against all that shares a bucket with it, on full sets."""
+        n, percent = self.n, self.percent
+        outside = members.where("component <> main").select("main", "rep", "component").distinct()
+        inside = members.where("component = main").select("main", "rep", "component").distinct()
+        blocks = outside.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("n_out"))
+        chunks = inside.groupBy("main").agg(F.count(F.lit(1)).alias("n_in")).join(blocks, "main").select("main", "blocks", F.ceil((F.col("n_in") + F.col("n_out")) / STREAM).alias("chunks"))
+        sizes = written(chunks, "block-sizes")
+        each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+        asked = outside.join(sizes, "main").select("main", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), each("chunks").alias("chunk"), F.lit(0).alias("role"), F.col("rep").alias("doc_id"), "component")
+        streamed = inside.union(outside).join(sizes, "main").select("main", each("blocks").alias("block"), F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("chunks")).alias("chunk"), F.lit(1).alias("role"), F.col("rep").alias("doc_id"), "component")
+        wanted = written(asked.unionByName(streamed), "blocks")
+        rows = self.texts.join(small(wanted), "doc_id").select("main", "block", "chunk", "role", "doc_id", "component", "text")
+        ordered = rows.repartition("main", "block", "chunk").sortWithinPartitions("main", "block", "chunk", "role", "doc_id")
+        found = written(ordered.mapInArrow(lambda batches: _compare(batches, n, percent), "a long, b long"), "block-links")
+        if not found.isEmpty():
+            self.links = self.links.unionByName(found)
+            self.labels = components(self.links)
+
+
+def _compare(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by group, the block first: links between the block and what is streamed past it, one for each
+    member of the block and other component."""
+    group, reps, comps, sets = None, [], [], []
+    index: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        for part in slices(batch, "text"):
+            found = shingle_sets(words_of(part.column("text"), SPACED), n)
+            a, b = [], []
+            keys = zip(*(part.column(c).to_pylist() for c in ("main", "block", "chunk", "role", "doc_id", "component")), strict=True)
+            for (main, block, chunk, role, rep, component), shingles in zip(keys, found, strict=True):
+                if (main, block, chunk) != group:
+                    group, reps, comps, sets, index = (main, block, chunk), [], [], [], None
+                    seen.clear()
+                if role == 0:
+                    reps.append(rep), comps.append(component), sets.append(shingles)
+                    continue
+                if not sets:
+                    continue
+                if index is None:
+                    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                    values = np.concatenate(sets)
+                    order = np.argsort(values, kind="stable")
+                    index = (values[order], owner[order], np.array([len(s) for s in sets]))
+                values, owner, sizes = index
+                low, high = np.searchsorted(values, shingles, "left"), np.searchsorted(values, shingles, "right")
+                counts = high - low
+                at = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+                both = np.bincount(owner[at], minlength=len(sets))
+                for i in np.flatnonzero(100 * both >= percent * (sizes + len(shingles) - both)).tolist():
+                    if comps[i] != component and (reps[i], component) not in seen:
+                        seen.add((reps[i], component))
+                        a.append(min(rep, reps[i]))
+                        b.append(max(rep, reps[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
 
 def _ordered_pairs(frame: DataFrame, x: str, y: str) -> DataFrame:
     return frame.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
@@ -215,26 +285,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     bands = reps.select("rep", "registers").mapInArrow(_bands, "band long, rep long")
     members = written(bands.join(_chosen(bands, 0), "band"), "buckets")
     search = _Search(texts, reps, shingle, percent)
-    search.settle(_ordered_pairs(members.select("rep", F.explode(F.array("low", "high")).alias("other")), "rep", "other"))
-    open_buckets = members.where("size > 3").select("band", "rep")  # both chosen members settle smaller ones
-    for turn in range(1, ROUNDS + 1):
-        if search.labels is None:
-            break
-        labelled = open_buckets.join(search.labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        split = labelled.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("band")
-        labelled = written(labelled.join(split, "band"), "open")
-        if labelled.isEmpty():
-            break
-        if turn < ROUNDS:
-            # members outside the bucket's commonest component are held against two of its members, the latter being few
-            sizes = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.min_by("rep", F.xxhash64(F.lit(turn), "rep")).alias("low"), F.max_by("rep", F.xxhash64(F.lit(turn), "rep")).alias("high"))
-            main = sizes.groupBy("band").agg(F.max(F.struct("n", "component", "low", "high")).alias("main")).select("band", "main.*").withColumnRenamed("component", "main")
-            pairs = labelled.join(main, "band").where("component <> main").select("rep", F.explode(F.array("low", "high")).alias("other"))
-        else:
-            other = labelled.select("band", F.col("rep").alias("other"), F.col("component").alias("other_component"))
-            pairs = labelled.join(other, "band").where("component < other_component").select("rep", "other")
-        search.settle(_ordered_pairs(pairs, "rep", "other"))
-        open_buckets = labelled.select("band", "rep")
+    search.settle(_ordered_pairs(members.select("rep", F.explode(F.array("low", "high")).alias("other")), "rep", "other"), fully=True)
+    if search.labels is not None:
+        large = members.where("size > 3").select("band", "rep")  # both chosen members settle smaller buckets
+        split = search.split_buckets(large)
+        if not split.isEmpty():
+            order = F.xxhash64(F.lit(1), "rep", "band")
+            chosen = split.where("component = main").groupBy("band").agg(F.min_by("rep", order).alias("low"), F.max_by("rep", order).alias("high"))
+            pairs = split.where("component <> main").join(chosen, "band").select("rep", F.explode(F.array("low", "high")).alias("other"))
+            search.settle(_ordered_pairs(pairs, "rep", "other"), fully=False)
+            search.compare(search.split_buckets(split.select("band", "rep")))
     classed = reps.select("d1", "d2", "n", "rep", "class_size")
     if search.labels is not None:
         classed = classed.join(search.labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
