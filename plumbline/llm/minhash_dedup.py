@@ -63,8 +63,8 @@ def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
 def registers(shingles: np.ndarray) -> np.ndarray:
     """Leading zeros and mantissa bits of the least hash under each function."""
     least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        part = shingles[at : at + 4096]
+    for at in range(0, len(shingles), 1024):
+        part = shingles[at : at + 1024]
         least = np.minimum(least, ((part[None, :] ^ _OFFSETS[:, None]) * _FACTORS[:, None]).min(axis=1))
     _, exponent = np.frexp(least.astype(np.float64))
     zeros = np.clip(64 - exponent, 0, 62).astype(np.uint64)
@@ -260,8 +260,8 @@ def _ordered_pairs(frame: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def _chosen(members: DataFrame, seed: int) -> DataFrame:
-    """Each bucket's size and two of its members, by the extremes of a hash that differs from bucket to bucket."""
-    order = F.xxhash64(F.lit(seed), "rep", "band")
+    """Each bucket's size and two of its members, by the extremes of one hash: buckets of one group choose the same few."""
+    order = F.xxhash64(F.lit(seed), "rep")
     return members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min_by("rep", order).alias("low"), F.max_by("rep", order).alias("high")).where("size > 1")
 
 
