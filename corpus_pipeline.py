@@ -16,6 +16,9 @@ from plumbline.session import ship_package, written
 #: No SQL form: the language model and the tokenizer can't be expressed. Tests hold the stages against brute force.
 ORACLE_SQL = None
 
+#: Parts of texts that the packing stage keeps the ids of, in each of two generations.
+PACKING_CACHE = 250_000
+
 
 def without(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
     """The documents whose id isn't listed; ids are compared null-safely."""
@@ -52,7 +55,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The remaining documents as pieces of sequences."""
     ship_package(spark)
-    return packing.packed(docs)
+    return packing.packed(docs, cache_parts=PACKING_CACHE)  # the executors hold what earlier stages left
 
 
 STAGES = [

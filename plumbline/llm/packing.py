@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .bytesops import slices
 from .common import bounded_batches
-from .tokens import encoder, public_path
+from .tokens import CACHE_PARTS, encoder, public_path
 
 #: Context sizes, each a power of two.
 TIERS = (256, 512, 1024, 2048)
@@ -128,12 +128,12 @@ class Packer:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FIELDS, strict=True)], schema=_FIELDS)
 
 
-def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, tiers: tuple[int, ...], step_tokens: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, cache_parts: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     context = TaskContext.get()
     packer = Packer(context.partitionId() if context else 0, tiers, step_tokens)
-    encode = encoder(tokenizer).encode
+    encode = encoder(tokenizer, cache_parts).encode
     end, held = np.uint32(end_id).tobytes(), 0
     for batch in batches:
         for part in slices(batch, "text"):
@@ -148,18 +148,19 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, tiers:
     yield from packer.flush()
 
 
-def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, cache_parts: int = CACHE_PARTS) -> DataFrame:
     """Pack all documents into sequences of the tiers' lengths, or of a smaller power of two at a partition's end.
 
     Returns a row for each piece: doc_id, start (its document's ids before it), length, ids_crc32 (of its ids as
     little-endian unsigned 32-bit integers), doc_tokens (with the end id), sequence_id, offset (in the sequence),
     tier and step_group. Each id of each row's text lies in exactly one piece, and offsets leave no gap. A null or
     empty text is the end id alone. Null doc_ids stay null; rows that repeat a doc_id are packed separately. An empty
-    table gives no rows. Sequence ids are unique; they depend on how the input is split into partitions.
+    table gives no rows. Sequence ids are unique; they depend on how the input is split into partitions. A smaller
+    `cache_parts` takes less memory and more time.
     """
     if any(size & (size - 1) for size in tiers):
         raise ValueError("tiers must be powers of two")
     bounded_batches(docs.sparkSession)
     path = tokenizer or public_path("byte_bpe_50k.json")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda batches: _pack(batches, path, end_id, tuple(sorted(tiers)), step_tokens), SCHEMA)
+    return rows.mapInArrow(lambda batches: _pack(batches, path, end_id, tuple(sorted(tiers)), step_tokens, cache_parts), SCHEMA)

@@ -13,9 +13,11 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable, Iterable
+from itertools import chain, filterfalse
 
 #: Parts kept in each of two generations of the cache.
-CACHE_PARTS = 400_000
+CACHE_PARTS = 800_000
 #: Longer parts are encoded each time.
 LONGEST_PART = 64
 
@@ -36,24 +38,55 @@ def _printable_bytes() -> dict[int, str]:
 
 
 _ALPHABET = _printable_bytes()
-_encoders: dict[tuple[str, bool], PartEncoder] = {}
+_SPACE = _ALPHABET[32]
+_encoders: dict[tuple[str, int], PartEncoder] = {}
+
+
+class PartCache:
+    """Ids of parts of texts. Two generations bound its size: what is used in the younger one stays."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int):
+        self.encode, self.most = encode, most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def fill(self, parts: Iterable[str]) -> None:
+        """Make sure that the parts are in the younger generation."""
+        missing = dict.fromkeys(filterfalse(self.young.__contains__, parts))
+        fresh = []
+        for part in missing:
+            ids = self.old.get(part)
+            if ids is None:
+                fresh.append(part)
+            else:
+                self.young[part] = ids
+        self.young.update(zip(fresh, self.encode(fresh), strict=True))
+        self.long = [part for part in fresh if len(part) > LONGEST_PART]
+
+    def age(self) -> None:
+        """After use: long parts go, and a full generation becomes the old one."""
+        for part in self.long:
+            del self.young[part]
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
 
 
 class PartEncoder:
     """Encodes texts to unsigned 32-bit ids, in the byte order of the machine (little-endian on all that Spark runs on)."""
 
-    def __init__(self, path: str, exact_cuts: bool = True):
+    def __init__(self, path: str, exact_cuts: bool = True, cache_parts: int = CACHE_PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cuts = exact_cuts
+        self.tokenize = self.tokenizer.model.tokenize
+        self.cuts, self.cache_parts = exact_cuts, cache_parts
         self.lowers = self.tokenizer.normalizer is not None
         self.pattern = _BARE_PIECES if self.lowers else _SPACED_PIECES
         self.pieces: dict[str, bytes] = {}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words = PartCache(lambda words: self._encode_parts([w if w[0] == "\n" else " " + w for w in words]), cache_parts)
+        self.raws = PartCache(self._encode_parts, cache_parts // 10)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -61,9 +94,12 @@ class PartEncoder:
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            written = piece.encode().decode("latin-1").translate(_ALPHABET)
-            ids = array("I", [token.id for token in self.tokenizer.model.tokenize(written)]).tobytes()
-            if len(self.pieces) >= CACHE_PARTS:
+            if piece.isascii() and (piece[0] != " " and piece.isalpha() or piece[0] == " " and piece[1:].isalpha()):
+                written = piece if piece[0] != " " else _SPACE + piece[1:]
+            else:
+                written = piece.encode().decode("latin-1").translate(_ALPHABET)
+            ids = array("I", [token.id for token in self.tokenize(written)]).tobytes()
+            if len(self.pieces) >= self.cache_parts:
                 self.pieces.clear()
             self.pieces[piece] = ids
         return ids
@@ -71,51 +107,51 @@ class PartEncoder:
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
         out: list[bytes | None] = []
         hard: list[str] = []
+        simple, pieces, piece = _SIMPLE.fullmatch, self.pattern.findall, self._piece
         for part in parts:
-            if _SIMPLE.fullmatch(part):
-                out.append(b"".join([self._piece(x) for x in self.pattern.findall(part.lower() if self.lowers else part)]))
+            start = 1 if part[:1] == " " else 0
+            body = part[start:]
+            if body.isascii() and body.isalpha():
+                out.append(piece(body.lower() if self.lowers else part))
+            elif body.isascii() and body[:-1].isalpha() and body[-1] in ".,;:!?":
+                out.append(piece(body[:-1].lower() if self.lowers else part[:-1]) + piece(body[-1]))
+            elif simple(part):
+                out.append(b"".join([piece(x) for x in pieces(part.lower() if self.lowers else part)]))
             else:
                 out.append(None)
                 hard.append(part)
         rest = iter(self._encode(hard))
         return [next(rest) if ids is None else ids for ids in out]
 
-    def parts(self, text: str) -> list[str]:
-        """A text cut before white space that follows something else."""
+    def cut(self, text: str) -> tuple[list[str], list[str]]:
+        """Parts of a text, cut before white space that follows something else.
+
+        First come whole parts; then words that follow a single space, which is left out, or begin with a line break.
+        """
         if _REGULAR.search(text) or not text or text[0] in " \n" or text[-1] in " \n":
-            return _CUT.split(text)
-        words = text.replace("\n", " \n").split(" ")
-        first, *rest = words
-        return [first, *[w if w[:1] == "\n" else " " + w for w in rest]]
+            return _CUT.split(text), []
+        first, *words = text.replace("\n", " \n").split(" ")
+        return [first], words
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
         if not self.cuts:
             return self._encode(texts)
-        cut = [self.parts(text) for text in texts]
-        young, old = self.young, self.old
-        missing: dict[str, None] = {}
-        for parts in cut:
-            for part in parts:
-                if part not in young:
-                    if part in old:
-                        young[part] = old[part]
-                    else:
-                        missing[part] = None
-        fresh = list(missing)
-        found = dict(zip(fresh, self._encode_parts(fresh), strict=True))
-        young.update((part, ids) for part, ids in found.items() if len(part) <= LONGEST_PART)
-        out = [b"".join([young[part] if part in young else found[part] for part in parts]) for parts in cut]
-        if len(young) > CACHE_PARTS:
-            self.old, self.young = young, {}
+        cut = [self.cut(text) for text in texts]
+        self.raws.fill(chain.from_iterable(raws for raws, _ in cut))
+        self.words.fill(chain.from_iterable(words for _, words in cut))
+        raw, word = self.raws.young.__getitem__, self.words.young.__getitem__
+        out = [b"".join([*map(raw, raws), *map(word, words)]) for raws, words in cut]
+        self.raws.age()
+        self.words.age()
         return out
 
 
-def encoder(path: str, exact_cuts: bool = True) -> PartEncoder:
+def encoder(path: str, cache_parts: int = CACHE_PARTS) -> PartEncoder:
     """The encoder of this process for a tokenizer file."""
-    if (path, exact_cuts) not in _encoders:
-        _encoders[path, exact_cuts] = PartEncoder(path, exact_cuts)
-    return _encoders[path, exact_cuts]
+    if (path, cache_parts) not in _encoders:
+        _encoders[path, cache_parts] = PartEncoder(path, cache_parts=cache_parts)
+    return _encoders[path, cache_parts]
 
 
 def public_path(name: str) -> str:
