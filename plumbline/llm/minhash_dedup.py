@@ -145,7 +145,6 @@ class _Search:
 
     def __init__(self, texts: DataFrame, reps: DataFrame, n: int, percent: int):
         self.texts, self.reps, self.n, self.percent = texts, reps, n, percent
-        self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def likely(self, pairs: DataFrame) -> DataFrame:
@@ -164,8 +163,22 @@ class _Search:
         rows = self.texts.join(small(wanted), "doc_id").select("hub", "chunk", "role", "doc_id", "text")
         ordered = rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role", "doc_id")
         found = written(ordered.mapInArrow(lambda batches: _confirm(batches, n, percent), "a long, b long"), "confirmed")
-        self.links = found if self.links is None else self.links.unionByName(found)
-        self.labels = components(self.links)
+        self.join(found)
+
+    def join(self, found: DataFrame) -> None:
+        """Take new links into the components: only what they join is gone through again."""
+        if self.labels is None:
+            self.labels = components(found)
+            return
+        label = lambda x: self.labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+        ends = found.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        bridges = written(ends.where("a <> b").distinct(), "bridges")
+        if bridges.isEmpty():
+            return
+        merged = components(bridges).select(F.col("node").alias("component"), F.col("component").alias("least"))
+        kept = self.labels.join(merged, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+        fresh = merged.select(F.col("component").alias("node"), F.col("least").alias("component")).join(self.labels.select("node"), "node", "left_anti")
+        self.labels = written(kept.unionByName(fresh), "labels")
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """The pairs that lie in different components."""
@@ -212,9 +225,7 @@ class _Search:
         rows = self.texts.join(small(wanted), "doc_id").select("main", "block", "chunk", "role", "doc_id", "component", "text")
         ordered = rows.repartition("main", "block", "chunk").sortWithinPartitions("main", "block", "chunk", "role", "doc_id")
         found = written(ordered.mapInArrow(lambda batches: _compare(batches, n, percent), "a long, b long"), "block-links")
-        if not found.isEmpty():
-            self.links = self.links.unionByName(found)
-            self.labels = components(self.links)
+        self.join(found)
 
 
 def _compare(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
