@@ -64,7 +64,12 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_folder(spark)
-    return vectors.near_duplicate_groups(_neighbours(spark, sf_dir, 6), 0.3)
+    return vectors.near_duplicate_groups(_vectors(spark, sf_dir), 0.3)
+
+
+def _near_dup_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_folder(spark)
+    return vectors.near_duplicate_classes(_vectors(spark, sf_dir), 0.3)
 
 
 def _coverage(spark: SparkSession, sf_dir: str, part: int) -> DataFrame:
@@ -172,6 +177,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_topk": lambda s, d: _neighbours(s, d, 4),
     "mutual_knn_edges": _edges,
     "near_dup_groups": _near_dup,
+    "near_dup_classes": _near_dup_classes,
     "modularity": lambda s, d: vectors.modularity(_edges(s, d), _vectors(s, d)),
     "centrality_rank": lambda s, d: vectors.centrality(_neighbours(s, d, 8), _vectors(s, d)),
     "cluster_quality": lambda s, d: vectors.cluster_quality(_neighbours(s, d, 5), _vectors(s, d)),
