@@ -129,11 +129,27 @@ def _reassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.reassigned(_assigned(spark, sf_dir), _neighbours(spark, sf_dir, 6), 1)
 
 
+def _assigned_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like _assigned, but the rows that it leaves out are small communities."""
+    small = F.when(F.col("key") % 50 == F.col("community"), F.col("community") + 100).otherwise(F.col("community"))
+    return topics.at_least(_vectors(spark, sf_dir).select("key", small.alias("community")), 45)
+
+
+def _reassigned_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_folder(spark)
+    return topics.reassigned(_assigned_all(spark, sf_dir), _neighbours(spark, sf_dir, 6).checkpoint())  # read by every pass
+
+
 def _snapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = _vectors(spark, sf_dir).where("key % 9 = 0").select("key", (F.col("key") + 1).alias("linked"))
     return topics.snapped(_assigned(spark, sf_dir), links)
 
 
+def _snapped_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _vectors(spark, sf_dir).where("key % 9 = 0").select("key", (F.col("key") + 1).alias("linked"))
+    return topics.snapped(_assigned_all(spark, sf_dir), links)
+
+
 def _inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _documents(spark, sf_dir).withColumn("key", F.col("doc_id"))
     summaries = d.select("key", F.when(F.col("key") % 4 == 0, "").otherwise(F.concat(F.lit("about "), "key")).alias("summary"))
@@ -187,6 +203,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topic_size_floor": _assigned,
     "topic_reassign": _reassigned,
     "topic_snap": _snapped,
+    "topic_size_floor_all": _assigned_all,
+    "topic_reassign_all": _reassigned_all,
+    "topic_snap_all": _snapped_all,
     "topic_labels": lambda s, d: topics.labels(_members(s, d).select(F.col("cluster").alias("topic"), F.col("text").alias("summary"))),
     "topic_filter": lambda s, d: topics.containing(_members(s, d).groupBy(F.col("cluster").alias("topic")).agg(F.concat(F.lit("label "), F.first("cluster")).alias("label")), _members(s, d).select(F.col("cluster").alias("topic"), F.left("text", F.lit(60)).alias("title")), "THE"),
     "name_gate": _gate,
@@ -214,6 +233,12 @@ _WORDS = (
 _KNN = "WITH v AS (SELECT vec_id AS key, CAST(embedding AS DOUBLE[]) AS e, CAST(label AS BIGINT) AS c FROM embeddings), pairs AS (SELECT a.key AS src, b.key AS dst, round(list_dot_product(a.e, b.e), 5) AS weight FROM v a JOIN v b ON a.key <> b.key), knn AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS place FROM pairs) "
 _EDGES = _KNN + ", sc AS (SELECT src, dst, weight / best AS w FROM (SELECT *, max(weight) OVER (PARTITION BY src) AS best FROM knn WHERE place <= 6) WHERE best > 0 AND weight / best >= 0.6), edges AS (SELECT a.src, a.dst, round(a.w + b.w, 4) AS weight FROM sc a JOIN sc b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst) "
 _FLOOR = ", a AS (SELECT vec_id AS key, CAST(label AS BIGINT) AS c FROM embeddings WHERE vec_id % 50 <> label), sizes AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, c) - 1 AS topic FROM a GROUP BY c HAVING count(*) >= 45), assigned AS (SELECT key, topic FROM a LEFT JOIN sizes USING (c)) "
+_FLOOR_ALL = ", a AS (SELECT vec_id AS key, CAST(label AS BIGINT) + CASE WHEN vec_id % 50 = label THEN 100 ELSE 0 END AS c FROM embeddings), sizes AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, c) - 1 AS topic FROM a GROUP BY c HAVING count(*) >= 45), assigned AS (SELECT key, topic FROM a LEFT JOIN sizes USING (c)) "
+_PASSES = "".join(
+    f""", s{n} AS (SELECT src AS key, topic AS vote FROM knn JOIN {before} p ON p.key = dst WHERE place <= 6 AND topic IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY src ORDER BY sum(CAST(round(weight * 100000) AS BIGINT)) DESC, topic) = 1),
+    p{n} AS (SELECT p.key, coalesce(vote, topic) AS topic FROM {before} p LEFT JOIN s{n} USING (key))"""
+    for n, before in enumerate(("assigned", "p0", "p1", "p2", "p3"))
+)
 _ACTORS = ", actors AS (SELECT DISTINCT lower(actor) AS login FROM roll WHERE coalesce(actor, '') <> ''), active AS (SELECT lower(c_name) AS login, count(*) AS items FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0 AND lower(c_name) <> 'customer#000000003' GROUP BY 1) "
 
 ORACLES: dict[str, str] = {
@@ -222,6 +247,9 @@ ORACLES: dict[str, str] = {
     "topic_reassign": _KNN + _FLOOR + """, s AS (SELECT src AS key, topic AS vote, sum(CAST(round(weight * 100000) AS BIGINT)) AS w FROM knn JOIN assigned ON assigned.key = dst WHERE place <= 6 AND topic IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY src ORDER BY sum(CAST(round(weight * 100000) AS BIGINT)) DESC, topic) = 1)
         SELECT assigned.key, coalesce(vote, topic) AS topic FROM assigned LEFT JOIN s USING (key)""",
     "topic_snap": "WITH x AS (SELECT 1)" + _FLOOR + "SELECT a1.key, coalesce(CASE WHEN a1.key % 9 = 0 THEN a2.topic END, a1.topic) AS topic FROM assigned a1 LEFT JOIN assigned a2 ON a2.key = a1.key + 1",
+    "topic_size_floor_all": "WITH x AS (SELECT 1)" + _FLOOR_ALL + "SELECT * FROM assigned",
+    "topic_reassign_all": _KNN + _FLOOR_ALL + _PASSES + " SELECT * FROM p4",
+    "topic_snap_all": "WITH x AS (SELECT 1)" + _FLOOR_ALL + "SELECT a1.key, coalesce(CASE WHEN a1.key % 9 = 0 THEN a2.topic END, a1.topic) AS topic FROM assigned a1 LEFT JOIN assigned a2 ON a2.key = a1.key + 1",
     "topic_labels": "SELECT topic, CASE WHEN length(s) > 60 THEN left(s, 60) || '…' ELSE s END AS label FROM (SELECT item_id % 5 AS topic, regexp_replace(trim(arg_min(text, (octet_length(encode(text)), text))), '\\s+', ' ', 'g') AS s FROM benchmark GROUP BY 1)",
     "topic_filter": "SELECT item_id % 5 AS topic, 'label ' || (item_id % 5) AS label FROM benchmark GROUP BY 1, 2 HAVING bool_or(contains(lower(left(text, 60)), 'the')) OR contains('label', 'the')",
     "json_envelopes": _DOC + "SELECT '{\"v\":1,\"kind\":\"status\",\"data\":{\"kind\":\"' || kind || '\",\"docs\":' || count(*) || '}}' AS json FROM docs GROUP BY kind",

@@ -48,3 +48,31 @@ def test_every_row_has_a_class(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     found = {r.key: r.rep for r in registry.QUERIES["near_dup_classes"](spark, SF).collect()}
     assert found == brute_classes([r.vec_id for r in rows], np.array([r.embedding for r in rows], float), 0.3)
+
+
+def brute_passes(found, neighbours, passes):
+    """Topics after so many passes, by the operator's rule."""
+    for _ in range(passes):
+        step = dict(found)
+        for key, near in neighbours.items():
+            votes = {}
+            for other, weight in near:
+                if found[other] is not None:
+                    votes[found[other]] = votes.get(found[other], 0) + round(weight * 100_000)
+            if votes:
+                step[key] = min(votes, key=lambda t: (-votes[t], t))
+        found = step
+    return found
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_reassigned_until_nothing_moves(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    start = {r.key: r.topic for r in registry.QUERIES["topic_size_floor_all"](spark, SF).collect()}
+    near = {r.vec_id: [] for r in rows}
+    for r in vectors.knn(spark.createDataFrame([(r.vec_id, [float(x) for x in r.embedding]) for r in rows], VECTORS), 6).collect():
+        near[r.src].append((r.dst, r.weight))
+    found = {r.key: r.topic for r in registry.QUERIES["topic_reassign_all"](spark, SF).collect()}
+    assert set(start) == set(found) == {r.vec_id for r in rows} and None in start.values()
+    assert found == brute_passes(start, near, 5) != brute_passes(start, near, 1)
+    assert len(registry.QUERIES["topic_snap_all"](spark, SF).collect()) == len(rows)
