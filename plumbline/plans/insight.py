@@ -113,6 +113,11 @@ def _maxsim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.maxsim_topk(vectors.matrices(_table(spark, sf_dir, "embeddings"), 4), _query_matrix(spark, sf_dir), 10)
 
 
+def _maxsim_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.matrices(_table(spark, sf_dir, "embeddings"), 4)
+    return vectors.maxsim_search(found, found.where("key % 50 = 0"), 10)
+
+
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = _neighbours(spark, sf_dir, 5).select(F.col("src").alias("query"), F.col("dst").alias("answer"), "place")
     v = _vectors(spark, sf_dir).select("key", "community")
@@ -190,6 +195,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "departed_docs": lambda s, d: ingest.departed(_table(s, d, "documents").select(F.md5("text").alias("hash")), _table(s, d, "documents").where("doc_id % 3 = 0").select(F.md5("text").alias("hash"))).groupBy("hash").agg(F.count(F.lit(1)).alias("n")),
     "mean_pool": lambda s, d: vectors.mean_pool(vectors.matrices(_table(s, d, "embeddings"), 4)).select("key", F.round(F.col("pooled")[0], 5).alias("p0"), F.round(F.element_at("pooled", -1), 5).alias("p_last")),
     "maxsim_topk": _maxsim,
+    "maxsim_topk_all": _maxsim_all,
     "knn_topk": lambda s, d: _neighbours(s, d, 4),
     "mutual_knn_edges": _edges,
     "near_dup_groups": _near_dup,
@@ -294,6 +300,7 @@ ORACLES: dict[str, str] = {
     "mean_pool": """WITH p AS (SELECT vec_id // 4 AS key, generate_subscripts(embedding, 1) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings), m AS (SELECT key, i, avg(x) AS x FROM p GROUP BY 1, 2), n AS (SELECT key, sqrt(sum(x * x)) AS norm, max(i) AS width FROM m GROUP BY 1)
         SELECT key, round(max(CASE WHEN i = 1 THEN x / norm END), 5) AS p0, round(max(CASE WHEN i = width THEN x / norm END), 5) AS p_last FROM m JOIN n USING (key) GROUP BY key""",
     "maxsim_topk": "WITH s AS (SELECT d.vec_id // 4 AS key, q.vec_id AS q, max(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[]))) AS best FROM embeddings d, embeddings q WHERE q.vec_id < 3 GROUP BY 1, 2) SELECT key, round(sum(best), 5) AS score FROM s GROUP BY key ORDER BY score DESC, key LIMIT 10",
+    "maxsim_topk_all": "WITH b AS (SELECT q.vec_id // 4 AS query, q.vec_id, d.vec_id // 4 AS key, max(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[]))) AS best FROM embeddings d, embeddings q WHERE (q.vec_id // 4) % 50 = 0 GROUP BY 1, 2, 3), s AS (SELECT query, key, round(sum(best), 5) AS score FROM b GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS place FROM s) WHERE place <= 10",
     "knn_topk": _KNN + "SELECT * FROM knn WHERE place <= 4",
     "mutual_knn_edges": _EDGES + "SELECT * FROM edges",
     "near_dup_groups": _KNN.replace("WITH v", "WITH RECURSIVE v") + ", l AS (SELECT src AS a, dst AS b FROM knn WHERE place <= 6 AND weight >= 0.3), edge AS (SELECT a, b FROM l UNION SELECT b, a FROM l), reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a) SELECT a AS key, least(a, min(b)) AS rep FROM reach GROUP BY a",

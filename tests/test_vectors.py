@@ -76,3 +76,24 @@ def test_reassigned_until_nothing_moves(spark):
     assert set(start) == set(found) == {r.vec_id for r in rows} and None in start.values()
     assert found == brute_passes(start, near, 5) != brute_passes(start, near, 1)
     assert len(registry.QUERIES["topic_snap_all"](spark, SF).collect()) == len(rows)
+
+
+@pytest.mark.parametrize("block_bytes", [64 << 20, 100])
+def test_search_of_every_query(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", block_bytes)
+    draw = np.random.default_rng(4)
+    sets = {k: draw.normal(size=(int(draw.integers(0 if k % 9 else 1, 5)), 3)) for k in range(60)}
+    rows = spark.createDataFrame([(k, m.ravel().tolist(), len(m)) for k, m in sets.items()], "key long, matrix array<double>, rows long").repartition(3)
+    found = {}
+    for r in vectors.maxsim_search(rows, rows.where("key % 9 = 0"), 4).orderBy("query", "place").collect():
+        found.setdefault(r.query, []).append((r.key, round(r.score, 5)))
+    for query in range(0, 60, 9):
+        scores = {k: round(float((sets[query] @ m.T).max(axis=1).sum()), 5) if len(m) else 0.0 for k, m in sets.items()}
+        assert found.pop(query) == sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:4]
+    assert not found
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_a_query_for_every_fiftieth_matrix(spark):
+    found = registry.QUERIES["maxsim_topk_all"](spark, SF).groupBy("query").count().collect()
+    assert {r["query"]: r["count"] for r in found} == {k: 10 for k in range(0, 125, 50)}
