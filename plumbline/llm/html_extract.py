@@ -35,7 +35,10 @@ MARKS = re.compile(r"(?i)(?:^|[\s_-])(?:nav\w*|menu\w*|footer|sidebar|side|aside
 MAIN_MARKS = re.compile(r"(?i)(?:^|[\s_-])(?:article\w*|post-?(?:body|content)|entry-?content|main-?content|story-?body)(?:$|[\s_-])")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|$)|'([^']*)(?:'|$)|([^\s"'>][^\s>]*)))?""")
+_READ = frozenset("class id role hidden aria-hidden".split())
+#: Longer attributes are read each time.
+LONGEST_CACHED = 200
 
 #: What a block is described by.
 FEATURES = ("words", "links", "previous_words", "previous_links", "next_words", "next_links", "in_main", "marked", "heading")
@@ -163,7 +166,10 @@ class Block:
 @lru_cache(4096)
 def _flags(name: str, rest: str) -> tuple[bool, bool]:
     """Whether an element is boilerplate, and whether it holds main text, by its name and attributes."""
-    attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)} if rest else {}
+    attributes: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(rest):  # values are passed over whole: what they hold are not attributes
+        if (attribute := m[1].lower()) in _READ:
+            attributes.setdefault(attribute, m[2] or m[3] or m[4] or "")
     said = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
     marked = name not in ("html", "body") and bool(said and MARKS.search(said))
     unseen = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
@@ -226,7 +232,7 @@ class _Page:
                 self.pop()
         if name in VOID or rest.endswith("/") and name not in BLOCKS:
             return
-        marked, main = _flags(name, rest if len(rest) <= 200 else rest[:2000])
+        marked, main = (_flags if len(rest) <= LONGEST_CACHED else _flags.__wrapped__)(name, rest)
         if name == "header" and self.main and not rest:
             marked = False
         tag = (name, marked, main)

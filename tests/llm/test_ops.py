@@ -203,6 +203,16 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize("long", ['style="' + "color: red; " * 400 + 'overflow: hidden"', "data-x='" + '{"class": "sidebar", "hidden": 1} ' * 200 + "'", 'data-src="data:;base64,' + "A" * 300_000 + '"'])
+def test_attributes_behind_long_ones(long):
+    words = "one two three four five six seven eight nine ten eleven twelve " * 3
+    page = f'<article><p>{words}</p><div {long} %s><p>{words}side</p></div></article>'
+    kept = words.strip()
+    for last in ('class="sidebar"', "id=comments", "role='complementary'", "hidden", 'aria-hidden="true"'):
+        assert html_extract.main_text(page % last) == kept
+    assert html_extract.main_text(page % 'class="text"') == f"{kept}\n{words}side"
+
+
 def test_extraction(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>é</p></article>", 3), (None, None, None, None)], "page_id long, url string, html string, text long")
     rows = html_extract.extracted(pages).collect()
