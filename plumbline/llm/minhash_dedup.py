@@ -297,20 +297,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     members = written(bands.join(_chosen(bands, 0), "band"), "buckets")
     search = _Search(texts, reps, shingle, percent)
     search.settle(_ordered_pairs(members.select("rep", F.explode(F.array("low", "high")).alias("other")), "rep", "other"), fully=True)
-    if search.labels is not None:
-        large = members.where("size > 3").select("band", "rep")  # both chosen members settle smaller buckets
-        split = search.split_buckets(large)
-        if not split.isEmpty():
-            order = F.xxhash64(F.lit(1), "rep", "band")
-            chosen = split.where("component = main").groupBy("band").agg(F.min_by("rep", order).alias("low"), F.max_by("rep", order).alias("high"))
-            pairs = split.where("component <> main").join(chosen, "band").select("rep", F.explode(F.array("low", "high")).alias("other"))
-            search.settle(_ordered_pairs(pairs, "rep", "other"), fully=False)
-            search.compare(search.split_buckets(split.select("band", "rep")))
+    if search.labels is None:  # no link so far: every class is a component of its own
+        search.labels = spark.createDataFrame([], "node long, component long")
+    large = members.where("size > 3").select("band", "rep")  # both chosen members settle smaller buckets
+    split = search.split_buckets(large)
+    if not split.isEmpty():
+        order = F.xxhash64(F.lit(1), "rep", "band")
+        chosen = split.where("component = main").groupBy("band").agg(F.min_by("rep", order).alias("low"), F.max_by("rep", order).alias("high"))
+        pairs = split.where("component <> main").join(chosen, "band").select("rep", F.explode(F.array("low", "high")).alias("other"))
+        search.settle(_ordered_pairs(pairs, "rep", "other"), fully=False)
+        search.compare(search.split_buckets(split.select("band", "rep")))
     classed = reps.select("d1", "d2", "n", "rep", "class_size")
-    if search.labels is not None:
-        classed = classed.join(search.labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    else:
-        classed = classed.withColumn("component", F.col("rep"))
+    classed = classed.join(search.labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     classed = written(classed.select("d1", "d2", "n", "component", "class_size"), "classed")
     joined = lookup(known.select("doc_id", "n", "d1", "d2"), classed, ["d1", "d2", "n"], "class_size").select("doc_id", "n", "component")
     alone = sketches.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component"))

@@ -294,6 +294,18 @@ def test_a_hot_group_of_near_copies(spark):
     assert found == brute_components(by_id, 2, 80)
 
 
+def test_links_when_no_chosen_member_is_near(spark, monkeypatch):
+    chosen = minhash_dedup._chosen
+    monkeypatch.setattr(minhash_dedup, "_chosen", lambda members, seed: chosen(members, seed).select("band", F.lit(4).cast("long").alias("size"), F.lit(99).cast("long").alias("low"), F.lit(99).cast("long").alias("high")))
+    draw, by_id = random.Random(6), {}
+    for i in range(0, 30, 3):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(80)]
+        by_id |= {i: " ".join(words), i + 1: " ".join([*words, "a"]), i + 2: " ".join([*words, "b"])}
+    by_id[99] = " ".join(f"z{k}" for k in range(80))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(spark.createDataFrame(list(by_id.items()), "doc_id long, text string"), 2, 80).collect()}
+    assert found == brute_components(by_id, 2, 80)
+
+
 def test_register_estimates():
     draw = np.random.default_rng(2)
     for share in (0.2, 0.5, 0.8, 0.95):
