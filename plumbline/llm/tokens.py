@@ -4,8 +4,9 @@ Both supported pre-tokenizers always break a text before an ASCII white-space ch
 isn't white space, and what stands after such a break doesn't depend on what stands before it. So a text is cut there,
 each part is encoded once and kept, and the ids of a text are those of its parts in order. A part of ASCII and Latin-1
 letters alone is split into its pieces here and only the pieces go to the tokenizer's model, as the library's own
-splitting takes most of its time; any other part is encoded by the whole tokenizer. `exact_cuts=False` encodes whole
-texts instead; tests hold both ways against each other.
+splitting takes most of its time; any other part is encoded by the whole tokenizer. A text that holds an added token's
+content goes to the tokenizer whole, which gives it the token's id. `exact_cuts=False` encodes whole texts instead;
+tests hold both ways against each other.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ class PartEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenize = self.tokenizer.model.tokenize
         self.cuts, self.cache_parts = exact_cuts, cache_parts
         self.lowers = self.tokenizer.normalizer is not None
@@ -137,11 +138,13 @@ class PartEncoder:
         """The ids of each text, as bytes."""
         if not self.cuts:
             return self._encode(texts)
-        cut = [self.cut(text) for text in texts]
+        held = [i for i, text in enumerate(texts) if any(content in text for content in self.added)]
+        whole = dict(zip(held, self._encode([texts[i] for i in held]), strict=True))
+        cut = [([], []) if i in whole else self.cut(text) for i, text in enumerate(texts)]
         self.raws.fill(chain.from_iterable(raws for raws, _ in cut))
         self.words.fill(chain.from_iterable(words for _, words in cut))
         raw, word = self.raws.young.__getitem__, self.words.young.__getitem__
-        out = [b"".join([*map(raw, raws), *map(word, words)]) for raws, words in cut]
+        out = [whole[i] if i in whole else b"".join([*map(raw, raws), *map(word, words)]) for i, (raws, words) in enumerate(cut)]
         self.raws.age()
         self.words.age()
         return out

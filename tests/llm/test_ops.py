@@ -76,6 +76,17 @@ def test_tokens_by_parts(name, texts):
     assert tokens.PartEncoder(path).encode(tricky * 2) == tokens.PartEncoder(path, exact_cuts=False).encode(tricky * 2)
 
 
+@pytest.mark.parametrize(("name", "ids"), [("byte_bpe_50k.json", [64, 220, 50256, 275]), ("word_bpe_49k.json", [320, 49407, 321])])
+def test_added_tokens_in_texts(name, ids):
+    from tokenizers import Tokenizer
+
+    path = tokens.public_path(name)
+    texts = ["a <|endoftext|> b", "a<|endoftext|>\n\nb <|startoftext|> c", "a <|ENDOFTEXT|> b", "a b", "<|endoftext|><|endoftext|>", "", "a < | b"]
+    found = [np.frombuffer(x, "<u4").tolist() for x in tokens.PartEncoder(path).encode(texts)]
+    plain = Tokenizer.from_file(path)
+    assert found == [plain.encode(text, add_special_tokens=False).ids for text in texts] and found[0] == ids
+
+
 def test_packing(docs, by_id, empty, odd):
     rows = packing.packed(docs).collect()
     ids = {i: np.frombuffer(x, "<u4").tolist() + [1] for i, x in zip(by_id, tokens.PartEncoder(tokens.public_path("byte_bpe_50k.json"), False).encode(list(by_id.values())), strict=True)}
