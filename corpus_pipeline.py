@@ -29,7 +29,10 @@ def without(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go: null texts and texts without letters."""
     ship_package(spark)
-    found = language_id.predicted(docs)
+    model = language_id.learned(docs)
+    if not model.languages:  # nothing is labelled: letters alone decide
+        return without(docs, language_id.without_letters(docs))
+    found = language_id.predicted(docs, model)
     return without(docs, found.where(F.col("lang_pred") == language_id.UNDETERMINED))
 
 

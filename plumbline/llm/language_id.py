@@ -22,8 +22,10 @@ from .common import bounded_batches, crc_bucket
 BITS = 16
 BUCKETS = 1 << BITS
 LENGTHS = (1, 2, 3)
-#: Bounds of the fit: labelled texts, bytes of a text, landmarks, languages.
-TRAIN_DOCS, TRAIN_TEXT_BYTES, LANDMARKS, LANGUAGES = 2400, 60_000, 240, 64
+#: Bounds of the fit: labelled texts, bytes of a text, landmarks; there are a text and a landmark for each language at least.
+TRAIN_DOCS, TRAIN_TEXT_BYTES, LANDMARKS = 2400, 60_000, 240
+#: Texts that are expected of each language at least, so that the hash leaves none out.
+LEAST_DRAWN = 48
 RIDGE = 1e-3
 #: How sharply differences of the regressions become scores.
 SHARPNESS = 8.0
@@ -116,16 +118,16 @@ def fit(texts: list[bytes], labels: list[str], landmarks: int = LANDMARKS, ridge
 def learned(docs: DataFrame, folds: int = 5, held_out: int = 0, most: int = TRAIN_DOCS) -> LanguageModel:
     """A model of labelled documents outside the held-out fold: at most `most` texts, an equal share for each language.
 
-    Of more than LANGUAGES languages the most frequent are learned. Texts longer than TRAIN_TEXT_BYTES bytes aren't
+    All languages that occur are learned, from a text each at least. Texts longer than TRAIN_TEXT_BYTES bytes aren't
     learned from; they are predicted from their whole text like any other.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= TRAIN_TEXT_BYTES) & (crc_bucket(F.col("doc_id"), folds) != held_out))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     each = max(1, most // max(1, len(counts)))
-    share = F.lit(0)
-    for row in counts:
-        share = F.when(F.col("lang") == row["lang"], min(1 << 30, int(1.3 * each / row["count"] * (1 << 30)) + 1)).otherwise(share)
-    picked = usable.where(F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(1 << 30)) < share).select("doc_id", "lang", "text").limit(2 * most)
+    drawn = max(1.3 * each, LEAST_DRAWN)
+    shares = docs.sparkSession.createDataFrame([(row["lang"], min(1 << 30, int(drawn / row["count"] * (1 << 30)) + 1)) for row in counts], "lang string, share long")
+    # a row for each language
+    picked = usable.select("doc_id", "lang", "text").join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(1 << 30)) < F.col("share")).limit(max(2 * most, 3 * LEAST_DRAWN * len(counts)))
     taken: dict[str, int] = {}
     texts, labels = [], []
     for row in sorted(picked.collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.text)):
@@ -140,7 +142,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterato
     for batch in batches:
         for part in slices(batch, "text"):
             texts = part.column("text").to_pylist()
-            lettered = [i for i, text in enumerate(texts) if text and (any_ascii(text) or any(c.isalpha() for c in text))]
+            lettered = [i for i, text in enumerate(texts) if has_letter(text)]
             names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             found, values = model.predict([prepared(texts[i]) for i in lettered])
             for i, name, value in zip(lettered, found, values, strict=True):
@@ -153,6 +155,23 @@ def any_ascii(text: str) -> bool:
     return any(c.isalpha() for c in text[:40])
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and (any_ascii(text) or any(c.isalpha() for c in text))
+
+
+def without_letters(docs: DataFrame) -> DataFrame:
+    """The doc_id of each document whose text is null or has no letter."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                bare = [not has_letter(text) for text in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").filter(pa.array(bare, pa.bool_()))], names=["doc_id"])
+
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(found, "doc_id long")
+
+
 def predicted(docs: DataFrame, model: LanguageModel | None = None, folds: int = 5, held_out: int = 0) -> DataFrame:
     """The language of each document's whole text: doc_id, held_out, lang_pred, score.
 

@@ -255,6 +255,24 @@ def test_language_id(spark, empty):
     assert {r.lang_pred for r in language_id.predicted(unlabelled).collect()} == {"und"}
 
 
+def test_more_languages_than_sixty_four(spark):
+    draw, rows = random.Random(8), []
+    for k in range(70):
+        words = ["".join(chr(0x4E00 + 40 * k + draw.randrange(40)) for _ in range(4)) for _ in range(12)]
+        rows += [(100 * k + i, " ".join(draw.choice(words) for _ in range(20)), f"l{k:02}") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language_id.learned(docs).languages) == 70
+    assert {r.doc_id: r.lang_pred for r in language_id.predicted(docs).collect()} == {i: lang for i, _, lang in rows}
+
+
+def test_unlabelled_documents_stay(spark):
+    import corpus_pipeline
+
+    docs = language_docs(spark).withColumn("lang", F.lit(None).cast("string"))
+    kept = {r.doc_id for r in corpus_pipeline.identify_languages(spark, docs, "").collect()}
+    assert kept == set(range(240))
+
+
 def test_kernel_is_a_product():
     texts = [language_id.prepared(t) for t in ("ab abc", "bca", "xyz ab")]
     flags = language_id.presence(texts).astype(int)
