@@ -45,21 +45,21 @@ def bounded_sample(frame: DataFrame, key: str, most: int) -> DataFrame:
 HOT_SHARE = 1000
 
 
-def lookup(rows: DataFrame, found: DataFrame, keys: list[str], size: str, salts: int = 64) -> DataFrame:
+def lookup(rows: DataFrame, found: DataFrame, keys: list[str], size: str, salts: int = 64, by: str = "doc_id", how: str = "inner") -> DataFrame:
     """Join rows to a table that has one row for each key and says how many rows have it.
 
     Keys of many rows are spread over `salts` tasks: their rows in the table are repeated for each salt. Which keys these
-    are is broadcast; as each has more than one in HOT_SHARE of all rows, they are fewer than HOT_SHARE. Rows need a
-    doc_id, by which they are salted.
+    are is broadcast; as each has more than one in HOT_SHARE of all rows, they are fewer than HOT_SHARE. Rows are salted
+    by the column `by`.
     """
     total = found.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     hot = F.col(size) > max(1000, total // HOT_SHARE)
     marks = found.where(hot).select(*keys, F.lit(True).alias("_hot"))
-    salt = F.pmod(F.xxhash64("doc_id", *keys), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64(by, *keys), F.lit(salts)).cast("int")
     left = rows.join(F.broadcast(marks), keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     right = found.withColumn("_salt", F.explode(F.when(hot, every).otherwise(F.array(F.lit(0)))))
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 #: Bytes that may be broadcast; more is joined by a shuffle.
@@ -70,3 +70,18 @@ def small(frame: DataFrame, row_bytes: str = "64") -> DataFrame:
     """The frame, marked for broadcasting if its rows come to at most BROADCAST_BYTES. It is measured: pass what is written."""
     total = frame.agg(F.coalesce(F.sum(F.expr(row_bytes).cast("long")), F.lit(0))).first()[0]
     return F.broadcast(frame) if total <= BROADCAST_BYTES else frame
+
+
+#: Copies of a table's rows where a join that can't broadcast it may meet frequent keys.
+SALTS = 16
+
+
+def salted(rows: DataFrame, table: DataFrame, keys: list[str], by: str, how: str, row_bytes: str = "64") -> DataFrame:
+    """Join rows to a written table. If the table can't be broadcast, its rows are repeated for each salt, and the rows of
+    a frequent key are spread over the salts by the column `by`."""
+    side = small(table, row_bytes)
+    if side is not table:
+        return rows.join(side, keys, how)
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -1,18 +1,22 @@
 """Benchmark decontamination by winnowing.
 
-Fingerprints are the minimal hashes of K consecutive words in every window of W such hashes, with K + W - 1 equal to
-the length of a benchmark window: every shared span of that many words therefore shares a fingerprint. Fingerprints
-of documents are joined with those of the benchmark, each hit is extended to the windows that cover it, and every
-window is compared word by word before it counts.
-
-The benchmark is the small side. Its size is checked: up to `block_bytes` of text are broadcast at once, and a larger
-benchmark is taken in blocks of items, each against all documents, whose hits are then united per document.
+1. A benchmark window is `window` consecutive words of an item, or a shorter item as a whole. Its fingerprint is the least
+   hash of K consecutive words in it, which is what winnowing keeps of each sliding window; a short item is its own
+   fingerprint. Equal windows have equal fingerprints, so every shared span of that many words is found.
+2. A bit filter of a bounded size, made from the fingerprints, lets each document's fingerprints that can't match end in
+   the task that reads the document. It decides nothing else: what passes it is joined.
+3. The documents' fingerprints are joined with the benchmark's, and each hit is extended to the windows around it, which
+   are joined with the benchmark's windows by hash and word for word.
+4. The hits of each row of `docs` are united.
+
+Rows of `docs` have a key of their own while they are looked at, so rows of equal or null doc_ids stay apart. Both joins
+broadcast the benchmark's side if it is small by measure; otherwise its rows are repeated for a few salts, over which a
+passage that many documents hold is spread.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,164 +24,143 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import ALNUM, Words, ngram_hash, slices, winnowed, words_of
-from .common import arrow_schema, bounded_batches
+from plumbline.session import written
+
+from .bytesops import ALNUM, Words, mixed, ngram_hash, slices, window_minimum, words_of
+from .common import bounded_batches, salted, small
 
 #: Words in a k-gram; a benchmark window of n words gives n - K + 1 hashes to choose from.
 K = 5
+#: Bits of the filter: so many for each benchmark window, within bounds.
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 27
+
+WINDOW = pa.struct([("start", pa.int64()), ("size", pa.int32()), ("print", pa.int64()), ("hash", pa.int64()), ("win", pa.binary())])
+_WINDOW_SQL = "start: long, size: int, print: long, hash: long, win: binary"
 
 
-class BenchmarkIndex:
-    """Fingerprints and windows of a block of benchmark items."""
-
-    def __init__(self, items: list[tuple[object, str | None]], window: int):
-        self.window, self.k = window, min(K, window)
-        self.span = window - self.k + 1
-        texts = pa.array([text for _, text in items], pa.string())
-        found = words_of(texts, ALNUM)
-        owners: dict[tuple[int, bytes], set[str]] = defaultdict(set)
-        hashes: dict[tuple[int, bytes], int] = {}
-        prints: set[int] = set()
-        for at, (item_id, _) in enumerate(items):
-            a, b = int(found.first[at]), int(found.first[at + 1])
-            size = min(window, b - a)
-            if not size:
-                continue
-            own = found.hash[a:b]
-            for i, value in enumerate(ngram_hash(own, size).tolist()):
-                key = (size, found.text(a + i, size))
-                owners[key].add(str(item_id))
-                hashes[key] = value
-            if size == window:
-                grams = ngram_hash(own, self.k)
-                prints.update(grams[winnowed(grams, self.span)].tolist())
-        self.prints = np.array(sorted(prints), np.uint64)
-        self.windows: dict[int, tuple[np.ndarray, dict[int, dict[bytes, list[str]]]]] = {}
-        for size in sorted({n for n, _ in owners}):
-            by_hash: dict[int, dict[bytes, list[str]]] = defaultdict(dict)
-            for key, ids in owners.items():
-                if key[0] == size:
-                    by_hash[hashes[key]][key[1]] = sorted(ids)
-            self.windows[size] = (np.array(sorted(by_hash), np.uint64), dict(by_hash))
-
-    def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, dict[int, set[str]]]:
-        """Starts and lengths of the windows that occur, and the items by document."""
-        starts: list[int] = []
-        lengths: list[int] = []
-        items: dict[int, set[str]] = defaultdict(set)
-        for size, (known, by_hash) in self.windows.items():
-            at = self._candidates(words, known) if size == self.window else self._all(words, size, known)
-            values = ngram_hash(words.hash, size)
-            for i in at.tolist():
-                ids = by_hash[int(values[i])].get(words.text(i, size))
-                if ids:
-                    starts.append(i)
-                    lengths.append(size)
-                    items[int(words.doc[i])].update(ids)
-        return np.array(starts, np.int64), np.array(lengths, np.int64), items
-
-    def _whole(self, words: Words, at: np.ndarray, size: int) -> np.ndarray:
-        """Positions from which `size` words stay in one document."""
-        at = at[(at >= 0) & (at + size <= len(words.doc))]
-        return at[words.doc[at] == words.doc[at + size - 1]]
-
-    def _all(self, words: Words, size: int, known: np.ndarray) -> np.ndarray:
-        """Items shorter than a window have no fingerprints; every position is looked up for their lengths."""
-        values = ngram_hash(words.hash, size)
-        return self._whole(words, np.flatnonzero(member(values, known)), size)
-
-    def _candidates(self, words: Words, known: np.ndarray) -> np.ndarray:
-        """Windows around the fingerprints that documents and benchmark share."""
-        grams = ngram_hash(words.hash, self.k)
-        taken = winnowed(grams, self.span)
-        hit = taken[member(grams[taken], self.prints)]
-        around = np.unique((hit[:, None] - np.arange(self.span)).ravel())
-        around = self._whole(words, around, self.window)
-        return around[member(ngram_hash(words.hash, self.window)[around], known)] if len(around) else around
-
-
-def member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which values are in a sorted array."""
-    if not len(known) or not len(values):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(known, values)
-    at[at == len(known)] = 0
-    return known[at] == values
-
-
-def _scan(index: BenchmarkIndex, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: its number of words, hit runs of words as 'start:end', and item ids."""
+def windows_of(words: Words, size: int, full: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where `size` words stay in one text, with the fingerprint and the hash of the words from there."""
+    at = np.arange(max(0, len(words.doc) - size + 1))
+    at = at[words.doc[at] == words.doc[at + size - 1]] if len(at) else at
+    hashes = ngram_hash(words.hash, size)
+    k = min(K, size)
+    prints = window_minimum(ngram_hash(words.hash, k), size - k + 1) if full and len(hashes) else hashes
+    return at, prints[at], hashes[at]
+
+
+def _bench_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             words = words_of(part.column("text"), ALNUM)
-            starts, lengths, items = index.hits(words)
-            cover = np.zeros(len(words.doc) + 1, np.int64)
-            np.add.at(cover, starts, 1)
-            np.add.at(cover, starts + lengths, -1)
-            hit = np.cumsum(cover)[:-1] > 0
-            runs: list[list[int]] = [[] for _ in range(part.num_rows)]
-            for doc in items:
-                a, b = words.first[doc], words.first[doc + 1]
-                edges = np.flatnonzero(np.diff(np.concatenate(([False], hit[a:b], [False])).astype(np.int8)))
-                runs[doc] = edges.tolist()
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.diff(words.first), pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array([sorted(items.get(d, ())) for d in range(part.num_rows)], pa.list_(pa.string()))],
-                schema=SCAN,
-            )
+            names = [str(x) for x in part.column("item_id").to_pylist()]
+            sizes = np.minimum(np.diff(words.first), window)
+            for size in sorted(set(sizes.tolist()) - {0}):
+                at, prints, hashes = windows_of(words, size, size == window)
+                own = sizes[words.doc[at]] == size
+                at, prints, hashes = at[own], prints[own], hashes[own]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), size), pa.int32()), pa.array(prints.view(np.int64)), pa.array(hashes.view(np.int64)), pa.array([words.text(i, size) for i in at.tolist()], pa.binary()), pa.array([names[d] for d in words.doc[at].tolist()], pa.string())],
+                    names=["size", "print", "hash", "win", "item"],
+                )
+
+
+class BitFilter:
+    """Which fingerprints may be in the benchmark: one bit for each, in 64-bit words."""
+
+    def __init__(self, bits: int, places: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - (bits.bit_length() - 1))
+        self.words = np.zeros(bits // 64, np.uint64)
+        self.words[places] = values.view(np.uint64)
+
+    def passes(self, prints: np.ndarray) -> np.ndarray:
+        """Whether each fingerprint may be in the benchmark; never wrongly false."""
+        bit = mixed(prints) >> self.shift
+        return (self.words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
+
+
+def _bit_words(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    shift = np.uint64(64 - (bits.bit_length() - 1))
+    for batch in batches:
+        bit = mixed(batch.column("print").to_numpy(zero_copy_only=False).view(np.uint64)) >> shift
+        yield pa.RecordBatch.from_arrays([pa.array((bit >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (bit & np.uint64(63))).view(np.int64))], names=["place", "value"])
 
 
-SCAN = arrow_schema({"doc_id": pa.int64(), "n_words": pa.int64(), "runs": pa.list_(pa.int64()), "items": pa.list_(pa.string())})
+def bit_filter(prints: DataFrame, n: int) -> BitFilter:
+    """The filter of distinct fingerprints. At most MOST_BITS / 64 words of it come to the driver, however many there are."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * n).bit_length()))
+    rows = prints.mapInArrow(lambda batches: _bit_words(batches, bits), "place long, value long").groupBy("place").agg(F.bit_or("value").alias("value")).toArrow()
+    return BitFilter(bits, rows.column("place").to_numpy(), rows.column("value").to_numpy())
+
+
+def _scan(batches: Iterator[pa.RecordBatch], known: BitFilter, sizes: list[int], window: int) -> Iterator[pa.RecordBatch]:
+    """Per row: its number of words and its windows whose fingerprints pass the filter."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            words = words_of(part.column("text"), ALNUM)
+            found: list[tuple[np.ndarray, ...]] = []
+            texts: list[bytes] = []
+            for size in sizes:
+                at, prints, hashes = windows_of(words, size, size == window)
+                good = known.passes(prints)
+                found.append((words.doc[at[good]], at[good], np.full(int(good.sum()), size), prints[good], hashes[good]))
+                texts += [words.text(i, size) for i in at[good].tolist()]
+            doc, at, size, prints, hashes = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 5
+            order = np.argsort(doc, kind="stable")
+            offsets = np.searchsorted(doc[order], np.arange(part.num_rows + 1))
+            fields = [pa.array((at - words.first[doc])[order], pa.int64()), pa.array(size[order], pa.int32()), pa.array(prints[order].astype(np.uint64).view(np.int64)), pa.array(hashes[order].astype(np.uint64).view(np.int64)), pa.array([texts[i] for i in order.tolist()], pa.binary())]
+            windows = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(WINDOW)))
+            kept = [name for name in part.schema.names if name != "text"]
+            yield pa.RecordBatch.from_arrays([*(part.column(name) for name in kept), pa.array(np.diff(words.first), pa.int64()), windows], names=[*kept, "n_words", "windows"])
 
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of covered words, their number and the digest of the items."""
     for batch in batches:
-        n_hit, digests = [], []
-        for runs, items in zip(batch.column("runs").to_pylist(), batch.column("items").to_pylist(), strict=True):
-            n_hit.append(sum(runs[1::2]) - sum(runs[::2]))
-            digests.append(hashlib.sha256(",".join(items).encode()).hexdigest())
+        n_hit, runs, items, digests = [], [], [], []
+        for hits, sets in zip(batch.column("hits").to_pylist(), batch.column("sets").to_pylist(), strict=True):
+            own: list[int] = []
+            for start, end in sorted((h["start"], h["start"] + h["size"]) for h in hits or ()):
+                if own and start <= own[-1]:
+                    own[-1] = max(own[-1], end)
+                else:
+                    own += [start, end]
+            runs.append(own)
+            n_hit.append(sum(own[1::2]) - sum(own[::2]))
+            items.append(sorted(sets or ()))
+            digests.append(hashlib.sha256(",".join(items[-1]).encode()).hexdigest())
+        kept = [name for name in batch.schema.names if name not in ("hits", "sets")]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(digests), batch.column("runs"), batch.column("items")],
-            names=["doc_id", "n_words", "n_hit", "items_sha256", "runs", "items"],
+            [*(batch.column(name) for name in kept), pa.array(n_hit, pa.int64()), pa.array(digests, pa.string()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
+            names=[*kept, "n_hit", "items_sha256", "runs", "items"],
         )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 64 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, carry: tuple[str, ...] = ()) -> DataFrame:
     """Benchmark words in each document.
 
-    Returns doc_id, n_words, n_hit, items_sha256, runs (word positions 'from' and 'to' in turn), items (ids as sorted
-    strings). Words are runs of ASCII letters, digits and non-ASCII characters after lower-casing A-Z. Null texts have
-    no words; null item ids are named 'None'; repeated items count once; an empty benchmark hits nothing. Rows that
-    repeat a doc_id each get a row, unless the benchmark takes several blocks: then they are one.
+    Returns a row for each row of `docs`, whatever the sizes of the two tables: doc_id, the columns named in `carry`,
+    n_words, n_hit, items_sha256, runs (word positions 'from' and 'to' in turn) and items (ids as sorted strings).
+    Words are runs of ASCII letters, digits and non-ASCII characters after lower-casing A-Z. Null and empty texts have
+    no words and no hits; rows of null or repeated doc_ids are looked at one by one; a text of any length is looked at
+    as a whole. Null item ids are named 'None', rows of one item id are one item, and an empty benchmark hits nothing.
+    An empty table gives no rows. Other columns of either table are ignored, whatever their names.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.select("item_id", "text")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
-    block = F.pmod(F.xxhash64(F.col("item_id")), F.lit(blocks)) if blocks > 1 else F.lit(0)
-    found = []
-    for at in range(blocks):
-        index = spark.sparkContext.broadcast(BenchmarkIndex([tuple(row) for row in items.where(block == at).collect()], window))
-        found.append(texts.mapInArrow(lambda batches, index=index: _scan(index.value, batches), "doc_id long, n_words long, runs array<long>, items array<string>"))
-    hits = found[0]
-    if blocks > 1:
-        for more in found[1:]:
-            hits = hits.unionByName(more)
-        hits = hits.groupBy("doc_id").applyInArrow(_united, "doc_id long, n_words long, runs array<long>, items array<string>")
-    return hits.mapInArrow(_summary, "doc_id long, n_words long, n_hit long, items_sha256 string, runs array<long>, items array<string>")
-
-
-def _united(rows: pa.Table) -> pa.Table:
-    """One row for a document from those of all benchmark blocks."""
-    edges: list[tuple[int, int]] = []
-    for runs in rows.column("runs").to_pylist():
-        edges += zip(runs[::2], runs[1::2], strict=True)
-    merged: list[list[int]] = []
-    for a, b in sorted(edges):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
-    items = sorted({x for own in rows.column("items").to_pylist() for x in own})
-    return pa.Table.from_arrays([rows.column("doc_id").slice(0, 1), rows.column("n_words").slice(0, 1), pa.array([[x for run in merged for x in run]], pa.list_(pa.int64())), pa.array([items], pa.list_(pa.string()))], schema=SCAN)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    found = items.mapInArrow(lambda batches: _bench_windows(batches, window), "size int, print long, hash long, win binary, item string")
+    bench = written(found.groupBy("size", "print", "hash", "win").agg(F.collect_set("item").alias("items")), "benchmark-windows")
+    prints = written(bench.select("size", "print").distinct(), "benchmark-prints")
+    sizes = [row[0] for row in prints.select("size").distinct().orderBy("size").collect()]  # at most `window` of them
+    known = spark.sparkContext.broadcast(bit_filter(prints.select("print"), prints.count()))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").cast("string").alias("text"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.drop("text").schema)
+    scan = texts.mapInArrow(lambda batches: _scan(batches, known.value, sizes, window), f"{kept}, n_words long, windows array<struct<{_WINDOW_SQL}>>")
+    rows = written(scan.withColumn("_row", F.monotonically_increasing_id()), "document-windows")
+    windows = rows.where(F.size("windows") > 0).select("_row", F.inline("windows"))
+    matched = salted(windows, prints, ["size", "print"], "_row", "left_semi")
+    hits = salted(matched, bench.drop("print"), ["size", "hash", "win"], "_row", "inner", "64 + octet_length(win) + 32 * size(items)")
+    united = hits.groupBy("_row").agg(F.collect_list(F.struct("start", "size")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("sets"))
+    marks = written(united, "document-hits")
+    joined = rows.drop("windows").join(small(marks, "64 + 16 * size(hits) + 32 * size(sets)"), "_row", "left").drop("_row")
+    return joined.mapInArrow(_summary, f"{kept}, n_words long, n_hit long, items_sha256 string, runs array<long>, items array<string>")

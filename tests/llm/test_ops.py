@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, exact_dedup, html_extract, language_id, minhash_dedup, packing, quality, suffix_dedup, token_binary, tokens, toxicity
+from plumbline.llm import common, decontamination, exact_dedup, html_extract, language_id, minhash_dedup, packing, quality, suffix_dedup, token_binary, tokens, toxicity
 from plumbline.llm.run_length_index import RunLengthIndex
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -420,16 +420,29 @@ def brute_hits(by_id, items, window):
     return found
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
-def test_decontamination(spark, docs, by_id, empty, block_bytes):
+@pytest.mark.parametrize(("most", "window"), [(1 << 26, 10), (0, 10), (0, 3)])
+def test_decontamination(spark, docs, by_id, empty, most, window, monkeypatch):
+    """By a broadcast and by a shuffle of the benchmark."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
     long = [t for t in by_id.values() if 30 < len(t.split()) < 100][:4]
-    items = [(10 + i, " ".join(t.split()[3:25]).upper()) for i, t in enumerate(long)] + [(2, "rain sun"), (3, ""), (4, None), (5, long[0]), (6, "rain sun"), (7, "étude")]
-    benchmark = spark.createDataFrame(items, "item_id long, text string")
-    rows = decontamination.contamination(docs, benchmark, 10, block_bytes).collect()
-    assert {r.doc_id: (r.n_words, r.n_hit, r.items_sha256) for r in rows} == brute_hits(by_id, items, 10)
-    if block_bytes > 1000:
-        assert decontamination.contamination(empty, benchmark).count() == 0
-        assert decontamination.contamination(docs, benchmark.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
+    items = [(10 + i, " ".join(t.split()[3:25]).upper()) for i, t in enumerate(long)] + [(2, "rain sun"), (3, ""), (4, None), (5, long[0]), (6, "rain sun"), (6, "rain sun"), (7, "étude")]
+    benchmark = spark.createDataFrame([(*item, 1, "x") for item in items], "item_id long, text string, doc_id long, items string")
+    rows = decontamination.contamination(docs, benchmark, window, carry=("hash", "n")).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.items_sha256) for r in rows} == brute_hits(by_id, items, window)
+    assert {(r.hash, r.n) for r in rows} == {("h", 2)}
+    assert decontamination.contamination(empty, benchmark).count() == 0
+    assert decontamination.contamination(docs, benchmark.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
+
+
+@pytest.mark.parametrize("most", [1 << 26, 0])
+def test_decontamination_keeps_every_row(spark, most, monkeypatch):
+    """Null and repeated ids, of equal and of different texts: a row in, a row out."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+    texts = [(None, "rain sun"), (None, "no hit"), (None, None), (5, "the rain sun"), (5, "the rain sun"), (5, "cart"), (6, "sun rain sun " * 30_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, "rain sun"), (None, "cart")], "item_id long, text string")
+    found = sorted((r.doc_id is None, r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontamination.contamination(docs, benchmark).collect())
+    assert found == [(False, 5, 1, 1, ["None"]), (False, 5, 3, 2, ["1"]), (False, 5, 3, 2, ["1"]), (False, 6, 90_000, 60_000, ["1"]), (True, None, 0, 0, []), (True, None, 2, 0, []), (True, None, 2, 2, ["1"])]
 
 
 def test_pipeline(spark, tmp_path):
