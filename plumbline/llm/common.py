@@ -45,20 +45,22 @@ def bounded_sample(frame: DataFrame, key: str, most: int) -> DataFrame:
 HOT_SHARE = 1000
 
 
-def lookup(rows: DataFrame, found: DataFrame, keys: list[str], size: str, salts: int = 64, by: str = "doc_id", how: str = "inner") -> DataFrame:
+def lookup(rows: DataFrame, found: DataFrame, keys: list[str], size: str, salts: int = 64, by: str = "doc_id", how: str = "inner", hot_by: list[str] | None = None) -> DataFrame:
     """Join rows to a table that has one row for each key and says how many rows have it.
 
     Keys of many rows are spread over `salts` tasks: their rows in the table are repeated for each salt. Which keys these
-    are is broadcast; as each has more than one in HOT_SHARE of all rows, they are fewer than HOT_SHARE. Rows are salted
-    by the column `by`.
+    are is broadcast; as each has more than one in HOT_SHARE of all rows, they are fewer than HOT_SHARE. Where keys may be
+    long, `hot_by` names those of a bounded length that decide it. Rows are salted by the column `by` and, as that may be
+    null or repeat itself, by the partition they come from.
     """
+    marked = hot_by or keys
+    sums = found if marked == keys else found.groupBy(*marked).agg(F.sum(size).alias(size))
     total = found.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    hot = F.col(size) > max(1000, total // HOT_SHARE)
-    marks = found.where(hot).select(*keys, F.lit(True).alias("_hot"))
-    salt = F.pmod(F.xxhash64(by, *keys), F.lit(salts)).cast("int")
-    left = rows.join(F.broadcast(marks), keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
+    marks = sums.where(F.col(size) > max(1000, total // HOT_SHARE)).select(*marked, F.lit(True).alias("_hot"))
+    salt = F.pmod(F.xxhash64(by, *marked, F.spark_partition_id()), F.lit(salts)).cast("int")
+    left = rows.withColumn("_salt", salt).join(F.broadcast(marks), marked, "left").withColumn("_salt", F.when(F.col("_hot"), F.col("_salt")).otherwise(0)).drop("_hot")
     every = F.sequence(F.lit(0), F.lit(salts - 1))
-    right = found.withColumn("_salt", F.explode(F.when(hot, every).otherwise(F.array(F.lit(0)))))
+    right = found.join(F.broadcast(marks), marked, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))).drop("_hot")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 

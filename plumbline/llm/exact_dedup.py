@@ -6,8 +6,10 @@
 3. The salts' winners, at most one for each salt and text, are shuffled by digest and combined with the text compared
    again.
 
-The winners' digests are then joined to the rows. Digests of many rows are salted once more for that join; how many
-such digests there can be is bounded by the share of the rows that makes a digest count as one.
+The winners' digests are then joined to the rows; should a digest belong to several texts, the texts are joined as well.
+Digests of many rows are salted once more for that join; how many such digests there can be is bounded by the share of
+the rows that makes a digest count as one. Salts depend on the partition a row comes from too, so that rows without an id
+are spread.
 """
 
 from __future__ import annotations
@@ -38,19 +40,20 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", "")
 
 
-def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, salts: int = SALTS) -> DataFrame:
+def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, salts: int = SALTS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Groups of documents whose texts are equal once ASCII white space is deleted.
 
     Returns a row for each row of `docs`: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text, in
     lower-case hexadecimal). In a group, the row with the most code points stays, then the one of least doc_id; a null
     doc_id ranks last and is kept as null. Rows that repeat a doc_id and text count in group_size and share `kept`. Null
-    and empty texts are equal. An empty table gives no rows. Other columns of `docs` are ignored. Texts are compared in
-    full, whatever the digest: two texts of one digest stay apart.
+    and empty texts are equal; a text of any length is compared as a whole. An empty table gives no rows. The columns
+    named in `carry` are returned as well, other columns of `docs` are ignored whatever their names. Texts are compared
+    in full, whatever the digest: two texts of one digest stay apart.
     """
     rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .select("doc_id", normalised(F.col("text")).alias("body"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
-        .select("doc_id", "body", digest(F.col("body")).alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), "n")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").cast("string").alias("text"))
+        .select("doc_id", *carry, normalised(F.col("text")).alias("body"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+        .select("doc_id", *carry, "body", digest(F.col("body")).alias("digest"), F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(salts)).cast("int").alias("salt"), "n")
     )
     weight = F.lit(Decimal(WEIGHT)).cast("decimal(21,0)")
     rank = F.col("n").cast("decimal(10,0)") * weight - F.coalesce("doc_id", F.lit(NO_ID)).cast("decimal(19,0)")
@@ -61,12 +64,14 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, s
     groups = combined.withColumn("winner", winner).drop("rank")
     table = written(groups.select("digest", "winner", "group_size"), "exact-groups")
     text_sha256 = F.lower(F.hex("digest")) if digest is sha256 else F.sha2("body", 256)
-    if digest is not sha256 and not table.groupBy("digest").count().where("count > 1").isEmpty():
-        joined = rows.join(groups, ["digest", "body"])
-    else:
+    rows = rows.drop("salt", "n")
+    if table.groupBy("digest").count().where("count > 1").isEmpty():  # every digest has one text, so it stands for it
         joined = lookup(rows, table, ["digest"], "group_size")
+    else:
+        joined = lookup(rows, groups, ["digest", "body"], "group_size", hot_by=["digest"])
     return joined.select(
         "doc_id",
+        *carry,
         F.when(F.col("winner") != NO_ID, F.col("winner")).alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
         (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("winner")).alias("kept"),

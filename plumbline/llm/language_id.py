@@ -159,17 +159,26 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and (any_ascii(text) or any(c.isalpha() for c in text))
 
 
-def without_letters(docs: DataFrame) -> DataFrame:
-    """The doc_id of each document whose text is null or has no letter."""
+def with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows whose language is found, with all their columns: those that `predicted` doesn't call undetermined.
+
+    Without a model, as nothing is labelled, letters alone decide. Each row is judged by its own text.
+    """
+    bounded_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                bare = [not has_letter(text) for text in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").filter(pa.array(bare, pa.bool_()))], names=["doc_id"])
-
-    bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(found, "doc_id long")
+                texts = part.column("text").to_pylist()
+                keep = np.array([has_letter(text) for text in texts], bool)
+                at = np.flatnonzero(keep)
+                if sent.value.languages and len(at):
+                    names, _ = sent.value.predict([prepared(texts[i]) for i in at])
+                    keep[at] = [name != UNDETERMINED for name in names]
+                yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(found, docs.schema)
 
 
 def predicted(docs: DataFrame, model: LanguageModel | None = None, folds: int = 5, held_out: int = 0) -> DataFrame:

@@ -461,3 +461,35 @@ def test_pipeline(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted({r.doc_id for r in pieces}) == sorted([0, *range(2, 36), 36])
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontamination", "packing"]
+
+
+def test_pipeline_stages_decide_about_rows(spark, tmp_path):
+    """Null ids, one id of several texts, repeated rows, clashing names: good rows stay, and one row of each group."""
+    import corpus_pipeline
+
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, component_id string, kept int, digest string"
+    row = lambda i, text: (i, text, "en", "s", len(text or ""), "c", 1, "d")
+    frame = lambda rows: spark.createDataFrame([row(*r) for r in rows], kinds)
+    left = lambda out: sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    good = [f"{a} these are plain words of a good text that stays {b}" for a, b in ("ab", "cd", "ef", "gh")]
+    docs = frame([(None, "12 34"), (None, good[0]), (None, good[1]), (4, "..."), (4, good[2]), (5, None), (6, "")])
+    out = corpus_pipeline.identify_languages(spark, docs, "")
+    assert out.columns == docs.columns and left(out) == sorted([(None, good[0]), (None, good[1]), (4, good[2])], key=repr)
+    docs = frame([(None, good[0]), (None, good[1]), (3, good[2]), (3, good[2]), (3, good[3]), (9, good[1] + " "), (None, good[2]), (None, good[0])])
+    out = corpus_pipeline.drop_exact_copies(spark, docs, "")
+    assert out.columns == docs.columns and left(out) == sorted([(None, good[0]), (9, good[1] + " "), (3, good[2]), (3, good[3])], key=repr)
+    long = [" ".join(f"{a}{k}" for k in range(80)) for a in "xyz"]
+    docs = frame([(None, long[0]), (7, long[0] + " more"), (8, long[0] + " else"), (None, long[1]), (None, long[1]), (2, long[2]), (2, good[0]), (2, long[2] + " a"), (None, ""), (None, None)])
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    kept = sorted((r.doc_id is None, r.doc_id, (r.text or "").split(" ")[0]) for r in out.collect())
+    assert kept == [(False, 2, "a"), (False, 2, "z0"), (False, 7, "x0"), (True, None, ""), (True, None, ""), (True, None, "y0")]
+    spark.createDataFrame([(1, "plain words of a good text that stays for ever more", 1)], "item_id long, text string, doc_id long").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spoiled = "so plain words of a good text that stays for ever more it is"
+    docs = frame([(None, spoiled), (None, good[1]), (3, good[2]), (3, spoiled), (3, spoiled), (3, good[3]), (None, None)])
+    out = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and left(out) == sorted([(None, good[1]), (3, good[2]), (3, good[3]), (None, None)], key=repr)
+    none = frame([]).select(*docs.columns)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, f"{tmp_path}/none").count() == 0
