@@ -1,7 +1,8 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
-A page is cut into blocks of text at the tags that break lines. Each block has its words, link density, place and those
-of its neighbours; a decision tree trained on the small labelled table below tells main text from the rest.
+A page is cut into blocks of text at the tags that break lines. A block is described by its words and link density, by
+those of its neighbours, and by what the elements around it say. A decision tree trained on the small labelled table
+below tells main text from the rest.
 """
 
 from __future__ import annotations
@@ -34,74 +35,63 @@ ASIDE = frozenset("nav header footer aside form menu dialog button fieldset".spl
 MARKS = re.compile(r"(?i)(?:^|[\s_-])(?:nav\w*|menu\w*|footer|sidebar|side|aside|banner|ads?|adverts?|advertisement|promo|sponsor\w*|cookies?|consent|notice|popup|modal|overlay|newsletter|subscribe|share|social|related|recommend\w*|comments?|reply|replies|disqus|breadcrumbs?|pagination|pager|widget|toolbar|masthead|search|login|complementary|contentinfo|navigation)(?:$|[\s_-])")
 MAIN_MARKS = re.compile(r"(?i)(?:^|[\s_-])(?:article\w*|post-?(?:body|content)|entry-?content|main-?content|story-?body)(?:$|[\s_-])")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
+# Quotes delimit a value only behind an equals sign; anywhere else they are characters like others.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>"'][^\s>]*)?|[^>=])*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|$)|'([^']*)(?:'|$)|([^\s"'>][^\s>]*)))?""")
 _READ = frozenset("class id role hidden aria-hidden".split())
 #: Longer attributes are read each time.
 LONGEST_CACHED = 200
 
 #: What a block is described by.
-FEATURES = ("words", "links", "previous_words", "previous_links", "next_words", "next_links", "in_main", "marked", "heading")
-
-#: The labelled table, as an annotator would fill it in. Blocks: words, link density, inside the main element, marked
-#: as boilerplate, heading, and whether they are main text: always, never, or where both neighbours are running text.
-LABELLED_BLOCKS = (
-    ((60, 0.00, 1, 0, 0), "always"),
-    ((12, 0.00, 1, 0, 1), "always"),
-    ((3, 0.00, 1, 0, 1), "always"),
-    ((1, 0.00, 1, 0, 0), "always"),
-    ((5, 0.60, 1, 0, 0), "always"),
-    ((2, 1.00, 1, 0, 0), "always"),
-    ((90, 0.10, 1, 0, 0), "always"),
-    ((25, 0.00, 1, 0, 0), "always"),
-    ((7, 0.00, 1, 0, 0), "always"),
-    ((14, 0.30, 1, 0, 0), "always"),
-    ((55, 0.02, 0, 0, 0), "always"),
-    ((24, 0.00, 0, 0, 0), "always"),
-    ((31, 0.20, 0, 0, 0), "always"),
-    ((18, 0.10, 0, 0, 0), "always"),
-    ((8, 0.00, 0, 0, 1), "between"),
-    ((9, 0.00, 0, 0, 0), "between"),
-    ((4, 0.00, 0, 0, 0), "between"),
-    ((2, 0.00, 0, 0, 0), "between"),
-    ((1, 1.00, 0, 0, 0), "never"),
-    ((6, 0.90, 0, 0, 0), "never"),
-    ((12, 0.70, 0, 0, 0), "never"),
-    ((25, 0.85, 0, 0, 0), "never"),
-    ((1, 1.00, 0, 1, 0), "never"),
-    ((11, 0.00, 0, 1, 0), "never"),
-    ((45, 0.00, 0, 1, 0), "never"),
-    ((4, 1.00, 0, 1, 0), "never"),
-    ((9, 0.00, 0, 1, 1), "never"),
-    ((30, 0.00, 1, 1, 0), "never"),
-    ((70, 0.05, 1, 1, 0), "never"),
-    ((3, 0.00, 1, 1, 1), "never"),
-    ((120, 0.00, 0, 1, 0), "never"),
-)
-#: The neighbours each of them was seen with: words and link density of the block before and of the one after.
-LABELLED_NEIGHBOURS = (
-    (0, 0.00, 0, 0.00),
-    (45, 0.00, 50, 0.00),
-    (30, 0.05, 22, 0.10),
-    (1, 1.00, 40, 0.00),
-    (40, 0.00, 1, 1.00),
-    (1, 1.00, 2, 1.00),
-    (0, 0.00, 35, 0.00),
-    (52, 0.00, 0, 0.00),
-    (5, 0.00, 4, 0.80),
-    (28, 0.90, 33, 0.85),
-)
+FEATURES = ("words", "links", "previous_words", "previous_links", "next_words", "next_links", "heading", "in_main", "marked", "page_has_main")
+
+#: The labelled table: the blocks of pages in page order, as an annotator would note them: words, linked words, inside
+#: the element of the main text, marked as something else by an element or a name, heading, and whether they are main text.
+LABELLED_PAGES = (
+    # articles with a menu, an advert and a footer
+    ((1, 1, 0, 1, 0, 0), (1, 1, 0, 1, 0, 0), (1, 1, 0, 1, 0, 0), (8, 0, 0, 1, 0, 0), (11, 0, 1, 0, 1, 1), (49, 0, 1, 0, 0, 1), (108, 0, 1, 0, 0, 1), (40, 0, 1, 0, 0, 1), (2, 0, 1, 0, 0, 1), (7, 0, 1, 0, 0, 1), (48, 0, 1, 0, 0, 1), (12, 0, 0, 1, 0, 0)),
+    ((1, 1, 0, 1, 0, 0), (1, 1, 0, 1, 0, 0), (10, 0, 0, 1, 0, 0), (9, 0, 1, 0, 1, 1), (197, 0, 1, 0, 0, 1), (7, 0, 0, 1, 0, 0)),
+    ((1, 1, 0, 1, 0, 0), (1, 1, 0, 1, 0, 0), (10, 0, 0, 1, 0, 0), (11, 0, 1, 0, 1, 1), (11, 0, 1, 0, 0, 1), (5, 0, 1, 0, 0, 1), (34, 0, 1, 0, 0, 1), (52, 0, 1, 0, 0, 1), (6, 0, 1, 0, 0, 1), (21, 0, 1, 0, 0, 1), (9, 0, 1, 0, 0, 1), (10, 0, 1, 0, 0, 1), (10, 0, 0, 1, 0, 0)),
+    ((2, 2, 0, 1, 0, 0), (1, 1, 0, 1, 0, 0), (4, 0, 0, 1, 0, 0), (4, 0, 1, 0, 1, 1), (4, 0, 1, 0, 0, 1), (15, 0, 1, 0, 0, 1), (83, 0, 1, 0, 0, 1), (6, 0, 1, 0, 0, 1), (14, 0, 0, 1, 0, 0)),
+    # a single paragraph, then comments of readers
+    ((3, 3, 0, 1, 0, 0), (9, 0, 1, 0, 1, 1), (120, 4, 1, 0, 0, 1), (3, 0, 0, 1, 1, 0), (22, 0, 0, 1, 0, 0), (64, 0, 0, 1, 0, 0), (18, 0, 0, 1, 0, 0), (8, 5, 0, 1, 0, 0)),
+    # lists, tables, links and captions inside the main text
+    ((1, 1, 0, 1, 0, 0), (6, 0, 1, 0, 1, 1), (30, 6, 1, 0, 0, 1), (4, 4, 1, 0, 0, 1), (3, 3, 1, 0, 0, 1), (5, 2, 1, 0, 0, 1), (2, 0, 1, 0, 0, 1), (1, 0, 1, 0, 0, 1), (90, 9, 1, 0, 0, 1), (9, 0, 1, 0, 0, 1), (26, 20, 0, 1, 0, 0)),
+    # one-word lines, a closing line at the end of the page, links as the only content
+    ((1, 1, 0, 1, 0, 0), (1, 0, 1, 0, 1, 1), (1, 0, 1, 0, 0, 1), (60, 0, 1, 0, 0, 1), (4, 0, 1, 0, 0, 1), (1, 0, 1, 0, 0, 1), (9, 0, 1, 0, 0, 1), (1, 0, 1, 0, 0, 1), (28, 0, 1, 0, 0, 1), (6, 0, 1, 0, 0, 1)),
+    ((5, 5, 0, 1, 0, 0), (8, 8, 1, 0, 1, 1), (17, 14, 1, 0, 0, 1), (2, 2, 1, 0, 0, 1), (12, 12, 1, 0, 0, 1), (40, 0, 1, 0, 0, 1), (7, 7, 1, 0, 0, 1), (1, 1, 1, 0, 0, 1), (15, 0, 1, 0, 0, 1), (1, 1, 0, 1, 0, 0)),
+    ((12, 0, 1, 0, 0, 1), (1, 0, 1, 0, 0, 1), (35, 1, 1, 0, 0, 1)),
+    ((7, 0, 1, 0, 1, 1), (3, 0, 1, 0, 0, 1)),
+    ((5, 0, 1, 0, 0, 1),),
+    # boxes inside the main text: share bar, advert, sidebar, notice, form
+    ((5, 0, 0, 1, 0, 0), (10, 0, 1, 0, 1, 1), (3, 3, 1, 1, 0, 0), (70, 0, 1, 0, 0, 1), (11, 0, 1, 1, 0, 0), (66, 2, 1, 0, 0, 1), (2, 0, 1, 1, 1, 0), (30, 0, 1, 1, 0, 0), (81, 0, 1, 0, 0, 1), (20, 0, 1, 1, 0, 0), (7, 0, 1, 1, 0, 0), (45, 0, 0, 1, 0, 0)),
+    # a long sidebar and a notice around the main text, some of it not marked
+    ((42, 3, 0, 1, 0, 0), (7, 0, 1, 0, 1, 1), (25, 0, 1, 0, 0, 1), (38, 0, 1, 0, 0, 1), (60, 0, 0, 0, 0, 0), (24, 12, 0, 0, 0, 0), (9, 0, 0, 0, 0, 0), (5, 0, 0, 0, 1, 0)),
+    # no element says where the main text is: running text with short lines between, link lists around
+    ((2, 2, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (9, 0, 0, 0, 1, 1), (55, 0, 0, 0, 0, 1), (31, 3, 0, 0, 0, 1), (6, 0, 0, 0, 0, 1), (72, 0, 0, 0, 0, 1), (24, 0, 0, 0, 0, 1), (2, 2, 0, 0, 0, 0), (8, 7, 0, 0, 0, 0), (4, 0, 0, 0, 0, 0)),
+    ((6, 6, 0, 0, 0, 0), (4, 0, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (7, 0, 0, 0, 1, 1), (40, 2, 0, 0, 0, 1), (4, 0, 0, 0, 0, 1), (33, 0, 0, 0, 0, 1), (9, 0, 0, 0, 0, 1), (48, 0, 0, 0, 0, 1), (12, 12, 0, 0, 0, 0), (25, 20, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0)),
+    ((1, 1, 0, 0, 0, 0), (11, 0, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (90, 5, 0, 0, 0, 1), (5, 0, 0, 0, 0, 1), (28, 0, 0, 0, 0, 1), (2, 0, 0, 0, 0, 1), (61, 0, 0, 0, 0, 1), (5, 5, 0, 0, 0, 0), (2, 0, 0, 0, 0, 0), (5, 5, 0, 0, 0, 0)),
+    ((1, 1, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (5, 0, 0, 0, 0, 0), (15, 0, 0, 0, 1, 1), (120, 0, 0, 0, 0, 1), (6, 0, 0, 0, 0, 1), (3, 0, 0, 0, 0, 1), (31, 0, 0, 0, 0, 1), (12, 0, 0, 0, 0, 0)),
+    ((1, 1, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (9, 0, 0, 0, 0, 0), (9, 0, 0, 0, 1, 1), (66, 0, 0, 0, 0, 1), (31, 0, 0, 0, 0, 1), (8, 0, 0, 0, 0, 1), (11, 0, 0, 0, 0, 1), (47, 0, 0, 0, 0, 1), (16, 0, 0, 0, 0, 0)),
+    ((1, 1, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (4, 0, 0, 0, 0, 0), (5, 0, 0, 0, 1, 1), (5, 0, 0, 0, 0, 1), (14, 0, 0, 0, 0, 1), (57, 0, 0, 0, 0, 1), (13, 0, 0, 0, 0, 1), (36, 0, 0, 0, 0, 1), (9, 0, 0, 0, 0, 1), (5, 0, 0, 0, 0, 1), (11, 0, 0, 0, 0, 0)),
+    # no main element either, but names on the rest
+    ((4, 2, 0, 1, 0, 0), (50, 0, 0, 1, 0, 0), (8, 0, 0, 0, 1, 1), (44, 0, 0, 0, 0, 1), (3, 0, 0, 0, 0, 1), (58, 1, 0, 0, 0, 1), (35, 0, 0, 1, 0, 0), (120, 0, 0, 1, 0, 0), (9, 9, 0, 1, 0, 0)),
+    # a page without main text
+    ((1, 1, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (3, 0, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (5, 4, 0, 0, 0, 0), (6, 0, 0, 0, 0, 0)),
+    ((3, 0, 0, 0, 0, 0),),
+)
+#: Blocks in a leaf at least.
+LEAST = 2
 
 
 def labelled_table() -> tuple[np.ndarray, np.ndarray]:
-    """Each block with each pair of neighbours, and whether it is main text there."""
+    """The features of each labelled block, and whether it is main text."""
     rows, labels = [], []
-    for (words, links, in_main, marked, heading), when in LABELLED_BLOCKS:
-        for before_words, before_links, after_words, after_links in LABELLED_NEIGHBOURS:
-            rows.append((words, links, before_words, before_links, after_words, after_links, in_main, marked, heading))
-            running = min(before_words, after_words) >= 20 and max(before_links, after_links) <= 0.3
-            labels.append(when == "always" or when == "between" and running)
-    return np.array(rows, float), np.array(labels, int)
+    for page in LABELLED_PAGES:
+        blocks = [Block("", words, linked, bool(in_main), bool(marked), bool(heading)) for words, linked, in_main, marked, heading, _ in page]
+        rows.append(described(blocks))
+        labels += [block[-1] for block in page]
+    return np.vstack(rows), np.array(labels, int)
 
 
 @dataclass
@@ -124,7 +114,7 @@ class Tree:
         return out
 
 
-def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 6) -> Tree:
+def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 8) -> Tree:
     """A tree of least Gini impurity; equal splits go to the earlier feature, thresholds lie between two values."""
     node = Tree(int(labels.mean() >= 0.5))
     if depth == 0 or labels.min() == labels.max():
@@ -134,6 +124,8 @@ def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 6) -> Tree:
         values = np.unique(rows[:, feature])
         for limit in (values[:-1] + values[1:]) / 2:
             below = rows[:, feature] <= limit
+            if min(below.sum(), (~below).sum()) < LEAST:
+                continue
             impurity = sum(part.sum() * labels[part].mean() * (1 - labels[part].mean()) for part in (below, ~below))
             if best is None or impurity < best[0] - 1e-12:
                 best = (impurity, feature, float(limit))
@@ -182,9 +174,10 @@ class _Page:
     def __init__(self) -> None:
         self.found: list[Block] = []
         self.open: list[tuple[str, bool, bool]] = []  # name, boilerplate, main
+        self.names: dict[str, int] = {}  # how many of a name are open
         self.run: list[str] = []
         self.linked: list[str] = []
-        self.hidden = self.marked = self.main = self.links = self.headings = 0
+        self.hidden = self.marked = self.main = self.headings = 0
 
     def text(self, text: str) -> None:
         """Text between tags."""
@@ -192,7 +185,7 @@ class _Page:
             if "&" in text:
                 text = html.unescape(text)
             self.run.append(text)
-            if self.links:
+            if self.names.get("a"):
                 self.linked.append(text)
 
     def end_block(self) -> None:
@@ -206,13 +199,12 @@ class _Page:
     def count(self, tag: tuple[str, bool, bool], by: int) -> None:
         """An element opens or ends."""
         name, marked, main = tag
+        self.names[name] = self.names.get(name, 0) + by
         if marked:
             self.marked += by
         if main:
             self.main += by
-        if name == "a":
-            self.links += by
-        elif name in HIDDEN:
+        if name in HIDDEN:
             self.hidden += by
         elif name in HEADINGS:
             self.headings += by
@@ -222,15 +214,17 @@ class _Page:
         self.count(self.open.pop(), -1)
 
     def start(self, name: str, rest: str) -> None:
-        """A start tag."""
+        """A start tag. A slash at its end says nothing: only void elements have no content."""
         if name in BLOCKS:
             self.end_block()
-            if any(tag[0] == "p" for tag in self.open):  # a paragraph ends where another block begins
+            if self.names.get("p"):  # a paragraph ends where another block begins
                 while self.open and self.open[-1][0] in PHRASES:
                     self.pop()
             if name == "li" and self.open and self.open[-1][0] == "li":
                 self.pop()
-        if name in VOID or rest.endswith("/") and name not in BLOCKS:
+        elif name == "a":  # links don't nest
+            self.end("a")
+        if name in VOID:
             return
         marked, main = (_flags if len(rest) <= LONGEST_CACHED else _flags.__wrapped__)(name, rest)
         if name == "header" and self.main and not rest:
@@ -240,9 +234,14 @@ class _Page:
         self.count(tag, 1)
 
     def end(self, name: str) -> None:
-        """An end tag; one that would reach through its container from inside is ignored."""
+        """An end tag; one that would reach through its container from inside is ignored.
+
+        What isn't open isn't looked for, and what is passed over is closed, so a page takes time in proportion to its tags.
+        """
         if name in BLOCKS:
             self.end_block()
+        if not self.names.get(name):
+            return
         for at in range(len(self.open) - 1, -1, -1):
             inner = self.open[at][0]
             if inner == name:
@@ -285,11 +284,12 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def described(blocks: list[Block]) -> np.ndarray:
-    """The blocks' features."""
+    """The blocks' features, in the order of FEATURES."""
     own = np.array([(b.words, b.linked / b.words if b.words else 0.0) for b in blocks], float).reshape(-1, 2)
     edge = np.zeros((1, 2))
-    flags = np.array([(b.in_main, b.marked, b.heading) for b in blocks], float).reshape(-1, 3)
-    return np.hstack([own, np.vstack([edge, own])[:-1], np.vstack([own, edge])[1:], flags])
+    flags = np.array([(b.heading, b.in_main, b.marked) for b in blocks], float).reshape(-1, 3)
+    has_main = np.full((len(blocks), 1), float(any(b.in_main for b in blocks)))
+    return np.hstack([own, np.vstack([edge, own])[:-1], np.vstack([own, edge])[1:], flags, has_main])
 
 
 def main_text(page: str | None) -> str:
@@ -309,8 +309,9 @@ def extracted(pages: DataFrame) -> DataFrame:
     """The main text of each page: page_id, url, text, n_chars (code points).
 
     A null or empty page, and one without main text, gives an empty text. Unclosed tags, comments and scripts end with
-    the page. Null ids and urls stay; repeated rows are handled one by one; an empty table gives no rows; other
-    columns are ignored.
+    the page. A page of any length and depth is read as a whole, in time that grows with its tags. Null ids and urls
+    stay; repeated rows are handled one by one; an empty table gives no rows; other columns are ignored, whatever their
+    names. Where two splits of the tree's table are equally good, the earlier feature is taken.
     """
     bounded_batches(pages.sparkSession)
     rows = pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(html as string) html")
