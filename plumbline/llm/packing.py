@@ -6,9 +6,11 @@ a window of its tier, and the gap behind it is filled from shorter tiers, first
 by the beginning of one that is cut. Leftovers of the shortest tier stay for the next batch; at the end of a partition
 they fill sequences whose lengths are powers of two. So no sequence needs padding.
 
-Sequences of a tier are dealt to step groups that hold the same number of tokens whatever the tier.
+The pieces are written to the shared folder. Sequences are then laid in a row, longest tier first, and the row is cut into
+step groups of the same number of tokens; so a group holds sequences of one tier, but for those at the edge of two, and
+no two groups differ by more than two sequences. What that takes is a sum for each task and tier.
 
-The work is local to a partition of the input: nothing is shuffled, and memory holds one batch of ids and a window.
+The packing is local to a partition of the input: no text is shuffled. Memory holds the ids of one batch and a window.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import written
+
 from .bytesops import slices
-from .common import bounded_batches
+from .common import bounded_batches, small
 from .tokens import CACHE_PARTS, encoder, public_path
 
 #: Context sizes, each a power of two.
@@ -33,28 +37,26 @@ BATCH_TOKENS = 1 << 20
 #: Tokens in a step group.
 STEP_TOKENS = 1 << 15
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+#: `before` counts the tokens of the same task and tier in earlier sequences.
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, part int, before long"
 _FIELDS = pa.schema([(n, pa.int32() if kind == "int" else pa.int64()) for n, kind in (f.split() for f in SCHEMA.split(", "))])
 
 
 class Packer:
     """Packs the documents of one partition; rows are the pieces of documents in their sequences."""
 
-    def __init__(self, part: int, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS):
+    def __init__(self, part: int, tiers: tuple[int, ...] = TIERS):
         self.tiers = tuple(sorted(tiers))
         self.next_id = part << 40
         self.part = part
-        self.step_tokens = step_tokens
-        self.steps: dict[int, int] = {}
+        self.tokens: dict[int, int] = {}  # by tier
         self.rows: list[tuple] = []
         self.rests: list[tuple[int, int, np.ndarray, object, int]] = []  # length, order, ids, document, start
         self.order = 0
-        self.totals: dict[int, int] = {}
 
     def add(self, doc_id: object, ids: np.ndarray) -> int:
         """Take a document; returns its number of ids."""
         longest, whole = self.tiers[-1], len(ids) // self.tiers[-1]
-        self.totals[self.order] = len(ids)
         for k in range(whole):
             self._emit([(ids[k * longest : (k + 1) * longest], doc_id, k * longest, len(ids))], longest)
         if len(ids) > whole * longest:
@@ -71,13 +73,11 @@ class Packer:
         return self.rests.pop(at - 1) if at else None
 
     def _emit(self, pieces: list[tuple], size: int) -> None:
-        count = self.steps.get(size, 0)
-        self.steps[size] = count + 1
-        per_step = max(1, self.step_tokens // size)
-        group = (self.part << 40) + (size.bit_length() << 32) + count // per_step
+        before = self.tokens.get(size, 0)
+        self.tokens[size] = before + size
         offset = 0
         for ids, doc_id, start, total in pieces:
-            self.rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, self.next_id, offset, size, group))
+            self.rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, self.next_id, offset, size, self.part, before))
             offset += len(ids)
         self.next_id += 1
 
@@ -128,11 +128,11 @@ class Packer:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FIELDS, strict=True)], schema=_FIELDS)
 
 
-def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, cache_parts: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, tiers: tuple[int, ...], cache_parts: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     context = TaskContext.get()
-    packer = Packer(context.partitionId() if context else 0, tiers, step_tokens)
+    packer = Packer(context.partitionId() if context else 0, tiers)
     encode = encoder(tokenizer, cache_parts).encode
     end, held = np.uint32(end_id).tobytes(), 0
     for batch in batches:
@@ -153,14 +153,25 @@ def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, tiers
 
     Returns a row for each piece: doc_id, start (its document's ids before it), length, ids_crc32 (of its ids as
     little-endian unsigned 32-bit integers), doc_tokens (with the end id), sequence_id, offset (in the sequence),
-    tier and step_group. Each id of each row's text lies in exactly one piece, and offsets leave no gap. A null or
-    empty text is the end id alone. Null doc_ids stay null; rows that repeat a doc_id are packed separately. An empty
-    table gives no rows. Sequence ids are unique; they depend on how the input is split into partitions. A smaller
-    `cache_parts` takes less memory and more time.
+    tier (the sequence's length) and step_group. Each id of each row's text lies in exactly one piece, and offsets leave
+    no gap. Step groups are numbered from 0 and hold about `step_tokens` tokens, whatever the tier.
+
+    A null or empty text is the end id alone; a text of any length is cut into pieces. Null doc_ids stay null; rows that
+    repeat a doc_id are packed separately. Of rests of one length, the one that came last is taken first. An empty table
+    gives no rows; other columns are ignored, whatever their names. Sequence ids are unique; they depend on how the
+    input is split into partitions. A smaller `cache_parts` takes less memory and more time.
     """
     if any(size & (size - 1) for size in tiers):
         raise ValueError("tiers must be powers of two")
     bounded_batches(docs.sparkSession)
     path = tokenizer or public_path("byte_bpe_50k.json")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda batches: _pack(batches, path, end_id, tuple(sorted(tiers)), step_tokens, cache_parts), SCHEMA)
+    pieces = written(rows.mapInArrow(lambda batches: _pack(batches, path, end_id, tuple(sorted(tiers)), cache_parts), SCHEMA), "pieces")
+    sums = pieces.where("offset = 0").groupBy("part", "tier").agg(F.sum("tier").alias("tokens"))
+    # a row for each task and tier: one task adds up what is far smaller than the pieces
+    order = Window.orderBy(F.desc("tier"), "part")
+    laid = written(sums.withColumn("base", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("total", F.sum("tokens").over(Window.partitionBy())), "step-bases")
+    groups = F.greatest(F.lit(1), F.round(F.col("total") / step_tokens).cast("long"))
+    place = F.coalesce("base", F.lit(0)) + F.col("before")
+    found = pieces.join(small(laid), ["part", "tier"]).withColumn("step_group", F.floor(place * groups / F.col("total")).cast("long"))
+    return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group")
