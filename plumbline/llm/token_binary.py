@@ -15,8 +15,10 @@ File format, all integers little-endian:
 The dictionary travels in each file, so a file can be read alone; its hash lets a reader keep one copy. A short
 document is read by its offset without touching the others.
 
-Documents are range-partitioned by id and sorted; each task writes its own file under a temporary name and renames it,
-so a task that runs twice leaves one file. Where a file's ids begin is a running sum over the files, not over documents.
+Documents are range-partitioned by id, and by a hash of the text among equal ids, and sorted. Each attempt of a task
+writes files of its own names; the rows that it returns name them, and these rows are what counts: they are written as a
+table, of which Spark keeps one attempt's part. Files that no row names are left over from an attempt that was lost and
+aren't read into the result. Where a file's ids begin is a running sum over the files, not over documents.
 """
 
 from __future__ import annotations
@@ -114,20 +116,16 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
     all_ids: list[bytes] = []
     frames: list[bytes] = []
     text_bytes = n_file = 0
-    part = _partition()
+    part, attempt = _partition(), uuid.uuid4().hex
 
     def finish() -> pa.RecordBatch:
         nonlocal text_bytes, n_file
-        name = f"{part:08d}-{n_file:05d}.pltk"
+        name = f"{part:08d}-{n_file:05d}-{attempt}.pltk"
         system, base = _filesystem(folder)
         system.create_dir(base, recursive=True)
-        temporary = f"{base}/_{name}.{uuid.uuid4().hex}"
-        with system.open_output_stream(temporary) as out:
+        with system.open_output_stream(f"{base}/_{name}") as out:  # a reader never meets half a file
             out.write(pack_file(doc_ids, all_ids, dictionary, frames))
-        if system.get_file_info(f"{base}/{name}").is_file:  # another attempt of this task was first; its file is the same
-            system.delete_file(temporary)
-        else:
-            system.move(temporary, f"{base}/{name}")
+        system.move(f"{base}/_{name}", f"{base}/{name}")
         row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int64()), pa.array([n_file], pa.int64()), pa.array([sum(map(len, all_ids)) // 4], pa.int64())], names=["file", "part", "n_file", "n_ids"])
         doc_ids.clear(), all_ids.clear(), frames.clear()
         text_bytes, n_file = 0, n_file + 1
@@ -185,7 +183,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> Da
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dictionary = train_dictionary(encoder(tokenizer).encode(sample_texts(rows)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    tied = rows.withColumn("tie", F.xxhash64("text"))  # many rows of one id, or of none, don't end in one task
+    ordered = tied.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     files = written(ordered.mapInArrow(lambda batches: _write(batches, folder, tokenizer, end_id, dictionary), "file string, part long, n_file long, n_ids long"), "token-files")
     # one row a file, so a single task for the running sum holds little however many documents there are
     before = Window.orderBy("part", "n_file").rowsBetween(Window.unboundedPreceding, -1)
@@ -203,8 +202,9 @@ def token_files(docs: DataFrame, folder: str | None = None, tokenizer: str | Non
     """Write all documents as token files and read them back.
 
     Returns a row per document: doc_id, start (ids of all documents before it), n_tokens (with the end id) and
-    ids_crc32. A null or empty text is the end id alone. Null doc_ids come first; rows that repeat a doc_id stand
-    next to each other in any order. An empty table gives no rows. `folder` must be new or empty.
+    ids_crc32. A null or empty text is the end id alone; a text of any length is one document. Null doc_ids come first;
+    rows that repeat a doc_id stand next to each other, in the order of a hash of their texts. An empty table gives no
+    rows; other columns are ignored, whatever their names. `folder` must be new or empty.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "token-binary")
