@@ -33,29 +33,35 @@ def arrow_schema(fields: dict[str, pa.DataType]) -> pa.Schema:
 
 
 def bounded_sample(frame: DataFrame, key: str, most: int) -> DataFrame:
-    """At most so many rows, chosen by a hash of their key; all rows if there are no more than that."""
+    """At most so many rows, those of the least hash of their key: the same ones whenever they are drawn.
+
+    Rows beyond a share of the hashes go first, so that few are ordered. Equal keys are drawn in the order of the other
+    columns.
+    """
     total = frame.count()
+    hashed = frame.withColumn("_draw", F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1 << 30)))
     if total > most:
-        share = int(1.3 * most / total * (1 << 30)) + 1
-        frame = frame.where(F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1 << 30)) < share)
-    return frame.limit(most)
+        hashed = hashed.where(F.col("_draw") < int(1.3 * most / total * (1 << 30)) + 1)
+    return hashed.orderBy("_draw", key, *(name for name in frame.columns if name != key)).limit(most).drop("_draw")
 
 
 #: A key of more than one in so many rows is salted in a lookup; there are fewer such keys than that.
 HOT_SHARE = 1000
 
 
-def lookup(rows: DataFrame, found: DataFrame, keys: list[str], size: str, salts: int = 64, by: str = "doc_id", how: str = "inner", hot_by: list[str] | None = None) -> DataFrame:
+def lookup(rows: DataFrame, found: DataFrame, keys: list[str], size: str, salts: int = 64, by: str = "doc_id", how: str = "inner", hot_by: list[str] | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Join rows to a table that has one row for each key and says how many rows have it.
 
     Keys of many rows are spread over `salts` tasks: their rows in the table are repeated for each salt. Which keys these
     are is broadcast; as each has more than one in HOT_SHARE of all rows, they are fewer than HOT_SHARE. Where keys may be
     long, `hot_by` names those of a bounded length that decide it. Rows are salted by the column `by` and, as that may be
-    null or repeat itself, by the partition they come from.
+    null or repeat itself, by the partition they come from. `sizes` is a table of the keys and sizes alone, where one is
+    at hand.
     """
     marked = hot_by or keys
-    sums = found if marked == keys else found.groupBy(*marked).agg(F.sum(size).alias(size))
-    total = found.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    sizes = found if sizes is None else sizes
+    sums = sizes if marked == keys else sizes.groupBy(*marked).agg(F.sum(size).alias(size))
+    total = sizes.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     marks = sums.where(F.col(size) > max(1000, total // HOT_SHARE)).select(*marked, F.lit(True).alias("_hot"))
     salt = F.pmod(F.xxhash64(by, *marked, F.spark_partition_id()), F.lit(salts)).cast("int")
     left = rows.withColumn("_salt", salt).join(F.broadcast(marks), marked, "left").withColumn("_salt", F.when(F.col("_hot"), F.col("_salt")).otherwise(0)).drop("_hot")

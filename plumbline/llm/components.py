@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from plumbline.session import written
 
+from .common import lookup
+
 #: Labels that one task writes; a round over a small graph is then a few small tasks.
 ROWS_PER_FILE = 500_000
 
@@ -15,18 +17,23 @@ def components(links: DataFrame) -> DataFrame:
     """The least node reachable from each node of the links (a, b): node, component.
 
     Every round takes the least label among neighbours and then follows labels one step further, so that chains are
-    halved; each round's labels are written to the shared folder. Nodes without links aren't listed.
+    halved; each round's labels are written to the shared folder. Nodes without links aren't listed. The links of a node
+    that has many, and the members of a component that has many, are spread over tasks.
     """
     edges = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
     parts = max(1, -(-edges.count() // ROWS_PER_FILE))  # labels are no more than edges
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")).coalesce(parts), "labels")
+    start = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"), F.count(F.lit(1)).alias("degree"))
+    labels = written(start.select("node", F.least("node", "near").alias("component"), "degree").coalesce(parts), "labels")
+    degrees = labels.select(F.col("node").alias("b"), "degree")
     while True:
-        seen = labels.select(F.col("node").alias("b"), "component")
-        least = edges.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        closer = labels.join(least, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        further = labels.select(F.col("node").alias("component"), F.col("component").alias("beyond"))
-        jumped = closer.join(further, "component").select("node", "old", F.least("component", "beyond").alias("component"))
+        seen = labels.select(F.col("node").alias("b"), "component", "degree")
+        least = lookup(edges, seen, ["b"], "degree", by="a", sizes=degrees).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        closer = labels.join(least, "node").select("node", "degree", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        step = written(closer.coalesce(parts), "labels")
+        held = step.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+        further = written(held.join(step.select(F.col("node").alias("component"), F.col("component").alias("beyond")), "component"), "jumps")
+        jumped = lookup(step, further, ["component"], "members", by="node").select("node", "degree", "old", F.least("component", "beyond").alias("component"))
         step = written(jumped.coalesce(parts), "labels")
-        labels = step.select("node", "component")
+        labels = step.select("node", "component", "degree")
         if step.where("old <> component").isEmpty():
-            return labels
+            return labels.select("node", "component")

@@ -1,21 +1,23 @@
 """Near-duplicate documents by HyperMinHash.
 
-1. Each document's set of word shingles gives REGISTERS registers. A register keeps, of the least hash under its own
-   function, the number of leading zeros and the next bits: 16 bits in all.
+1. Each document's word shingles are hashed once. The leading bits of a hash choose one of REGISTERS buckets, and a bucket
+   keeps, of the least rest of a hash in it, the number of leading zeros and the next bits, 32 bits in all; 0 is an empty
+   bucket.
 2. Documents with the same set are one class and go on as its least doc_id.
-3. BANDS bands of compressed registers put classes into buckets. At similarity 0.8 two classes miss each other with a
-   probability of (1 - 0.8 ** 5) ** 40, about 1e-7.
-4. In each bucket every member is held against two of its members, not against all. Similarity is estimated from the
-   registers, corrected for registers that agree by chance; pairs that can't reach the threshold go.
+3. BANDS bands of registers put classes into groups; bands without a filled register are left out. At similarity 0.8 two
+   large sets miss each other with a probability of (1 - 0.8 ** 5) ** 40, about 1e-7; small sets, whose shingles
+   have buckets of their own, do so less often or, from 4 and 5 shingles, as rarely.
+4. In each group every member is held against two of its members, not against all. Similarity is estimated from the
+   registers that either has, corrected for those that agree by chance; pairs that can't reach the threshold go.
 5. Likely pairs are confirmed on the full sets of shingles of their texts: first each class's likeliest partner, then
    the likely pairs that still lie in different components.
-6. In buckets that still hold several components, members outside the commonest one are held against two of its
-   members once more. Those that stay outside are compared, on their full sets, with all members that share a bucket
-   with them: blocks of them go against chunks of the others, and only links leave the task. So no link between
-   components is lost, and no pairs are written down.
+6. In groups that still hold several components, members outside the commonest one are held against two of its
+   members once more. Those that stay outside are compared, on their full sets, with the members that share a group
+   with them and are of a size that allows the threshold: blocks of them, bounded by their shingles, go against chunks of
+   the others, and only links leave the task. So no link between components is lost, and no pairs are written down.
 
-No bucket is gathered in one task: buckets are joined with their chosen members, and texts travel only for the pairs
-and blocks that are confirmed.
+No group is gathered in one task: groups are joined with their chosen members by keys that are salted where they have many
+rows, and texts travel only for the pairs and blocks that are confirmed. Sets are sets of 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
@@ -35,16 +37,16 @@ from .components import components
 
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
-MANTISSA = 10
-#: How far below the threshold an estimate may lie: five standard deviations at 0.8.
-MARGIN = 0.15
-#: Documents outside a component that are compared at once, and members that they are streamed past in one task.
-BLOCK, STREAM = 256, 4096
+#: Bits of a hash behind those that choose a bucket, and of them those behind the leading zeros that a register keeps.
+REST, MANTISSA = 44, 26
+#: How many standard deviations below the threshold an estimate may lie.
+DEVIATIONS = 5
+#: Shingles outside a component that are compared at once, and shingles that they are streamed past in one task.
+BLOCK, STREAM = 500_000, 8_000_000
 #: Members that are confirmed beside one copy of their partner's text.
 CHUNK = 64
-
-_SEEDS = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, (2, REGISTERS), dtype=np.uint64)
-_FACTORS, _OFFSETS = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1]
+#: Sets whose shingles are sorted together.
+SORTED = 4096
 
 
 def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
@@ -60,32 +62,43 @@ def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
     return out
 
 
-def registers(shingles: np.ndarray) -> np.ndarray:
-    """Leading zeros and mantissa bits of the least hash under each function."""
-    least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 1024):
-        part = shingles[at : at + 1024]
-        least = np.minimum(least, ((part[None, :] ^ _OFFSETS[:, None]) * _FACTORS[:, None]).min(axis=1))
-    _, exponent = np.frexp(least.astype(np.float64))
-    zeros = np.clip(64 - exponent, 0, 62).astype(np.uint64)
-    mantissa = (least << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA)
-    return ((zeros << np.uint64(MANTISSA)) | mantissa).astype(np.uint16)
+def registers(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of registers for each set: leading zeros (and one) and mantissa of the least rest in each bucket, 0 if empty."""
+    out = np.zeros((len(sets), REGISTERS), np.uint32)
+    for first in range(0, len(sets), SORTED):
+        some = sets[first : first + SORTED]
+        values = np.concatenate(some)
+        if not len(values):
+            continue
+        row = np.repeat(np.arange(len(some), dtype=np.uint64), [len(s) for s in some])
+        bucket = ((values >> np.uint64(48)) * np.uint64(REGISTERS)) >> np.uint64(16)
+        keys = np.sort(((row * np.uint64(REGISTERS) + bucket) << np.uint64(REST)) | (values & np.uint64((1 << REST) - 1)))
+        place = keys >> np.uint64(REST)
+        least = keys[np.concatenate(([True], place[1:] != place[:-1]))]
+        rest = least & np.uint64((1 << REST) - 1)
+        _, exponent = np.frexp(rest.astype(np.float64))
+        zeros = (REST - exponent).astype(np.uint64)
+        mantissa = np.where(rest > 1, (rest << (np.uint64(64 - REST + 1) + np.minimum(zeros, np.uint64(REST - 2)))) >> np.uint64(64 - MANTISSA), np.uint64(0))
+        out[first : first + SORTED].reshape(-1)[(least >> np.uint64(REST)).astype(np.int64)] = ((zeros + np.uint64(1)) << np.uint64(MANTISSA)) | mantissa
+    return out
 
 
 def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """The probability that registers of disjoint sets of n and m shingles agree."""
+    """The share of filled registers of disjoint sets of n and m shingles that agree by chance."""
+    n, m = n / REGISTERS, m / REGISTERS
     total = np.zeros(np.broadcast(n, m).shape)
-    for zeros in range(63):
+    for zeros in range(REST):
         low, high = 2.0 ** -(zeros + 1), 2.0**-zeros
         total += (np.exp(-n * low) - np.exp(-n * high)) * (np.exp(-m * low) - np.exp(-m * high))
-    return total / (1 << MANTISSA)
+    return total / (1 << MANTISSA) / np.maximum(1 - np.exp(-(n + m)), 1e-9)
 
 
-def estimated(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Collision-corrected Jaccard similarity of sets by their registers."""
-    agree = (a == b).mean(axis=1)
+def estimated(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Collision-corrected Jaccard similarity of sets by their registers, and how many registers it rests on."""
+    filled = ((a | b) != 0).sum(axis=1)
+    agree = ((a == b) & (a != 0)).sum(axis=1) / np.maximum(filled, 1)
     by_chance = chance(n.astype(float), m.astype(float))
-    return (agree - by_chance) / (1 - by_chance)
+    return (agree - by_chance) / (1 - by_chance), filled
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -94,8 +107,9 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
             sets = shingle_sets(words_of(part.column("text"), SPACED), n)
             marks = [(int(mixed(s).sum(dtype=np.uint64)), int(mixed(s ^ np.uint64(0x5BF03635)).sum(dtype=np.uint64))) for s in sets]
             digests = np.array(marks, np.uint64).reshape(-1, 2).view(np.int64)
+            kept = registers(sets)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())],
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([row.tobytes() if len(s) else None for row, s in zip(kept, sets, strict=True)], pa.binary())],
                 names=["doc_id", "n", "d1", "d2", "registers"],
             )
 
@@ -104,21 +118,22 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
-            kept = np.frombuffer(b"".join(part.column("registers").to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
+            kept = np.frombuffer(b"".join(part.column("registers").to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
             key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :].repeat(len(kept), axis=0)
             for j in range(ROWS):
-                key = mixed(key * np.uint64(0x10001) + kept[:, :, j] + np.uint64(1))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(part.column("rep").to_numpy(zero_copy_only=False), BANDS))], names=["band", "rep"])
+                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + kept[:, :, j] + np.uint64(1))
+            row, band = np.nonzero(kept.any(axis=2))
+            yield pa.RecordBatch.from_arrays([pa.array(key[row, band].view(np.int64)), pa.array(part.column("rep").to_numpy(zero_copy_only=False)[row])], names=["band", "rep"])
 
 
 def _estimate(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in ("ra", "rb"))
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, REGISTERS) for k in ("ra", "rb"))
         n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("na", "nb"))
-        values = estimated(a, b, n, m)
-        good = pa.array(values >= least - MARGIN)
+        values, filled = estimated(a, b, n, m)
+        good = pa.array(values >= least - DEVIATIONS * np.sqrt(least * (1 - least) / np.maximum(filled, 1)))
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good), pa.array(values).filter(good)], names=["a", "b", "estimate"])
 
 
@@ -149,8 +164,13 @@ class _Search:
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sizes and registers allow the threshold, with their estimates."""
-        side = lambda x: self.reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
-        joined = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
+        pairs = written(pairs, "pairs")
+        joined = pairs
+        for x, y in (("a", "b"), ("b", "a")):
+            fans = written(pairs.groupBy(x).agg(F.count(F.lit(1)).alias("fan")), "fans")
+            side = fans.join(self.reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}")), x)
+            joined = lookup(joined, side, [x], "fan", by=y, sizes=fans).drop("fan")
+        joined = joined.where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
         return written(joined.mapInArrow(lambda batches, p=self.percent / 100: _estimate(batches, p), "a long, b long, estimate double"), "likely")
 
     def confirm(self, pairs: DataFrame) -> None:
@@ -201,29 +221,34 @@ class _Search:
         if not rest.isEmpty():
             self.confirm(rest)
 
-    def split_buckets(self, members: DataFrame) -> DataFrame:
-        """The members (band, rep) of buckets with several components: component, and the bucket's commonest one as main."""
+    def split_groups(self, members: DataFrame) -> DataFrame:
+        """The members (band, rep) of groups with several components: component, and the group's commonest one as main."""
         labelled = members.join(self.labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        split = labelled.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("band")
-        kept = labelled.join(split, "band")
-        sizes = kept.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-        main = sizes.groupBy("band").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
-        return written(kept.join(main, "band"), "split-buckets")
+        counts = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+        split = counts.groupBy("band").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        return written(lookup(labelled, written(split.drop("kinds"), "split"), ["band"], "size", by="rep").select("band", "rep", "component", "main"), "split-groups")
 
     def compare(self, members: DataFrame) -> None:
-        """Hold what lies outside a main component against all that shares a bucket with it, on full sets."""
+        """Hold what lies outside a main component against all that shares a group with it, on full sets.
+
+        Sizes are put into classes that grow by the ratio that the threshold allows, so that only neighbouring classes meet.
+        """
         n, percent = self.n, self.percent
-        outside = members.where("component <> main").select("main", "rep", "component").distinct()
-        inside = members.where("component = main").select("main", "rep", "component").distinct()
-        blocks = outside.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("n_out"))
-        chunks = inside.groupBy("main").agg(F.count(F.lit(1)).alias("n_in")).join(blocks, "main").select("main", "blocks", F.ceil((F.col("n_in") + F.col("n_out")) / STREAM).alias("chunks"))
-        sizes = written(chunks, "block-sizes")
+        ratio = 1.001 * max(1.0, 100 / percent)
+        sized = members.select("main", "rep", "component").distinct().join(self.reps.select("rep", "n"), "rep")
+        sized = written(sized.withColumn("size", F.floor(F.log("n") / float(np.log(ratio))).cast("int")), "sized")
+        near = sized.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+        outside = sized.where("component <> main")
+        blocks = outside.groupBy("main", "size").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+        sizes = near.groupBy("main", "size").agg(F.ceil(F.sum("n") / STREAM).alias("chunks"), F.count(F.lit(1)).alias("rows")).join(blocks, ["main", "size"])
+        sizes = written(sizes, "block-sizes")
         each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
-        asked = outside.join(sizes, "main").select("main", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), each("chunks").alias("chunk"), F.lit(0).alias("role"), F.col("rep").alias("doc_id"), "component")
-        streamed = inside.union(outside).join(sizes, "main").select("main", each("blocks").alias("block"), F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("chunks")).alias("chunk"), F.lit(1).alias("role"), F.col("rep").alias("doc_id"), "component")
+        join = lambda rows: lookup(rows, sizes, ["main", "size"], "rows", by="rep")
+        asked = join(outside).select("main", "size", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), each("chunks").alias("chunk"), F.lit(0).alias("role"), F.col("rep").alias("doc_id"), "component")
+        streamed = join(near).select("main", "size", each("blocks").alias("block"), F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("chunks")).alias("chunk"), F.lit(1).alias("role"), F.col("rep").alias("doc_id"), "component")
         wanted = written(asked.unionByName(streamed), "blocks")
-        rows = self.texts.join(small(wanted), "doc_id").select("main", "block", "chunk", "role", "doc_id", "component", "text")
-        ordered = rows.repartition("main", "block", "chunk").sortWithinPartitions("main", "block", "chunk", "role", "doc_id")
+        rows = self.texts.join(small(wanted), "doc_id").select("main", "size", "block", "chunk", "role", "doc_id", "component", "text")
+        ordered = rows.repartition("main", "size", "block", "chunk").sortWithinPartitions("main", "size", "block", "chunk", "role", "doc_id")
         found = written(ordered.mapInArrow(lambda batches: _compare(batches, n, percent), "a long, b long"), "block-links")
         self.join(found)
 
@@ -238,10 +263,10 @@ def _compare(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterato
         for part in slices(batch, "text"):
             found = shingle_sets(words_of(part.column("text"), SPACED), n)
             a, b = [], []
-            keys = zip(*(part.column(c).to_pylist() for c in ("main", "block", "chunk", "role", "doc_id", "component")), strict=True)
-            for (main, block, chunk, role, rep, component), shingles in zip(keys, found, strict=True):
-                if (main, block, chunk) != group:
-                    group, reps, comps, sets, index = (main, block, chunk), [], [], [], None
+            keys = zip(*(part.column(c).to_pylist() for c in ("main", "size", "block", "chunk", "role", "doc_id", "component")), strict=True)
+            for (*key, role, rep, component), shingles in zip(keys, found, strict=True):
+                if key != group:
+                    group, reps, comps, sets, index = key, [], [], [], None
                     seen.clear()
                 if role == 0:
                     reps.append(rep), comps.append(component), sets.append(shingles)
@@ -271,7 +296,7 @@ def _ordered_pairs(frame: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def _chosen(members: DataFrame, seed: int) -> DataFrame:
-    """Each bucket's size and two of its members, by the extremes of one hash: buckets of one group choose the same few."""
+    """Each group's size and two of its members, by the extremes of one hash: groups of alike members choose the same few."""
     order = F.xxhash64(F.lit(seed), "rep")
     return members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min_by("rep", order).alias("low"), F.max_by("rep", order).alias("high")).where("size > 1")
 
@@ -282,10 +307,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     Returns a row for each row of `docs`: doc_id, n_shingles, component_id (the least doc_id reachable by links, its own
     included) and kept (doc_id = component_id). Words are runs of anything but ASCII white space after lower-casing
     A-Z; a document of fewer than `shingle` words is one shingle; null texts and texts without words have no shingles
-    and link with nothing. Rows that repeat a doc_id and its text each get the same row; different texts are taken to
-    have different doc_ids. A row with a null
-    doc_id links with nothing: its component_id is null and it is kept. An empty table gives no rows; other columns
-    are ignored.
+    and link with nothing; a text of any length gives its whole set. Rows that repeat a doc_id and its text each get the same row; different texts are taken to
+    have different doc_ids. A row with a null doc_id links with nothing: its component_id is null and it is kept. An empty
+    table gives no rows; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -294,19 +318,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     known = sketches.where("n > 0 AND doc_id IS NOT NULL")
     reps = written(known.groupBy("d1", "d2", "n", "registers").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size")), "classes")
     bands = reps.select("rep", "registers").mapInArrow(_bands, "band long, rep long")
-    members = written(bands.join(_chosen(bands, 0), "band"), "buckets")
+    members = written(lookup(bands, written(_chosen(bands, 0), "chosen"), ["band"], "size", by="rep"), "groups")
     search = _Search(texts, reps, shingle, percent)
     search.settle(_ordered_pairs(members.select("rep", F.explode(F.array("low", "high")).alias("other")), "rep", "other"), fully=True)
     if search.labels is None:  # no link so far: every class is a component of its own
         search.labels = spark.createDataFrame([], "node long, component long")
-    large = members.where("size > 3").select("band", "rep")  # both chosen members settle smaller buckets
-    split = search.split_buckets(large)
+    large = members.where("size > 3").select("band", "rep")  # both chosen members settle smaller groups
+    split = search.split_groups(large)
     if not split.isEmpty():
-        order = F.xxhash64(F.lit(1), "rep", "band")
-        chosen = split.where("component = main").groupBy("band").agg(F.min_by("rep", order).alias("low"), F.max_by("rep", order).alias("high"))
-        pairs = split.where("component <> main").join(chosen, "band").select("rep", F.explode(F.array("low", "high")).alias("other"))
+        order = F.when(F.col("component") == F.col("main"), F.xxhash64(F.lit(1), "rep", "band"))
+        chosen = written(split.groupBy("band").agg(F.min_by("rep", order).alias("low"), F.max_by("rep", order).alias("high"), F.count_if(F.col("component") != F.col("main")).alias("size")), "chosen")
+        pairs = lookup(split.where("component <> main"), chosen, ["band"], "size", by="rep").select("rep", F.explode(F.array("low", "high")).alias("other"))
         search.settle(_ordered_pairs(pairs, "rep", "other"), fully=False)
-        search.compare(search.split_buckets(split.select("band", "rep")))
+        search.compare(search.split_groups(split.select("band", "rep")))
     classed = reps.select("d1", "d2", "n", "rep", "class_size")
     classed = classed.join(search.labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     classed = written(classed.select("d1", "d2", "n", "component", "class_size"), "classed")
