@@ -200,20 +200,30 @@ def fit(rows: np.ndarray, labels: np.ndarray) -> AdditiveModel:
     return model
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int, longest: int) -> list:
-    """At most `most` labelled documents outside the held-out fold: (text, label). Few enough ids to broadcast."""
-    known = labels.where(F.col(label).isNotNull() & (crc_bucket(F.col("doc_id"), folds) != held_out)).select("doc_id", F.col(label).cast("int").alias("label"))
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int, longest: int) -> DataFrame:
+    """Labelled documents outside the held-out fold: doc_id, text, label, draw. The same ones in every run.
+
+    At most `most` labels are drawn, few enough to broadcast. Should documents share ids, there may be more rows: those
+    of the least `draw` are to be taken.
+    """
+    known = labels.where(F.col(label).isNotNull() & (crc_bucket(F.col("doc_id"), folds) != held_out)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     chosen = bounded_sample(known, "doc_id", most)
-    texts = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).select("doc_id", "text")
-    rows = texts.join(F.broadcast(chosen), "doc_id").limit(2 * most).collect()
-    return sorted(((r.text or "", r.label, r.doc_id) for r in rows), key=lambda r: (r[2], r[0], r[1]))
+    texts = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").withColumn("draw", F.xxhash64(F.lit(19), "doc_id", "text"))
+
+
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            rows = features_of(part.column("text"))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), part.column("draw"), pa.array(list(rows), pa.list_(pa.float64()))], names=["doc_id", "label", "draw", "features"])
 
 
 def learned(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, most: int = TRAIN_DOCS) -> AdditiveModel:
-    """A model of labelled documents outside the held-out fold."""
-    rows = labelled_rows(docs, labels, "quality", folds, held_out, most, TRAIN_TEXT_BYTES)
-    parts = [features_of(pa.array([r[0] for r in rows[at : at + 500]], pa.string())) for at in range(0, len(rows), 500)]
-    return fit(np.vstack(parts) if parts else np.zeros((0, len(FEATURES))), np.array([r[1] for r in rows], float))
+    """A model of labelled documents outside the held-out fold. Features come to the driver, `most` rows of them; texts don't."""
+    drawn = labelled_rows(docs, labels, "quality", folds, held_out, most, TRAIN_TEXT_BYTES).mapInArrow(_featured, "doc_id long, label int, draw long, features array<double>")
+    rows = sorted((r.doc_id, list(r.features), r.label) for r in drawn.orderBy("draw", "doc_id", "label").limit(most).collect())
+    return fit(np.array([r[1] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r[2] for r in rows], float))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: AdditiveModel, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -226,10 +236,11 @@ def _score(batches: Iterator[pa.RecordBatch], model: AdditiveModel, threshold: f
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 4, held_out: int = 2) -> DataFrame:
     """The quality of each document's whole text: doc_id, held_out, score (0 to 1), predicted (1 from `threshold` on).
 
-    Null texts count as empty and are scored by the features of an empty text. Null doc_ids fall in fold 0. Labels
-    without a document and null labels are not learned from; a document that is labelled twice is learned twice.
-    Without labels, or with one kind alone, every score is their share (0.5 without any). Repeated rows are scored one
-    by one; an empty table gives no rows.
+    Null texts count as empty and are scored by the features of an empty text; a text of any length is scored as a whole,
+    though none above TRAIN_TEXT_BYTES is learned from. Null doc_ids fall in fold 0. Labels without a document and null
+    labels are not learned from; a document that is labelled twice is learned twice. Without labels, or with one kind
+    alone, every score is their share (0.5 without any). Repeated rows are scored one by one; an empty table gives no
+    rows; other columns are ignored, whatever their names. Of equally good cuts the first is taken.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
