@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -338,12 +339,28 @@ def test_links_when_no_chosen_member_is_near(spark, monkeypatch):
 def test_register_estimates():
     draw = np.random.default_rng(2)
     for share in (0.2, 0.5, 0.8, 0.95):
-        values = draw.integers(0, 1 << 63, 4000, dtype=np.uint64)
+        values = draw.integers(0, (1 << 64) - 1, 4000, dtype=np.uint64)
         both = int(4000 * share)
         rest = (4000 - both) // 2
         a, b = values[: both + rest], np.concatenate([values[:both], values[both + rest :]])
-        found = minhash_dedup.estimated(minhash_dedup.registers(a)[None], minhash_dedup.registers(b)[None], np.array([len(a)]), np.array([len(b)]))[0]
-        assert abs(found - both / 4000) < 0.15
+        kept = minhash_dedup.registers([a, b])
+        found, filled = minhash_dedup.estimated(kept[:1], kept[1:], np.array([len(a)]), np.array([len(b)]))
+        assert abs(found[0] - both / 4000) < 0.15 and filled[0] == minhash_dedup.REGISTERS
+
+
+def test_registers_by_hand():
+    """Leading bits choose the bucket; of the least rest, the zeros before its first bit and the bits behind it stay."""
+    draw = random.Random(4)
+    sets = [[draw.randrange(1 << 64) for _ in range(n)] for n in (0, 1, 3, 40, 2000)] + [[(9 << 60), (9 << 60) + 1]]
+    for values, row in zip(sets, minhash_dedup.registers([np.array(v, np.uint64) for v in sets]).tolist(), strict=True):
+        wanted = [0] * minhash_dedup.REGISTERS
+        for bucket in range(minhash_dedup.REGISTERS):
+            rests = [v % (1 << 44) for v in values if (v >> 48) * minhash_dedup.REGISTERS >> 16 == bucket]
+            if rests:
+                bits = f"{min(rests):044b}"
+                zeros = len(bits) - len(bits.lstrip("0"))
+                wanted[bucket] = (zeros + 1 << 26) + int((bits[zeros + 1 :] + "0" * 26)[:26], 2)
+        assert row == wanted
 
 
 def labelled(spark):
@@ -493,3 +510,191 @@ def test_pipeline_stages_decide_about_rows(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, f"{tmp_path}/none").count() == 0
+
+
+def test_kernel_ridge_by_dense_matrices():
+    """Landmarks, Nystroem features and one-versus-rest ridge regression, each kernel value counted from sets of n-grams."""
+    draw, texts, labels = random.Random(11), [], []
+    for i in range(60):
+        lang = list(LANGS)[i % 3]
+        texts.append(language_id.prepared(" ".join(draw.choice(LANGS[lang]) for _ in range(draw.choice([1, 4, 12])))))
+        labels.append(lang)
+    model = language_id.fit(texts, labels, landmarks=12)
+
+    def bucket(gram):
+        number = int.from_bytes(gram, "big")
+        return (number * (0x9E3779B1 + 2 * len(gram)) % (1 << 32)) >> 16
+
+    def kept(text):
+        return {bucket(text[i : i + n]) for n in (1, 2, 3) for i in range(len(text) - n + 1)}
+
+    sets = [kept(t) for t in texts]
+    languages = sorted(set(labels))
+    chosen = []
+    for lang in languages:
+        own = [i for i, x in enumerate(labels) if x == lang]
+        chosen += [own[int(k)] for k in np.linspace(0, len(own) - 1, 4).astype(int)]
+    kernel = lambda a, b: len(a & b) / np.sqrt(max(1, len(a)) * max(1, len(b)))
+    inner = np.array([[kernel(sets[i], sets[j]) for j in chosen] for i in chosen])
+    outer = np.array([[kernel(s, sets[j]) for j in chosen] for s in sets])
+    values, vectors = np.linalg.eigh(inner)
+    root = (vectors / np.sqrt(np.maximum(values, 1e-12)))[:, values > 1e-8 * values.max()]
+    features = outer @ root
+    y = np.array([[1.0 if x == lang else -1.0 for lang in languages] for x in labels])
+    weight = np.diag([1 / labels.count(x) for x in labels])
+    solved = np.linalg.solve(features.T @ weight @ features + language_id.RIDGE * np.eye(features.shape[1]), features.T @ weight @ y)
+    asked = [*texts[:9], b"", language_id.prepared("the und avec")]
+    wanted = np.array([[kernel(kept(t), sets[j]) for j in chosen] for t in asked]) @ root @ solved
+    assert np.allclose(model.scores(asked), wanted, atol=2e-3)
+
+
+def test_additive_model_by_loops():
+    """Margins are the base and, bin by bin, the entries of the tables; a cut is the best of all cuts."""
+    draw = np.random.default_rng(3)
+    rows = draw.normal(size=(300, len(quality.FEATURES)))
+    labels = (rows[:, 0] + rows[:, 1] * rows[:, 2] > 0).astype(float)
+    model = quality.fit(rows, labels)
+    assert model.pairs and (1, 2) in model.pairs
+    asked = np.vstack([draw.normal(size=(40, rows.shape[1])), rows[:5]])
+    for row, found in zip(asked, model.margins(asked).tolist(), strict=True):
+        wanted = model.base
+        for k, (edges, table) in enumerate(zip(model.edges, model.tables, strict=True)):
+            wanted += table[sum(1 for e in edges if e < row[k])]
+        for (a, b), table in model.pairs.items():
+            wanted += table[sum(1 for e in model.pair_edges[a] if e < row[a])][sum(1 for e in model.pair_edges[b] if e < row[b])]
+        assert abs(found - wanted) < 1e-9
+    for _ in range(20):
+        g, h = draw.normal(size=9), draw.uniform(0.6, 2, 9)
+        gains = {c: g[:c].sum() ** 2 / (h[:c].sum() + 1) + g[c:].sum() ** 2 / (h[c:].sum() + 1) - g.sum() ** 2 / (h.sum() + 1) for c in range(1, 9)}
+        gain, cut = quality._best_cut(g, h)
+        assert abs(gain - max(gains.values())) < 1e-9 and cut == max(gains, key=lambda c: gains[c])
+
+
+def test_quality_features_by_loops(texts):
+    import pyarrow as pa
+
+    found = quality.features_of(pa.array(texts, pa.string()))
+    for text, row in zip(texts, found.tolist(), strict=True):
+        f, data = dict(zip(quality.FEATURES, row, strict=True)), (text or "").encode()
+        words = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
+        words = [w.lower() if w.isascii() else w for w in words if w]
+        assert abs(f["log_bytes"] - np.log1p(len(data))) < 1e-9
+        assert abs(f["digits"] - sum(48 <= b < 58 for b in data) / max(1, len(data))) < 1e-9
+        assert abs(f["non_ascii"] - sum(b > 127 for b in data) / max(1, len(data))) < 1e-9
+        lowered = ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in words]
+        assert abs(f["distinct_words"] - len(set(lowered)) / max(1, len(words))) < 1e-9
+        assert abs(f["top_word"] - max([lowered.count(w) for w in set(lowered)], default=0) / max(1, len(words))) < 1e-9
+        assert abs(f["distinct_pairs"] - len(set(zip(lowered, lowered[1:]))) / max(1, len(words) - 1)) < 1e-9
+        assert abs(f["word_bytes"] - sum(len(w.encode()) for w in words) / max(1, len(words))) < 1e-9
+
+
+def test_character_ngrams_by_sets(spark):
+    """Buckets of whole characters, counts by a Spark aggregation, ratios and scores against loops."""
+    texts = ["", "ab", "ABCabc", "étude été étude", "日本語テキスト", "x" * 50, "a b\nc\td", "İstanbul 😀😀😀 abc"]
+    sets = [{toxicity.bucket_of(t.lower()[i : i + n]) for n in toxicity.LENGTHS for i in range(len(t.lower()) - n + 1)} for t in texts]
+    doc, bucket = toxicity.distinct_buckets(texts)
+    assert [set(bucket[doc == i].tolist()) for i in range(len(texts))] == sets and len(doc) == sum(map(len, sets))
+    docs, labels = labelled(spark)
+    model = toxicity.learned(docs, labels)
+    drawn = quality.labelled_rows(docs, labels, "toxic", 4, 2, toxicity.TRAIN_DOCS, toxicity.TRAIN_TEXT_BYTES).collect()
+    assert {r.doc_id for r in drawn} == {i for i in range(400) if i != 3 and zlib.crc32(str(i).encode()) % 4 != 2}
+    seen = {0: {}, 1: {}}
+    for r in drawn:
+        t = (r.text or "").lower()
+        for b in {toxicity.bucket_of(t[i : i + n]) for n in toxicity.LENGTHS for i in range(len(t) - n + 1)}:
+            seen[r.label][b] = seen[r.label].get(b, 0) + 1
+    size = [sum(r.label == k for r in drawn) for k in (0, 1)]
+    both = {b: (seen[0].get(b, 0), seen[1].get(b, 0)) for b in seen[0].keys() | seen[1].keys()}
+    spread = {b: abs(t / size[1] - o / size[0]) / np.sqrt((o + t + 1) / sum(size)) for b, (o, t) in both.items() if o + t >= toxicity.LEAST_TEXTS}
+    best = sorted(spread, key=lambda b: (-round(spread[b], 9), b))[: toxicity.FEATURES]
+    assert set(best[: len(best) // 2]) <= set(model.buckets.tolist()) and len(model.buckets) == min(len(spread), toxicity.FEATURES)
+    ratio = toxicity.log_ratios(np.array([both[b][1] for b in model.buckets.tolist()]), np.array([both[b][0] for b in model.buckets.tolist()]), size[1], size[0])
+    hand = np.array([np.log((both[b][1] + 0.5) / (size[1] + 1)) - np.log((both[b][0] + 0.5) / (size[0] + 1)) for b in model.buckets.tolist()])
+    assert np.allclose(ratio, hand)
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+    for text, score in zip([r.text for r in drawn[:20]], model.scores([r.text for r in drawn[:20]]), strict=True):
+        t = text.lower()
+        margin = model.intercept + sum(weight.get(b, 0) for b in {toxicity.bucket_of(t[i : i + n]) for n in toxicity.LENGTHS for i in range(len(t) - n + 1)})
+        assert abs(score - 1 / (1 + np.exp(-margin))) < 1e-4
+    again = toxicity.learned(docs.repartition(7), labels.repartition(3))
+    assert np.array_equal(again.buckets, model.buckets) and np.allclose(again.weights, model.weights, atol=1e-5)
+
+
+def test_neighbours_decide_blocks():
+    """The same short line is main text between running text and not between link lists; no element says anything."""
+    prose, line = "<div>" + "word " * 40 + "</div>", "<div>some nine words that stand on one single line</div>"
+    links = "<ul><li><a href=/x/>one</a></li><li><a href=y>two more</a></li></ul>"
+    assert "nine words" in html_extract.main_text(links + prose + line + prose + links)
+    assert "nine words" not in html_extract.main_text(links + line + links + prose + prose + links)
+    rows, labels = html_extract.labelled_table()
+    assert (html_extract.trained_tree().classify(rows) == labels).mean() > 0.95
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<b>", "<p><i>", "<span></x>", "<a>", "<li><ul>", "<table><td>"])
+def test_deep_pages_take_linear_time(unit):
+    began = time.process_time()
+    assert html_extract.main_text("<article>" + unit * 100_000 + "the text") == "the text"
+    assert time.process_time() - began < 5
+
+
+def test_quotes_and_slashes_in_values():
+    assert html_extract.main_text("<article><p data-x=it's>kept text here</p><p a=\"b>c\" d='e>f'>more</p></article>") == "kept text here\nmore"
+    assert html_extract.blocks_of("<p><a href=/x/>home page</a> x</p>")[0].linked == 2
+    assert html_extract.main_text("<article><span/>a<p class=x/>b</article>") == "a\nb"
+
+
+def test_step_groups_are_balanced(spark):
+    draw = random.Random(12)
+    docs = spark.createDataFrame([(i, " ".join(draw.choice(WORDS) for _ in range(draw.choice([3, 30, 300, 1500, 5000])))) for i in range(400)], "doc_id long, text string").repartition(5)
+    rows = packing.packed(docs, step_tokens=8192).collect()
+    tokens_of, tiers = {}, {}
+    for r in rows:
+        tokens_of[r.step_group] = tokens_of.get(r.step_group, 0) + r.length
+        tiers.setdefault(r.step_group, set()).add(r.tier)
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, set()).add((r.tier, r.step_group))
+    assert all(len(s) == 1 for s in sequences.values())
+    total = sum(tokens_of.values())
+    assert sorted(tokens_of) == list(range(round(total / 8192))) and len(tokens_of) > 20
+    assert max(tokens_of.values()) - min(tokens_of.values()) <= 2 * 2048 and {256, 512, 1024, 2048} <= set.union(*tiers.values())
+    assert sum(len(t) > 1 for t in tiers.values()) <= len(set.union(*tiers.values()))
+
+
+def test_token_files_of_odd_rows(spark, odd, tmp_path):
+    """Null and repeated ids, a very long text; files that no row names don't count."""
+    long = " ".join(f"w{k}" for k in range(60_000))
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(5, "another"), (9, long)], "doc_id long, text string"))
+    folder = f"{tmp_path}/ids"
+    rows = token_binary.token_files(docs, f"file://{folder}").collect()
+    encode = tokens.PartEncoder(tokens.public_path("word_bpe_49k.json")).encode
+    sizes = {t: len(encode([t])[0]) // 4 + 1 for t in ("", "a b c d e f", "another", long)}
+    spans = sorted((r.start, r.n_tokens, r.doc_id) for r in rows)
+    assert gapless([(s, n) for s, n, _ in spans]) and sorted(n for _, n, _ in spans) == sorted([sizes[""], *[sizes["a b c d e f"]] * 3, sizes["another"], sizes[long]])
+    assert [d for _, _, d in spans] == [None, None, 5, 5, 5, 9]
+    files = token_binary.write_files(docs, f"file://{folder}2", tokens.public_path("word_bpe_49k.json"), 2)
+    some = next(iter((tmp_path / "ids2").glob("*.pltk")))
+    (tmp_path / "ids2" / "00000000-00000-lost.pltk").write_bytes(some.read_bytes())
+    assert token_binary.read_files(spark, f"file://{folder}2", files).count() == 6
+
+
+@pytest.mark.parametrize("kind", ["null ids", "repeated", "long"])
+def test_classifiers_of_odd_rows(spark, kind):
+    docs, labels = labelled(spark)
+    extra = {"null ids": [(None, "scoundrel x"), (None, None)], "repeated": [(5, "a"), (5, "b"), (5, "b")], "long": [(2000, "rain sun " * 60_000)]}[kind]
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    for scored in (quality.scored, toxicity.scored):
+        assert scored(more, labels).count() == 400 + len(extra)
+    languages = language_docs(spark).select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(*e, "en") for e in extra], "doc_id long, text string, lang string"))
+    assert language_id.predicted(languages).count() == 243 + len(extra)
+
+
+def test_repeats_in_a_very_long_text(spark):
+    draw = random.Random(13)
+    passage = "".join(draw.choice("abcdefgh ") for _ in range(400))
+    long = "".join(draw.choice("abcdefgh ") for _ in range(300_000))
+    docs = spark.createDataFrame([(1, long[:150_000] + passage + long[150_000:]), (2, "q" + passage + "r"), (2, "q" + passage + "r"), (3, None), (3, None)], "doc_id long, text string")
+    found = sorted((r.doc_id, r.n_removed, r.n_spans) for r in suffix_dedup.without_repeats(docs).collect())
+    assert found == [(1, 0, 0), (2, 400, 1), (2, 400, 1), (3, 0, 0), (3, 0, 0)]
+    pages = spark.createDataFrame([(1, "u", "<article><p>a</article>")] * 2 + [(None, None, "<article>" + "<p>word " * 50_000)], "page_id long, url string, html string")
+    assert sorted(r.n_chars for r in html_extract.extracted(pages).collect()) == [1, 1, 249_999]
