@@ -645,7 +645,7 @@ def test_quotes_and_slashes_in_values():
 
 def test_step_groups_are_balanced(spark):
     draw = random.Random(12)
-    docs = spark.createDataFrame([(i, " ".join(draw.choice(WORDS) for _ in range(draw.choice([3, 30, 300, 1500, 5000])))) for i in range(400)], "doc_id long, text string").repartition(5)
+    docs = spark.createDataFrame([(i, " ".join(draw.choice(WORDS) for _ in range(draw.choice([3, 30, 300, 700, 1500, 5000])))) for i in range(400)], "doc_id long, text string").repartition(5)
     rows = packing.packed(docs, step_tokens=8192).collect()
     tokens_of, tiers = {}, {}
     for r in rows:
