@@ -57,8 +57,7 @@ def collapsed(text: Column) -> Column:
 
 def excerpt(text: Column, n: int) -> Column:
     """Collapsed text of at most n characters, with an ellipsis if it was cut."""
-    body = collapsed(F.coalesce(text, F.lit("")))
-    return F.when(F.length(body) > n, F.concat(F.left(body, F.lit(n)), F.lit("…"))).otherwise(body)
+    return F.regexp_replace(collapsed(F.coalesce(text, F.lit(""))), rf"(?s)^(.{{{n}}}).+$", "$1…")  # the text stands once in the plan
 
 
 def tool_arguments() -> Column:
@@ -77,6 +76,18 @@ def result_output() -> Column:
     return F.coalesce(F.col("p.output"), F.col("p.content"), F.lit(""))
 
 
+def process_output(text: Column, most: int) -> Column:
+    """What follows the first ' Output:' of a tool's output, or all of it, as an excerpt."""
+    at = F.instr(text, " Output:")
+    return excerpt(F.when(at > 0, F.substr(text, at + 8)).otherwise(text), most)
+
+
+def event_cwd() -> Column:
+    """The folder that an event is about: its cwd, else that of a call's input object or parsed arguments."""
+    body = F.coalesce(F.when(F.col("p.input").startswith("{"), F.col("p.input")), F.col("p.arguments"))
+    return F.coalesce(F.col("p.cwd"), F.get_json_object(body, "$.workdir"), F.get_json_object(body, "$.cwd"))
+
+
 def output_process_id(text: Column) -> Column:
     """The id of a process that goes on running."""
     return F.regexp_extract(text, r"(?i)(?:process running with session id |script running with cell id )([A-Za-z0-9_-]+)", 1)

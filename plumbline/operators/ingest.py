@@ -37,9 +37,9 @@ def visible_sessions(events: DataFrame, since: str) -> DataFrame:
 
 def recency_cap(docs: DataFrame, cap: int) -> DataFrame:
     """All documents up to `cap`; beyond it the newest, a tenth fewer than the cap, so that it isn't hit again at once."""
-    if docs.limit(cap + 1).count() <= cap:
-        return docs
-    return docs.orderBy(F.desc("ts"), F.desc("ord")).limit(cap - cap // 10)
+    newest = docs.orderBy(F.desc("ts"), F.desc("ord")).limit(cap + 1).withColumn("_place", F.row_number().over(Window.orderBy(F.desc("ts"), F.desc("ord"))))
+    total = newest.agg(F.count(F.lit(1)).alias("_total"))  # the cap bounds what one task orders; nothing runs while the plan is built
+    return newest.join(F.broadcast(total)).where((F.col("_total") <= cap) | (F.col("_place") <= cap - cap // 10)).drop("_place", "_total")
 
 
 def stable_order(previous: DataFrame, current: DataFrame) -> DataFrame:
@@ -58,6 +58,28 @@ def departed(previous: DataFrame, current: DataFrame) -> DataFrame:
     return previous.select("hash").exceptAll(current.select("hash"))
 
 
+#: A patch is given up if more than one in so many documents departed.
+PATCH_SHARE = 5
+
+
+def reconciled(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """What to do to an index: the old place of each document that departed, and how many stay. No row says: build anew.
+
+    Both have hash and pos; the n-th of equal contents matches the n-th. Too many departures mean another corpus.
+    """
+    nth = F.row_number().over(Window.partitionBy("hash").orderBy("pos"))
+    old, new = (t.select("hash", "pos").withColumn("nth", nth) for t in (previous, current))
+    marked = old.join(new.select("hash", "nth", F.lit(True).alias("stays")), ["hash", "nth"], "left")
+    totals = marked.agg(F.count(F.lit(1)).alias("total"), F.count("stays").alias("survivors"))
+    gone = marked.where("stays IS NULL").select(F.col("pos").alias("deleted"))
+    return gone.join(F.broadcast(totals)).where((F.col("total") - F.col("survivors")) * PATCH_SHARE <= F.greatest(F.col("total"), F.lit(1))).select("deleted", "survivors")  # one row of totals
+
+
+def all_docs(of_sessions: DataFrame, of_items: DataFrame) -> DataFrame:
+    """Documents of sessions and of the forge as one table; what one side doesn't have is null."""
+    return of_items.unionByName(of_sessions, allowMissingColumns=True)
+
+
 def result_fields(events: DataFrame) -> DataFrame:
     """What tool results say of exit codes, times and running processes."""
     output = T.result_output()

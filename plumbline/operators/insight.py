@@ -2,45 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 
 
-@dataclass(frozen=True)
-class ReadScope:
-    """Allow-lists; an empty one allows everything, and all must allow a row."""
-
-    repos: tuple[str, ...] = ()
-    campaigns: tuple[str, ...] = ()
-    roles: tuple[str, ...] = ()
-    sources: tuple[str, ...] = ()
-
-    def predicate(self, columns: list[str]) -> Column:
-        """The condition on a row; a source may stand in either of two columns."""
-        out = F.lit(True)
-        for name, values in (("repo", self.repos), ("campaign", self.campaigns), ("role", self.roles)):
-            if values:
-                out = out & F.coalesce(F.col(name).isin(*values), F.lit(False))
-        if self.sources:
-            out = out & T.any_of([F.coalesce(F.col(c).isin(*self.sources), F.lit(False)) for c in ("capture_source", "source") if c in columns])
-        return out
-
-
-def scope_filter(rows: DataFrame, scope: ReadScope) -> DataFrame:
-    """Rows that a reader may see."""
-    return rows.where(scope.predicate(rows.columns))
-
-
 def metadata_filter(rows: DataFrame, expression: str) -> DataFrame:
     """One column=value, split at the first equals sign; resolved before anything is ranked."""
     column, found, value = expression.partition("=")
     if not found or column.strip() not in rows.columns:
         raise ValueError("a filter is column=value")
-    return rows.where(F.col(column.strip()).cast("string") == value)
+    return rows.where(F.col(column.strip()).cast("string") == value.strip())
 
 
 def status_by(rows: DataFrame, key: str) -> DataFrame:
@@ -61,7 +34,7 @@ def fleet_machines(events: DataFrame, newest: str, quiet_days: int = 7, window_d
     now = F.to_date(F.lit(newest))
     return rows.groupBy("machine").agg(
         F.max("ts").alias("last_ts"),
-        F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"),
+        F.array_join(F.array_sort(F.collect_set(T.agent_label(F.col("source")))), "+").alias("sources"),
         F.count_distinct(F.when(start, F.col("p.actor"))).alias("actors"),
         F.max_by(F.when(start, F.col("p.tracker_version")), F.when(start, F.struct("ts", "ord"))).alias("version"),
         F.count_if(F.to_date("day") > F.date_sub(now, window_days)).alias("recent"),
@@ -69,10 +42,17 @@ def fleet_machines(events: DataFrame, newest: str, quiet_days: int = 7, window_d
     )
 
 
-def fleet_coverage(actors: DataFrame, authors: DataFrame, members: DataFrame | None = None, ignored: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """How many active authors are tracked, in whole percent, and which aren't. Logins compare whatever the case."""
-    tracked = actors.where(F.coalesce("actor", F.lit("")) != "").select(F.lower("actor").alias("login")).distinct()
-    active = authors.groupBy(F.lower("author").alias("login")).agg(F.count(F.lit(1)).alias("items")).where("login <> ''")
+def fleet_coverage(actors: DataFrame, authors: DataFrame, members: DataFrame | None = None, ignored: tuple[str, ...] = (), since: str = "") -> tuple[DataFrame, DataFrame]:
+    """How many active authors are tracked, in whole percent, and which aren't. Logins compare whatever the case.
+
+    `actors` has actor and the last time of a machine of theirs (ts), `authors` has author, ts and the agent that an item
+    is attributed to. Only what is at or after `since` counts. An untracked author carries the agent of their first
+    attributed item; the attributed ones come first in `place`.
+    """
+    tracked = actors.where((F.coalesce("actor", F.lit("")) != "") & (F.col("ts") >= since)).select(F.lower("actor").alias("login")).distinct()
+    mentioned = F.coalesce("agent", F.lit("")) != ""
+    recent = authors.where((F.coalesce("author", F.lit("")) != "") & (F.col("ts") >= since))
+    active = recent.groupBy(F.lower("author").alias("login")).agg(F.count(F.lit(1)).alias("items"), F.min_by(F.when(mentioned, F.col("agent")), F.when(mentioned, F.struct("ts", "agent"))).alias("agent"))
     if ignored:
         active = active.where(~F.col("login").isin(*[x.lower() for x in ignored]))
     if members is not None:
@@ -81,7 +61,8 @@ def fleet_coverage(actors: DataFrame, authors: DataFrame, members: DataFrame | N
         active = active.where(~T.is_bot(F.col("login")))
     marked = active.join(tracked.withColumn("tracked", F.lit(1)), "login", "left")
     rate = marked.agg(F.count(F.lit(1)).alias("active"), F.count("tracked").alias("both")).withColumn("percent", F.when(F.col("active") > 0, F.expr("100 * both div active")).otherwise(0).cast("long"))
-    return rate, active.join(tracked, "login", "left_anti")
+    untracked = active.join(tracked, "login", "left_anti").withColumn("agent", F.coalesce("agent", F.lit("")))
+    return rate, untracked.withColumn("place", F.row_number().over(Window.orderBy(F.col("agent") == "", "login")))  # people, not rows of data
 
 
 def units_feed(sessions: DataFrame, items: DataFrame) -> DataFrame:
@@ -113,13 +94,22 @@ def most_frequent(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def lineage(previous: DataFrame, current: DataFrame, least: float = 0.5) -> DataFrame:
-    """The previous topic that each current one goes on from: the greatest Jaccard overlap of members of `least` or more."""
+    """The previous topic that each current one goes on from: the greatest Jaccard overlap of members of `least` or more.
+
+    A previous topic goes on in one current topic only, the larger one. As a member is in one topic before and in one
+    after, overlaps of a half or more meet only where two topics are the halves of one, so that one choice each way is
+    what choosing topic by topic gives.
+    """
+    if least < 0.5:
+        raise ValueError("overlaps below a half would have to be chosen one after the other")
     sizes = lambda t, n: t.groupBy("topic").agg(F.count(F.lit(1)).alias(n))
     both = current.select(F.col("topic").alias("new_topic"), "member").join(previous.select(F.col("topic").alias("old_topic"), "member"), "member").groupBy("new_topic", "old_topic").agg(F.count(F.lit(1)).alias("shared"))
     joined = both.join(sizes(current, "n_new").withColumnRenamed("topic", "new_topic"), "new_topic").join(sizes(previous, "n_old").withColumnRenamed("topic", "old_topic"), "old_topic")
     scored = joined.withColumn("jaccard", F.round(F.col("shared") / (F.col("n_new") + F.col("n_old") - F.col("shared")), 6)).where(F.col("jaccard") >= least)
     best = F.row_number().over(Window.partitionBy("new_topic").orderBy(F.desc("jaccard"), "old_topic"))
-    return scored.withColumn("_n", best).where("_n = 1").select("new_topic", "old_topic", "jaccard")
+    first = F.row_number().over(Window.partitionBy("old_topic").orderBy(F.desc("n_new"), "new_topic"))
+    chosen = scored.withColumn("_n", best).where("_n = 1").withColumn("_taken", first).where("_taken = 1")
+    return chosen.select("new_topic", "old_topic", "jaccard")
 
 
 def cluster_words(members: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
-from plumbline.sources.envelopes import call_id
+from plumbline.session import written
+from plumbline.sources.envelopes import call_id, epoch_ms
 
 FILE_TOOLS = ("Write", "Edit", "MultiEdit", "NotebookEdit")
 _ORDER = ("ts", "ord")
@@ -54,6 +57,11 @@ def repo_of(cwds: DataFrame, known: DataFrame, cwd: str = "cwd", repo: str = "re
     return best.groupBy(cwd).agg(F.min_by(repo, "pos").alias(repo))
 
 
+def duration_s(first: Column, last: Column) -> Column:
+    """Whole seconds between two times, not below 0; 0 if one can't be read."""
+    return F.coalesce(F.greatest(F.floor(epoch_ms(last) / 1000) - F.floor(epoch_ms(first) / 1000), F.lit(0)), F.lit(0)).cast("long")
+
+
 def session_rollup(events: DataFrame) -> DataFrame:
     """Counts, bounds, first ask, files and linked pull request of each session."""
     order = F.struct(*_ORDER)
@@ -71,6 +79,8 @@ def session_rollup(events: DataFrame) -> DataFrame:
             first_by(is_prompt(), T.excerpt(F.col("p.text"), 200)).alias("ask"),
             F.count_if(is_prompt()).alias("prompts"),
             F.count_if(F.col("kind") == "assistant_message").alias("assistant"),
+            F.count_if(F.col("kind") == "thinking").alias("thinking"),
+            duration_s(F.min("ts"), F.max("ts")).alias("duration_s"),
             F.count_if(F.col("kind") == "tool_call").alias("tools"),
             F.count_if((F.col("kind") == "tool_result") & F.coalesce(F.col("p.is_error"), F.lit(False))).alias("errors"),
             F.size(F.collect_set(F.when(touched, token))).cast("long").alias("files"),
@@ -86,9 +96,9 @@ def usage_records(events: DataFrame, scope: list[str]) -> DataFrame:
     usage = events.where((F.col("kind") == "agent_meta") & (F.col("p.subtype") == "usage")).select(
         "session_id", "source", "day", "ts", "ord", F.coalesce("p.msg_id", F.lit("")).alias("msg_id"), F.coalesce("p.model", F.lit("?")).alias("model"), "p.usage.*"
     )
-    first = F.row_number().over(Window.partitionBy(*scope, "msg_id").orderBy("ts", "ord")) == 1
-    named = usage.where("msg_id <> ''").withColumn("_first", first).where("_first").drop("_first")
-    return named.unionByName(usage.where("msg_id = ''"))
+    key = F.when(F.col("msg_id") != "", F.col("msg_id")).otherwise(F.concat(F.lit("\0"), F.monotonically_increasing_id()))
+    first = F.row_number().over(Window.partitionBy(*scope, "_record").orderBy("ts", "ord")) == 1
+    return usage.withColumn("_record", key).withColumn("_first", first).where("_first").drop("_first", "_record")
 
 
 def _token_sums() -> list[Column]:
@@ -239,16 +249,22 @@ def last_samples(events: DataFrame, n: int = 3) -> DataFrame:
     return calls.withColumn("place", F.row_number().over(Window.partitionBy("tool").orderBy(F.desc("ord")))).where(F.col("place") <= n).drop("ord")
 
 
+#: What makes a session hard.
+SIGNALS = ("thinking", "tools", "prompts", "duration_s")
+
+
 def struggle(sessions: DataFrame) -> DataFrame:
-    """How far a session's prompts and errors lie above the mean, and its place among all that have prompts.
+    """The sum of a session's deviations from the means of SIGNALS, and its place among all sessions by that sum.
 
-    Means and population deviations are over all sessions, promptless ones too; ties are broken by session_id.
+    Means, population deviations and places are over all sessions; those without prompts are left out at the end. Ties are
+    broken by session_id.
     """
-    stats = sessions.agg(F.avg("prompts").alias("mp"), F.greatest(F.stddev_pop("prompts"), F.lit(1e-9)).alias("sp"), F.avg("errors").alias("me"), F.greatest(F.stddev_pop("errors"), F.lit(1e-9)).alias("se"))
-    scored = sessions.join(F.broadcast(stats)).where("prompts > 0").select("session_id", F.round((F.col("prompts") - F.col("mp")) / F.col("sp") + (F.col("errors") - F.col("me")) / F.col("se"), 6).alias("score"))  # one row of statistics
-    parts = int(sessions.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, so that both readers see the same parts
-    ranged = scored.repartitionByRange(parts, "score", "session_id").sortWithinPartitions("score", "session_id").withColumn("part", F.spark_partition_id())
-    return _positions(ranged)
+    sides = [x for name in SIGNALS for x in (F.avg(name).alias(f"mean_{name}"), F.greatest(F.stddev_pop(name), F.lit(1e-9)).alias(f"sd_{name}"))]
+    deviation = reduce(lambda a, b: a + b, [(F.col(name) - F.col(f"mean_{name}")) / F.col(f"sd_{name}") for name in SIGNALS])
+    scored = sessions.select("session_id", *SIGNALS).join(F.broadcast(sessions.agg(*sides))).select("session_id", F.round(deviation, 6).alias("score"), (F.col("prompts") > 0).alias("asked"))  # one row of statistics
+    # range bounds are sampled anew by each reader, so the ranged rows are written once
+    ranged = written(scored.repartitionByRange("score", "session_id").sortWithinPartitions("score", "session_id").withColumn("part", F.spark_partition_id()), "struggle")
+    return _positions(ranged).where("asked").drop("asked")
 
 
 def _positions(ranged: DataFrame) -> DataFrame:
@@ -257,11 +273,19 @@ def _positions(ranged: DataFrame) -> DataFrame:
     offsets = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a partition
     total = sizes.agg(F.sum("n").alias("total"))
     placed = ranged.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("score", "session_id"))).join(F.broadcast(offsets), "part").join(F.broadcast(total))
-    return placed.select("session_id", "score", F.round((F.col("before") + F.col("place") - 1) / F.greatest(F.col("total") - 1, F.lit(1)), 6).alias("position"))
+    return placed.select("session_id", "asked", "score", F.round((F.col("before") + F.col("place") - 1) / F.greatest(F.col("total") - 1, F.lit(1)), 6).alias("position"))
 
 
-def longest_turns(events: DataFrame, k: int = 8) -> DataFrame:
-    """The k longest messages of each session by bytes, in the order in which they were written."""
-    turns = events.where(F.col("kind").isin("user_prompt", "assistant_message") & (F.coalesce("p.text", F.lit("")) != "")).select("session_id", "event_id", "ord", F.octet_length("p.text").alias("bytes"))
+def longest_turns(events: DataFrame, k: int = 8, most: int = 600) -> DataFrame:
+    """The k longest messages of each session by bytes, in the order in which they were written, each cut at `most` characters."""
+    turns = events.where(F.col("kind").isin("user_prompt", "assistant_message") & (F.coalesce("p.text", F.lit("")) != "")).select("session_id", "event_id", "ord", F.octet_length("p.text").alias("bytes"), F.col("p.text").alias("text"))
     top = turns.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("bytes"), "ord"))).where(F.col("place") <= k)
-    return top.withColumn("nth", F.row_number().over(Window.partitionBy("session_id").orderBy("ord"))).select("session_id", "event_id", "bytes", "nth")
+    return top.withColumn("nth", F.row_number().over(Window.partitionBy("session_id").orderBy("ord"))).select("session_id", "event_id", "bytes", "nth", T.excerpt(F.col("text"), most).alias("text"))
+
+
+def touched_files(events: DataFrame) -> DataFrame:
+    """The distinct files that each session changed, in the order of their first change: session_id, touched."""
+    token = T.file_token(F.col("p.local_path"))
+    rows = events.where((F.col("kind") == "attachment_ref") & F.col("p.tool_name").isin(*FILE_TOOLS) & token.isNotNull() & (F.coalesce("session_id", F.lit("")) != ""))
+    first = rows.groupBy("session_id", token.alias("file")).agg(F.min(F.struct(*_ORDER)).alias("at"))
+    return first.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "file"))), lambda x: x["file"]).alias("touched"))

@@ -6,17 +6,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 
 
+def session_text(summary: Column, repo: Column, files: Column) -> Column:
+    """What is embedded of a session: its repository and files, capped for themselves, then its summary."""
+    head = T.excerpt(F.concat_ws(" ", F.lit("Session:"), F.coalesce(repo, F.lit("")), F.array_join(F.slice(files, 1, 8), " ")), 320)
+    return T.excerpt(F.concat(head, F.lit(" — "), summary), 500)
+
+
 def cluster_inputs(sessions: DataFrame, items: DataFrame, summaries: DataFrame) -> DataFrame:
     """What is embedded of each unit with a summary: a session's repository and files before it, an item's text behind it."""
     known = summaries.where(F.coalesce("summary", F.lit("")) != "").select("key", "summary")
-    of_sessions = sessions.join(known, "key").select("key", F.concat_ws(" ", F.col("repo"), F.array_join(F.slice("files", 1, 8), " "), "summary").alias("text"))
-    of_items = items.join(known, "key").select("key", F.left(F.concat_ws(" ", "summary", F.coalesce("body", F.lit(""))), F.lit(500)).alias("text"))
+    of_sessions = sessions.join(known, "key").select("key", session_text(F.col("summary"), F.col("repo"), F.col("files")).alias("text"))
+    of_items = items.join(known, "key").select("key", T.excerpt(F.concat_ws(" ", "summary", F.coalesce("body", F.lit(""))), 500).alias("text"))
     return of_sessions.unionByName(of_items)
 
 
@@ -28,24 +34,36 @@ def at_least(assigned: DataFrame, least: int = 3) -> DataFrame:
     return assigned.join(numbered, "community", "left").select("key", "topic")
 
 
-def reassigned(assigned: DataFrame, neighbours: DataFrame, passes: int = 5) -> DataFrame:
-    """Members join the topic that most of their neighbours' weight lies in; each pass reads the assignment before it.
+def reassigned(assigned: DataFrame, neighbours: DataFrame, linked: DataFrame, passes: int = 5) -> DataFrame:
+    """Outliers moved to the topic of their nearest neighbour outside their own; each pass reads the assignment before it.
 
-    An unassigned member joins only where it has neighbours with a topic. Passes end when nothing moves.
+    A member moves if its best neighbour in another topic is nearer than its best one in its own. An unassigned row joins
+    its nearest topic only if it is in `linked` (key), the rows that have a mutual neighbour. Passes end when nothing moves.
     """
     current = assigned.select("key", "topic").checkpoint()
+    mutual = linked.select("key").distinct().withColumn("mutual", F.lit(True)).checkpoint()
     for _ in range(passes):
-        votes = neighbours.join(current.select(F.col("key").alias("dst"), F.col("topic").alias("vote")), "dst").where("vote IS NOT NULL")
-        sums = votes.groupBy(F.col("src").alias("key"), "vote").agg(F.sum(F.round(F.col("weight") * 100_000).cast("long")).alias("strength"))
-        best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("strength"), "vote"))
-        winner = sums.withColumn("_n", best).where("_n = 1").select("key", "vote")
-        step = current.join(winner, "key", "left").select("key", "topic", F.coalesce("vote", "topic").alias("next")).checkpoint()
+        step = _moved(current, neighbours, mutual).checkpoint()
         current = step.select("key", F.col("next").alias("topic"))
         if step.where(~F.col("topic").eqNullSafe(F.col("next"))).isEmpty():
             break
     return current
 
 
+def _moved(current: DataFrame, neighbours: DataFrame, mutual: DataFrame) -> DataFrame:
+    """One pass: key, topic, next."""
+    votes = neighbours.where("src <> dst").join(current.select(F.col("key").alias("dst"), F.col("topic").alias("vote")), "dst").where("vote IS NOT NULL")
+    seen = current.join(votes.withColumnRenamed("src", "key"), "key", "left")
+    elsewhere = F.coalesce(F.col("vote") != F.col("topic"), F.col("vote").isNotNull())
+    best = seen.groupBy("key", "topic").agg(
+        F.coalesce(F.max(F.when(F.col("vote") == F.col("topic"), F.col("weight"))), F.lit(0.0)).alias("own"),
+        F.min_by(F.when(elsewhere, F.struct("vote", "weight")), F.when(elsewhere, F.col("place"))).alias("other"),
+    )
+    joins = F.col("topic").isNull() & F.coalesce("mutual", F.lit(False))
+    moves = F.col("topic").isNotNull() & (F.col("other.weight") > F.col("own"))
+    return best.join(mutual, "key", "left").select("key", "topic", F.when(F.col("other").isNotNull() & (joins | moves), F.col("other.vote")).otherwise(F.col("topic")).alias("next"))
+
+
 def snapped(assigned: DataFrame, links: DataFrame) -> DataFrame:
     """Sessions that produced a pull request take its topic; `links` has (key, linked)."""
     of_linked = assigned.where("topic IS NOT NULL").select(F.col("key").alias("linked"), F.col("topic").alias("linked_topic"))

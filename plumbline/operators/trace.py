@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
+from plumbline.functions.render import duration, duration_label
+from plumbline.operators.access import ReadScope, clamped, scope_filter
+from plumbline.operators.sessions import repo_of, session_context
 from plumbline.sources.envelopes import call_id, epoch_ms
 
 TASK_SOURCE = "codex_cli"
@@ -64,17 +69,17 @@ def _prompt() -> Column:
     return (F.col("kind") == "user_prompt") & (body != "") & ~T.is_trace_noise(body)
 
 
-def _turns(rows: DataFrame, found: DataFrame, opened: Column, closed_status: Column, no_gap_alone: bool) -> DataFrame:
+def _turns(rows: DataFrame, found: DataFrame, no_gap_alone: bool) -> DataFrame:
     """Aggregate rows that carry `turn`; `closer` flags the closing record of a turn."""
     errors = found.select("session_id", F.col("span_id").alias("event_id"), F.lit(1).alias("is_span"), (F.col("status") == "error").cast("int").alias("is_error"))
     joined = rows.join(errors, ["session_id", "event_id"], "left")
     order = F.struct("ts", "ord")
     turns = joined.groupBy("session_id", "turn").agg(
-        F.min_by(opened, order).alias("turn_id"),
+        F.min_by("head", order).alias("turn_id"),
         F.min_by("source", order).alias("source"),
         F.min("ts").alias("started"),
         F.max("ts").alias("ended"),
-        F.max_by(closed_status, order).alias("closing"),
+        F.max_by("closing", order).alias("closing"),
         F.max_by(F.when(F.col("closer"), F.coalesce("p.duration_ms", "p.payload.duration_ms")), order).alias("reported"),
         F.count(F.lit(1)).alias("events"),
         F.count("is_span").alias("spans"),
@@ -93,8 +98,8 @@ def _turns(rows: DataFrame, found: DataFrame, opened: Column, closed_status: Col
     )
 
 
-def turns_task(events: DataFrame, found: DataFrame) -> DataFrame:
-    """Turns of the source that marks tasks: a task's start always opens one, a prompt where none is open, an end closes it."""
+def _task_rows(events: DataFrame) -> DataFrame:
+    """Events in turns of the source that marks tasks: a start always opens one, a prompt where none is open, an end closes it."""
     rows = events.where((F.col("source") == TASK_SOURCE) & (F.coalesce("session_id", F.lit("")) != ""))
     start, end = F.coalesce(F.col("p.event_kind") == "task_started", F.lit(False)), F.coalesce(F.col("p.event_kind").isin("task_complete", "turn_aborted"), F.lit(False))
     session = Window.partitionBy("session_id").orderBy("ts", "ord")
@@ -104,22 +109,31 @@ def turns_task(events: DataFrame, found: DataFrame) -> DataFrame:
     earlier = F.coalesce(F.sum(openable).over(segment.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     opened = marked.withColumn("opens", F.col("starts") | (F.col("asks") & (earlier == 0)))
     numbered = opened.withColumn("turn", F.sum(F.col("opens").cast("int")).over(session)).withColumn("inside", F.sum(F.col("opens").cast("int")).over(segment) > 0).where("inside")
-    numbered = numbered.withColumn("last_turn", F.max("turn").over(Window.partitionBy("session_id")))
-    turn_id = F.when(F.col("starts") & (F.coalesce("p.turn_id", F.lit("")) != ""), F.col("p.turn_id")).otherwise(F.col("event_id"))
+    head = F.when(F.col("starts") & (F.coalesce("p.turn_id", F.lit("")) != ""), F.col("p.turn_id")).otherwise(F.col("event_id"))
     status = F.when(F.col("p.event_kind") == "task_complete", "ok").when(F.col("p.event_kind") == "turn_aborted", "aborted")
-    return _turns(numbered, found, turn_id, status, True)
+    return numbered.withColumns({"last_turn": F.max("turn").over(Window.partitionBy("session_id")), "head": head, "closing": status})
 
 
-def turns_prompt(events: DataFrame, found: DataFrame) -> DataFrame:
-    """Turns of all other sources: a prompt always opens one, a reported duration or the session's end closes it."""
+def _prompt_rows(events: DataFrame) -> DataFrame:
+    """Events in turns of all other sources: a prompt always opens one, a reported duration or the session's end closes it."""
     rows = events.where((F.col("source") != TASK_SOURCE) & (F.coalesce("session_id", F.lit("")) != ""))
     closer = F.coalesce(F.col("p.subtype") == "turn_duration", F.lit(False)) | (F.col("kind") == "session_end")
     session = Window.partitionBy("session_id").orderBy("ts", "ord")
     marked = rows.withColumns({"asks": _prompt(), "closer": closer}).withColumn("turn", F.sum(F.col("asks").cast("int")).over(session)).where("turn > 0")
     turn = Window.partitionBy("session_id", "turn").orderBy("ts", "ord").rowsBetween(Window.unboundedPreceding, -1)
     kept = marked.withColumn("closed", F.coalesce(F.sum(F.col("closer").cast("int")).over(turn), F.lit(0))).where("closed = 0")
-    kept = kept.withColumn("last_turn", F.max("turn").over(Window.partitionBy("session_id")))
-    return _turns(kept, found, F.col("event_id"), F.when(F.col("p.subtype") == "turn_duration", "ok").when(F.col("kind") == "session_end", "unknown"), False)
+    status = F.when(F.col("p.subtype") == "turn_duration", "ok").when(F.col("kind") == "session_end", "unknown")
+    return kept.withColumns({"last_turn": F.max("turn").over(Window.partitionBy("session_id")), "head": F.col("event_id"), "closing": status})
+
+
+def turns_task(events: DataFrame, found: DataFrame) -> DataFrame:
+    """Turns of the source that marks tasks."""
+    return _turns(_task_rows(events), found, True)
+
+
+def turns_prompt(events: DataFrame, found: DataFrame) -> DataFrame:
+    """Turns of all other sources."""
+    return _turns(_prompt_rows(events), found, False)
 
 
 def turns(events: DataFrame, found: DataFrame | None = None) -> DataFrame:
@@ -128,8 +142,60 @@ def turns(events: DataFrame, found: DataFrame | None = None) -> DataFrame:
     return turns_task(events, found).unionByName(turns_prompt(events, found))
 
 
+def membership(events: DataFrame) -> DataFrame:
+    """The turn of each event that is in one: session_id, event_id, turn_id."""
+    of = lambda rows: rows.select("session_id", "event_id", F.first("head").over(Window.partitionBy("session_id", "turn").orderBy("ts", "ord")).alias("turn_id"))
+    return of(_task_rows(events)).unionByName(of(_prompt_rows(events)))
+
+
+def contexts(events: DataFrame, known: DataFrame) -> DataFrame:
+    """Source, machine, repository, campaign and role of each session; the repository is that of its first cwd."""
+    found = session_context(events)
+    repos = repo_of(found, known)
+    filled = [F.coalesce(name, F.lit("")).alias(name) for name in ("source", "machine", "repo", "campaign", "role")]
+    return found.join(repos, "cwd", "left").select("session_id", *filled)
+
+
+def in_context(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Spans, turns or jobs with the machine, repository, campaign and role of their session."""
+    return rows.join(found.drop("source"), "session_id", "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("machine", "repo", "campaign", "role")})
+
+
+def spans_in_turns(found: DataFrame, members: DataFrame) -> DataFrame:
+    """Spans with the turn that their call is in; empty if there is none."""
+    of = members.select("session_id", F.col("event_id").alias("span_id"), "turn_id")
+    return found.join(of, ["session_id", "span_id"], "left").withColumn("turn_id", F.coalesce("turn_id", F.lit("")))
+
+
+def span_events(found: DataFrame) -> DataFrame:
+    """Both events of each span: event_id, span_id, role (call or result)."""
+    calls = found.select("session_id", F.col("span_id").alias("event_id"), "span_id", F.lit("call").alias("part"))
+    return calls.unionByName(found.where("result_id IS NOT NULL").select("session_id", F.col("result_id").alias("event_id"), "span_id", F.lit("result").alias("part")))
+
+
+def _in_order(column: str, order: Column) -> Column:
+    """The distinct non-empty values of a column in the order of their first appearance."""
+    pairs = F.array_sort(F.collect_list(F.when(F.col(column) != "", F.struct(order.alias("o"), F.col(column).alias("v")))))
+    return F.array_distinct(F.transform(pairs, lambda x: x["v"]))
+
+
 def jobs(found: DataFrame) -> DataFrame:
-    """Chains of spans of one process: a command that goes on running opens a job, writes to it join until one ends it."""
+    """Chains of spans of one process: a command that goes on running opens a job, writes to it join until one ends it.
+
+    Spans that carry the turn they are in (`spans_in_turns`) give the job's turns as well.
+    """
+    return _job_rows(found)[0]
+
+
+def job_spans(found: DataFrame) -> DataFrame:
+    """The spans of each job: job_id, span_id, place (1 is the first)."""
+    numbered = _job_rows(found)[1]
+    job = Window.partitionBy("session_id", "process_id", "job").orderBy("started", "span_id")
+    return numbered.select("session_id", "span_id", F.concat(F.lit("job:"), F.first("span_id").over(job)).alias("job_id"), F.row_number().over(job).alias("place"))
+
+
+def _job_rows(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Jobs, and the spans that carry the number of their job."""
     status = F.when((F.col("operation") == "write_stdin") & (F.col("status") == "error") & F.col("exit_code").isNull() & F.lower("output").contains("write_stdin failed:"), "unknown").otherwise(F.col("status"))
     opens = (F.col("operation") == "exec_command") & (F.col("status") == "running")
     rows = found.where((F.col("source") == TASK_SOURCE) & (F.col("process_id") != "") & (opens | (F.col("operation") == "write_stdin"))).withColumn("opens", opens).withColumn("job_status", status)
@@ -152,37 +218,53 @@ def jobs(found: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "error").alias("errors"),
         F.sum(F.when(F.col("duration_source") == "reported", F.coalesce("duration_ms", F.lit(0))).otherwise(0)).alias("wait_ms"),
         F.min_by("input", order).alias("command"),
+        F.coalesce(F.max_by(F.when(F.col("output") != "", F.col("output")), F.when(F.col("output") != "", order)), F.lit("")).alias("final_output"),
+        *([_in_order("turn_id", order).alias("turn_ids")] if "turn_id" in found.columns else []),
     )
-    return out.withColumn("elapsed_ms", _gap_ms(F.col("started"), F.col("ended"))).drop("job")
+    return out.withColumn("elapsed_ms", _gap_ms(F.col("started"), F.col("ended"))).drop("job"), numbered
+
 
+def trace_list(
+    rows: DataFrame, entity: str, status: str = "", since: str = "", min_ms: int = 0, operation: str = "", has_errors: bool = False, source: str = "", sort: str = "recent", limit: int = 20, repo: str = "", machine: str = "", scope: ReadScope | None = None, found: DataFrame | None = None
+) -> DataFrame:
+    """Filtered and sorted turns, spans or jobs; a missing duration counts as 0, spans ignore has_errors.
 
-def trace_list(rows: DataFrame, entity: str, status: str = "", since: str = "", min_ms: int = 0, operation: str = "", has_errors: bool = False, source: str = "", sort: str = "recent", limit: int = 20) -> DataFrame:
-    """Filtered and sorted turns, spans or jobs; a missing duration counts as 0, spans ignore has_errors."""
+    Repository, machine and source are contained in a row's, whatever the case; a scope holds for a row's repository and
+    source and its session's campaign and role (see `in_context`). For turns, an operation is that of one of their spans,
+    which `found` has with their turn_id. At most 100 rows are listed.
+    """
     if entity not in ("turns", "spans", "jobs"):
         raise ValueError("entity must be turns, spans or jobs")
     duration = F.coalesce(F.col("elapsed_ms" if entity == "jobs" else "duration_ms"), F.lit(0))
     if status:
         rows = rows.where(F.lower("status") == status.lower())
-    if source and "source" in rows.columns:
-        rows = rows.where(F.lower("source").contains(source.lower()))
+    for column, value in (("source", source), ("repo", repo), ("machine", machine)):
+        if value and column in rows.columns:
+            rows = rows.where(F.lower(column).contains(value.lower()))
+    if scope is not None:
+        rows = scope_filter(rows, scope)
     if since:
         rows = rows.where(F.col("started") >= since)
     if min_ms:
         rows = rows.where(duration >= min_ms)
-    if operation and entity != "turns":
+    if operation and entity == "turns":
+        if found is None:
+            raise ValueError("turns are filtered by the operations of their spans")
+        rows = turns_with_operation(rows, found, operation)
+    elif operation:
         fields = ("operation", "input") if entity == "spans" else ("command", "process_id")
         rows = rows.where(T.any_of([F.lower(f).contains(operation.lower()) for f in fields]))
     if has_errors and entity != "spans":
         rows = rows.where("errors > 0")
     key = {"recent": [F.desc("started")], "duration": [F.desc(duration), F.desc("started")], "wait": [F.desc(F.col("wait_ms") if entity == "jobs" else duration), F.desc("started")]}[sort]
     identity = {"turns": "turn_id", "spans": "span_id", "jobs": "job_id"}[entity]
-    return rows.orderBy(*key, identity).limit(limit)
+    return rows.orderBy(*key, identity).limit(clamped(limit, 1, 100))
 
 
-def turns_with_operation(found_turns: DataFrame, membership: DataFrame, found: DataFrame, operation: str) -> DataFrame:
-    """Turns that hold a span of an operation; `membership` has (turn_id, span_id)."""
-    match = found.where(F.lower("operation").contains(operation.lower()) | F.lower("input").contains(operation.lower())).select("span_id")
-    return found_turns.join(membership.join(match, "span_id").select("turn_id").distinct(), "turn_id", "left_semi")
+def turns_with_operation(found_turns: DataFrame, found: DataFrame, operation: str) -> DataFrame:
+    """Turns that hold a span of an operation; `found` are spans with their turn_id."""
+    match = found.where((F.lower("operation").contains(operation.lower()) | F.lower("input").contains(operation.lower())) & (F.col("turn_id") != ""))
+    return found_turns.join(match.select("session_id", "turn_id").distinct(), ["session_id", "turn_id"], "left_semi")
 
 
 def summary(events: DataFrame) -> Column:
@@ -196,7 +278,7 @@ def summary(events: DataFrame) -> Column:
         .when(F.col("kind") == "session_start", F.concat(F.lit("cwd="), F.coalesce("p.cwd", F.lit("")), F.lit(" source="), F.col("source")))
         .when(F.col("kind") == "session_end", F.concat(F.lit("reason="), F.coalesce("p.reason", F.lit(""))))
         .when(F.col("kind") == "attachment_ref", F.coalesce("p.local_path", "p.cwd", F.lit("attachment")))
-        .otherwise(F.coalesce(F.when(F.col("p.event_kind") != "", F.col("p.event_kind")), "p.subtype", F.lit("")))
+        .otherwise(F.concat(F.coalesce(F.when(F.col("p.event_kind") != "", F.col("p.event_kind")), "p.subtype", F.lit("")), F.when(F.coalesce("p.duration_ms", "p.payload.duration_ms").isNotNull(), F.concat(F.lit(" · "), duration(F.coalesce("p.duration_ms", "p.payload.duration_ms")))).otherwise("")))
     )
 
 
@@ -207,9 +289,8 @@ def search_text(events: DataFrame) -> DataFrame:
 
 def trace_search(events: DataFrame, needle: str, kind: str = "", limit: int = 20) -> DataFrame:
     """The newest events whose search text contains a needle, whatever the case."""
-    rows = search_text(events).where(F.lower("search_text").contains(needle.lower()))
-    if kind:
-        rows = rows.where(F.col("kind") == kind)
+    rows = events.where(F.col("kind") == kind) if kind else events
+    rows = search_text(rows).where(F.lower("search_text").contains(needle.lower()))
     return rows.orderBy(F.desc("ts"), F.desc("ord")).limit(limit)
 
 
@@ -228,10 +309,23 @@ def first_context_rows(events: DataFrame) -> DataFrame:
     return events.where(F.col("session_id") != "").withColumn("_n", first).where("_n = 1").drop("_n")
 
 
-def raw_window(events: DataFrame, since: str, until: str, streams: list[str] | None = None, kinds: list[str] | None = None, source: str = "", needle: str = "", session_ids: list[str] | None = None) -> DataFrame:
-    """Events of a window of at most seven days; partition columns and the other filters reach the scan."""
-    if since >= until:
+#: Bounds of a window over raw events: days, events, bytes of payload, sessions. Beyond one of them nothing is returned.
+MOST_DAYS, MOST_EVENTS, MOST_BYTES, MOST_SESSIONS = 7, 50_000, 64 << 20, 200
+
+
+def window_bounds(since: str, until: str) -> tuple[str, str]:
+    """The bounds of a window, if it is one of at most MOST_DAYS days."""
+    first, last = (datetime.fromisoformat(t.replace("Z", "+00:00")) for t in (since, until))
+    if first >= last:
         raise ValueError("the window must end after it begins")
+    if last - first > timedelta(days=MOST_DAYS):
+        raise ValueError(f"windows are limited to {MOST_DAYS} days")
+    return since, until
+
+
+def raw_window(events: DataFrame, since: str, until: str, streams: list[str] | None = None, kinds: list[str] | None = None, source: str = "", needle: str = "", session_ids: list[str] | None = None, id_prefixes: list[str] | None = None) -> DataFrame:
+    """Events of a window of at most seven days; partition columns and the other filters reach the scan."""
+    window_bounds(since, until)
     rows = events.where(F.col("day").between(since[:10], until[:10]) & (F.col("ts") >= since) & (F.col("ts") < until))
     for column, values in (("stream", streams), ("kind", kinds), ("session_id", session_ids)):
         if values:
@@ -240,24 +334,100 @@ def raw_window(events: DataFrame, since: str, until: str, streams: list[str] | N
         rows = rows.where(F.col("source").contains(source))
     if needle:
         rows = rows.where(F.lower("payload").contains(needle.lower()))
+    if id_prefixes:
+        rows = rows.where(T.any_of([F.col("event_id").startswith(prefix) for prefix in id_prefixes]))
     return rows
 
 
+def within_caps(rows: DataFrame) -> DataFrame:
+    """The rows of a window, unless they are more than a reader may take: then it fails as a whole, and no part comes.
+
+    Counting stops one row beyond the cap.
+    """
+    some = rows.limit(MOST_EVENTS + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).alias("bytes"), F.count_distinct(F.when(F.col("session_id") != "", F.col("session_id"))).alias("sessions")).first()
+    if some.n > MOST_EVENTS or some.bytes > MOST_BYTES:
+        raise ValueError(f"the selection has more than {MOST_EVENTS} events or {MOST_BYTES} bytes")
+    if some.sessions > MOST_SESSIONS:
+        raise ValueError(f"the selection spans more than {MOST_SESSIONS} sessions")
+    return rows
+
+
+def streams_of(events: DataFrame, machine: str = "") -> list[str]:
+    """The streams of machines whose name contains a text, whatever the case. There must be one."""
+    names = events.select("stream").distinct().where(F.lower(T.machine_of_trace(F.col("stream"))).contains(machine.lower())).orderBy("stream")
+    found = [row.stream for row in names.collect()]  # a row a machine and source
+    if not found:
+        raise ValueError("no stream of such a machine")
+    return found
+
+
 def expand_sessions(events: DataFrame, hits: DataFrame) -> DataFrame:
     """All events of the sessions that hits belong to."""
     return events.join(hits.where("session_id <> ''").select("session_id").distinct(), "session_id", "left_semi")
 
 
-def turn_timeline(events: DataFrame, found: DataFrame, found_jobs: DataFrame, session_id: str, limit: int = 200) -> DataFrame:
-    """The significant events of a session with offsets from its first; spans that only poll a job are collapsed."""
-    kinds = ("user_prompt", "assistant_message", "tool_call", "session_start", "session_end")
-    rows = events.where((F.col("session_id") == session_id) & F.col("kind").isin(*kinds))
-    heads = found_jobs.select(F.substring("job_id", 5, 1000).alias("event_id"))
-    polls = found.where((F.col("operation") == "write_stdin") & (F.col("process_id") != "") & (F.col("source") == TASK_SOURCE)).select(F.col("span_id").alias("event_id")).join(heads, "event_id", "left_anti")
-    shown = rows.join(polls, "event_id", "left_anti")
-    ordered = Window.partitionBy("session_id").orderBy("ts", "ord")
-    out = shown.withColumn("place", F.row_number().over(ordered)).withColumn("offset_ms", F.coalesce(F.col("ts_ms") - F.first("ts_ms").over(ordered), F.lit(0)))
-    return out.where(F.col("place") <= limit).select("event_id", "kind", "place", "offset_ms")
+def significant() -> Column:
+    """Events that a timeline shows."""
+    marks = F.coalesce(F.col("p.subtype").isin("turn_duration", "compacted"), F.lit(False)) | F.coalesce(F.col("p.event_kind").isin("task_started", "task_complete", "turn_aborted", "context_compacted"), F.lit(False))
+    return F.col("kind").isin("user_prompt", "assistant_message", "session_start", "session_end", "tool_call") | ((F.col("kind") == "agent_meta") & marks)
+
+
+#: Rows of a timeline.
+TIMELINE = 200
+
+
+def timelines(events: DataFrame, members: DataFrame, found: DataFrame, limit: int = TIMELINE) -> DataFrame:
+    """The significant events of each turn: turn_id, place, id, offset_ms (from the turn's first event), kind, summary.
+
+    A call is a span, or the job that it opens in this turn; the job's other spans in the same turn are left out. `found`
+    are spans with their turn_id. A turn shows its first `limit` rows.
+    """
+    in_turn = events.join(members, ["session_id", "event_id"])
+    base = F.first("ts_ms").over(Window.partitionBy("session_id", "turn_id").orderBy("ts", "ord"))
+    rows = in_turn.withColumn("offset_ms", F.greatest(F.coalesce("ts_ms", base) - F.coalesce(base, F.lit(0)), F.lit(0))).where(significant())
+    parts = job_spans(found).join(found.select("session_id", "span_id", "turn_id"), ["session_id", "span_id"])
+    heads = parts.where("place = 1").select("session_id", "job_id", F.col("turn_id").alias("head_turn"))
+    collapsed = parts.where("place > 1").join(heads, ["session_id", "job_id"]).where("turn_id = head_turn AND turn_id <> ''").select("session_id", F.col("span_id").alias("event_id"))
+    opened = jobs(found).select(
+        "session_id", F.substring("job_id", 5, 1000).alias("event_id"), "job_id",
+        F.concat(T.excerpt(F.col("command"), 120), F.lit(" → "), "status", F.lit(" · "), duration(F.col("elapsed_ms")), F.lit(" elapsed · "), duration(F.col("wait_ms")), F.lit(" reported-wait · "), F.col("polls").cast("string"), F.lit(" polls · "), F.col("errors").cast("string"), F.lit(" errors")).alias("job_line"),
+    )
+    opened = opened.join(found.where("turn_id <> ''").select("session_id", F.col("span_id").alias("event_id")), ["session_id", "event_id"], "left_semi")
+    input_part = F.when(F.col("input") == "", "").otherwise(F.concat(F.lit(" · "), T.excerpt(F.col("input"), 140)))
+    lines = found.select("session_id", F.col("span_id").alias("event_id"), F.concat("operation", F.lit(" → "), "status", F.lit(" · "), duration_label(F.col("duration_ms"), F.col("duration_source")), input_part).alias("span_line"))
+    shown = rows.join(collapsed, ["session_id", "event_id"], "left_anti").join(lines, ["session_id", "event_id"], "left").join(opened, ["session_id", "event_id"], "left")
+    place = F.row_number().over(Window.partitionBy("session_id", "turn_id").orderBy("ts", "ord"))
+    kind = F.when(F.col("job_id").isNotNull(), "job").when(F.col("span_line").isNotNull(), "span").otherwise(F.col("kind"))
+    out = shown.withColumn("place", place).where(F.col("place") <= limit)
+    return out.select("session_id", "turn_id", "place", F.coalesce("job_id", "event_id").alias("id"), "offset_ms", kind.alias("kind"), F.coalesce("job_line", "span_line", summary(out)).alias("summary"))
+
+
+def turn_timeline(events: DataFrame, members: DataFrame, found: DataFrame, turn_id: str, limit: int = TIMELINE) -> DataFrame:
+    """The timeline of one turn; only its session is read."""
+    own = members.where(F.col("turn_id") == turn_id)
+    sessions = own.select("session_id").distinct()
+    return timelines(events.join(sessions, "session_id", "left_semi"), own, found.join(sessions, "session_id", "left_semi"), limit)
+
+
+def show(events: DataFrame, known: DataFrame, entity: str, key: str, before: int = 5, after: int = 5) -> DataFrame:
+    """What there is to say about one turn, job, span, event or session.
+
+    A turn has its timeline, a job its spans in order, a span or event its neighbours in the session, a session its turns.
+    Neighbours are bounded by 100 on either side.
+    """
+    before, after = clamped(before, 0, 100), clamped(after, 0, 100)
+    if entity == "session":
+        own = events.where(F.col("session_id") == key)
+        return in_context(turns(own), contexts(own, known)).orderBy("started", "turn_id")
+    if entity in ("span", "event"):
+        rows = event_window(events, key, before, after)
+        return rows.join(events.select("event_id", "session_id", "ts", summary(events).alias("summary")), ["event_id", "session_id"]).orderBy("offset")
+    members, found = membership(events), spans(events)
+    if entity == "turn":
+        return turn_timeline(events, members, spans_in_turns(found, members), key).orderBy("place")
+    if entity == "job":
+        return job_spans(found).where(F.col("job_id") == key).join(found, ["session_id", "span_id"]).orderBy("place")
+    raise ValueError("entity must be turn, job, span, event or session")
 
 
 def resolve_prefix(ids: DataFrame, prefix: str, most: int = 8) -> DataFrame:
@@ -267,6 +437,15 @@ def resolve_prefix(ids: DataFrame, prefix: str, most: int = 8) -> DataFrame:
     return ids.where(F.col("id").startswith(prefix)).orderBy("precedence", "id").limit(most + 1)
 
 
+def comparable(events: DataFrame, entity: str) -> tuple[DataFrame, str]:
+    """The rows that can be compared, and their key: turns, spans or jobs; nothing else can."""
+    found = spans(events)
+    rows = {"turn": lambda: (turns(events, found), "turn_id"), "span": lambda: (found, "span_id"), "job": lambda: (jobs(found), "job_id")}
+    if entity not in rows:
+        raise ValueError("only turns, spans and jobs can be compared")
+    return rows[entity]()
+
+
 def trace_compare(rows: DataFrame, key: str, left: str, right: str) -> DataFrame:
     """Fields in which two rows differ, over all fields of either."""
     fields = [c for c in rows.columns if c != key]

@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import ingest, sessions, trace
+from plumbline.functions import render
+from plumbline.functions import text as T
+from plumbline.functions.redaction import redacted_payloads
+from plumbline.operators import ingest, sessions, surfaces, trace
+from plumbline.operators.access import ReadScope, allowed_events
 from plumbline.plans.adapter import duck_envelopes, envelopes, raw_envelopes
 from plumbline.sources.envelopes import dedup_events
+from plumbline.sources.tables import line_chunks
 
 SINCE, UNTIL = "2024-01-10T00:00:00Z", "2024-01-16T00:00:00Z"
 
@@ -26,6 +31,24 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pulls.join(loc, "number", "left")
 
 
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("repo"))
+
+
+def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trace.contexts(envelopes(spark, sf_dir), _known(spark, sf_dir))
+
+
+def _details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = surfaces.session_details(envelopes(spark, sf_dir), _known(spark, sf_dir))
+    tools = F.array_join(F.transform("tools_by_name", lambda t: F.concat_ws(":", t["tool"], t["calls"].cast("string"))), ",")
+    return found.select("session_id", "repo", "campaign", "role", "tok_in", "tok_out", "cache_read", "cache_create", "usage_turns", "position", tools.alias("tools_by_name"), F.array_join("touched", ",").alias("files"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.session_lines(surfaces.session_details(envelopes(spark, sf_dir), _known(spark, sf_dir)).where("prompts > 0").withColumn("position", F.round("position", 1)))
+
+
 def _identities(events: DataFrame) -> DataFrame:
     found = trace.spans(events)
     ids = trace.jobs(found).select(F.col("job_id").alias("id"), F.lit(1).alias("precedence"), F.lit("job").alias("entity"))
@@ -67,11 +90,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trace_list_jobs": _on(lambda e: trace.trace_list(trace.jobs(trace.spans(e)), "jobs", since=SINCE, sort="wait", limit=50).select("job_id", "status", "wait_ms", "elapsed_ms")),
     "trace_search": _on(lambda e: trace.trace_search(e, "Step-4", kind="tool_call", limit=40).select("event_id", "session_id", "kind", "ts", "summary")),
     "trace_compare": _on(lambda e: trace.trace_compare(trace.spans(e).select("span_id", "operation", "status", "started", "exit_code", "input"), "span_id", "e13", "e4238")),
-    "turn_timeline": _on(lambda e: trace.turn_timeline(e, trace.spans(e), trace.jobs(trace.spans(e)), "u133-2024-01-13")),
+    "turn_timeline": _on(lambda e: trace.timelines(e, trace.membership(e), trace.spans_in_turns(trace.spans(e), trace.membership(e)))),
+    "turn_members": _on(trace.membership),
+    "jobs_in_turns": _on(lambda e: trace.jobs(trace.spans_in_turns(trace.spans(e), trace.membership(e))).select("job_id", F.array_join("turn_ids", ",").alias("turns"))),
+    "job_spans": _on(lambda e: trace.job_spans(trace.spans(e))),
+    "span_events": _on(lambda e: trace.span_events(trace.spans(e))),
+    "spans_in_context": lambda s, d: trace.in_context(trace.spans(envelopes(s, d)), _contexts(s, d)).select("span_id", "session_id", "repo", "machine", "campaign", "role"),
+    "trace_list_repo": lambda s, d: trace.trace_list(trace.in_context(trace.spans(envelopes(s, d)), _contexts(s, d)), "spans", repo="nation_1", machine="DEV-3", limit=100).select("span_id", "repo", "machine"),
+    "trace_list_scoped": lambda s, d: trace.trace_list(trace.in_context(trace.turns(envelopes(s, d)), _contexts(s, d)), "turns", scope=ReadScope(campaigns=("camp1",), roles=("writer",), sources=("claude_code", "codex_cli")), limit=100).select("turn_id", "session_id", "campaign", "role"),
+    "trace_list_operation": _on(lambda e: trace.trace_list(trace.turns(e), "turns", operation="BASH", found=trace.spans_in_turns(trace.spans(e), trace.membership(e)), limit=100).select("turn_id", "session_id")),
+    "trace_show_session": lambda s, d: trace.show(envelopes(s, d), _known(s, d), "session", "c4").select("turn_id", "status", "ask", "machine"),
+    "trace_show_event": lambda s, d: trace.show(envelopes(s, d), _known(s, d), "event", "e4238", 2, 3).select("event_id", "offset", "summary"),
+    "allowed_events": lambda s, d: allowed_events(envelopes(s, d), ["NATION_3", "NATION_17"], _known(s, d)).select("event_id"),
+    "streams": _on(lambda e: e.select("stream").distinct().where(F.lower(T.machine_of_trace(F.col("stream"))).contains("dev-1"))),
+    "session_details": lambda s, d: _details(s, d),
+    "touched_files": _on(lambda e: sessions.touched_files(e).select("session_id", F.array_join("touched", ",").alias("files"))),
+    "session_inputs": lambda s, d: surfaces.session_inputs(envelopes(s, d), _known(s, d)).select("session_id", "repo", "ask", F.array_join("files", ",").alias("files"), F.size("turns").alias("turns")),
+    "sessions_in_order": _on(lambda e: surfaces.sessions_in_order(sessions.session_rollup(e)).limit(100).select("session_id", "ended")),
+    "by_model": _on(surfaces.by_model),
+    "tool_suggestions": _on(lambda e: surfaces.tool_suggestions(sessions.tool_names(e), "e")),
+    "tool": _on(lambda e: surfaces.tool(e, "Edit")),
+    "process_output": _on(lambda e: e.where("kind = 'tool_result'").select("event_id", T.process_output(T.result_output(), 12).alias("said"))),
+    "event_cwd": _on(lambda e: e.select("event_id", F.coalesce(T.event_cwd(), F.lit("")).alias("cwd")).where("cwd <> ''")),
+    "durations": _on(lambda e: trace.spans(e).select("span_id", render.duration(F.col("duration_ms")).alias("duration"), render.duration_label(F.col("duration_ms"), F.col("duration_source")).alias("label"), render.offset(F.coalesce("duration_ms", F.lit(0))).alias("offset"))),
+    "token_counts": _on(lambda e: sessions.day_stats(e).select("day", render.token_count(F.col("tok_in")).alias("tok_in"), render.token_count(F.col("cache_read") * 1000).alias("cache"))),
+    "session_lines": lambda s, d: _lines(s, d),
+    "redact_payloads": _on(lambda e: redacted_payloads(e.select("event_id", F.concat(F.lit('{"a":{"Api-Key":"x","max.token":7,"list":["sk-abcdefghijklmnop0123",{"user_token":"'), "event_id", F.lit('"}],"note":"MY_SECRET=abc '), "event_id", F.lit('"},"password":null}')).alias("payload")), "payload").select("event_id", "payload")),
+    "upload_chunks": _on(lambda e: line_chunks(e.select("stream", F.col("ord").alias("seq"), F.col("payload").alias("line")), 4096).select("stream", "chunk", "lines", "bytes", F.md5("body").alias("digest"))),
+    "ingest_counters": lambda s, d: surfaces.ingest_counters(raw_envelopes(s, d).withColumns({"corrupt": F.when(F.col("ord") % 91 == 0, "x"), "v": F.when(F.col("ord") % 89 == 0, 2).otherwise(1)}), dedup_events(raw_envelopes(s, d).where("ord % 91 <> 0 AND ord % 89 <> 0"))),
+    "derived_pairs": _on(lambda e: surfaces.derived_pairs(sessions.session_rollup(e), e.sparkSession.createDataFrame([], "key string, summary string"))),
     "event_window": _on(lambda e: trace.event_window(e, "e4238", 3, 4)),
     "first_context_rows": _on(lambda e: trace.first_context_rows(e).select("session_id", "kind", "event_id", "ts")),
     "raw_window_select": _on(lambda e: trace.raw_window(e, SINCE, UNTIL, kinds=["tool_result", "tool_call"], source="co", needle="exit").select("event_id", "stream", "ts", "kind")),
-    "expand_sessions": _on(lambda e: trace.expand_sessions(e, trace.raw_window(e, SINCE, UNTIL, kinds=["tool_result"], needle="step")).groupBy("session_id").agg(F.count(F.lit(1)).alias("events"))),
+    "expand_sessions": _on(lambda e: trace.expand_sessions(e, trace.raw_window(e, SINCE, UNTIL, kinds=["tool_result"], needle="exit code 1")).groupBy("session_id").agg(F.count(F.lit(1)).alias("events"))),
     "resolve_prefix": _on(lambda e: trace.resolve_prefix(_identities(e), "e423")),
     "docs_from_events": _on(lambda e: ingest.docs_from_events(e).select("event_id", "session_id", "kind", "author", "chars")),
     "capture_boundary": _on(lambda e: ingest.capture_boundary(e, SINCE).groupBy("kind").agg(F.count(F.lit(1)).alias("events"))),
@@ -157,7 +208,7 @@ _SPANS = """, paired AS (
     SELECT session_id, process_id, 'job:' || arg_min(span_id, (started, span_id)) AS job_id, arg_min(CASE WHEN opens THEN 'exact_process_session_id' ELSE 'continuation_only' END, (started, span_id)) AS association,
            min(started) AS started, arg_max(CASE WHEN ended <> '' THEN ended ELSE started END, (started, span_id)) AS ended, arg_max(job_status, (started, span_id)) AS status, count(*) AS spans,
            count(*) FILTER (operation = 'write_stdin') AS polls, count(*) FILTER (operation = 'write_stdin' AND has_data) AS stdin_writes, count(*) FILTER (status = 'error') AS errors,
-           sum(CASE WHEN duration_source = 'reported' THEN duration_ms ELSE 0 END)::BIGINT AS wait_ms, arg_min(input, (started, span_id)) AS command,
+           sum(CASE WHEN duration_source = 'reported' THEN duration_ms ELSE 0 END)::BIGINT AS wait_ms, arg_min(input, (started, span_id)) AS command, coalesce(arg_max(output, (started, span_id)) FILTER (output <> ''), '') AS final_output,
            greatest(epoch_ms(CAST(arg_max(CASE WHEN ended <> '' THEN ended ELSE started END, (started, span_id)) AS TIMESTAMP)) - epoch_ms(CAST(min(started) AS TIMESTAMP)), 0) AS elapsed_ms
     FROM jn GROUP BY session_id, process_id, job
 ) """
@@ -192,7 +243,7 @@ _TURNS = _SPANS + """, tt0 AS (
 
 _ROLLUP = """, roll AS (
     SELECT session_id, min(ts) AS started, max(ts) AS ended, arg_min(source, (ts, ord)) AS source, arg_min(regexp_replace(trim(text), '\\s+', ' ', 'g'), (ts, ord)) FILTER (asks) AS whole, count(*) FILTER (asks) AS prompts,
-           count(*) FILTER (kind = 'assistant_message') AS assistant, count(*) FILTER (kind = 'tool_call') AS tools, count(*) FILTER (kind = 'tool_result' AND is_error) AS errors,
+           count(*) FILTER (kind = 'assistant_message') AS assistant, count(*) FILTER (kind = 'thinking') AS thinking, greatest(date_diff('second', CAST(min(ts) AS TIMESTAMP), CAST(max(ts) AS TIMESTAMP)), 0) AS duration_s, count(*) FILTER (kind = 'tool_call') AS tools, count(*) FILTER (kind = 'tool_result' AND is_error) AS errors,
            count(DISTINCT CASE WHEN kind = 'attachment_ref' THEN regexp_extract(payload->>'$.local_path', '([^/]+/[^/]+/[^/]+)$', 1) END) AS files,
            arg_min('gh:' || regexp_extract(payload->>'$.pr_url', '([^/]+)/pull/([0-9]+)', 1) || '#' || regexp_extract(payload->>'$.pr_url', '/pull/([0-9]+)', 1), (ts, ord)) FILTER (payload->>'$.pr_url' IS NOT NULL) AS linked,
            arg_max(payload->>'$.cwd', (ts, ord)) FILTER (kind = 'session_start') AS cwd, arg_max(payload->>'$.actor', (ts, ord)) FILTER (kind = 'session_start') AS actor
@@ -205,6 +256,30 @@ _DOCS = """, docs AS (
     WHERE asks OR (kind IN ('assistant_message', 'thinking') AND octet_length(encode(trim(coalesce(text, '')))) >= 12)
 ) """
 
+_MEMBERS = ", mem AS (SELECT session_id, event_id, first_value(head) OVER (PARTITION BY task, session_id, turn ORDER BY ts, ord) AS turn_id FROM members) "
+
+_CONTEXT = """, c0 AS (SELECT session_id, arg_min(regexp_replace(regexp_replace(stream, '^edge-', ''), '-(claudecode|codex|cowork)$', ''), (ts, ord)) AS machine, arg_min(payload->>'$.cwd', (ts, ord)) FILTER (payload->>'$.cwd' IS NOT NULL) AS cwd,
+        arg_min(payload->>'$.campaign_id', (ts, ord)) FILTER (payload->>'$.campaign_id' IS NOT NULL) AS campaign, arg_min(payload->>'$.campaign_role', (ts, ord)) FILTER (payload->>'$.campaign_role' IS NOT NULL) AS role FROM e WHERE session_id <> '' GROUP BY session_id
+), cx AS (
+    SELECT session_id, machine, campaign, role, (SELECT n_name FROM nation WHERE regexp_matches(cwd, '/' || n_name || '(-[^/]*)?/') LIMIT 1) AS repo FROM c0
+) """
+
+
+def _cut(text: str, n: int) -> str:
+    """An excerpt."""
+    body = f"regexp_replace(trim(coalesce({text}, '')), '\\s+', ' ', 'g')"
+    return f"(CASE WHEN length({body}) > {n} THEN left({body}, {n}) || '…' ELSE {body} END)"
+
+
+def _duration(ms: str, unknown: str = "'—'") -> str:
+    return f"(CASE WHEN {ms} IS NULL THEN {unknown} WHEN {ms} < 1000 THEN {ms} || 'ms' WHEN {ms} < 60000 THEN printf('%.1f', {ms} / 1000.0::DOUBLE) || 's' WHEN {ms} < 3600000 THEN printf('%.1f', {ms} / 60000.0::DOUBLE) || 'm' ELSE printf('%.1f', {ms} / 3600000.0::DOUBLE) || 'h' END)"
+
+
+def _tokens(n: str) -> str:
+    part = lambda unit, mark: f"regexp_replace(printf('%.1f', ({n}) / {unit}::DOUBLE), '\\.0$', '') || '{mark}'"
+    return f"(CASE WHEN {n} < 1000 THEN ({n})::VARCHAR WHEN {n} < 1000000 THEN {part('1e3', 'k')} WHEN {n} < 1000000000 THEN {part('1e6', 'M')} ELSE {part('1e9', 'B')} END)"
+
+
 ORACLES: dict[str, str] = {
     "dedup_events": _ev("SELECT event_id, session_id, kind, ord FROM e"),
     "session_rollup": _ev(_ROLLUP + "SELECT * EXCLUDE (whole), CASE WHEN length(whole) > 200 THEN left(whole, 200) || '…' ELSE whole END AS ask FROM roll"),
@@ -235,10 +310,10 @@ ORACLES: dict[str, str] = {
         ) WHERE kinds <= 8 AND most > 1 AND place <= 3"""),
     "tool_samples": _ev("SELECT tool, event_id, place FROM (SELECT coalesce(name, '?') AS tool, event_id, row_number() OVER (PARTITION BY coalesce(name, '?') ORDER BY ord DESC) AS place FROM e WHERE kind = 'tool_call') WHERE place <= 3"),
     "usage_coverage": _ev("SELECT count(*) AS sessions, sum(has)::BIGINT AS with_usage, (100 * sum(has) // count(*))::BIGINT AS percent FROM (SELECT session_id, max((coalesce(subtype = 'usage', false) OR coalesce(event_kind = 'token_count', false))::INT) AS has FROM e GROUP BY session_id)"),
-    "struggle": _ev(_ROLLUP + """, z AS (SELECT session_id, prompts, round((prompts - avg(prompts) OVER ()) / greatest(stddev_pop(prompts) OVER (), 1e-9) + (errors - avg(errors) OVER ()) / greatest(stddev_pop(errors) OVER (), 1e-9), 6) AS score FROM roll)
-        SELECT session_id, score, round((row_number() OVER (ORDER BY score, session_id) - 1) / greatest(count(*) OVER () - 1, 1), 6) AS position FROM z WHERE prompts > 0"""),
-    "longest_turns": _ev("""SELECT session_id, event_id, bytes, row_number() OVER (PARTITION BY session_id ORDER BY ord) AS nth FROM (
-        SELECT session_id, event_id, ord, octet_length(encode(text)) AS bytes FROM e WHERE kind IN ('user_prompt', 'assistant_message') AND coalesce(text, '') <> '' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY octet_length(encode(text)) DESC, ord) <= 3)"""),
+    "struggle": _ev(_ROLLUP + ", z AS (SELECT session_id, prompts, round(" + " + ".join(f"({c} - avg({c}) OVER ()) / greatest(stddev_pop({c}) OVER (), 1e-9)" for c in ("thinking", "tools", "prompts", "duration_s")) + """, 6) AS score FROM roll)
+        SELECT session_id, score, position FROM (SELECT session_id, prompts, score, round((row_number() OVER (ORDER BY score, session_id) - 1) / greatest(count(*) OVER () - 1, 1), 6) AS position FROM z) WHERE prompts > 0"""),
+    "longest_turns": _ev("""SELECT session_id, event_id, bytes, row_number() OVER (PARTITION BY session_id ORDER BY ord) AS nth, CASE WHEN length(w) > 600 THEN left(w, 600) || '…' ELSE w END AS text FROM (
+        SELECT session_id, event_id, ord, regexp_replace(trim(text), '\\s+', ' ', 'g') AS w, octet_length(encode(text)) AS bytes FROM e WHERE kind IN ('user_prompt', 'assistant_message') AND coalesce(text, '') <> '' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY octet_length(encode(text)) DESC, ord) <= 3)"""),
     "loc_by_day": "SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, coalesce(sum(a), 0)::BIGINT AS loc_add, coalesce(sum(d), 0)::BIGINT AS loc_del, count(*) AS prs FROM orders LEFT JOIN (SELECT l_orderkey, sum(floor(l_quantity)) AS a, sum(floor(l_discount * 100)) AS d FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1",
     "activity_by_day": _ev(_USAGE + """, loc AS (SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, coalesce(sum(a), 0)::BIGINT AS loc_add, coalesce(sum(d), 0)::BIGINT AS loc_del, count(*) AS prs FROM orders LEFT JOIN (SELECT l_orderkey, sum(floor(l_quantity)) AS a, sum(floor(l_discount * 100)) AS d FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1)
         SELECT coalesce(days.day, loc.day) AS day, coalesce(tok_in, 0) AS tok_in, coalesce(tok_out, 0) AS tok_out, coalesce(tools, 0) AS tools, coalesce(sessions, 0) AS sessions, coalesce(loc_add, 0) AS loc_add, coalesce(loc_del, 0) AS loc_del, coalesce(prs, 0) AS prs FROM days FULL JOIN loc ON days.day = loc.day"""),
@@ -252,14 +327,64 @@ ORACLES: dict[str, str] = {
     "trace_search": _ev("SELECT event_id, session_id, kind, ts, coalesce(name, '?') || ' · ' || coalesce(args->>'$.cmd', args) AS summary FROM e WHERE kind = 'tool_call' AND contains(lower(left(kind || ' ' || source || ' ' || session_id || ' ' || coalesce(name, '?') || ' · ' || coalesce(args->>'$.cmd', args) || ' ' || payload, 512)), 'step-4') ORDER BY ts DESC, ord DESC LIMIT 40"),
     "trace_compare": _ev(_SPANS + """, f AS (SELECT span_id, unnest(['operation', 'status', 'started', 'exit_code', 'input']) AS field, unnest([operation, status, started, exit_code::VARCHAR, input]) AS value FROM spans WHERE span_id IN ('e13', 'e4238'))
         SELECT coalesce(a.field, b.field) AS field, a.value AS left_value, b.value AS right_value FROM (FROM f WHERE span_id = 'e13') a FULL JOIN (FROM f WHERE span_id = 'e4238') b ON a.field = b.field WHERE a.value IS DISTINCT FROM b.value"""),
-    "turn_timeline": _ev(_SPANS + """, shown AS (SELECT * FROM e WHERE session_id = 'u133-2024-01-13' AND kind IN ('user_prompt', 'assistant_message', 'tool_call', 'session_start', 'session_end')
-            AND event_id NOT IN (SELECT span_id FROM spans WHERE operation = 'write_stdin' AND process_id <> '' AND source = 'codex_cli' AND 'job:' || span_id NOT IN (SELECT job_id FROM jobs)))
-        SELECT event_id, kind, row_number() OVER (ORDER BY ts, ord) AS place, ts_ms - first_value(ts_ms) OVER (ORDER BY ts, ord) AS offset_ms FROM shown QUALIFY row_number() OVER (ORDER BY ts, ord) <= 200"""),
+    "turn_timeline": _ev(_TURNS + _MEMBERS + f""", ps AS (SELECT jn.*, min_by(span_id, (started, span_id)) OVER (PARTITION BY session_id, process_id, job) AS head FROM (SELECT *, row_number() OVER (PARTITION BY session_id, process_id, job ORDER BY started, span_id) AS nth_in FROM jn) jn),
+        gone AS (SELECT ps.session_id, ps.span_id FROM ps JOIN mem m ON m.event_id = ps.span_id AND m.session_id = ps.session_id JOIN mem h ON h.event_id = ps.head AND h.session_id = ps.session_id WHERE ps.nth_in > 1 AND m.turn_id = h.turn_id),
+        sig AS (SELECT e.*, m.turn_id, first_value(e.ts_ms) OVER (PARTITION BY e.session_id, m.turn_id ORDER BY e.ts, e.ord) AS base FROM e JOIN mem m ON m.event_id = e.event_id AND m.session_id = e.session_id),
+        shown AS (SELECT sig.*, row_number() OVER (PARTITION BY session_id, turn_id ORDER BY ts, ord) AS place FROM sig
+            WHERE (kind IN ('user_prompt', 'assistant_message', 'session_start', 'session_end', 'tool_call') OR kind = 'agent_meta' AND (coalesce(subtype, '') IN ('turn_duration', 'compacted') OR coalesce(event_kind, '') IN ('task_started', 'task_complete', 'turn_aborted', 'context_compacted')))
+            AND NOT EXISTS (SELECT 1 FROM gone WHERE gone.session_id = sig.session_id AND gone.span_id = sig.event_id))
+        SELECT s.session_id, s.turn_id, place, coalesce(j.job_id, s.event_id) AS id, greatest(ts_ms - base, 0) AS offset_ms, CASE WHEN j.job_id IS NOT NULL THEN 'job' WHEN sp.span_id IS NOT NULL THEN 'span' ELSE s.kind END AS kind,
+            CASE WHEN j.job_id IS NOT NULL THEN {_cut('j.command', 120)} || ' → ' || j.status || ' · ' || {_duration('j.elapsed_ms')} || ' elapsed · ' || {_duration('j.wait_ms')} || ' reported-wait · ' || j.polls || ' polls · ' || j.errors || ' errors'
+                 WHEN sp.span_id IS NOT NULL THEN sp.operation || ' → ' || sp.status || ' · ' || {_duration('sp.duration_ms')} || CASE sp.duration_source WHEN 'reported' THEN ' reported' WHEN 'event_gap' THEN ' event-gap' ELSE '' END || CASE WHEN sp.input = '' THEN '' ELSE ' · ' || {_cut('sp.input', 140)} END
+                 WHEN s.kind IN ('user_prompt', 'assistant_message') THEN {_cut('s.text', 180)} WHEN s.kind = 'session_start' THEN 'cwd=' || coalesce(payload->>'$.cwd', '') || ' source=' || s.source
+                 WHEN s.kind = 'tool_call' THEN coalesce(s.name, '?') || ' · ' || {_cut("coalesce(s.args->>'$.cmd', s.args)", 180)}
+                 ELSE coalesce(s.event_kind, s.subtype, '') || coalesce(' · ' || {_duration("CAST(payload->>'$.duration_ms' AS BIGINT)", 'NULL')}, '') END AS summary
+        FROM shown s LEFT JOIN jobs j ON j.session_id = s.session_id AND j.job_id = 'job:' || s.event_id LEFT JOIN spans sp ON sp.session_id = s.session_id AND sp.span_id = s.event_id WHERE place <= 200"""),
+    "turn_members": _ev(_TURNS + _MEMBERS + "SELECT * FROM mem"),
+    "jobs_in_turns": _ev(_TURNS + _MEMBERS + """, jt AS (SELECT jn.session_id, jn.process_id, jn.job, m.turn_id, min((jn.started, jn.span_id)) AS place FROM jn JOIN mem m ON m.event_id = jn.span_id AND m.session_id = jn.session_id GROUP BY 1, 2, 3, 4)
+        SELECT job_id, coalesce(turns, '') AS turns FROM (SELECT session_id, process_id, job, 'job:' || arg_min(span_id, (started, span_id)) AS job_id FROM jn GROUP BY 1, 2, 3) LEFT JOIN (SELECT session_id, process_id, job, string_agg(turn_id, ',' ORDER BY place) AS turns FROM jt GROUP BY 1, 2, 3) USING (session_id, process_id, job)"""),
+    "job_spans": _ev(_SPANS + "SELECT session_id, span_id, 'job:' || first_value(span_id) OVER w AS job_id, row_number() OVER w AS place FROM jn WINDOW w AS (PARTITION BY session_id, process_id, job ORDER BY started, span_id)"),
+    "span_events": _ev(_SPANS + "SELECT session_id, span_id AS event_id, span_id, 'call' AS part FROM spans UNION ALL SELECT session_id, result_id, span_id, 'result' FROM spans WHERE result_id IS NOT NULL"),
+    "spans_in_context": _ev(_SPANS + _CONTEXT + "SELECT span_id, session_id, coalesce(repo, '') AS repo, coalesce(machine, '') AS machine, coalesce(campaign, '') AS campaign, coalesce(role, '') AS role FROM spans LEFT JOIN cx USING (session_id)"),
+    "trace_list_repo": _ev(_SPANS + _CONTEXT + "SELECT span_id, repo, machine FROM spans JOIN cx USING (session_id) WHERE contains(lower(repo), 'nation_1') AND contains(lower(machine), 'dev-3') ORDER BY started DESC, span_id LIMIT 100"),
+    "trace_list_scoped": _ev(_TURNS + _CONTEXT + "SELECT turn_id, session_id, campaign, role FROM tv JOIN cx USING (session_id) WHERE campaign = 'camp1' AND role = 'writer' AND source IN ('claude_code', 'codex_cli') ORDER BY started DESC, turn_id LIMIT 100"),
+    "trace_list_operation": _ev(_TURNS + _MEMBERS + "SELECT turn_id, session_id FROM tv WHERE EXISTS (SELECT 1 FROM spans JOIN mem ON mem.event_id = span_id AND mem.session_id = spans.session_id WHERE mem.turn_id = tv.turn_id AND mem.session_id = tv.session_id AND (contains(lower(operation), 'bash') OR contains(lower(input), 'bash'))) ORDER BY started DESC, turn_id LIMIT 100"),
+    "trace_show_session": _ev(_TURNS + _CONTEXT + "SELECT turn_id, status, ask, machine FROM tv JOIN cx USING (session_id) WHERE session_id = 'c4'"),
+    "trace_show_event": _ev(f"""SELECT event_id, pos - centre AS "offset", CASE WHEN kind IN ('user_prompt', 'assistant_message') THEN {_cut('text', 180)} WHEN kind = 'session_start' THEN 'cwd=' || coalesce(payload->>'$.cwd', '') || ' source=' || source WHEN kind = 'tool_call' THEN coalesce(name, '?') || ' · ' || {_cut("coalesce(args->>'$.cmd', args)", 180)}
+            WHEN kind = 'tool_result' THEN {_cut('output', 180)} WHEN kind = 'attachment_ref' THEN payload->>'$.local_path' ELSE coalesce(event_kind, subtype, '') || coalesce(' · ' || {_duration("CAST(payload->>'$.duration_ms' AS BIGINT)", 'NULL')}, '') END AS summary
+        FROM (SELECT *, max(CASE WHEN event_id = 'e4238' THEN pos END) OVER () AS centre FROM (SELECT *, row_number() OVER (ORDER BY ts, ord) AS pos FROM e WHERE session_id = (SELECT session_id FROM e WHERE event_id = 'e4238'))) WHERE pos BETWEEN centre - 2 AND centre + 3"""),
+    "allowed_events": _ev("SELECT event_id FROM e WHERE session_id IN (SELECT session_id FROM e WHERE kind = 'session_start' AND regexp_matches(payload->>'$.cwd', '/(NATION_3|NATION_17)(-[^/]*)?/'))"),
+    "streams": _ev("SELECT DISTINCT stream FROM e WHERE contains(lower(regexp_replace(regexp_replace(stream, '^edge-', ''), '-(claudecode|codex|cowork)$', '')), 'dev-1')"),
+    "session_details": _ev(_ROLLUP + _USAGE + _CALLS + _CONTEXT + ", z AS (SELECT session_id, round(" + " + ".join(f"({c} - avg({c}) OVER ()) / greatest(stddev_pop({c}) OVER (), 1e-9)" for c in ("thinking", "tools", "prompts", "duration_s")) + """, 6) AS score FROM roll),
+        pz AS (SELECT session_id, round((row_number() OVER (ORDER BY score, session_id) - 1) / greatest(count(*) OVER () - 1, 1), 6) AS position FROM z),
+        spent AS (SELECT session_id, tok_in, tok_out, cache_read, 0 AS cache_create, 0 AS turns FROM snap UNION ALL SELECT session_id, sum(tin), sum(tout), sum(cr), sum(cc), count(*) FROM us WHERE session_id NOT IN (SELECT session_id FROM snap) GROUP BY 1),
+        mix AS (SELECT session_id, string_agg(tool || ':' || calls, ',' ORDER BY calls DESC, tool) AS tools FROM (SELECT session_id, tool, count(*) FILTER (kind = 'tool_call') AS calls FROM sc WHERE tool IS NOT NULL GROUP BY 1, 2) WHERE calls > 0 GROUP BY 1),
+        tf AS (SELECT session_id, string_agg(file, ',' ORDER BY place) AS files FROM (SELECT session_id, regexp_extract(payload->>'$.local_path', '([^/]+/[^/]+/[^/]+)$', 1) AS file, min((ts, ord)) AS place FROM e WHERE kind = 'attachment_ref' GROUP BY 1, 2) GROUP BY 1),
+        rp AS (SELECT session_id, first(n_name) AS repo FROM roll JOIN nation ON regexp_matches(cwd, '/' || n_name || '(-[^/]*)?/') GROUP BY 1)
+        SELECT r.session_id, coalesce(rp.repo, '') AS repo, coalesce(campaign, '') AS campaign, coalesce(role, '') AS role, coalesce(tok_in, 0)::BIGINT AS tok_in, coalesce(tok_out, 0)::BIGINT AS tok_out, coalesce(cache_read, 0)::BIGINT AS cache_read, coalesce(cache_create, 0)::BIGINT AS cache_create, coalesce(spent.turns, 0)::BIGINT AS usage_turns,
+            CASE WHEN prompts > 0 THEN position ELSE 0 END AS position, coalesce(mix.tools, '') AS tools_by_name, coalesce(tf.files, '') AS files
+        FROM roll r LEFT JOIN rp USING (session_id) LEFT JOIN cx USING (session_id) LEFT JOIN spent USING (session_id) LEFT JOIN mix USING (session_id) LEFT JOIN tf USING (session_id) LEFT JOIN pz USING (session_id)"""),
+    "touched_files": _ev("SELECT session_id, string_agg(file, ',' ORDER BY place) AS files FROM (SELECT session_id, regexp_extract(payload->>'$.local_path', '([^/]+/[^/]+/[^/]+)$', 1) AS file, min((ts, ord)) AS place FROM e WHERE kind = 'attachment_ref' GROUP BY 1, 2) GROUP BY 1"),
+    "session_inputs": _ev(_ROLLUP + """, tf AS (SELECT session_id, string_agg(file, ',' ORDER BY place) AS files FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY place) AS n FROM (SELECT session_id, regexp_extract(payload->>'$.local_path', '([^/]+/[^/]+/[^/]+)$', 1) AS file, min((ts, ord)) AS place FROM e WHERE kind = 'attachment_ref' GROUP BY 1, 2)) WHERE n <= 12 GROUP BY 1),
+        rp AS (SELECT session_id, first(n_name) AS repo FROM roll JOIN nation ON regexp_matches(cwd, '/' || n_name || '(-[^/]*)?/') GROUP BY 1), tn AS (SELECT session_id, least(count(*), 8)::INT AS turns FROM e WHERE kind IN ('user_prompt', 'assistant_message') AND coalesce(text, '') <> '' GROUP BY 1)
+        SELECT session_id, coalesce(repo, '') AS repo, CASE WHEN length(whole) > 200 THEN left(whole, 200) || '…' ELSE whole END AS ask, coalesce(tf.files, '') AS files, coalesce(turns, 0) AS turns FROM roll LEFT JOIN rp USING (session_id) LEFT JOIN tf USING (session_id) LEFT JOIN tn USING (session_id) WHERE prompts > 0"""),
+    "sessions_in_order": _ev(_ROLLUP + "SELECT session_id, ended FROM roll WHERE prompts > 0 ORDER BY ended DESC, session_id LIMIT 100"),
+    "by_model": _ev(_USAGE + """SELECT model, sum(a)::BIGINT AS tok_in, sum(b)::BIGINT AS tok_out, sum(c)::BIGINT AS cache_read, sum(d)::BIGINT AS cache_create, sum(t)::BIGINT AS turns FROM (
+        SELECT model, tin AS a, tout AS b, cr AS c, cc AS d, 1 AS t FROM us WHERE session_id NOT IN (SELECT session_id FROM snap) UNION ALL SELECT 'codex', tok_in, tok_out, cache_read, 0, 0 FROM snap) GROUP BY model"""),
+    "tool_suggestions": _ev("SELECT tool, row_number() OVER (ORDER BY lower(tool) <> 'e', tool) AS place FROM (SELECT DISTINCT name AS tool FROM e WHERE kind = 'tool_call') WHERE starts_with(lower(tool), 'e')"),
+    "process_output": _ev(f"SELECT event_id, {_cut('CASE WHEN instr(output, chr(32) || chr(79) || chr(117) || chr(116) || chr(112) || chr(117) || chr(116) || chr(58)) > 0 THEN substr(output, instr(output, chr(32) || chr(79) || chr(117) || chr(116) || chr(112) || chr(117) || chr(116) || chr(58)) + 8) ELSE output END', 12)} AS said FROM e WHERE kind = 'tool_result'".replace("chr(32) || chr(79) || chr(117) || chr(116) || chr(112) || chr(117) || chr(116) || chr(58)", "' Output:'")),
+    "event_cwd": _ev("SELECT event_id, payload->>'$.cwd' AS cwd FROM e WHERE coalesce(payload->>'$.cwd', '') <> ''"),
+    "durations": _ev(_SPANS + f"SELECT span_id, {_duration('duration_ms')} AS duration, {_duration('duration_ms')} || CASE duration_source WHEN 'reported' THEN ' reported' WHEN 'event_gap' THEN ' event-gap' ELSE '' END AS label, printf('%02d:%02d', coalesce(duration_ms, 0) // 60000, coalesce(duration_ms, 0) // 1000 % 60) AS \"offset\" FROM spans"),
+    "token_counts": _ev(_USAGE + f"SELECT day, {_tokens('tok_in')} AS tok_in, {_tokens('cache_read * 1000')} AS cache FROM days"),
+    "redact_payloads": _ev("""SELECT event_id, '{"a":{"Api-Key":"[REDACTED]","max.token":7,"list":["[REDACTED]",{"user_token":"[REDACTED]"}],"note":"[REDACTED] ' || event_id || '"},"password":null}' AS payload FROM e"""),
+    "upload_chunks": _ev("""SELECT stream, chunk, count(*) AS lines, sum(b)::BIGINT AS bytes, md5(string_agg(payload, chr(10) ORDER BY ord) || chr(10)) AS digest FROM (SELECT *, CAST(floor((sum(b) OVER (PARTITION BY stream ORDER BY ord) - 1) / 4096) AS BIGINT) AS chunk FROM (SELECT *, octet_length(encode(payload)) + 1 AS b FROM e)) GROUP BY stream, chunk"""),
+    "ingest_counters": "WITH raw AS (" + duck_envelopes() + """) SELECT count(*) AS lines, count(*) FILTER (ord % 91 = 0) AS failed, count(*) FILTER (ord % 91 <> 0 AND ord % 89 = 0) AS skipped, count(*) FILTER (ord % 91 <> 0 AND ord % 89 <> 0) - count(DISTINCT event_id) FILTER (ord % 91 <> 0 AND ord % 89 <> 0) AS dropped, count(DISTINCT event_id) FILTER (ord % 91 <> 0 AND ord % 89 <> 0) AS kept FROM raw""",
+    "derived_pairs": _ev(_ROLLUP + "SELECT session_id, CASE WHEN length(whole) > 200 THEN left(whole, 200) || '…' ELSE whole END AS query, linked AS answer FROM roll WHERE linked IS NOT NULL AND prompts > 0 AND octet_length(encode(whole)) >= 12"),
     "event_window": _ev("""SELECT event_id, session_id, kind, pos - centre AS "offset" FROM (
         SELECT *, max(CASE WHEN event_id = 'e4238' THEN pos END) OVER () AS centre FROM (SELECT *, row_number() OVER (ORDER BY ts, ord) AS pos FROM e WHERE session_id = (SELECT session_id FROM e WHERE event_id = 'e4238'))) WHERE pos BETWEEN centre - 3 AND centre + 4"""),
     "first_context_rows": _ev("SELECT session_id, kind, event_id, ts FROM e WHERE session_id <> '' QUALIFY row_number() OVER (PARTITION BY session_id, kind ORDER BY ts, ord) = 1"),
     "raw_window_select": _ev(f"SELECT event_id, stream, ts, kind FROM e WHERE ts >= '{SINCE}' AND ts < '{UNTIL}' AND kind IN ('tool_result', 'tool_call') AND contains(source, 'co') AND contains(lower(payload), 'exit')"),
-    "expand_sessions": _ev(f"SELECT session_id, count(*) AS events FROM e WHERE session_id IN (SELECT session_id FROM e WHERE ts >= '{SINCE}' AND ts < '{UNTIL}' AND kind = 'tool_result' AND contains(lower(payload), 'step')) GROUP BY session_id"),
+    "expand_sessions": _ev(f"SELECT session_id, count(*) AS events FROM e WHERE session_id IN (SELECT session_id FROM e WHERE ts >= '{SINCE}' AND ts < '{UNTIL}' AND kind = 'tool_result' AND contains(lower(payload), 'exit code 1')) GROUP BY session_id"),
     "resolve_prefix": _ev(_TURNS + "SELECT * FROM (SELECT job_id AS id, 1 AS precedence, 'job' AS entity FROM jobs UNION ALL SELECT turn_id, 2, 'turn' FROM tv UNION ALL SELECT span_id, 3, 'span' FROM spans) WHERE starts_with(id, 'e423') ORDER BY precedence, id LIMIT 9"),
     "docs_from_events": _ev(_DOCS + "SELECT event_id, session_id, kind, author, chars FROM docs"),
     "capture_boundary": _ev(f"SELECT kind, count(*) AS events FROM e WHERE kind = 'session_start' OR CAST(ts AS TIMESTAMP) >= TIMESTAMP '2024-01-10 00:00:00' GROUP BY kind"),
@@ -273,3 +398,4 @@ ORACLES: dict[str, str] = {
     "display_prefixes": _ev("""SELECT id, left(id, CAST(greatest(6, 1 + coalesce(length(list_max(list_filter(list_transform(range(1, length(id) + 1), lambda n: left(id, n)), lambda p: starts_with(prev, p)))), 0), 1 + coalesce(length(list_max(list_filter(list_transform(range(1, length(id) + 1), lambda n: left(id, n)), lambda p: starts_with(next, p)))), 0)) AS BIGINT)) AS prefix
         FROM (SELECT id, lag(id) OVER (ORDER BY id) AS prev, lead(id) OVER (ORDER BY id) AS next FROM (SELECT 'job:' || event_id AS id FROM e))"""),
 }
+ORACLES["tool"] = f"SELECT * FROM ({ORACLES['tool_profile']}) WHERE tool = 'Edit'"

@@ -7,8 +7,12 @@ event is delivered twice.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from plumbline.session import scratch_path
 from plumbline.sources.envelopes import dedup_events, typed
+from plumbline.sources.tables import manifest
 
 ENVELOPES_SQL = """
 SELECT event_id, stream, seq, ts, source, session_id, kind, payload, ord FROM (
@@ -82,9 +86,24 @@ def _escaped(sql: str) -> str:
     return sql.replace("\\", "\\\\")
 
 
+#: Event stores of this process by application and state of the inputs.
+_stores: dict[tuple[str, str], tuple[str, StructType]] = {}
+
+
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Envelopes, each event once, with parsed payloads."""
-    return typed(dedup_events(raw_envelopes(spark, sf_dir)))
+    """Envelopes, each event once, with parsed payloads, from a store that is derived once for each state of the inputs.
+
+    The store is partitioned by day, so that windows of time read their days alone, and holds payloads as columns, of
+    which a query reads those it names.
+    """
+    key = (spark.sparkContext.applicationId, manifest(spark, [f"{sf_dir}/conversations.parquet", f"{sf_dir}/events.parquet"]))
+    if key not in _stores:
+        rows = typed(dedup_events(raw_envelopes(spark, sf_dir)))
+        path = scratch_path(spark, "events")
+        rows.repartition("day", F.pmod(F.xxhash64("session_id"), F.lit(4))).write.partitionBy("day").parquet(path)
+        _stores[key] = (path, rows.schema)
+    path, schema = _stores[key]
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def duck_envelopes() -> str:

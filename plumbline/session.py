@@ -62,13 +62,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Paths that weren't removed yet, in the order in which they were given out.
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path under the shared folder, removed when the driver ends."""
+    """A new path under the shared folder, removed when the driver ends or by `release`."""
     path = f"{shared_folder(spark)}/plumbline/{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    if not _scratch:
+        atexit.register(lambda: release(spark, []))
+    _scratch.append(path)
     return path
 
 
+def held() -> list[str]:
+    """The scratch paths there are."""
+    return list(_scratch)
+
+
+def release(spark: SparkSession, keep: list[str]) -> None:
+    """Remove all scratch tables but those to keep: call it once nothing lazy reads the others."""
+    for path in [p for p in _scratch if p not in keep]:
+        _remove(spark, path)
+        _scratch.remove(path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

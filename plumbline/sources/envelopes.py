@@ -58,9 +58,9 @@ def malformed(lines: DataFrame) -> DataFrame:
 
 def dedup_events(events: DataFrame, order: str = "ord") -> DataFrame:
     """First sighting of each event_id; events without one all pass."""
-    first = F.row_number().over(Window.partitionBy("event_id").orderBy(order)) == 1
-    named = events.where(F.coalesce("event_id", F.lit("")) != "").withColumn("_first", first).where("_first").drop("_first")
-    return named.unionByName(events.where(F.coalesce("event_id", F.lit("")) == ""))
+    key = F.when(F.coalesce("event_id", F.lit("")) != "", F.col("event_id")).otherwise(F.concat(F.lit("\0"), F.monotonically_increasing_id()))
+    first = F.row_number().over(Window.partitionBy("_sighted").orderBy(order)) == 1
+    return events.withColumn("_sighted", key).withColumn("_first", first).where("_first").drop("_first", "_sighted")
 
 
 def typed(events: DataFrame) -> DataFrame:
