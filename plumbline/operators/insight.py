@@ -42,6 +42,14 @@ def fleet_machines(events: DataFrame, newest: str, quiet_days: int = 7, window_d
     )
 
 
+def tracked_actors(events: DataFrame) -> DataFrame:
+    """The actors of session starts with the last time of their machine: actor, ts."""
+    rows = events.where(F.col("stream").rlike("^edge-.+-[^-]+$")).withColumn("machine", T.machine_of_fleet(F.col("stream")))
+    last = rows.groupBy("machine").agg(F.max("ts").alias("ts"))
+    named = rows.where((F.col("kind") == "session_start") & (F.coalesce("p.actor", F.lit("")) != "")).select("machine", F.col("p.actor").alias("actor")).distinct()
+    return named.join(last, "machine").select("actor", "ts")
+
+
 def fleet_coverage(actors: DataFrame, authors: DataFrame, members: DataFrame | None = None, ignored: tuple[str, ...] = (), since: str = "") -> tuple[DataFrame, DataFrame]:
     """How many active authors are tracked, in whole percent, and which aren't. Logins compare whatever the case.
 
