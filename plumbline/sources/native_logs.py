@@ -7,17 +7,19 @@ first record of a session, lifecycle lines before a conversation - is done by wi
 from __future__ import annotations
 
 import datetime as dt
-import hashlib
 import json
 from collections.abc import Callable, Iterator
+from itertools import islice
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.ids import ulid
+from plumbline.functions.redaction import redacted_text
+
 DECODED = "file string, offset long, sub int, ts_ms long, ts string, session_id string, kind string, payload string, lifecycle boolean"
-CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 FILE_TOOLS = frozenset(("Write", "Edit", "MultiEdit", "NotebookEdit"))
 TASK_FILE_TOOLS = frozenset(("apply_patch", "read_file", "write_file", "edit_file"))
 #: Lifecycle lines of a session before its first message; with more than that it is a heartbeat until one comes.
@@ -26,12 +28,6 @@ HEARTBEAT_LINES = 200
 Item = tuple[str, dict[str, Any]]
 
 
-def ulid(ms: int, key: str) -> str:
-    """A ULID of a time and the first ten bytes of a key's SHA-256, as 26 base-32 digits."""
-    number = (max(0, ms) << 80) | int.from_bytes(hashlib.sha256(key.encode()).digest()[:10], "big")
-    return "".join(CROCKFORD[(number >> (5 * i)) & 31] for i in range(25, -1, -1))
-
-
 def resolved(ts: str, fallback_ms: int) -> tuple[int, str]:
     """Milliseconds and UTC text of an RFC 3339 time, or of the fallback."""
     try:
@@ -190,38 +186,111 @@ def cowork_items(record: dict[str, Any]) -> tuple[str, list[Item]]:
 FORMATS: dict[str, tuple[str, Callable[[dict[str, Any]], tuple[str, list[Item]]]]] = {"claude_code": ("claudecode", claude_items), "codex_cli": ("codex", codex_items), "cowork": ("cowork", cowork_items)}
 
 
-def _decode(batches: Iterator[pa.RecordBatch], source: str) -> Iterator[pa.RecordBatch]:
+#: Lines at the head of a file that tell its version.
+HEAD_LINES = {"claude_code": 50, "codex_cli": 20, "cowork": 50}
+
+
+def version_of(source: str, lines: list[bytes]) -> str:
+    """The version that a file's first lines name; empty if none does."""
+    for line in lines[: HEAD_LINES[source]]:
+        try:
+            record = json.loads(line)
+        except ValueError:
+            continue
+        if not isinstance(record, dict):
+            continue
+        if source == "codex_cli":
+            if record.get("type") == "session_meta":
+                return _text((record.get("payload") or {}).get("cli_version"))
+        elif source == "cowork":
+            if _text(record.get("_audit_hmac")):
+                return "v1"
+        elif _text(record.get("version")):
+            return record["version"]
+    return ""
+
+
+def supported(source: str, version: str) -> bool:
+    """Whether a version's records are known; others are left alone rather than guessed at."""
+    if source == "claude_code":
+        return version == "2.1" or version.startswith("2.1.")
+    if source == "codex_cli":
+        return version == "" or version.startswith("0.")
+    return version == "v1"
+
+
+def _rows(content: bytes, source: str, file: str, mtime: int) -> Iterator[tuple]:
+    """The decoded records of a file's whole lines; what follows the last line break isn't a whole line yet."""
     _, decode = FORMATS[source]
+    offset = 0
+    for line in content.split(b"\n")[:-1]:
+        at, offset = offset, offset + len(line) + 1
+        if not line.strip():
+            continue
+        try:
+            record = json.loads(line)
+            if not isinstance(record, dict) or not _text(record.get("type")):
+                raise ValueError("no type")
+            session, items = decode(record)
+        except (ValueError, AttributeError, TypeError):
+            yield (file, at, 0, None, None, None, "malformed", None, None)
+            continue
+        ms, ts = resolved(_text(record.get("_audit_timestamp")) or _text(record.get("timestamp")), mtime)
+        life = record["type"] not in ("user", "assistant")
+        for i, (kind, payload) in enumerate(items):
+            yield (file, at, i, ms, ts, session, kind, json.dumps(payload, separators=(",", ":"), ensure_ascii=False), life)
+
+
+#: Decoded records that leave a task at once, and cursors of files that are broadcast.
+BLOCK, BROADCAST_FILES = 5000, 100_000
+
+
+def _decode(batches: Iterator[pa.RecordBatch], source: str) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_())
+    names = [c.split()[0] for c in DECODED.split(", ")]
     for batch in batches:
         for file, content, mtime in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), batch.column("mtime").to_pylist(), strict=True):
-            rows, offset = [], 0
-            for line in content.split(b"\n")[:-1]:  # what follows the last line break isn't a whole line yet
-                at, offset = offset, offset + len(line) + 1
-                if not line.strip():
-                    continue
-                try:
-                    record = json.loads(line)
-                    if not isinstance(record, dict) or not _text(record.get("type")):
-                        raise ValueError("no type")
-                    session, items = decode(record)
-                except (ValueError, AttributeError, TypeError):
-                    rows.append((file, at, 0, None, None, None, "malformed", None, None))
-                    continue
-                ms, ts = resolved(_text(record.get("_audit_timestamp")) or _text(record.get("timestamp")), mtime)
-                life = record["type"] not in ("user", "assistant")
-                rows += [(file, at, i, ms, ts, session, kind, json.dumps(payload, separators=(",", ":"), ensure_ascii=False), life) for i, (kind, payload) in enumerate(items)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_()), strict=True)], names=[c.split()[0] for c in DECODED.split(", ")])
+            if not supported(source, version_of(source, content.split(b"\n", HEAD_LINES[source])[: HEAD_LINES[source]])):
+                continue
+            rows = _rows(content, source, file, mtime)
+            while block := list(islice(rows, BLOCK)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*block, strict=True), kinds, strict=True)], names=names)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content", F.unix_millis("modificationTime").alias("mtime"))
+
+
+def detect_versions(spark: SparkSession, path: str, source: str) -> DataFrame:
+    """The version of each file of a folder of logs and whether it is known: file, version, supported."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [version_of(source, content.split(b"\n", HEAD_LINES[source])[: HEAD_LINES[source]]) for content in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, pa.string()), pa.array([supported(source, v) for v in found], pa.bool_())], names=["file", "version", "supported"])
+
+    return _files(spark, path).select("path", "content").mapInArrow(run, "file string, version string, supported boolean")
+
+
+def numbered(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """Rows of files with a sequence from 0 on within each stream: files by name, then the order within a file.
+
+    A file's rows are numbered by themselves; what stands before a file is a sum over files.
+    """
+    sizes = rows.groupBy("stream", "file").agg(F.count(F.lit(1)).alias("n"))
+    # a row a file: one task for a stream's files, not for its rows
+    before = sizes.select("stream", "file", F.coalesce(F.sum("n").over(Window.partitionBy("stream").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("stream", "file").orderBy(*order))
+    return rows.withColumn("nth", nth).join(before, ["stream", "file"]).withColumn("seq", F.col("before") + F.col("nth") - 1).drop("nth", "before")
 
 
 def read_native(spark: SparkSession, path: str, source: str, machine: str) -> DataFrame:
-    """Envelopes of a folder of native logs of one source; malformed lines are left out.
+    """Envelopes of a folder of native logs of one source; malformed lines and files of unknown versions are left out.
 
-    Files are read whole, one at a time in a task; lines without a time take the file's.
+    A file's bytes are one row, and its records leave the task in blocks; lines without a time take the file's.
     """
     suffix, _ = FORMATS[source]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content", F.unix_millis("modificationTime").alias("mtime"))
-    rows = files.mapInArrow(lambda batches: _decode(batches, source), DECODED).where("kind <> 'malformed'")
+    rows = _files(spark, path).mapInArrow(lambda batches: _decode(batches, source), DECODED).where("kind <> 'malformed'")
     place = ("file", "offset", "sub")
     if source == "codex_cli":
         metas = rows.where("kind = 'session_start'").groupBy("file").agg(F.min_by(F.get_json_object("payload", "$.session_id"), F.struct("offset", "sub")).alias("own"))
@@ -237,15 +306,19 @@ def read_native(spark: SparkSession, path: str, source: str, machine: str) -> Da
     once = F.row_number().over(Window.partitionBy("session_id", "kind", F.get_json_object("payload", "$.subtype")).orderBy(*place))
     single = (F.col("kind") == "session_start") | F.coalesce(F.get_json_object("payload", "$.subtype") == "subagent_parent", F.lit(False))
     kept_rows = rows.where(~single).unionByName(rows.where(single & (F.col("session_id") != "")).withColumn("_n", once).where("_n = 1").drop("_n"))
-    mint = F.udf(lambda ms, file, offset, sub: ulid(ms, f"{suffix}\0{file}\0{offset}\0{sub}"), "string")
-    return kept_rows.select(F.lit(1).alias("v"), mint("ts_ms", *place).alias("event_id"), F.lit(f"edge-{machine}-{suffix}").alias("stream"), F.col("offset").alias("seq"), "ts", F.lit(source).alias("source"), "session_id", "kind", "payload", F.lit("").alias("rollup_dim"), "file", "sub")
+    event_id = ulid(F.col("ts_ms"), F.concat_ws("\0", F.lit(suffix), "file", F.col("offset").cast("string"), F.col("sub").cast("string")))
+    stamped = kept_rows.withColumn("stream", F.lit(f"edge-{machine}-{suffix}"))
+    return numbered(stamped, ("offset", "sub")).select(F.lit(1).alias("v"), event_id.alias("event_id"), "stream", "seq", "ts", F.lit(source).alias("source"), "session_id", "kind", "payload", F.lit("").alias("rollup_dim"), "file", "sub")
 
 
 _DEVIN_KINDS = {"user": "user_prompt", "user_message": "user_prompt", "prompt": "user_prompt", "assistant": "assistant_message", "assistant_message": "assistant_message", "message": "assistant_message", "tool_call": "tool_call", "tool_start": "tool_call", "tool_result": "tool_result", "tool_end": "tool_result", "thinking": "thinking", "reasoning": "thinking"}
 
 
-def import_lines(lines: DataFrame, form: str, source: str, stream: str) -> tuple[DataFrame, DataFrame]:
-    """Foreign event lines (`line`, `n`) as envelopes, and the rejected ones with a reason. Forms: envelope, harness, devin."""
+def import_lines(lines: DataFrame, form: str, source: str, stream: str, campaign: str = "", role: str = "", actor: str = "") -> tuple[DataFrame, DataFrame]:
+    """Foreign event lines (`line`, `n`) as envelopes, and the rejected ones with a reason. Forms: envelope, harness, devin.
+
+    A campaign, role or actor that is given replaces what the lines say. Rejected lines are redacted before they are kept.
+    """
     field = lambda *names: F.coalesce(*[F.when(F.get_json_object("line", f"$.{n}") != "", F.get_json_object("line", f"$.{n}")) for n in names])
     ts, session = field("ts", "timestamp", "created_at", "createdAt"), field("session_id", "sessionId")
     kind = field("kind", "type") if form == "devin" else field("kind")
@@ -258,6 +331,8 @@ def import_lines(lines: DataFrame, form: str, source: str, stream: str) -> tuple
         kind = F.coalesce(F.try_element_at(kinds, F.coalesce(kind, F.lit(""))), F.lit("agent_meta"))
     else:
         extra = F.create_map().cast("map<string,string>")
+    stamps = {"campaign_id": campaign, "campaign_role": role, "actor": actor}
+    extra = F.map_concat(F.map_filter(extra, lambda k, v: ~k.isin([name for name, value in stamps.items() if value])), *[F.create_map(F.lit(name), F.lit(value)) for name, value in stamps.items() if value])
     merged = F.map_concat(F.map_filter(given, lambda k, v: ~F.array_contains(F.map_keys(extra), k)), extra)
     reason = (
         F.when(F.try_parse_json("line").isNull(), "not JSON")
@@ -266,10 +341,9 @@ def import_lines(lines: DataFrame, form: str, source: str, stream: str) -> tuple
     )
     rows = lines.withColumns({"reason": reason, "ts": ts, "session_id": session, "kind": kind, "payload": F.to_json(merged) if form != "envelope" else F.get_json_object("line", "$.payload"), "foreign": field("event_id", "eventId", "id")})
     identity = F.when(F.col("foreign").isNotNull() & F.lit(form == "devin"), F.concat(F.lit(f"{source}\0foreign\0"), "foreign")).otherwise(F.concat_ws("\0", F.lit(source), "session_id", "kind", "payload"))
-    mint = F.udf(lambda ms, key: ulid(ms, key) if ms is not None else None, "string")
-    minted = mint(F.unix_millis(F.try_to_timestamp("ts")), identity)
+    minted = ulid(F.unix_millis(F.try_to_timestamp("ts")), identity)
     good = rows.where("reason IS NULL").select(F.lit(1).alias("v"), (minted if form == "devin" else F.coalesce("foreign", minted)).alias("event_id"), F.lit(stream).alias("stream"), F.col("n").alias("seq"), "ts", F.lit(source).alias("source"), "session_id", "kind", "payload", F.coalesce(F.get_json_object("payload", "$.campaign_id"), F.lit("")).alias("rollup_dim"))
-    return good, rows.where("reason IS NOT NULL").select("n", "reason", "line")
+    return good, rows.where("reason IS NOT NULL").select("n", "reason", redacted_text(F.col("line")).alias("line"))
 
 
 def with_starts(events: DataFrame, actor: str = "") -> DataFrame:
@@ -278,8 +352,7 @@ def with_starts(events: DataFrame, actor: str = "") -> DataFrame:
     first = events.join(started, "session_id", "left_anti").groupBy("session_id").agg(F.min_by(F.struct(*events.columns), F.struct("ts", "seq")).alias("e")).select("e.*")
     value = lambda name: F.coalesce(F.get_json_object("payload", f"$.{name}"), F.lit(""))
     payload = F.to_json(F.struct(value("repo").alias("cwd"), value("repo").alias("repo"), F.lit(actor).alias("actor"), F.col("rollup_dim").alias("campaign_id"), value("campaign_role").alias("campaign_role"), value("backend").alias("backend")))
-    mint = F.udf(lambda ms, key: ulid(ms or 0, key), "string")
-    starts = first.withColumn("event_id", mint(F.unix_millis(F.try_to_timestamp("ts")), F.concat_ws("\0", "source", "session_id", F.lit("session_start")))).withColumn("payload", payload).withColumn("kind", F.lit("session_start")).withColumn("seq", F.col("seq") - 1)
+    starts = first.withColumn("event_id", ulid(F.coalesce(F.unix_millis(F.try_to_timestamp("ts")), F.lit(0)), F.concat_ws("\0", "source", "session_id", F.lit("session_start")))).withColumn("payload", payload).withColumn("kind", F.lit("session_start")).withColumn("seq", F.col("seq") - 1)
     return events.unionByName(starts.select(*events.columns))
 
 
@@ -289,3 +362,38 @@ def new_only(events: DataFrame, existing: DataFrame) -> DataFrame:
     fresh = events.join(existing.select("event_id"), "event_id", "left_anti").join(last, "stream", "left")
     nth = F.row_number().over(Window.partitionBy("stream", F.to_date("ts")).orderBy("seq"))
     return fresh.withColumn("seq", F.coalesce(F.col("last_seq") + 1, F.lit(0)) + nth - 1).drop("last_seq")
+
+
+def tail_lines(spark: SparkSession, path: str, cursors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The whole lines that files gained since the last time, and the cursors to go on from.
+
+    Lines are file, offset, line; cursors are file, offset (where the first line begins that wasn't whole) and size. A
+    file that got shorter is read from its beginning. Write the lines first and the cursors then: what comes twice after
+    a crash has the same offsets, and so the same ids.
+    """
+    files = _files(spark, path).select(F.col("path").alias("file"), "content")
+    if cursors is not None:
+        cursors = cursors.select("file", F.col("offset").alias("from"))
+        cursors = F.broadcast(cursors) if cursors.count() <= BROADCAST_FILES else cursors  # so that contents aren't shuffled
+    known = files.join(cursors, "file", "left") if cursors is not None else files.withColumn("from", F.lit(None).cast("long"))
+    start = F.when(F.coalesce("from", F.lit(0)) <= F.octet_length("content"), F.coalesce("from", F.lit(0))).otherwise(0)
+    fresh = known.select("file", "content", start.cast("long").alias("from"))
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content, at in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), batch.column("from").to_pylist(), strict=True):
+                offsets, found = [], []
+                for line in content[at:].split(b"\n")[:-1]:
+                    if line.strip():
+                        offsets.append(at)
+                        found.append(line.decode("utf-8", "replace"))
+                    at += len(line) + 1
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(found), pa.string()), pa.array(offsets, pa.int64()), pa.array(found, pa.string())], names=["file", "offset", "line"])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents, starts = batch.column("content").to_pylist(), batch.column("from").to_pylist()
+            to = [max(at, content.rfind(b"\n") + 1) for content, at in zip(contents, starts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(to, pa.int64()), pa.array([len(c) for c in contents], pa.int64())], names=["file", "offset", "size"])
+
+    return fresh.mapInArrow(lines, "file string, offset long, line string"), fresh.mapInArrow(ends, "file string, offset long, size long")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from plumbline.sources.envelopes import ENVELOPE
+from plumbline.functions.ids import session_end_id
+from plumbline.sources.envelopes import ENVELOPE, epoch_ms
 
 
 def stream_envelopes(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -54,29 +56,122 @@ def idle_ends(stream: DataFrame, minutes: int = 10) -> DataFrame:
     return timed.groupBy("session_id").applyInPandasWithState(step, "session_id string, ended_ms long, events long, reason string", "last long, count long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def staged_boundary(stream: DataFrame, since: str) -> DataFrame:
+def session_ends(last: DataFrame, now_ms: int | None, minutes: int = 10, role: str = "", campaign: str = "") -> DataFrame:
+    """session_end envelopes of open sessions (stream, source, session_id, ts, seq: of the last event).
+
+    With a time, of those that have been idle for longer than `minutes` then; without one, of all, as at shutdown. The
+    end has the time of the last activity and an id that is minted from it, so ends that two trackers see are one.
+    """
+    timed = last.withColumn("ms", F.unix_millis(F.try_to_timestamp("ts")))
+    due = timed if now_ms is None else timed.where(F.lit(now_ms) - F.coalesce("ms", F.lit(0)) > minutes * 60_000)
+    reason = F.lit("shutdown" if now_ms is None else "idle")
+    payload = F.to_json(F.struct(reason.alias("reason"), *([F.lit(role).alias("campaign_role")] if role else [])))
+    event_id = session_end_id(F.col("source"), F.col("session_id"), F.coalesce("ms", F.lit(0)), F.col("ts"))
+    nth = F.row_number().over(Window.partitionBy("stream").orderBy("session_id"))  # open sessions of a stream
+    return due.select(F.lit(1).alias("v"), event_id.alias("event_id"), "stream", (F.col("seq") + nth).alias("seq"), "ts", "source", "session_id", F.lit("session_end").alias("kind"), payload.alias("payload"), F.lit(campaign).alias("rollup_dim"))
+
+
+def staged_boundary(stream: DataFrame, since: str, forget_after: str | None = None) -> DataFrame:
     """Events behind the capture boundary; a session's start from before it comes once the session crosses it.
 
-    State holds the start of a session until then.
+    State holds the start of a session until then. Events whose time can't be read are kept, as in the batch form. Rows of
+    a session that come in one trigger are taken in their order whatever frames they come in. With `forget_after`, a
+    session that is silent for so long in processing time is forgotten; it is staged anew if it goes on.
     """
+    limit_ms = int(pd.Timedelta(forget_after).total_seconds() * 1000) if forget_after else None
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held, crossed = state.get if state.exists else (None, False)
-        out = []
-        for frame in frames:
-            for row in frame.sort_values("seq").to_dict("records"):
-                kept = row["ts"] >= since
-                if not kept and row["kind"] == "session_start" and not crossed:
-                    held = row["event_id"]
-                elif not kept and row["kind"] == "session_end":
+        parts = [frame for frame in frames if len(frame)]
+        rows = pd.concat(parts).sort_values("seq") if parts else pd.DataFrame({"event_id": [], "kind": [], "kept": []})
+        kept = rows["kept"].to_numpy(bool)
+        out: list[str] = rows["event_id"][kept].tolist()
+        if not crossed:
+            first = int(kept.argmax()) if kept.any() else len(rows)  # what comes before the session crosses
+            for event_id, kind in zip(rows["event_id"].iloc[:first], rows["kind"].iloc[:first], strict=True):
+                if kind == "session_start":
+                    held = event_id
+                elif kind == "session_end":
                     held = None
-                elif kept:
-                    if held and not crossed:
-                        out.append(held)
-                    crossed, held = True, None
-                    out.append(row["event_id"])
+            if kept.any():
+                out = [*([held] if held else []), *out]
+                held, crossed = None, True
         state.update((held, crossed))
+        if limit_ms:
+            state.setTimeoutDuration(limit_ms)
         yield pd.DataFrame({"event_id": out, "session_id": [key[0]] * len(out)})
 
-    rows = stream.select("session_id", "event_id", "seq", "ts", "kind")
-    return rows.groupBy("session_id").applyInPandasWithState(step, "event_id string, session_id string", "held string, crossed boolean", "append", GroupStateTimeout.NoTimeout)
+    moment = F.unix_millis(F.try_to_timestamp("ts"))
+    rows = stream.select("session_id", "event_id", "seq", "kind", F.coalesce(moment >= epoch_ms(F.lit(since)), F.lit(True)).alias("kept"))
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if limit_ms else GroupStateTimeout.NoTimeout
+    return rows.groupBy("session_id").applyInPandasWithState(step, "event_id string, session_id string", "held string, crossed boolean", "append", timeout)
+
+
+def first_starts(stream: DataFrame) -> DataFrame:
+    """Exactly one session_start for each session, whatever batch its records come in; all other events pass.
+
+    Parsers say with every record that its session started, as they don't remember; state does. Events: event_id,
+    session_id, kind, seq.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        started = state.get[0] if state.exists else False
+        parts = [frame for frame in frames if len(frame)]
+        if not parts:
+            return
+        rows = pd.concat(parts).sort_values("seq")
+        starts = (rows["kind"] == "session_start").to_numpy()
+        nth = starts.cumsum()
+        keep = ~starts | ((nth == 1) & (not started))
+        state.update((bool(started or starts.any()),))
+        yield rows[keep][["event_id", "session_id", "kind", "seq"]]
+
+    rows = stream.where(F.coalesce("session_id", F.lit("")) != "").select("event_id", "session_id", "kind", "seq")
+    return rows.groupBy("session_id").applyInPandasWithState(step, "event_id string, session_id string, kind string, seq long", "started boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def with_file_session(stream: DataFrame) -> DataFrame:
+    """Records of files whose session is named by one record only: each gets its file's session, over all batches.
+
+    Records (file, offset, kind, payload, session_id) that come before their file's session is known wait in the state.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        session, waiting = state.get if state.exists else (None, "[]")
+        parts = [frame for frame in frames if len(frame)]
+        rows = pd.concat(parts).sort_values("offset") if parts else pd.DataFrame({"offset": [], "kind": [], "session_id": []})
+        named = rows["session_id"][(rows["kind"] == "session_start").to_numpy(bool)]
+        session = session or next((s for s in named if s), None)
+        held = [*json.loads(waiting), *zip(rows["offset"].astype(int).tolist(), rows["kind"].tolist(), strict=True)]
+        if session is None:
+            state.update((None, json.dumps(held)))
+            return
+        state.update((session, "[]"))
+        yield pd.DataFrame({"file": [key[0]] * len(held), "offset": [h[0] for h in held], "kind": [h[1] for h in held], "session_id": [session] * len(held)})
+
+    rows = stream.select("file", "offset", "kind", F.coalesce("session_id", F.lit("")).alias("session_id"))
+    return rows.groupBy("file").applyInPandasWithState(step, "file string, offset long, kind string, session_id string", "session string, waiting string", "append", GroupStateTimeout.NoTimeout)
+
+
+def ensure_policy(spark: SparkSession, checkpoint: str, profile: str, repos: list[str]) -> None:
+    """Note the redaction profile and the allowlist beside a checkpoint, and refuse others once something was taken.
+
+    A checkpoint that was begun without a note stands for no redaction and no allowlist. What was written under one policy
+    must not be mixed with another: use a new folder, or remove the checkpoint deliberately.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    note, offsets = (jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/{name}") for name in ("policy.json", "offsets"))
+    system = note.getFileSystem(conf)
+    wanted = {"profile": profile, "repos": sorted(repos)}
+    if system.exists(note):
+        found = json.loads(spark.read.text(f"{checkpoint}/policy.json").first()[0])
+    else:
+        found = {"profile": "off", "repos": []}
+    if system.exists(offsets) and found != wanted:
+        raise ValueError(f"the checkpoint was begun with {found}; use a new folder for {wanted}")
+    out = system.create(note, True)
+    out.write(bytearray(json.dumps(wanted).encode()))
+    out.close()

@@ -1,12 +1,15 @@
 """Scans, native logs, imports, tables and text functions on small files."""
 
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import ids
 from plumbline.functions import text as T
 from plumbline.operators import insight, vectors
+from plumbline.operators.access import ReadScope, scope_filter
 from plumbline.sources import native_logs, tables
 from plumbline.sources.envelopes import dedup_events, malformed, read_envelopes, well_formed
 
@@ -23,7 +26,7 @@ def test_scan(spark, tmp_path):
 
 def test_native_logs(spark, tmp_path):
     one = [
-        {"type": "user", "sessionId": "S", "timestamp": "2031-01-01T00:00:00+01:00", "cwd": "/w", "message": {"content": "please pack the wheel"}},
+        {"type": "user", "sessionId": "S", "timestamp": "2031-01-01T00:00:00+01:00", "cwd": "/w", "version": "2.1.7", "message": {"content": "please pack the wheel"}},
         {"type": "assistant", "sessionId": "S", "timestamp": "2031-01-01T00:00:01Z", "message": {"id": "m", "model": "x", "usage": {"input_tokens": 3, "output_tokens": 2}, "content": [{"type": "text", "text": "a"}, {"type": "tool_use", "id": "t", "name": "Edit", "input": {"file_path": "/w/f"}}, {"type": "text", "text": "b"}]}},
         {"type": "user", "sessionId": "S", "timestamp": "bad", "message": {"content": [{"type": "tool_result", "tool_use_id": "t", "content": "ok", "is_error": True}]}},
         {"type": "assistant", "isSidechain": True, "agentId": "9", "sessionId": "S", "message": {"content": []}},
@@ -37,32 +40,74 @@ def test_native_logs(spark, tmp_path):
     assert json.loads(message.payload)["text"] == "a\n\nb" and len(message.event_id) == 26
     assert next(r for r in rows if r.kind == "user_prompt").ts == "2030-12-31T23:00:00.000Z"
     again = native_logs.read_native(spark, str(tmp_path / "one"), "claude_code", "box-a").collect()
-    assert {r.event_id for r in rows} == {r.event_id for r in again}
+    assert {r.event_id for r in rows} == {r.event_id for r in again} and sorted(r.seq for r in rows) == list(range(len(rows)))
+    (tmp_path / "one" / "old.jsonl").write_text(json.dumps({**one[0], "version": "1.9"}) + "\n")
+    found = {r.file.rsplit("/", 1)[1]: (r.version, r.supported) for r in native_logs.detect_versions(spark, str(tmp_path / "one"), "claude_code").collect()}
+    assert found == {"a.jsonl": ("2.1.7", True), "old.jsonl": ("1.9", False)}
+    assert native_logs.read_native(spark, str(tmp_path / "one"), "claude_code", "box-a").count() == len(rows)
     two = [{"type": "session_meta", "payload": {"id": "C", "cwd": "/w"}}, {"type": "response_item", "payload": {"type": "function_call", "name": "apply_patch", "call_id": "k", "arguments": '{"path":"/w/p"}'}}, {"type": "event_msg", "payload": {"type": "task_started"}}]
     (tmp_path / "two").mkdir()
     (tmp_path / "two" / "b.jsonl").write_text("\n".join(map(json.dumps, two)) + "\n")
     found = native_logs.read_native(spark, str(tmp_path / "two"), "codex_cli", "m").collect()
     assert {r.session_id for r in found} == {"C"} and sorted(r.kind for r in found) == ["agent_meta", "attachment_ref", "session_start", "tool_call"]
     (tmp_path / "three").mkdir()
-    beat = [{"type": "system", "session_id": "H"}] * 3 + [{"type": "system", "session_id": "R"}, {"type": "user", "session_id": "R", "message": {"content": "hello there friend"}}]
+    beat = [{"type": "system", "session_id": "H", "_audit_hmac": "x"}] * 3 + [{"type": "system", "session_id": "R"}, {"type": "user", "session_id": "R", "message": {"content": "hello there friend"}}]
     (tmp_path / "three" / "c.jsonl").write_text("\n".join(map(json.dumps, beat)) + "\n")
     found = native_logs.read_native(spark, str(tmp_path / "three"), "cowork", "m").collect()
     assert {r.session_id for r in found} == {"R"} and sorted(r.kind for r in found) == ["agent_meta", "session_start", "user_prompt"]
 
 
+def plain_ulid(ms, key):
+    """A ULID by whole numbers."""
+    number = (max(0, ms) << 80) | int.from_bytes(hashlib.sha256(key.encode()).digest()[:10], "big")
+    return "".join("0123456789ABCDEFGHJKMNPQRSTVWXYZ"[(number >> (5 * i)) & 31] for i in range(25, -1, -1))
+
+
+def test_ulids(spark):
+    keys = [(0, ""), (1, "a"), (1924992000000, "b\0c"), ((1 << 48) - 1, "é"), (-5, "x")]
+    rows = spark.createDataFrame([(ms, k, i) for i, (ms, k) in enumerate(keys)], "ms long, k string, i int").select("i", ids.ulid(F.col("ms"), F.col("k")).alias("u")).collect()
+    assert {r.i: r.u for r in rows} == {i: plain_ulid(ms, k) for i, (ms, k) in enumerate(keys)}
+
+
+def test_growing_files(spark, tmp_path):
+    """Whole lines only, each once, over three readings; a file that got shorter begins again."""
+    root = tmp_path / "logs"
+    root.mkdir()
+    (root / "a.jsonl").write_text("one\ntwo\nthr")
+    (root / "b.jsonl").write_text("x\n")
+
+    def take(cursors):
+        lines, ends = native_logs.tail_lines(spark, str(root), cursors)
+        return sorted((r.offset, r.line) for r in lines.collect()), spark.createDataFrame(ends.collect(), ends.schema)
+
+    lines, cursors = take(None)
+    assert lines == [(0, "one"), (0, "x"), (4, "two")] and cursors.count() == 2
+    (root / "a.jsonl").write_text("one\ntwo\nthree\n\nfour\n")
+    lines, cursors = take(cursors)
+    assert lines == [(8, "three"), (15, "four")]
+    (root / "b.jsonl").write_text("")
+    (root / "a.jsonl").write_text("new\n")
+    lines, cursors = take(cursors)
+    assert lines == [(0, "new")] and [r.offset for r in cursors.collect()] == [4]
+
+
 def test_imports(spark):
     lines = ['{"ts":"2031-01-01T00:00:00Z","session_id":"S","kind":"tool_call","repo":"r","campaign_id":"c"}', '{"session_id":"S","kind":"x"}', "nope"]
     good, bad = native_logs.import_lines(spark.createDataFrame([(x, i) for i, x in enumerate(lines)], "line string, n long"), "harness", "harness", "edge-w-harness")
     assert [r.reason for r in bad.orderBy("n").collect()] == ["missing ts", "not JSON"]
     row = good.first()
     assert json.loads(row.payload) == {"repo": "r", "campaign_id": "c"} and row.rollup_dim == "c"
+    stamped = native_logs.import_lines(spark.createDataFrame([(lines[0], 0)], "line string, n long"), "harness", "harness", "edge-w-harness", campaign="z", role="writer")[0].first()
+    assert json.loads(stamped.payload) == {"repo": "r", "campaign_id": "z", "campaign_role": "writer"} and stamped.rollup_dim == "z"
+    _, rejected = native_logs.import_lines(spark.createDataFrame([("Bearer abcdefghijklmnop not json", 0)], "line string, n long"), "harness", "harness", "edge-w-harness")
+    assert rejected.first().line == "[REDACTED] not json"
     whole = native_logs.with_starts(good)
     assert sorted(r.kind for r in whole.collect()) == ["session_start", "tool_call"]
     assert native_logs.new_only(good, good).count() == 0
     devin = spark.createDataFrame([('{"createdAt":"2031-01-01T00:00:00Z","sessionId":"D","type":"user","message":"hi","id":"77"}', 0)], "line string, n long")
     row = native_logs.import_lines(devin, "devin", "devin", "edge-w-devin")[0].first()
     assert row.kind == "user_prompt" and json.loads(row.payload) == {"text": "hi", "devin_event_id": "77"}
-    assert row.event_id == native_logs.ulid(1924992000000, "devin\0foreign\x0077")
+    assert row.event_id == plain_ulid(1924992000000, "devin\0foreign\x0077")
 
 
 def test_tables(spark, tmp_path):
@@ -99,9 +144,11 @@ def test_texts(spark):
 
 def test_scope_keeps_rows_hidden(spark):
     rows = spark.createDataFrame([("r1", "c1", "claude"), ("r1", None, "claude"), ("r2", "c1", "claude")], "repo string, campaign string, source string")
-    scope = insight.ReadScope(repos=("r1",), campaigns=("c1",))
-    assert insight.scope_filter(rows, scope).count() == 1
-    assert insight.scope_filter(rows, insight.ReadScope()).count() == 3
+    scope = ReadScope(repos=("r1",), campaigns=("c1",))
+    assert scope_filter(rows, scope).count() == 1
+    assert scope_filter(rows, ReadScope()).count() == 3
+    captured = spark.createDataFrame([("claude", "github"), ("", "claude"), (None, "github")], "capture_source string, source string")
+    assert scope_filter(captured, ReadScope(sources=("claude",))).count() == 2
     with pytest.raises(ValueError):
         insight.metadata_filter(rows, "nothing")
 

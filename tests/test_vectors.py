@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from plumbline.operators import vectors
+from plumbline.operators import insight, topics, vectors
 from plumbline.plans import registry
 from plumbline.session import shared_folder
 
@@ -50,17 +50,15 @@ def test_every_row_has_a_class(spark):
     assert found == brute_classes([r.vec_id for r in rows], np.array([r.embedding for r in rows], float), 0.3)
 
 
-def brute_passes(found, neighbours, passes):
+def brute_passes(found, neighbours, mutual, passes):
     """Topics after so many passes, by the operator's rule."""
     for _ in range(passes):
         step = dict(found)
         for key, near in neighbours.items():
-            votes = {}
-            for other, weight in near:
-                if found[other] is not None:
-                    votes[found[other]] = votes.get(found[other], 0) + round(weight * 100_000)
-            if votes:
-                step[key] = min(votes, key=lambda t: (-votes[t], t))
+            own = next((w for other, w in near if found[other] is not None and found[other] == found[key]), 0.0)
+            away = next(((found[other], w) for other, w in near if found[other] is not None and found[other] != found[key]), None)
+            if away and (found[key] is None and key in mutual or found[key] is not None and away[1] > own):
+                step[key] = away[0]
         found = step
     return found
 
@@ -68,14 +66,113 @@ def brute_passes(found, neighbours, passes):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_reassigned_until_nothing_moves(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
-    start = {r.key: r.topic for r in registry.QUERIES["topic_size_floor_all"](spark, SF).collect()}
+    start = {r.key: r.topic for r in registry.QUERIES["topic_size_floor"](spark, SF).collect()}
     near = {r.vec_id: [] for r in rows}
-    for r in vectors.knn(spark.createDataFrame([(r.vec_id, [float(x) for x in r.embedding]) for r in rows], VECTORS), 6).collect():
+    lists = vectors.knn(spark.createDataFrame([(r.vec_id, [float(x) for x in r.embedding]) for r in rows], VECTORS), 16).persist()
+    for r in lists.orderBy("src", "place").collect():
         near[r.src].append((r.dst, r.weight))
-    found = {r.key: r.topic for r in registry.QUERIES["topic_reassign_all"](spark, SF).collect()}
+    mutual = {k for r in vectors.mutual_edges(lists).collect() for k in (r.src, r.dst)}
+    found = {r.key: r.topic for r in registry.QUERIES["topic_reassign"](spark, SF).collect()}
     assert set(start) == set(found) == {r.vec_id for r in rows} and None in start.values()
-    assert found == brute_passes(start, near, 5) != brute_passes(start, near, 1)
-    assert len(registry.QUERIES["topic_snap_all"](spark, SF).collect()) == len(rows)
+    assert found == brute_passes(start, near, mutual, 5) != brute_passes(start, near, mutual, 1)
+
+
+def test_outliers_move_and_orphans_need_a_mutual_neighbour(spark):
+    shared_folder(spark)
+    assigned = spark.createDataFrame([(0, 1), (1, 1), (2, 2), (3, 2), (4, None), (5, None)], "key long, topic long")
+    near = [(0, 2, 0.9, 1), (0, 1, 0.8, 2), (1, 0, 0.9, 1), (1, 2, 0.9, 2), (2, 3, 0.7, 1), (3, 5, 0.9, 1), (3, 0, 0.3, 2), (4, 5, 0.9, 1), (4, 1, 0.4, 2), (5, 4, 0.9, 1), (5, 2, 0.5, 2)]
+    lists = spark.createDataFrame(near, "src long, dst long, weight double, place int")
+    found = topics.reassigned(assigned, lists, spark.createDataFrame([(4,)], "key long"), 1)
+    # 0 is nearer to topic 2; 1 has a tie and stays; 3 has nobody of its own nearer than 0.3; 5 has no mutual neighbour
+    assert {r.key: r.topic for r in found.collect()} == {0: 2, 1: 1, 2: 2, 3: 1, 4: 1, 5: None}
+
+
+def test_quality_by_hand(spark):
+    near = [(0, 1, 0.9), (0, 2, 0.5), (1, 2, 0.8), (1, 0, 0.7), (2, 3, 0.6), (2, 0, 0.6), (3, 0, 0.4), (3, 1, 0.4)]
+    lists = spark.createDataFrame([(a, b, w, 1 + i % 2) for i, (a, b, w) in enumerate(near)], "src long, dst long, weight double, place int")
+    communities = spark.createDataFrame([(0, 1), (1, 1), (2, 2), (3, 2), (4, None)], "key long, community long")
+    rows = {r.community: r for r in vectors.cluster_quality(lists, communities).collect()}
+    overall = (0.9 + 0.8 + 0.6 + 0.4) / 4
+    assert (rows[1].rows, rows[1].misplaced, rows[1].outvoted, rows[1].cohesion) == (2, 1, 0, round((0.9 + 0.7) / 2 / overall, 6))
+    assert (rows[2].rows, rows[2].misplaced, rows[2].outvoted, rows[2].cohesion) == (2, 1, 2, round((0.6 + 0.0) / 2 / overall, 6))
+    many = spark.createDataFrame([(k, n, 0, 0, c) for k, (n, c) in enumerate([(5, 1.0), (6, 0.5), (9, 1.2), (4, 0.1), (7, 0.9)])], "community long, rows long, misplaced long, outvoted long, cohesion double")
+    row = vectors.quality_report(many).first()
+    assert (row.scored, row.cohesion_median, row.grab_bags) == (31, 1.0, 1)
+
+
+def test_a_topic_is_inherited_once(spark):
+    before = spark.createDataFrame([(1, m) for m in range(8)] + [(2, m) for m in range(10, 14)], "topic long, member long")
+    after = spark.createDataFrame([(11, m) for m in range(4)] + [(12, m) for m in range(4, 8)] + [(13, m) for m in range(10, 14)] + [(14, 99)], "topic long, member long")
+    found = {r.new_topic: (r.old_topic, r.jaccard) for r in insight.lineage(before, after).collect()}
+    assert found == {11: (1, 0.5), 13: (2, 1.0)}
+
+
+def unit_rows(draw, n):
+    sets = {}
+    for k in range(n):
+        matrix = draw.normal(size=(int(draw.integers(1, 5)), 6))
+        sets[k] = matrix / np.linalg.norm(matrix, axis=1)[:, None]
+    return sets
+
+
+@pytest.mark.parametrize("block_bytes", [64 << 20, 300])
+def test_duplicates_by_all_pairs(spark, monkeypatch, block_bytes):
+    """One repository and kind, both directions' mean, any chain of links, a linked unit stands for its group."""
+    shared_folder(spark)
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", block_bytes)
+    draw = np.random.default_rng(5)
+    sets = unit_rows(draw, 12)
+    for k in range(12, 60):
+        base = sets[int(draw.integers(0, 12))]
+        moved = base + draw.normal(size=base.shape) * draw.choice([0.0, 0.1, 0.15, 0.5])
+        sets[k] = moved / np.linalg.norm(moved, axis=1)[:, None]
+    about = {k: (f"r{k % 2}", k % 3 == 0, f"gh:{k}" if k % 5 == 0 and k else None) for k in sets}
+    found = spark.createDataFrame([(k, m.ravel().tolist(), len(m)) for k, m in sets.items()], "key long, matrix array<double>, rows long").repartition(3)
+    units = spark.createDataFrame([(k, *v) for k, v in about.items()], "key long, repo string, item boolean, linked string")
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and about[a][:2] == about[b][:2]:
+                scores = sets[a] @ sets[b].T
+                if (scores.max(axis=1).mean() + scores.max(axis=0).mean()) / 2 >= 0.95:
+                    root[find(b)] = find(a)
+    groups = {}
+    for k in sets:
+        groups.setdefault(find(k), []).append(k)
+    wanted = {k: (min(g, key=lambda x: (about[x][2] is None, x)), len(g)) for g in groups.values() for k in g}
+    got = {r.key: (r.rep, r["size"]) for r in vectors.duplicate_units(found, units).collect()}
+    assert got == wanted and 5 < len(groups) < 50
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_neighbours_in_two_stages(spark, batch):
+    """Pooled candidates, then exact MaxSim; what a task emits doesn't depend on the Arrow batches."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        sets = unit_rows(np.random.default_rng(6), 50)
+        rows = spark.createDataFrame([(k, m.ravel().tolist(), len(m)) for k, m in sets.items()], "key long, matrix array<double>, rows long").repartition(3)
+        pooled = {k: m.mean(axis=0) / np.linalg.norm(m.mean(axis=0)) for k, m in sets.items()}
+        wanted = set()
+        for a in sets:
+            near = sorted((k for k in sets if k != a), key=lambda k: (-round(float(pooled[a] @ pooled[k]), 5), k))[:9]
+            scored = sorted(((round(float((sets[a] @ sets[k].T).max(axis=1).sum()), 5), k) for k in near), key=lambda x: (-x[0], x[1]))[:4]
+            wanted |= {(a, k, place + 1) for place, (_, k) in enumerate(scored)}
+        got = vectors.maxsim_knn(rows, 4, 9)
+        assert {(r.src, r.dst, r.place) for r in got.collect()} == wanted
+        plain = vectors.knn(rows.select("key", "matrix").where("rows = 3").withColumnRenamed("matrix", "vector"), 3)
+        assert plain.count() == 3 * sum(len(m) == 3 for m in sets.values())
+        reps = spark.createDataFrame([(k, 0 if k in (3, 8) else k) for k in sets], "key long, rep long")
+        kept = vectors.without_duplicates(got, reps).collect()
+        assert not {r.src for r in kept} & {3, 8} and not {r.dst for r in kept} & {3, 8} and sorted({r.place for r in kept}) == [1, 2, 3, 4]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 @pytest.mark.parametrize("block_bytes", [64 << 20, 100])
