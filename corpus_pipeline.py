@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import decontamination, exact_dedup, language_id, minhash_dedup, packing
 from plumbline.llm.common import small, table
-from plumbline.session import ship_package, written
+from plumbline.session import held, release, ship_package, written
 
 #: No SQL form: the language model and the tokenizer can't be expressed. Tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -89,7 +89,8 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order; what each returns but the last is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), held()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, [*before, held()[-1]])  # a stage's own tables aren't needed once its result is written
     return STAGES[-1][1](spark, docs, sf_dir)
