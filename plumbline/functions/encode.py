@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +34,32 @@ def encoded(rows: DataFrame, column: str, encoder: Encoder = hashing_encoder) ->
     """Rows with the token matrix of a text."""
     matrix, n = encoder(F.coalesce(column, F.lit("")))
     return rows.withColumn("matrix", matrix).withColumn("rows", n)
+
+
+def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for flat, rows in zip(batch.column("matrix").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+            out.append(np.array([rows, len(flat) // max(1, rows)], "<u4").tobytes() + np.array(flat, "<f2").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.binary())], names=["key", "blob"])
+
+
+def to_blobs(found: DataFrame) -> DataFrame:
+    """Token matrices (key, matrix, rows) as bytes: rows and columns as little-endian u32, then half-precision floats."""
+    return found.select(F.col("key").cast("string").alias("key"), F.col("matrix").cast("array<double>").alias("matrix"), F.col("rows").cast("long").alias("rows")).mapInArrow(_blobs, "key string, blob binary")
+
+
+def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        flats, rows = [], []
+        for blob in batch.column("blob").to_pylist():
+            n, width = np.frombuffer(blob[:8], "<u4").tolist() if blob is not None and len(blob) >= 8 else (0, 0)
+            good = blob is not None and len(blob) == 8 + 2 * n * width and len(blob) >= 8
+            flats.append(np.frombuffer(blob[8:], "<f2").astype(float).tolist() if good else None)
+            rows.append(n if good else None)
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(flats, pa.list_(pa.float64())), pa.array(rows, pa.int64())], names=["key", "matrix", "rows"])
+
+
+def from_blobs(blobs: DataFrame) -> DataFrame:
+    """The matrices again; a blob that doesn't have the size that it says has null, like one that isn't there."""
+    return blobs.select("key", "blob").mapInArrow(_matrices, "key string, matrix array<double>, rows long")

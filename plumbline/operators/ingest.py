@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,19 @@ def docs_from_events(events: DataFrame, local_actor: str = "") -> DataFrame:
     return docs.join(actors, "session_id", "left").withColumn("author", F.coalesce("author", F.lit(local_actor))).withColumn("chars", F.length("text").cast("long"))
 
 
+def normal_since(raw: str, now: datetime | None = None) -> str:
+    """A boundary given as 'now', a day or an RFC 3339 time, as UTC to the second."""
+    if raw.lower() == "now":
+        moment = now or datetime.now(UTC)
+    elif re.fullmatch(r"\d{4}-\d{2}-\d{2}", raw):
+        moment = datetime.fromisoformat(raw).replace(tzinfo=UTC)
+    else:
+        moment = datetime.fromisoformat(raw)
+        if moment.tzinfo is None:
+            raise ValueError("a boundary is now, a day or an RFC 3339 time")
+    return moment.astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
 def capture_boundary(events: DataFrame, since: str) -> DataFrame:
     """Events at or after a moment; session starts and events whose time can't be read stay."""
     cut = epoch_ms(F.lit(since))

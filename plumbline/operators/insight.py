@@ -50,6 +50,11 @@ def tracked_actors(events: DataFrame) -> DataFrame:
     return named.join(last, "machine").select("actor", "ts")
 
 
+def roster(events: DataFrame, authors: DataFrame, newest: str, since: str, members: DataFrame | None = None, ignored: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The fleet: its machines, the share of active authors that are tracked, and those who aren't."""
+    return fleet_machines(events, newest), *fleet_coverage(tracked_actors(events), authors, members, ignored, since)
+
+
 def fleet_coverage(actors: DataFrame, authors: DataFrame, members: DataFrame | None = None, ignored: tuple[str, ...] = (), since: str = "") -> tuple[DataFrame, DataFrame]:
     """How many active authors are tracked, in whole percent, and which aren't. Logins compare whatever the case.
 
@@ -159,6 +164,12 @@ def manifest_diff(local: DataFrame, remote: DataFrame) -> DataFrame:
     return joined.select("file", F.when(F.col("local_hash").isNull(), "add").when(F.col("remote_hash").isNull(), "remove").when(F.col("local_hash") != F.col("remote_hash"), "replace").otherwise("keep").alias("action"))
 
 
+def fresher_manifest(local: DataFrame, remote: DataFrame, local_at: str, remote_at: str) -> DataFrame:
+    """What to do with each file so that the local side takes over a scrape that is newer than its own; else nothing."""
+    actions = manifest_diff(local, remote).where("action <> 'keep'")
+    return actions if remote_at > local_at else actions.limit(0)
+
+
 def pending(jobs: DataFrame, cache: DataFrame) -> DataFrame:
     """Jobs whose key and input hash aren't in the cache."""
     return jobs.join(cache.select("key", "hash"), ["key", "hash"], "left_anti")

@@ -170,10 +170,14 @@ def loc_by_day(items: DataFrame) -> DataFrame:
     return items.where("state = 'MERGED' AND merged_day IS NOT NULL").groupBy(F.col("merged_day").alias("day")).agg(F.coalesce(F.sum("additions"), F.lit(0)).alias("loc_add"), F.coalesce(F.sum("deletions"), F.lit(0)).alias("loc_del"), F.count(F.lit(1)).alias("prs"))
 
 
-def activity_by_day(days: DataFrame, loc: DataFrame) -> DataFrame:
-    """Usage and merged lines side by side; a day with either has a row."""
-    joined = days.join(loc, "day", "full_outer")
-    return joined.select("day", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tok_in", "tok_out", "tools", "sessions", "loc_add", "loc_del", "prs")])
+def activity_by_day(days: DataFrame, loc: DataFrame, units: DataFrame) -> DataFrame:
+    """Usage, merged lines and units side by side; a day with any of them has a row.
+
+    Every unit with a day claims it, but only pull requests and issues are counted: sessions are in the usage.
+    """
+    claimed = units.where(F.to_date("day").isNotNull()).groupBy("day").agg(F.count_if(F.col("unit") == "pr").alias("prs"), F.count_if(F.col("unit") == "issue").alias("issues"))
+    joined = days.join(loc.select("day", "loc_add", "loc_del"), "day", "full_outer").join(claimed, "day", "full_outer")
+    return joined.select("day", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tok_in", "tok_out", "cache_read", "cache_create", "tools", "sessions", "loc_add", "loc_del", "prs", "issues")])
 
 
 def monday_of(day: Column) -> Column:
@@ -218,6 +222,25 @@ def tool_profile(events: DataFrame) -> DataFrame:
     )
 
 
+def tool_times(events: DataFrame) -> DataFrame:
+    """How long each tool's calls took where call and result have a time, and how long their arguments are.
+
+    A result belongs to the latest call of its id and tool, which takes the first one. Percentiles are nearest ranks.
+    """
+    rows = calls_with_results(events, []).where(F.col("tool").isNotNull())
+    window = Window.partitionBy("call", "tool").orderBy("ts", "ord")
+    nth = rows.withColumn("calls_before", F.sum((F.col("kind") == "tool_call").cast("int")).over(window)).where("calls_before > 0")
+    pairs = nth.groupBy("tool", "call", "calls_before").agg(
+        F.min(F.when(F.col("kind") == "tool_call", epoch_ms(F.col("ts")))).alias("began"),
+        F.min_by(F.when(F.col("kind") == "tool_result", epoch_ms(F.col("ts"))), F.when(F.col("kind") == "tool_result", F.struct("ts", "ord"))).alias("ended"),
+    )
+    taken = pairs.where("began IS NOT NULL AND ended IS NOT NULL").withColumn("ms", F.greatest(F.col("ended") - F.col("began"), F.lit(0)))
+    ranks = lambda value, name: [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(100 * p)}_{name}") for p in (0.5, 0.95)]
+    times = taken.groupBy("tool").agg(F.count(F.lit(1)).alias("timed"), *ranks("ms", "ms"))
+    sizes = events.where(F.col("kind") == "tool_call").select(F.coalesce("p.name", F.lit("?")).alias("tool"), F.length(T.tool_arguments()).alias("size")).where("size IS NOT NULL")
+    return times.join(sizes.groupBy("tool").agg(*ranks("size", "input")), "tool", "full_outer").withColumn("timed", F.coalesce("timed", F.lit(0)))
+
+
 def tool_days(events: DataFrame) -> DataFrame:
     """Calls of each tool by day."""
     return events.where(F.col("kind") == "tool_call").groupBy(F.coalesce("p.name", F.lit("?")).alias("tool"), "day").agg(F.count(F.lit(1)).alias("calls"))

@@ -300,3 +300,14 @@ def derived_pairs(details: DataFrame, summaries: DataFrame) -> DataFrame:
     asked = F.when(F.octet_length("ask") >= 12, F.col("ask"))
     rows = details.where("linked IS NOT NULL AND prompts > 0").join(known, "session_id", "left")
     return rows.select("session_id", F.coalesce("summary", asked).alias("query"), F.col("linked").alias("answer")).where("query IS NOT NULL")
+
+
+def eval_retrieval(units: DataFrame, pairs: DataFrame, k: int = 5, encoder: Encoder = hashing_encoder) -> DataFrame:
+    """Share of queries (query, text, answer) whose answer is among the first k units: queries, hits, rate.
+
+    All queries are searched at once, in blocks of bounded bytes against all units. Units have a whole number as key.
+    """
+    found = encoded(units, "text", encoder).select("key", "matrix", "rows")
+    asked = encoded(pairs.select("query", "text").distinct(), "text", encoder).select(F.col("query").alias("key"), "matrix", "rows")
+    ranked = vectors.maxsim_search(found, asked, k).select("query", F.col("key").alias("answer"), "place")
+    return insight.hit_at(ranked, pairs.select("query", "answer").distinct(), k)

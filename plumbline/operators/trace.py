@@ -430,6 +430,34 @@ def show(events: DataFrame, known: DataFrame, entity: str, key: str, before: int
     raise ValueError("entity must be turn, job, span, event or session")
 
 
+def remote_trace(events: DataFrame, since: str, until: str, expand: bool = True, **filters) -> DataFrame:
+    """The events that a reader of a remote table needs: those of a window that filters choose and, with `expand`, all of
+    their sessions from a day before the window on, but no more than MOST_DAYS days back. Either selection is held to the caps.
+
+    Without it, their sessions' first start and first metadata come along, so that they can be told apart.
+    """
+    first = within_caps(raw_window(events, since, until, **filters))
+    at = lambda t: datetime.fromisoformat(t.replace("Z", "+00:00"))
+    back = max(at(since) - timedelta(days=1), at(until) - timedelta(days=MOST_DAYS)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    context = raw_window(events, back, until)
+    if expand:
+        return within_caps(expand_sessions(context, first))
+    known = first_context_rows(expand_sessions(context.where(F.col("kind").isin("session_start", "agent_meta")), first))
+    return known.join(first.select("event_id"), "event_id", "left_anti").unionByName(first)
+
+
+def identities(events: DataFrame) -> DataFrame:
+    """All ids that can be asked for: id, entity, and precedence where one id names several."""
+    found = spans(events)
+    of = lambda rows, column, n, entity: rows.select(F.col(column).alias("id"), F.lit(n).alias("precedence"), F.lit(entity).alias("entity"))
+    sessions_of = events.where(F.coalesce("session_id", F.lit("")) != "").select("session_id").distinct()
+    parts = [of(turns(events, found), "turn_id", 2, "turn"), of(found, "span_id", 3, "span"), of(sessions_of, "session_id", 4, "session"), of(events, "event_id", 5, "event")]
+    out = of(jobs(found), "job_id", 1, "job")
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
 def resolve_prefix(ids: DataFrame, prefix: str, most: int = 8) -> DataFrame:
     """The entities whose id begins with a prefix of four characters or more: one is a hit, several are candidates."""
     if len(prefix) < 4:

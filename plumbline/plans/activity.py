@@ -49,13 +49,10 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.session_lines(surfaces.session_details(envelopes(spark, sf_dir), _known(spark, sf_dir)).where("prompts > 0").withColumn("position", F.round("position", 1)))
 
 
-def _identities(events: DataFrame) -> DataFrame:
-    found = trace.spans(events)
-    ids = trace.jobs(found).select(F.col("job_id").alias("id"), F.lit(1).alias("precedence"), F.lit("job").alias("entity"))
-    ids = ids.unionByName(trace.turns(events, found).select(F.col("turn_id").alias("id"), F.lit(2).alias("precedence"), F.lit("turn").alias("entity")))
-    return ids.unionByName(found.select(F.col("span_id").alias("id"), F.lit(3).alias("precedence"), F.lit("span").alias("entity")))
-
-
+def _work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as dated units."""
+    kind = F.when(F.col("number") % 3 == 0, "session").when(F.col("number") % 3 == 1, "pr").otherwise("issue")
+    return _items(spark, sf_dir).select(F.col("merged_day").alias("day"), kind.alias("unit"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -80,7 +77,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "struggle": _on(lambda e: sessions.struggle(sessions.session_rollup(e))),
     "longest_turns": _on(lambda e: sessions.longest_turns(e, 3)),
     "loc_by_day": lambda s, d: sessions.loc_by_day(_items(s, d)),
-    "activity_by_day": lambda s, d: sessions.activity_by_day(sessions.day_stats(envelopes(s, d)), sessions.loc_by_day(_items(s, d))),
+    "activity_by_day": lambda s, d: sessions.activity_by_day(sessions.day_stats(envelopes(s, d)), sessions.loc_by_day(_items(s, d)), _work(s, d)),
+    "tool_times": _on(sessions.tool_times),
+    "remote_trace": _on(lambda e: trace.remote_trace(e, SINCE, UNTIL, kinds=["tool_result"], needle="exit code 1", source="claude", streams=["edge-dev-0-claudecode", "edge-dev-4-claudecode"]).select("event_id", "session_id")),
+    "remote_trace_contexts": _on(lambda e: trace.remote_trace(e, SINCE, UNTIL, expand=False, kinds=["tool_result"], needle="exit code 1", source="claude", streams=["edge-dev-0-claudecode", "edge-dev-4-claudecode"]).select("event_id", "kind")),
     "spans": _on(lambda e: trace.spans(e).drop("has_data", "ord")),
     "turns_task": _on(lambda e: trace.turns_task(e, trace.spans(e))),
     "turns_prompt": _on(lambda e: trace.turns_prompt(e, trace.spans(e))),
@@ -123,7 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "first_context_rows": _on(lambda e: trace.first_context_rows(e).select("session_id", "kind", "event_id", "ts")),
     "raw_window_select": _on(lambda e: trace.raw_window(e, SINCE, UNTIL, kinds=["tool_result", "tool_call"], source="co", needle="exit").select("event_id", "stream", "ts", "kind")),
     "expand_sessions": _on(lambda e: trace.expand_sessions(e, trace.raw_window(e, SINCE, UNTIL, kinds=["tool_result"], needle="exit code 1")).groupBy("session_id").agg(F.count(F.lit(1)).alias("events"))),
-    "resolve_prefix": _on(lambda e: trace.resolve_prefix(_identities(e), "e423")),
+    "resolve_prefix": _on(lambda e: trace.resolve_prefix(trace.identities(e), "e423")),
     "docs_from_events": _on(lambda e: ingest.docs_from_events(e).select("event_id", "session_id", "kind", "author", "chars")),
     "capture_boundary": _on(lambda e: ingest.capture_boundary(e, SINCE).groupBy("kind").agg(F.count(F.lit(1)).alias("events"))),
     "session_visible": _on(lambda e: ingest.visible_sessions(e, SINCE).select("session_id").distinct()),
@@ -256,6 +256,7 @@ _DOCS = """, docs AS (
     WHERE asks OR (kind IN ('assistant_message', 'thinking') AND octet_length(encode(trim(coalesce(text, '')))) >= 12)
 ) """
 
+_CHOSEN = f"ts >= '{SINCE}' AND ts < '{UNTIL}' AND kind = 'tool_result' AND contains(lower(payload), 'exit code 1') AND contains(source, 'claude') AND stream IN ('edge-dev-0-claudecode', 'edge-dev-4-claudecode')"
 _MEMBERS = ", mem AS (SELECT session_id, event_id, first_value(head) OVER (PARTITION BY task, session_id, turn ORDER BY ts, ord) AS turn_id FROM members) "
 
 _CONTEXT = """, c0 AS (SELECT session_id, arg_min(regexp_replace(regexp_replace(stream, '^edge-', ''), '-(claudecode|codex|cowork)$', ''), (ts, ord)) AS machine, arg_min(payload->>'$.cwd', (ts, ord)) FILTER (payload->>'$.cwd' IS NOT NULL) AS cwd,
@@ -316,7 +317,15 @@ ORACLES: dict[str, str] = {
         SELECT session_id, event_id, ord, regexp_replace(trim(text), '\\s+', ' ', 'g') AS w, octet_length(encode(text)) AS bytes FROM e WHERE kind IN ('user_prompt', 'assistant_message') AND coalesce(text, '') <> '' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY octet_length(encode(text)) DESC, ord) <= 3)"""),
     "loc_by_day": "SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, coalesce(sum(a), 0)::BIGINT AS loc_add, coalesce(sum(d), 0)::BIGINT AS loc_del, count(*) AS prs FROM orders LEFT JOIN (SELECT l_orderkey, sum(floor(l_quantity)) AS a, sum(floor(l_discount * 100)) AS d FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1",
     "activity_by_day": _ev(_USAGE + """, loc AS (SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, coalesce(sum(a), 0)::BIGINT AS loc_add, coalesce(sum(d), 0)::BIGINT AS loc_del, count(*) AS prs FROM orders LEFT JOIN (SELECT l_orderkey, sum(floor(l_quantity)) AS a, sum(floor(l_discount * 100)) AS d FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1)
-        SELECT coalesce(days.day, loc.day) AS day, coalesce(tok_in, 0) AS tok_in, coalesce(tok_out, 0) AS tok_out, coalesce(tools, 0) AS tools, coalesce(sessions, 0) AS sessions, coalesce(loc_add, 0) AS loc_add, coalesce(loc_del, 0) AS loc_del, coalesce(prs, 0) AS prs FROM days FULL JOIN loc ON days.day = loc.day"""),
+        SELECT day, coalesce(tok_in, 0) AS tok_in, coalesce(tok_out, 0) AS tok_out, coalesce(cache_read, 0) AS cache_read, coalesce(cache_create, 0) AS cache_create, coalesce(tools, 0) AS tools, coalesce(sessions, 0) AS sessions, coalesce(loc_add, 0) AS loc_add, coalesce(loc_del, 0) AS loc_del, coalesce(w.prs, 0) AS prs, coalesce(issues, 0) AS issues
+        FROM days FULL JOIN loc USING (day) FULL JOIN (SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, count(*) FILTER (o_orderkey % 3 = 1) AS prs, count(*) FILTER (o_orderkey % 3 = 2) AS issues FROM orders GROUP BY 1) w USING (day)"""),
+    "tool_times": _ev(_CALLS + """, n AS (SELECT *, sum((kind = 'tool_call')::INT) OVER (PARTITION BY call, tool ORDER BY ts, ord) AS nth, epoch_ms(CAST(ts AS TIMESTAMP)) AS ms FROM gc WHERE tool IS NOT NULL),
+        pr AS (SELECT tool, greatest(arg_min(ms, (ts, ord)) FILTER (kind = 'tool_result') - min(ms) FILTER (kind = 'tool_call'), 0) AS took FROM n WHERE nth > 0 GROUP BY tool, call, nth HAVING count(*) FILTER (kind = 'tool_result') > 0),
+        sz AS (SELECT coalesce(name, '?') AS tool, quantile_disc(length(args), 0.5) AS p50_input, quantile_disc(length(args), 0.95) AS p95_input FROM e WHERE kind = 'tool_call' AND args IS NOT NULL GROUP BY 1)
+        SELECT tool, coalesce(timed, 0) AS timed, p50_ms, p95_ms, p50_input, p95_input FROM (SELECT tool, count(*) AS timed, quantile_disc(took, 0.5) AS p50_ms, quantile_disc(took, 0.95) AS p95_ms FROM pr GROUP BY 1) FULL JOIN sz USING (tool)"""),
+    "remote_trace": _ev(f"SELECT event_id, session_id FROM e WHERE ts >= '2024-01-09T00:00:00Z' AND ts < '{UNTIL}' AND session_id IN (SELECT session_id FROM e WHERE {_CHOSEN})"),
+    "remote_trace_contexts": _ev(f"""SELECT event_id, kind FROM (SELECT event_id, kind FROM e WHERE ts >= '2024-01-09T00:00:00Z' AND ts < '{UNTIL}' AND kind IN ('session_start', 'agent_meta') AND session_id IN (SELECT session_id FROM e WHERE {_CHOSEN}) QUALIFY row_number() OVER (PARTITION BY session_id, kind ORDER BY ts, ord) = 1)
+        UNION ALL SELECT event_id, kind FROM e WHERE {_CHOSEN}"""),
     "spans": _ev(_SPANS + "SELECT * EXCLUDE (has_data) FROM spans"),
     "turns_task": _ev(_TURNS + "SELECT * EXCLUDE (task) FROM tv WHERE task"),
     "turns_prompt": _ev(_TURNS + "SELECT * EXCLUDE (task) FROM tv WHERE NOT task"),
@@ -385,7 +394,7 @@ ORACLES: dict[str, str] = {
     "first_context_rows": _ev("SELECT session_id, kind, event_id, ts FROM e WHERE session_id <> '' QUALIFY row_number() OVER (PARTITION BY session_id, kind ORDER BY ts, ord) = 1"),
     "raw_window_select": _ev(f"SELECT event_id, stream, ts, kind FROM e WHERE ts >= '{SINCE}' AND ts < '{UNTIL}' AND kind IN ('tool_result', 'tool_call') AND contains(source, 'co') AND contains(lower(payload), 'exit')"),
     "expand_sessions": _ev(f"SELECT session_id, count(*) AS events FROM e WHERE session_id IN (SELECT session_id FROM e WHERE ts >= '{SINCE}' AND ts < '{UNTIL}' AND kind = 'tool_result' AND contains(lower(payload), 'exit code 1')) GROUP BY session_id"),
-    "resolve_prefix": _ev(_TURNS + "SELECT * FROM (SELECT job_id AS id, 1 AS precedence, 'job' AS entity FROM jobs UNION ALL SELECT turn_id, 2, 'turn' FROM tv UNION ALL SELECT span_id, 3, 'span' FROM spans) WHERE starts_with(id, 'e423') ORDER BY precedence, id LIMIT 9"),
+    "resolve_prefix": _ev(_TURNS + "SELECT * FROM (SELECT job_id AS id, 1 AS precedence, 'job' AS entity FROM jobs UNION ALL SELECT turn_id, 2, 'turn' FROM tv UNION ALL SELECT span_id, 3, 'span' FROM spans UNION ALL SELECT DISTINCT session_id, 4, 'session' FROM e WHERE session_id <> '' UNION ALL SELECT event_id, 5, 'event' FROM e) WHERE starts_with(id, 'e423') ORDER BY precedence, id LIMIT 9"),
     "docs_from_events": _ev(_DOCS + "SELECT event_id, session_id, kind, author, chars FROM docs"),
     "capture_boundary": _ev(f"SELECT kind, count(*) AS events FROM e WHERE kind = 'session_start' OR CAST(ts AS TIMESTAMP) >= TIMESTAMP '2024-01-10 00:00:00' GROUP BY kind"),
     "session_visible": _ev(f"SELECT DISTINCT session_id FROM e WHERE kind <> 'session_start' AND ts >= '{SINCE}' AND session_id <> ''"),

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions import naming, render
+from plumbline.functions import encode, naming, render
 from plumbline.functions import text as T
 from plumbline.operators import ingest, insight, sessions, surfaces, topics, vectors
 from plumbline.operators.access import ReadScope, facet, role_matrix, scope_filter
@@ -298,6 +298,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "neighbour_dump": lambda s, d: surfaces.neighbour_dump(_neighbours(s, d, 12), _assigned(s, d), "13"),
     "search": _search,
     "related": lambda s, d: surfaces.related(_table(s, d, "benchmark").select(F.col("item_id").alias("key"), "text"), _SUBJECTS, _FILES, 8),
+    "embedding_blobs": lambda s, d: encode.from_blobs(encode.to_blobs(vectors.matrices(_table(s, d, "embeddings"), 4))).select("key", "rows", F.size("matrix").alias("values"), F.round(F.col("matrix")[0], 2).alias("first")),
+    "eval_retrieval": lambda s, d: surfaces.eval_retrieval(_table(s, d, "benchmark").select(F.col("item_id").alias("key"), "text"), _table(s, d, "benchmark").select(F.col("item_id").alias("query"), "text", F.col("item_id").alias("answer")), 3),
+    "fresher_manifest": lambda s, d: insight.fresher_manifest(_table(s, d, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("file"), F.col("o_custkey").alias("hash")), _table(s, d, "orders").where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("file"), (F.col("o_custkey") % 500).alias("hash")), "2024-01-01", "2024-01-02"),
     "recent_work": lambda s, d: s.createDataFrame(list(enumerate(surfaces.recent_work(s, _SUBJECTS, _FILES))), "place int, word string"),
     "topic_units": lambda s, d: _flat(_topic_units(s, d)),
     "topic_units_scoped": lambda s, d: _flat(_topic_units(s, d, ReadScope(repos=("r1", "r2", "r3"), sources=("github",)))),
@@ -479,6 +482,10 @@ ORACLES: dict[str, str] = {
     "related": """WITH qw AS (SELECT unnest(['pack', 'wheel', 'round', 'cart', 'totals', 'rate', 'limit', 'total-cost']) AS w), dw AS (SELECT DISTINCT item_id AS key, regexp_replace(unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}-]+')), '^-+|-+$', '', 'g') AS w FROM benchmark), dv AS (SELECT w, md5(w) AS h FROM (SELECT DISTINCT w FROM dw WHERE w <> '')),
         sim AS (SELECT qw.w AS q, dv.w AS d, sum(CASE WHEN (substr(md5(qw.w), j, 1) >= '8') = (substr(h, j, 1) >= '8') THEN 1 ELSE -1 END) / 32.0 AS s FROM qw, dv, range(1, 33) r(j) GROUP BY 1, 2)
         SELECT key, round(sum(best), 5) AS score FROM (SELECT key, q, max(s) AS best FROM dw JOIN sim ON d = w GROUP BY 1, 2) GROUP BY key ORDER BY score DESC, key LIMIT 8""",
+    "embedding_blobs": "SELECT (vec_id // 4)::VARCHAR AS key, count(*) AS rows, (count(*) * any_value(len(embedding)))::INT AS values, round(arg_min(embedding[1], vec_id)::DOUBLE, 2) AS first FROM embeddings GROUP BY 1",
+    "eval_retrieval": "SELECT count(*) AS queries, count(*) AS hits, 1.0::DOUBLE AS rate FROM benchmark",
+    "fresher_manifest": """SELECT coalesce(a.file, b.file) AS file, CASE WHEN a.file IS NULL THEN 'add' WHEN b.file IS NULL THEN 'remove' ELSE 'replace' END AS action
+        FROM (SELECT o_orderkey AS file, o_custkey AS hash FROM orders WHERE o_orderkey % 3 <> 0) a FULL JOIN (SELECT o_orderkey AS file, o_custkey % 500 AS hash FROM orders WHERE o_orderkey % 4 <> 0) b ON a.file = b.file WHERE a.file IS NULL OR b.file IS NULL OR a.hash <> b.hash""",
     "recent_work": "SELECT (i - 1)::INT AS place, ['pack', 'wheel', 'round', 'cart', 'totals', 'rate', 'limit', 'total-cost'][i] AS word FROM range(1, 9) r(i)",
     "topic_units": _topics_sql("true", "'label ' || topic") + "SELECT * FROM tu",
     "topic_units_scoped": _topics_sql("repo IN ('r1', 'r2', 'r3') AND source = 'github'", "arg_min(title, rank)") + "SELECT * FROM tu",
