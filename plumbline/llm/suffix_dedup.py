@@ -8,11 +8,14 @@ A byte goes if a string of `length` bytes that covers it also starts in a docume
    of a single document end there.
 3. A fingerprint's owner is the least document that has it. Each document sends the parts of its text whose strings
    have shared fingerprints to the group of their owner, so that all equal strings meet in one group. Groups of too
-   much text are split by fingerprint.
+   much text are split by fingerprint. A fingerprint of more than HOT_DOCS documents has groups of its own: its documents
+   are dealt to several, and its owner's part goes to each.
 4. Groups are taken in batches. A run-length index of the owners' parts is built and the matching statistics of all other
    parts are streamed through it. What the owners don't settle gets an index of its own, through which it is streamed
    once more; there the least document of each class of equal strings decides.
-5. Matched strings are united per document, and the rest of its bytes is hashed.
+5. What remains unsettled in the groups of one hot fingerprint may stand in several of them. It goes through steps 2 to 4
+   once more, with whole strings as fingerprints: then the owner has every string of its group.
+6. Matched strings are united per document, and the rest of its bytes is hashed.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ K = 24
 PRINT_BITS = 48
 #: Fingerprints that are exchanged together, and shared ones in a group before it is split.
 BLOCK_PRINTS, GROUP_PRINTS = 2 << 20, 400_000
+#: Documents of a fingerprint that meet in one group, and what sets the groups of a hot one apart from splits.
+HOT_DOCS, HOT_SPLIT = 2000, 1 << 50
 #: Bytes of parts that are indexed together.
 BATCH_BYTES = 4 << 20
 #: Longer parts are streamed in pieces of so many strings.
@@ -58,11 +63,10 @@ def gram_prints(body: np.ndarray, k: int) -> np.ndarray:
     return mixed((prefix[k:] - prefix[:m]) * down[:m]) >> np.uint64(64 - PRINT_BITS)
 
 
-def _prints(batches: Iterator[pa.RecordBatch], length: int, blocks: int) -> Iterator[pa.RecordBatch]:
+def _prints(batches: Iterator[pa.RecordBatch], length: int, k: int, blocks: int) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    k = gram_bytes(length)
     ids: list[np.ndarray] = []
     prints: list[np.ndarray] = []
     owners: list[np.ndarray] = []
@@ -116,7 +120,7 @@ def unplaned(data: bytes, kind: type, n: int) -> np.ndarray:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by block; out go the fingerprints of more than one document: doc, print, owner."""
+    """Rows come sorted by block; out go the fingerprints of more than one document: doc, print, owner, documents."""
     import zstandard
 
     expand = zstandard.ZstdDecompressor().decompress
@@ -133,7 +137,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.repeat(size > 1, size)
         for at in range(0, int(keep.sum()), 50_000):
             some = np.flatnonzero(keep)[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(value[some].astype(np.int64)), pa.array(np.repeat(doc[first], size)[some])], names=["doc_id", "print", "owner"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(value[some].astype(np.int64)), pa.array(np.repeat(doc[first], size)[some]), pa.array(np.repeat(size, size)[some])], names=["doc_id", "print", "owner", "docs"])
 
     for batch in batches:
         for block, n, values, ids, places in zip(*(batch.column(c).to_pylist() for c in ("block", "n", "prints", "docs", "places")), strict=True):
@@ -147,32 +151,36 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from finish()
 
 
-def _parts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The parts of each text whose strings have shared fingerprints, by the group of their owner."""
-    k = gram_bytes(length)
+PARTS = {"owner": pa.int64(), "split": pa.int64(), "salt": pa.int64(), "doc_id": pa.int64(), "start": pa.int64(), "body": pa.binary()}
+
+
+def _parts(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
+    """The parts of each text (from `base` on in its document) whose strings have shared fingerprints, by group."""
     for batch in batches:
-        rows: list[tuple[int, int, int, int, bytes]] = []
+        rows: list[tuple[int, int, int, int, int, bytes]] = []
         lists = batch.column("shared")
         offsets, flat = lists.offsets.to_numpy(), lists.values
-        print_all, owner_all, splits_all = (flat.field(name).to_numpy(zero_copy_only=False) for name in ("print", "owner", "splits"))
-        for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
-            data = text.encode()
+        columns = [flat.field(name).to_numpy(zero_copy_only=False) for name in ("print", "owner", "splits", "salts")]
+        for i, (doc, base, data) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("base").to_pylist(), batch.column("text").to_pylist(), strict=True)):
             if len(data) < length:
                 continue
-            known = print_all[offsets[i] : offsets[i + 1]].astype(np.uint64)
+            known, owner, splits, salts = (c[offsets[i] : offsets[i + 1]] for c in columns)
             order = np.argsort(known)
-            known, owner, splits = known[order], owner_all[offsets[i] : offsets[i + 1]][order], splits_all[offsets[i] : offsets[i + 1]][order]
+            known, owner, splits, salts = known[order].astype(np.uint64), owner[order], splits[order], salts[order]
             least = window_minimum(gram_prints(np.frombuffer(data, np.uint8), k), length - k + 1)
             at = np.minimum(np.searchsorted(known, least), len(known) - 1)
             hit = known[at] == least
-            split = (least % splits[at].astype(np.uint64)).astype(np.int64)
+            split = np.where(salts[at] > 0, least.astype(np.int64) + HOT_SPLIT, (least % splits[at].astype(np.uint64)).astype(np.int64))
             key = np.where(hit, owner[at], -1)
             change = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (split[1:] != split[:-1]) | (hit[1:] != hit[:-1]), [True])))
+            own_salt = int(mixed(np.array([doc], np.int64).view(np.uint64))[0] >> np.uint64(1))
             for a, b in zip(change[:-1].tolist(), change[1:].tolist(), strict=True):
                 if hit[a]:
-                    rows.append((int(owner[at[a]]), int(split[a]), doc, a, data[a : b + length - 1]))
+                    of, n = int(owner[at[a]]), int(salts[at[a]])
+                    for salt in range(n) if n and of == doc else (own_salt % n if n else 0,):
+                        rows.append((of, int(split[a]), salt, doc, base + a, data[a : b + length - 1]))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["owner", "split", "doc_id", "start", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PARTS.values(), strict=True)], names=list(PARTS))
 
 
 def earlier(bodies: list[bytes], docs: np.ndarray, owners: np.ndarray, length: int) -> list[np.ndarray]:
@@ -209,33 +217,50 @@ def earlier(bodies: list[bytes], docs: np.ndarray, owners: np.ndarray, length: i
 
 
 def _matched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group; out go runs of bytes that repeat: doc, [from, to, ...]."""
-    rows: list[tuple[int, int, int, bytes]] = []  # owner, doc, start, body
+    """Rows come sorted by group; out go runs of bytes that repeat: doc, [from, to, ...]. What a group of a hot fingerprint
+    doesn't settle goes out as start and body."""
+    rows: list[tuple[int, int, int, int, bytes]] = []  # owner, split, doc, start, body
     held, group = 0, None
 
-    def finish() -> pa.RecordBatch:
-        docs, owners = np.array([r[1] for r in rows], np.int64), np.array([r[0] for r in rows], np.int64)
-        found = earlier([r[3] for r in rows], docs, owners, length)
-        out_docs, out_runs = [], []
-        for (_, doc, start, _), flag in zip(rows, found, strict=True):
+    def finish() -> Iterator[pa.RecordBatch]:
+        docs, owners = np.array([r[2] for r in rows], np.int64), np.array([r[0] for r in rows], np.int64)
+        found = earlier([r[4] for r in rows], docs, owners, length)
+        out: list[tuple[int, list[int] | None, int | None, bytes | None]] = []
+        for (owner, split, doc, start, body), flag in zip(rows, found, strict=True):
             edges = np.flatnonzero(np.diff(np.concatenate(([False], flag, [False])).astype(np.int8)))
             if len(edges):
                 edges[1::2] += length - 1
-                out_docs.append(doc)
-                out_runs.append((edges + start).tolist())
-        return pa.RecordBatch.from_arrays([pa.array(out_docs, pa.int64()), pa.array(out_runs, pa.list_(pa.int64()))], names=["doc_id", "runs"])
+                out.append((doc, (edges + start).tolist(), None, None))
+            if split >= HOT_SPLIT and doc != owner:
+                open_ = np.flatnonzero(np.diff(np.concatenate(([True], flag, [True])).astype(np.int8)))
+                out += [(doc, None, start + a, body[a : b + length - 1]) for a, b in zip(open_[::2].tolist(), open_[1::2].tolist(), strict=True)]
+        columns = list(zip(*out, strict=True)) if out else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "runs", "base", "text"])
 
     for batch in batches:
-        for owner, split, doc, start, body in zip(*(batch.column(c).to_pylist() for c in ("owner", "split", "doc_id", "start", "body")), strict=True):
-            if (owner, split) != group and held >= BATCH_BYTES:
-                yield finish()
+        for owner, split, salt, doc, start, body in zip(*(batch.column(c).to_pylist() for c in PARTS), strict=True):
+            if (owner, split, salt) != group and held >= BATCH_BYTES:
+                yield from finish()
                 rows.clear()
                 held = 0
-            group = (owner, split)
-            rows.append((owner, doc, start, body))
+            group = (owner, split, salt)
+            rows.append((owner, split, doc, start, body))
             held += len(body)
     if rows:
-        yield finish()
+        yield from finish()
+
+
+def _round(texts: DataFrame, length: int, k: int, blocks: int) -> DataFrame:
+    """One pass of fingerprints, groups and indexes over texts (doc_id, base, text as bytes): doc_id, runs, base, text."""
+    sent = texts.mapInArrow(lambda batches: _prints(batches, length, k, blocks), "block long, n long, prints binary, docs binary, places binary")
+    shared = written(sent.repartition("block").sortWithinPartitions("block").mapInArrow(_shared, "doc_id long, print long, owner long, docs long"), "shared-prints")
+    hot = F.col("docs") > HOT_DOCS
+    sizes = written(shared.where(~hot).groupBy("owner").count().where(F.col("count") > GROUP_PRINTS).select("owner", F.ceil(F.col("count") / GROUP_PRINTS).alias("splits")), "group-splits")
+    listed = shared.join(small(sizes), "owner", "left").withColumn("splits", F.coalesce("splits", F.lit(1))).withColumn("salts", F.when(hot, F.ceil(F.col("docs") / HOT_DOCS)).otherwise(0))
+    lists = listed.groupBy("doc_id").agg(F.collect_list(F.struct("print", "owner", "splits", "salts")).alias("shared"))
+    parts = texts.join(lists, "doc_id").mapInArrow(lambda batches: _parts(batches, length, k), "owner long, split long, salt long, doc_id long, start long, body binary")
+    grouped = parts.repartition("owner", "split", "salt").sortWithinPartitions("owner", "split", "salt", "doc_id", "start")
+    return written(grouped.mapInArrow(lambda batches: _matched(batches, length), "doc_id long, runs array<long>, base long, text binary"), "repeat-runs")
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -267,9 +292,10 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     Returns a row for each row of `docs`: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256
     (lower-case hexadecimal, of the remaining bytes) and kept (the remaining bytes; they may end inside a character).
     Texts are UTF-8 bytes, null is empty; matches don't cross documents and are judged on the input. Rows that repeat a
-    doc_id and text have equal rows; different texts are taken to have different doc_ids. A row with a null doc_id
-    stays whole and nothing is removed for its sake. Texts shorter than `length` stay whole. An empty table gives no
-    rows; other columns are ignored.
+    doc_id and text have equal rows; different texts are taken to have different doc_ids. Of equal strings the one in the
+    least doc_id stays, wherever it stands; a text of any length is treated as a whole. A row with a null doc_id stays
+    whole and nothing is removed for its sake. Texts shorter than `length` stay whole. An empty table gives no
+    rows; other columns are ignored, whatever their names.
     """
     if length < 8:
         raise ValueError("strings must have 8 bytes at least")
@@ -283,15 +309,13 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     marked = small(copies)
     single = named.where(F.octet_length("text") >= length).join(marked, "doc_id", "left_anti")
     blocks = max(512, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = single.mapInArrow(lambda batches: _prints(batches, length, blocks), "block long, n long, prints binary, docs binary, places binary")
-    shared = written(sent.repartition("block").sortWithinPartitions("block").mapInArrow(_shared, "doc_id long, print long, owner long"), "shared-prints")
-    sizes = written(shared.groupBy("owner").count().where(F.col("count") > GROUP_PRINTS).select("owner", F.ceil(F.col("count") / GROUP_PRINTS).alias("splits")), "group-splits")
-    listed = shared.join(small(sizes), "owner", "left").withColumn("splits", F.coalesce("splits", F.lit(1)))
-    lists = listed.groupBy("doc_id").agg(F.collect_list(F.struct("print", "owner", "splits")).alias("shared"))
-    parts = single.join(lists, "doc_id").mapInArrow(lambda batches: _parts(batches, length), "owner long, split long, doc_id long, start long, body binary")
-    grouped = parts.repartition("owner", "split").sortWithinPartitions("owner", "split", "doc_id", "start")
-    found = grouped.mapInArrow(lambda batches: _matched(batches, length), "doc_id long, runs array<long>")
-    runs = written(found.groupBy("doc_id").agg(F.collect_list("runs").alias("runs")), "repeat-runs")
+    whole = single.select("doc_id", F.lit(0).cast("long").alias("base"), F.col("text").cast("binary").alias("text"))
+    found = _round(whole, length, gram_bytes(length), blocks)
+    unsettled = found.where("runs IS NULL").select("doc_id", "base", "text")
+    found = found.where("runs IS NOT NULL").select("doc_id", "runs")
+    if not unsettled.isEmpty():
+        found = found.unionByName(_round(unsettled, length, length, blocks).where("runs IS NOT NULL").select("doc_id", "runs"))
+    runs = found.groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
     marks = written(runs.withColumn("is_copy", F.lit(False)).unionByName(copies.select("doc_id", F.lit(None).cast("array<array<long>>").alias("runs"), F.lit(True).alias("is_copy"))), "repeat-marks")
     size = "64 + coalesce(aggregate(runs, 0, (total, run) -> total + 24 + 8 * size(run)), 0)"
     joined = texts.join(small(marks, size), "doc_id", "left").withColumn("is_copy", F.coalesce("is_copy", F.lit(False)))
