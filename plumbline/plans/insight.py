@@ -472,6 +472,9 @@ ORACLES: dict[str, str] = {
     "cluster_quality": _KNN + _KNN16 + _FLOOR + _PLACED + "SELECT community, rows, misplaced, outvoted, cohesion FROM qual",
     "cluster_quality_report": _KNN + _KNN16 + _FLOOR + _PLACED + """, med AS (SELECT coalesce(list(cohesion ORDER BY cohesion)[count(*) // 2 + 1], 0) AS m FROM qual WHERE rows >= 5)
         SELECT sum(rows)::BIGINT AS scored, sum(misplaced)::BIGINT AS misplaced, sum(outvoted)::BIGINT AS outvoted, any_value(m) AS cohesion_median, count(*) FILTER (rows >= 5 AND cohesion < 0.8 * m) AS grab_bags FROM qual, med""",
+    "name_gate": """WITH tk AS (SELECT vec_id // 4 AS key, vec_id, CAST(embedding AS DOUBLE[]) AS e, vec_id // 4 % 9 AS topic FROM embeddings), mm AS (SELECT topic, ka, kb, avg(best) AS s FROM (SELECT a.topic, a.key AS ka, b.key AS kb, a.vec_id, max(list_dot_product(a.e, b.e)) AS best FROM tk a JOIN tk b ON a.topic = b.topic GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+        sc AS (SELECT topic, avg(s) AS score FROM mm WHERE ka = topic GROUP BY 1), li AS (SELECT topic, CASE WHEN count(*) < 5 THEN 0.5 ELSE greatest(0.5, 0.85 * list(c ORDER BY c)[(10 * (count(*) - 1) + 50) // 100 + 1]) END AS l FROM (SELECT topic, ka, avg(s) FILTER (ka <> kb) AS c FROM mm GROUP BY 1, 2) GROUP BY 1)
+        SELECT topic, round(score, 5) AS score, round(l, 5) AS "limit", score >= l AS accepted FROM sc JOIN li USING (topic)""",
     "near_dup_groups": _TOKENS + "SELECT key, rep, size FROM reps",
     "near_dup_vectors": _KNN.replace("WITH v", "WITH RECURSIVE v") + ", l AS (SELECT src AS a, dst AS b FROM pairs WHERE weight >= 0.3), reach AS (SELECT a, b FROM l UNION SELECT r.a, e.b FROM reach r JOIN l e ON r.b = e.a) SELECT a AS key, least(a, min(b)) AS rep FROM reach GROUP BY a",
     "near_dup_classes": _KNN.replace("WITH v", "WITH RECURSIVE v") + ", l AS (SELECT src AS a, dst AS b FROM pairs WHERE weight >= 0.3), reach AS (SELECT key AS a, key AS b FROM v UNION SELECT r.a, e.b FROM reach r JOIN l e ON r.b = e.a) SELECT a AS key, min(b) AS rep FROM reach GROUP BY a",
