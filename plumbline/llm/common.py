@@ -52,21 +52,24 @@ HOT_SHARE = 1000
 def lookup(rows: DataFrame, found: DataFrame, keys: list[str], size: str, salts: int = 64, by: str = "doc_id", how: str = "inner", hot_by: list[str] | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Join rows to a table that has one row for each key and says how many rows have it.
 
-    Keys of many rows are spread over `salts` tasks: their rows in the table are repeated for each salt. Which keys these
-    are is broadcast; as each has more than one in HOT_SHARE of all rows, they are fewer than HOT_SHARE. Where keys may be
-    long, `hot_by` names those of a bounded length that decide it. Rows are salted by the column `by` and, as that may be
-    null or repeat itself, by the partition they come from. `sizes` is a table of the keys and sizes alone, where one is
-    at hand.
+    Keys of many rows are spread over `salts` tasks: their rows in the table are repeated for each salt. As each such key
+    has more than one in HOT_SHARE of all rows, they are fewer than HOT_SHARE; a hash of each comes to the driver and
+    stands in the plan. Where keys may be long, `hot_by` names those that decide it. Rows are salted by the column `by`
+    and, as that may be null or repeat itself, by the partition they come from. `sizes` is a table of the keys and sizes
+    alone, where one is at hand.
     """
     marked = hot_by or keys
     sizes = found if sizes is None else sizes
     sums = sizes if marked == keys else sizes.groupBy(*marked).agg(F.sum(size).alias(size))
     total = sizes.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    marks = sums.where(F.col(size) > max(1000, total // HOT_SHARE)).select(*marked, F.lit(True).alias("_hot"))
+    limit = max(1000, total // HOT_SHARE)
+    hot = [row[0] for row in sums.where(F.col(size) > limit).select(F.xxhash64(*marked)).collect()] if total > limit else []
+    if not hot:
+        return rows.join(found, keys, how)
+    is_hot = F.xxhash64(*marked).isin(hot)
     salt = F.pmod(F.xxhash64(by, *marked, F.spark_partition_id()), F.lit(salts)).cast("int")
-    left = rows.withColumn("_salt", salt).join(F.broadcast(marks), marked, "left").withColumn("_salt", F.when(F.col("_hot"), F.col("_salt")).otherwise(0)).drop("_hot")
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    right = found.join(F.broadcast(marks), marked, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))).drop("_hot")
+    left = rows.withColumn("_salt", F.when(is_hot, salt).otherwise(0))
+    right = found.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -4,9 +4,10 @@
    keeps, of the least rest of a hash in it, the number of leading zeros and the next bits, 32 bits in all; 0 is an empty
    bucket.
 2. Documents with the same set are one class and go on as its least doc_id.
-3. BANDS bands of registers put classes into groups; bands without a filled register are left out. At similarity 0.8 two
-   large sets miss each other with a probability of (1 - 0.8 ** 5) ** 40, about 1e-7; small sets, whose shingles
-   have buckets of their own, do so less often or, from 4 and 5 shingles, as rarely.
+3. For banding, an empty register takes the value of the first filled one in an order of its own (densification), so that
+   any two registers agree about as often as the sets are similar, however small they are, and a band rests on several
+   shingles where there are several. BANDS bands of registers put classes into groups. At similarity 0.8 two classes miss
+   each other with a probability of (1 - 0.8 ** 5) ** 40, about 1e-7.
 4. In each group every member is held against two of its members, not against all. Similarity is estimated from the
    registers that either has, corrected for those that agree by chance; pairs that can't reach the threshold go.
 5. Likely pairs are confirmed on the full sets of shingles of their texts: first each class's likeliest partner, then
@@ -39,12 +40,16 @@ BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
 #: Bits of a hash behind those that choose a bucket, and of them those behind the leading zeros that a register keeps.
 REST, MANTISSA = 44, 26
+#: Mantissa bits of the short registers that similarity is estimated from.
+SHORT = 10
 #: How many standard deviations below the threshold an estimate may lie.
 DEVIATIONS = 5
 #: Shingles outside a component that are compared at once, and shingles that they are streamed past in one task.
 BLOCK, STREAM = 500_000, 8_000_000
 #: Members that are confirmed beside one copy of their partner's text.
 CHUNK = 64
+#: What ids are combined with to order a group's members by.
+ORDER = 0x2545F4914F6CDD1D
 #: Sets whose shingles are sorted together.
 SORTED = 4096
 
@@ -83,14 +88,46 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _orders() -> np.ndarray:
+    """For each register all registers, itself first and the others in an order of its own."""
+    draw = np.random.Generator(np.random.PCG64(20240229))
+    orders = np.array([[j, *(k for k in draw.permutation(REGISTERS).tolist() if k != j)] for j in range(REGISTERS)])
+    return orders
+
+
+_ORDERS = _orders()
+#: Registers that are tried for all rows at once before the rest is looked up.
+TRIED = 12
+
+
+def densified(kept: np.ndarray) -> np.ndarray:
+    """Registers in which each empty one has the value of the first filled one in its order; a row has a filled one."""
+    filled, out = kept != 0, kept.copy()
+    for first in range(0, len(kept), 256):
+        rows, flags = kept[first : first + 256], filled[first : first + 256]
+        tried = flags[:, _ORDERS[:, :TRIED]]
+        source = _ORDERS[np.arange(REGISTERS), tried.argmax(axis=2)]
+        row, register = np.nonzero(~tried.any(axis=2))
+        for at in range(0, len(row), 4096):
+            r, j = row[at : at + 4096], register[at : at + 4096]
+            source[r, j] = _ORDERS[j, flags[r[:, None], _ORDERS[j]].argmax(axis=1)]
+        out[first : first + 256] = np.take_along_axis(rows, source, axis=1)
+    return out
+
+
+def halves(kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last 16 bits of registers. The first ones, zeros and SHORT mantissa bits, are enough to estimate by."""
+    return (kept >> np.uint32(MANTISSA - SHORT)).astype(np.uint16), kept.astype(np.uint16)
+
+
 def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """The share of filled registers of disjoint sets of n and m shingles that agree by chance."""
+    """The share of filled short registers of disjoint sets of n and m shingles that agree by chance."""
     n, m = n / REGISTERS, m / REGISTERS
     total = np.zeros(np.broadcast(n, m).shape)
     for zeros in range(REST):
         low, high = 2.0 ** -(zeros + 1), 2.0**-zeros
         total += (np.exp(-n * low) - np.exp(-n * high)) * (np.exp(-m * low) - np.exp(-m * high))
-    return total / (1 << MANTISSA) / np.maximum(1 - np.exp(-(n + m)), 1e-9)
+    return total / (1 << SHORT) / np.maximum(1 - np.exp(-(n + m)), 1e-9)
 
 
 def estimated(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +146,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
             digests = np.array(marks, np.uint64).reshape(-1, 2).view(np.int64)
             kept = registers(sets)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([row.tobytes() if len(s) else None for row, s in zip(kept, sets, strict=True)], pa.binary())],
-                names=["doc_id", "n", "d1", "d2", "registers"],
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), *(pa.array([row.tobytes() if len(s) else None for row, s in zip(half, sets, strict=True)], pa.binary()) for half in halves(kept))],
+                names=["doc_id", "n", "d1", "d2", "high", "low"],
             )
 
 
@@ -118,19 +155,19 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
-            kept = np.frombuffer(b"".join(part.column("registers").to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
+            high, low = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64) for c in ("high", "low"))
+            kept = densified(((high << np.uint64(16)) | low).reshape(-1, REGISTERS)).reshape(-1, BANDS, ROWS)
             key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :].repeat(len(kept), axis=0)
             for j in range(ROWS):
                 key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + kept[:, :, j] + np.uint64(1))
-            row, band = np.nonzero(kept.any(axis=2))
-            yield pa.RecordBatch.from_arrays([pa.array(key[row, band].view(np.int64)), pa.array(part.column("rep").to_numpy(zero_copy_only=False)[row])], names=["band", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(part.column("rep").to_numpy(zero_copy_only=False), BANDS))], names=["band", "rep"])
 
 
 def _estimate(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, REGISTERS) for k in ("ra", "rb"))
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in ("ra", "rb"))
         n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("na", "nb"))
         values, filled = estimated(a, b, n, m)
         good = pa.array(values >= least - DEVIATIONS * np.sqrt(least * (1 - least) / np.maximum(filled, 1)))
@@ -168,7 +205,7 @@ class _Search:
         joined = pairs
         for x, y in (("a", "b"), ("b", "a")):
             fans = written(pairs.groupBy(x).agg(F.count(F.lit(1)).alias("fan")), "fans")
-            side = fans.join(self.reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}")), x)
+            side = fans.join(self.reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("high").alias(f"r{x}")), x)
             joined = lookup(joined, side, [x], "fan", by=y, sizes=fans).drop("fan")
         joined = joined.where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
         return written(joined.mapInArrow(lambda batches, p=self.percent / 100: _estimate(batches, p), "a long, b long, estimate double"), "likely")
@@ -180,7 +217,7 @@ class _Search:
         member = pairs.join(fans, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.ceil(F.col("fan") / CHUNK)).alias("chunk"), F.col("b").alias("doc_id"), F.lit(1).alias("role"))
         hubs = member.select("hub", "chunk", F.col("hub").alias("doc_id"), F.lit(0).alias("role")).distinct()
         wanted = written(member.unionByName(hubs), "wanted")
-        rows = self.texts.join(small(wanted), "doc_id").select("hub", "chunk", "role", "doc_id", "text")
+        rows = self.texts.join(small(wanted, "128"), "doc_id").select("hub", "chunk", "role", "doc_id", "text")
         ordered = rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role", "doc_id")
         found = written(ordered.mapInArrow(lambda batches: _confirm(batches, n, percent), "a long, b long"), "confirmed")
         self.join(found)
@@ -247,7 +284,7 @@ class _Search:
         asked = join(outside).select("main", "size", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), each("chunks").alias("chunk"), F.lit(0).alias("role"), F.col("rep").alias("doc_id"), "component")
         streamed = join(near).select("main", "size", each("blocks").alias("block"), F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("chunks")).alias("chunk"), F.lit(1).alias("role"), F.col("rep").alias("doc_id"), "component")
         wanted = written(asked.unionByName(streamed), "blocks")
-        rows = self.texts.join(small(wanted), "doc_id").select("main", "size", "block", "chunk", "role", "doc_id", "component", "text")
+        rows = self.texts.join(small(wanted, "160"), "doc_id").select("main", "size", "block", "chunk", "role", "doc_id", "component", "text")
         ordered = rows.repartition("main", "size", "block", "chunk").sortWithinPartitions("main", "size", "block", "chunk", "role", "doc_id")
         found = written(ordered.mapInArrow(lambda batches: _compare(batches, n, percent), "a long, b long"), "block-links")
         self.join(found)
@@ -296,9 +333,10 @@ def _ordered_pairs(frame: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def _chosen(members: DataFrame, seed: int) -> DataFrame:
-    """Each group's size and two of its members, by the extremes of one hash: groups of alike members choose the same few."""
-    order = F.xxhash64(F.lit(seed), "rep")
-    return members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min_by("rep", order).alias("low"), F.max_by("rep", order).alias("high")).where("size > 1")
+    """Each group's size and two of its members, the extremes of one order: groups of alike members choose the same few."""
+    order = F.col("rep").bitwiseXOR(F.lit(seed))
+    extremes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(order).alias("low"), F.max(order).alias("high")).where("size > 1")
+    return extremes.withColumns({c: F.col(c).bitwiseXOR(F.lit(seed)) for c in ("low", "high")})
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -314,11 +352,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = written(texts.mapInArrow(lambda batches: _sketch(batches, shingle), "doc_id long, n long, d1 long, d2 long, registers binary"), "sketches")
+    sketches = written(texts.mapInArrow(lambda batches: _sketch(batches, shingle), "doc_id long, n long, d1 long, d2 long, high binary, low binary"), "sketches")
     known = sketches.where("n > 0 AND doc_id IS NOT NULL")
-    reps = written(known.groupBy("d1", "d2", "n", "registers").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size")), "classes")
-    bands = reps.select("rep", "registers").mapInArrow(_bands, "band long, rep long")
-    members = written(lookup(bands, written(_chosen(bands, 0), "chosen"), ["band"], "size", by="rep"), "groups")
+    reps = written(known.groupBy("d1", "d2", "n", "high", "low").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size")), "classes")
+    bands = reps.select("rep", "high", "low").mapInArrow(_bands, "band long, rep long")
+    members = written(lookup(bands, written(_chosen(bands, ORDER), "chosen"), ["band"], "size", by="rep"), "groups")
     search = _Search(texts, reps, shingle, percent)
     search.settle(_ordered_pairs(members.select("rep", F.explode(F.array("low", "high")).alias("other")), "rep", "other"), fully=True)
     if search.labels is None:  # no link so far: every class is a component of its own

@@ -149,6 +149,22 @@ def test_suffix_dedup_splits_groups(docs, by_id, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.without_repeats(short, 20).collect()} == wanted
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_suffix_dedup_of_hot_fingerprints(spark, monkeypatch, hot):
+    """A passage in most documents with a few contexts, so that strings at its edges repeat in some documents alone."""
+    monkeypatch.setattr(suffix_dedup, "HOT_DOCS", hot)
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 200)
+    draw = random.Random(21)
+    passage, contexts = "".join(draw.choice("abcdefgh ") for _ in range(90)), ["".join(draw.choice("xyzw ") for _ in range(45)) for _ in range(3)]
+    by_id = {}
+    for i in range(24):
+        own = "".join(draw.choice("pqrst ") for _ in range(60))
+        by_id[(7 * i) % 97] = own + draw.choice(contexts) + (passage if i % 5 else passage[: draw.randrange(40, 90)]) + draw.choice(contexts) + own[::-1]
+    docs = spark.createDataFrame(list(by_id.items()), "doc_id long, text string").repartition(5)
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.without_repeats(docs, 50).collect()}
+    assert found == brute_repeats(by_id, 50)
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_run_length_index(seed):
     draw = random.Random(seed)
@@ -343,11 +359,25 @@ def test_register_estimates():
         both = int(4000 * share)
         rest = (4000 - both) // 2
         a, b = values[: both + rest], np.concatenate([values[:both], values[both + rest :]])
-        kept = minhash_dedup.registers([a, b])
+        kept, _ = minhash_dedup.halves(minhash_dedup.registers([a, b]))
         found, filled = minhash_dedup.estimated(kept[:1], kept[1:], np.array([len(a)]), np.array([len(b)]))
         assert abs(found[0] - both / 4000) < 0.15 and filled[0] == minhash_dedup.REGISTERS
 
 
+def test_densified_registers():
+    draw = np.random.default_rng(7)
+    for n in (1, 2, 5, 60, 199, 200):
+        kept = np.zeros((3, minhash_dedup.REGISTERS), np.uint64)
+        for row in kept:
+            row[draw.permutation(minhash_dedup.REGISTERS)[:n]] = draw.integers(1, 1 << 32, n, dtype=np.uint64)
+        for row, found in zip(kept.tolist(), minhash_dedup.densified(kept).tolist(), strict=True):
+            assert found == [next(row[k] for k in order if row[k]) for order in minhash_dedup._ORDERS.tolist()]
+    # small sets agree in about as many registers as they share shingles
+    values = draw.integers(0, (1 << 64) - 1, 12, dtype=np.uint64)
+    a, b = minhash_dedup.densified(minhash_dedup.registers([values[:10], values[2:]]))
+    assert abs((a == b).mean() - 8 / 12) < 0.2
+
+
 def test_registers_by_hand():
     """Leading bits choose the bucket; of the least rest, the zeros before its first bit and the bits behind it stay."""
     draw = random.Random(4)
