@@ -13,6 +13,7 @@ from plumbline.functions.redaction import redacted_payloads
 from plumbline.operators import ingest, sessions, surfaces, trace
 from plumbline.operators.access import ReadScope, allowed_events
 from plumbline.plans.adapter import duck_envelopes, envelopes, raw_envelopes
+from plumbline.session import written
 from plumbline.sources.envelopes import dedup_events
 from plumbline.sources.tables import line_chunks
 
@@ -39,6 +40,12 @@ def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.contexts(envelopes(spark, sf_dir), _known(spark, sf_dir))
 
 
+def _traced(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns of events and spans with their turns, each written once for those who read them several times."""
+    members = written(trace.membership(events), "turn-members")
+    return members, written(trace.spans_in_turns(trace.spans(events), members), "spans")
+
+
 def _details(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = surfaces.session_details(envelopes(spark, sf_dir), _known(spark, sf_dir))
     tools = F.array_join(F.transform("tools_by_name", lambda t: F.concat_ws(":", t["tool"], t["calls"].cast("string"))), ",")
@@ -90,9 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trace_list_jobs": _on(lambda e: trace.trace_list(trace.jobs(trace.spans(e)), "jobs", since=SINCE, sort="wait", limit=50).select("job_id", "status", "wait_ms", "elapsed_ms")),
     "trace_search": _on(lambda e: trace.trace_search(e, "Step-4", kind="tool_call", limit=40).select("event_id", "session_id", "kind", "ts", "summary")),
     "trace_compare": _on(lambda e: trace.trace_compare(trace.spans(e).select("span_id", "operation", "status", "started", "exit_code", "input"), "span_id", "e13", "e4238")),
-    "turn_timeline": _on(lambda e: trace.timelines(e, trace.membership(e), trace.spans_in_turns(trace.spans(e), trace.membership(e)))),
+    "turn_timeline": _on(lambda e: trace.timelines(e, *_traced(e))),
     "turn_members": _on(trace.membership),
-    "jobs_in_turns": _on(lambda e: trace.jobs(trace.spans_in_turns(trace.spans(e), trace.membership(e))).select("job_id", F.array_join("turn_ids", ",").alias("turns"))),
+    "jobs_in_turns": _on(lambda e: trace.jobs(_traced(e)[1]).select("job_id", F.array_join("turn_ids", ",").alias("turns"))),
     "job_spans": _on(lambda e: trace.job_spans(trace.spans(e))),
     "span_events": _on(lambda e: trace.span_events(trace.spans(e))),
     "spans_in_context": lambda s, d: trace.in_context(trace.spans(envelopes(s, d)), _contexts(s, d)).select("span_id", "session_id", "repo", "machine", "campaign", "role"),
