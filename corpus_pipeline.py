@@ -21,7 +21,7 @@ from plumbline.session import held, release, ship_package, written
 ORACLE_SQL = None
 
 #: Parts of texts that the packing stage keeps the ids of, in each of two generations.
-PACKING_CACHE = 250_000
+PACKING_CACHE = 100_000
 
 #: The key of a row within a stage; a column of `documents` of that name would be hidden.
 ROW = "_stage_row"
