@@ -430,18 +430,20 @@ def show(events: DataFrame, known: DataFrame, entity: str, key: str, before: int
     raise ValueError("entity must be turn, job, span, event or session")
 
 
-def remote_trace(events: DataFrame, since: str, until: str, expand: bool = True, **filters) -> DataFrame:
+def remote_trace(events: DataFrame, since: str, until: str, expand: bool = True, capped: bool = True, **filters) -> DataFrame:
     """The events that a reader of a remote table needs: those of a window that filters choose and, with `expand`, all of
-    their sessions from a day before the window on, but no more than MOST_DAYS days back. Either selection is held to the caps.
+    their sessions from a day before the window on, but no more than MOST_DAYS days back.
 
-    Without it, their sessions' first start and first metadata come along, so that they can be told apart.
+    Without it, their sessions' first start and first metadata come along, so that they can be told apart. Either selection
+    is held to the caps of a reader who takes it into memory; without `capped` a table of any size comes as a whole.
     """
-    first = within_caps(raw_window(events, since, until, **filters))
+    held = within_caps if capped else lambda rows: rows
+    first = held(raw_window(events, since, until, **filters))
     at = lambda t: datetime.fromisoformat(t.replace("Z", "+00:00"))
     back = max(at(since) - timedelta(days=1), at(until) - timedelta(days=MOST_DAYS)).strftime("%Y-%m-%dT%H:%M:%SZ")
     context = raw_window(events, back, until)
     if expand:
-        return within_caps(expand_sessions(context, first))
+        return held(expand_sessions(context, first))
     known = first_context_rows(expand_sessions(context.where(F.col("kind").isin("session_start", "agent_meta")), first))
     return known.join(first.select("event_id"), "event_id", "left_anti").unionByName(first)
 

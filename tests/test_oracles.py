@@ -55,3 +55,18 @@ def test_rows_only(spark):
     assert communities.count() > 0
     ends = registry.QUERIES["stream_idle_ends"](spark, SF)
     assert ends.where("reason <> 'idle' OR ended_ms IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("name", ["remote_trace_contexts"])
+def test_remote_traces_of_many_sessions(spark, tmp_path, name):
+    """A table holds more sessions than a reader may take: all of them come."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT CAST(i AS BIGINT) AS event_id, TIMESTAMP '2024-01-11 08:00:00' + to_seconds(i) AS ts, CAST(i % 300 * 36 AS BIGINT) AS user_id, CASE WHEN i < 300 THEN 'signup' ELSE 'view' END AS event_type, 1.0 AS value, '{{\"k\": ' || CASE WHEN i < 300 THEN 4 ELSE 1 END || '}}' AS props FROM range(900) t(i)) TO '{tmp_path}/events.parquet'")
+    con.execute(f"COPY (SELECT CAST(1 AS BIGINT) AS conv_id, CAST(0 AS BIGINT) AS turn, 'user' AS role, 'hello' AS text) TO '{tmp_path}/conversations.parquet'")
+    for table in ("events", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    found = registry.QUERIES[name](spark, str(tmp_path))
+    columns = sorted(found.columns)
+    expected = con.execute(f"SELECT {', '.join(columns)} FROM ({registry.ORACLES[name]})").fetchall()
+    rows = canonical([row.asDict() for row in found.collect()], columns)
+    assert len(rows) > 300 and rows == canonical([dict(zip(columns, row, strict=True)) for row in expected], columns)
