@@ -86,7 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "loc_by_day": lambda s, d: sessions.loc_by_day(_items(s, d)),
     "activity_by_day": lambda s, d: sessions.activity_by_day(sessions.day_stats(envelopes(s, d)), sessions.loc_by_day(_items(s, d)), _work(s, d)),
     "tool_times": _on(sessions.tool_times),
-    "remote_trace": _on(lambda e: trace.remote_trace(e, SINCE, UNTIL, kinds=["tool_result"], needle="exit code 1", source="claude", streams=["edge-dev-0-claudecode", "edge-dev-4-claudecode"]).select("event_id", "session_id")),
+    "remote_trace": _on(lambda e: trace.remote_trace(e, SINCE, UNTIL, capped=False, kinds=["tool_result"], needle="exit code 1", source="claude", streams=["edge-dev-0-claudecode", "edge-dev-4-claudecode"]).select("event_id", "session_id")),
     "remote_trace_contexts": _on(lambda e: trace.remote_trace(e, SINCE, UNTIL, expand=False, capped=False, kinds=["tool_result"], needle="exit code 1", source="claude", streams=["edge-dev-0-claudecode", "edge-dev-4-claudecode"]).select("event_id", "kind")),
     "spans": _on(lambda e: trace.spans(e).drop("has_data", "ord")),
     "turns_task": _on(lambda e: trace.turns_task(e, trace.spans(e))),

@@ -57,7 +57,7 @@ def test_rows_only(spark):
     assert ends.where("reason <> 'idle' OR ended_ms IS NULL").count() == 0
 
 
-@pytest.mark.parametrize("name", ["remote_trace_contexts"])
+@pytest.mark.parametrize("name", ["remote_trace", "remote_trace_contexts"])
 def test_remote_traces_of_many_sessions(spark, tmp_path, name):
     """A table holds more sessions than a reader may take: all of them come."""
     con = duckdb.connect()
