@@ -33,27 +33,40 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, interval: str | Non
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
+#: Groups of sessions that are tracked together: one call and one row of state for each, whatever the number of sessions.
+IDLE_BUCKETS = 1024
+
+
 def idle_ends(stream: DataFrame, minutes: int = 10) -> DataFrame:
     """A session_end row for each session that is idle for longer than `minutes` of event time.
 
-    A session that goes on afterwards ends again later. The time of the end is that of the last event.
+    A session that goes on afterwards ends again later. The time of the end is that of the last event. Sessions are
+    tracked in IDLE_BUCKETS groups, whose state holds for each open session its last time, its events and when it is due.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last, count = state.get
+        held = json.loads(state.get[0]) if state.exists else {}
+        watermark = state.getCurrentWatermarkMs()
+        fresh: dict[str, tuple[int, int]] = {}
+        for frame in [] if state.hasTimedOut else frames:
+            found = frame.groupby("session_id")["ms"].agg(["max", "size"])
+            for session, ms, n in zip(found.index.tolist(), found["max"].tolist(), found["size"].tolist(), strict=True):
+                last, count = fresh.get(session) or held.get(session, (0, 0))[:2]
+                fresh[session] = (max(last, int(ms)), count + n)
+        ended = [(session, last, count) for session, (last, count, due) in held.items() if due < watermark and session not in fresh]
+        for session, _, _ in ended:
+            del held[session]
+        held |= {session: (last, count, max(last + minutes * 60_000, watermark + 1)) for session, (last, count) in fresh.items()}
+        if held:
+            state.update((json.dumps(held),))
+            state.setTimeoutTimestamp(min(due for _, _, due in held.values()))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({"session_id": [key[0]], "ended_ms": [last], "events": [count], "reason": ["idle"]})
-            return
-        last, count = state.get if state.exists else (0, 0)
-        for frame in frames:
-            if len(frame):
-                last, count = max(last, int(frame["ms"].max())), count + len(frame)
-        state.update((last, count))
-        state.setTimeoutTimestamp(max(last + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"session_id": [e[0] for e in ended], "ended_ms": [e[1] for e in ended], "events": [e[2] for e in ended], "reason": ["idle"] * len(ended)})
 
     timed = stream.where("session_id <> ''").withColumn("event_time", F.try_to_timestamp("ts")).where("event_time IS NOT NULL").withWatermark("event_time", "0 seconds").withColumn("ms", F.unix_millis("event_time"))
-    return timed.groupBy("session_id").applyInPandasWithState(step, "session_id string, ended_ms long, events long, reason string", "last long, count long", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = timed.select(F.pmod(F.xxhash64("session_id"), F.lit(IDLE_BUCKETS)).alias("bucket"), "session_id", "event_time", "ms")
+    return rows.groupBy("bucket").applyInPandasWithState(step, "session_id string, ended_ms long, events long, reason string", "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def session_ends(last: DataFrame, now_ms: int | None, minutes: int = 10, role: str = "", campaign: str = "") -> DataFrame:

@@ -220,3 +220,29 @@ def test_fleet_window(spark):
     rate, untracked = insight.fleet_coverage(actors, authors, since="2031-01-01")
     assert tuple(rate.first()) == (4, 1, 25)
     assert [(r.login, r.agent) for r in untracked.orderBy("place").collect()] == [("sky", "cursor"), ("abe", ""), ("old", "")]
+
+
+def test_idle_sessions_share_state(spark, tmp_path):
+    """Sessions end, go on and end again; state has a row for a group of sessions, not for each."""
+    land, out, checkpoint = (str(tmp_path / name) for name in ("land", "out", "checkpoint"))
+    line = lambda session, ts: {"session_id": session, "ts": f"2031-01-01T{ts}Z"}
+
+    def arrive(name, rows):
+        os.makedirs(land, exist_ok=True)
+        with open(f"{land}/{name}.json", "w") as file:
+            file.writelines(json.dumps(row) + "\n" for row in rows)
+        query = streaming.append_to(streaming.idle_ends(streaming.stream_envelopes(spark, land)), out, checkpoint)
+        query.awaitTermination()
+        return max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress)
+
+    def ends():
+        return sorted((r.session_id, r.ended_ms % 86_400_000 // 1000, r.events, r.reason) for r in spark.read.parquet(out).collect())
+
+    first = [line(f"s{i}", "08:00:00") for i in range(3000)] + [line("s7", "08:00:30"), line("s8", "08:05:00"), line("", "08:00:00"), line("s9", "bad"), line("last", "08:11:00")]
+    assert arrive("a", first) <= streaming.IDLE_BUCKETS
+    done = [(f"s{i}", 28_800 + 30 * (i == 7), 1 + (i == 7), "idle") for i in range(3000) if i != 8]
+    assert ends() == sorted(done)
+    arrive("b", [line("s5", "08:12:00"), line("s8", "08:13:00"), line("s8", "08:14:00")])
+    assert ends() == sorted(done)
+    arrive("c", [line("far", "09:00:00")])
+    assert ends() == sorted([*done, ("last", 29_460, 1, "idle"), ("s5", 29_520, 1, "idle"), ("s8", 29_640, 4, "idle")])
