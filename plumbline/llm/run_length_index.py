@@ -49,7 +49,7 @@ def suffix_order(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     while True:
         if have == length:
             classes = np.zeros(n, bool)
-            classes[np.unique(rank)] = True
+            classes[rank] = True
         tied = np.flatnonzero(_tied(rank[order]))
         if not len(tied):
             return order, classes if classes is not None else np.ones(n, bool)
@@ -86,6 +86,7 @@ class RunLengthIndex:
         self.run_symbol = bwt[heads].astype(np.int64)
         self.first_sample, self.last_sample = order[self.run_start], order[self.run_end]
         sizes = self.run_end - self.run_start + 1
+        self.run_of = np.repeat(np.arange(len(heads), dtype=np.int32), sizes)  # the run of each row
         self.by_symbol = np.argsort(self.run_symbol, kind="stable")
         # before each run, taken by symbol and then by place, stand all smaller symbols and its own earlier runs
         self.lf_base = np.empty(len(heads), np.int64)
@@ -95,6 +96,7 @@ class RunLengthIndex:
         self.class_start = np.flatnonzero(classes)
         owner_of = np.repeat(np.append(np.asarray(owners, np.int64), np.iinfo(np.int64).max), np.append(np.diff(np.append(starts, n - 1)), 1))
         self.class_owner = np.minimum.reduceat(owner_of[order], self.class_start)
+        self.class_of = np.cumsum(classes, dtype=np.int32) - np.int32(1)
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """How many symbols the suffixes from a and b share, up to `length`; places below 0 share none."""
@@ -110,6 +112,11 @@ class RunLengthIndex:
 
         Where there is none, the greatest 64-bit integer stands.
         """
+        found, begins = self.streamed(queries)
+        return [found[a : a + len(q)] for a, q in zip(begins.tolist(), queries, strict=True)]
+
+    def streamed(self, queries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same in one array, and where each query begins in it."""
         none = np.iinfo(np.int64).max
         sizes = np.array([len(q) for q in queries], np.int64)
         rank = np.argsort(-sizes, kind="stable")
@@ -121,12 +128,12 @@ class RunLengthIndex:
         row = np.zeros(lanes, np.int64)
         place = np.full(lanes, self.first_sample[0])
         match = np.zeros(lanes, np.int64)
-        runs = len(self.run_start)
+        runs, shorter = len(self.run_start), -sizes
         for back in range(1, int(sizes[0]) + 1 if lanes else 1):
-            live = int(np.searchsorted(-sizes, -back, "right"))
+            live = int(np.searchsorted(shorter, -back, "right"))
             at = begins[:live] + sizes[:live] - back
             symbol = body[at]
-            run = np.searchsorted(self.run_start, row[:live], "right") - 1
+            run = self.run_of[row[:live]]
             miss = np.flatnonzero(self.run_symbol[run] != symbol)
             match[:live] += 1
             place[:live] -= 1
@@ -139,11 +146,10 @@ class RunLengthIndex:
                 row[:live][lost], place[:live][lost] = 0, self.first_sample[0]
             full = np.flatnonzero(match[:live] == self.length)
             if len(full):
-                found[at[full]] = self.class_owner[np.searchsorted(self.class_start, row[full], "right") - 1]
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes
-        for i, a, size in zip(rank.tolist(), begins.tolist(), sizes.tolist(), strict=True):
-            out[i] = found[a : a + size]
-        return out
+                found[at[full]] = self.class_owner[self.class_of[row[full]]]
+        first = np.empty(lanes, np.int64)
+        first[rank] = begins
+        return found, first
 
     def _jump(self, miss: np.ndarray, symbol: np.ndarray, run: np.ndarray, row: np.ndarray, place: np.ndarray, match: np.ndarray, runs: int) -> None:
         """Go on from the nearest run of the symbol, above or below, whose suffix shares more with the match so far."""

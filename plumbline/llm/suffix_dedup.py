@@ -11,8 +11,9 @@ A byte goes if a string of `length` bytes that covers it also starts in a docume
    much text are split by fingerprint. A fingerprint of more than HOT_DOCS documents has groups of its own: its documents
    are dealt to several, and its owner's part goes to each.
 4. Groups are taken in batches. A run-length index of the owners' parts is built and the matching statistics of all other
-   parts are streamed through it. What the owners don't settle gets an index of its own, through which it is streamed
-   once more; there the least document of each class of equal strings decides.
+   parts are streamed through it. Of what the owners don't settle, strings that stand once by their hash are done; the
+   others get an index of their own, through which they are streamed once more; there the least document of each class
+   of equal strings decides.
 5. What remains unsettled in the groups of one hot fingerprint may stand in several of them. It goes through steps 2 to 4
    once more, with whole strings as fingerprints: then the owner has every string of its group.
 6. Matched strings are united per document, and the rest of its bytes is hashed.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from plumbline.session import written
 
-from .bytesops import mixed, powers, prefix_hash, raw, slices, span_hash, window_minimum, winnowed
+from .bytesops import SLICE_BYTES, mixed, powers, prefix_hash, raw, slices, span_hash, window_minimum, winnowed
 from .common import bounded_batches, lookup, small
 from .run_length_index import RunLengthIndex
 
@@ -183,9 +184,59 @@ def _parts(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PARTS.values(), strict=True)], names=list(PARTS))
 
 
+def spans_of(marks: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of marked places of parts that lie behind each other: part, first place in it, place behind the last."""
+    begins = np.cumsum(sizes + 1) - sizes  # an unmarked place stands before each part and at the end
+    apart = np.zeros(len(marks) + len(sizes) + 1, bool)
+    inside = np.ones(len(apart), bool)
+    inside[begins - 1] = inside[-1] = False
+    apart[inside] = marks
+    edges = np.flatnonzero(apart[1:] != apart[:-1]) + 1
+    part = np.searchsorted(begins, edges[::2], "right") - 1
+    return part, edges[::2] - begins[part], edges[1::2] - begins[part]
+
+
+def twice(bodies: list[bytes], sizes: np.ndarray, length: int) -> np.ndarray:
+    """Which strings of the bodies (`sizes` of each) share their hash with another one: no other string can have an equal."""
+    hashes, at = [np.zeros(0, np.uint64)], 0
+    ends = np.cumsum([len(b) for b in bodies])
+    while at < len(bodies):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, "right")))
+        prefix = prefix_hash(np.frombuffer(b"".join(bodies[at:to]), np.uint8))
+        starts = np.flatnonzero(_strings(sizes[at:to], length))
+        hashes.append(span_hash(prefix, starts, starts + length))
+        at = to
+    values = np.concatenate(hashes)
+    order = np.argsort(values)
+    same = values[order[1:]] == values[order[:-1]]
+    found = np.zeros(len(values), bool)
+    found[order[1:][same]] = found[order[:-1][same]] = True
+    return found
+
+
+def _strings(sizes: np.ndarray, length: int) -> np.ndarray:
+    """Of all bytes of bodies with so many strings each, those at which a string starts."""
+    starts = np.ones(int((sizes + length - 1).sum()), bool)
+    ends = np.cumsum(sizes + length - 1)
+    starts[(ends[:, None] - np.arange(1, length)).ravel()] = False
+    return starts
+
+
+#: Pieces whose results are taken over at once.
+TAKEN = 4096
+
+
 def earlier(bodies: list[bytes], docs: np.ndarray, owners: np.ndarray, length: int) -> list[np.ndarray]:
     """For each part, which of its strings also start in a part of a smaller document."""
-    flags = [np.zeros(max(0, len(b) - length + 1), bool) for b in bodies]
+    flat, sizes = earlier_flat(bodies, docs, owners, length)
+    return np.split(flat, np.cumsum(sizes)[:-1])
+
+
+def earlier_flat(bodies: list[bytes], docs: np.ndarray, owners: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same in one array, and how many strings each part has."""
+    sizes = np.maximum(np.array([len(b) for b in bodies], np.int64) - (length - 1), 0)
+    begins = np.cumsum(sizes) - sizes
+    flags = np.zeros(int(sizes.sum()), bool)
 
     def stream(indexed: list[tuple[bytes, int]], asked: list[tuple[int, int, bytes]]) -> None:
         """asked: part, the string it begins with, bytes."""
@@ -194,26 +245,28 @@ def earlier(bodies: list[bytes], docs: np.ndarray, owners: np.ndarray, length: i
         texts: dict[bytes, int] = {}
         for body, doc in indexed:
             texts[body] = min(doc, texts.get(body, doc))
-        pieces: dict[bytes, None] = {}
-        cut = [(part, at + a, body[a : a + PIECE + length - 1]) for part, at, body in asked for a in range(0, len(body) - length + 1, PIECE)]
-        for _, _, piece in cut:
-            pieces[piece] = None
-        order = list(pieces)
+        pieces: dict[bytes, int] = {}
+        cut = [(part, at + a, pieces.setdefault(body[a : a + PIECE + length - 1], len(pieces))) for part, at, body in asked for a in range(0, len(body) - length + 1, PIECE)]
         index = RunLengthIndex(list(texts), np.array(list(texts.values()), np.int64), length)
-        least = dict(zip(order, index.least_owners(order), strict=True))
-        for part, at, piece in cut:
-            n = len(piece) - length + 1
-            flags[part][at : at + n] |= least[piece][:n] < docs[part]
+        order = list(pieces)
+        least, first = index.streamed(order)
+        strings = np.array([len(p) for p in order], np.int64) - (length - 1)
+        for n in range(0, len(cut), TAKEN):
+            part, at, piece = np.array(cut[n : n + TAKEN], np.int64).T
+            counts = strings[piece]
+            place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+            hit = least[np.repeat(first[piece], counts) + place] < np.repeat(docs[part], counts)
+            flags[(np.repeat(begins[part] + at, counts) + place)[hit]] = True
 
     owned = [(b, int(d)) for b, d, o in zip(bodies, docs, owners, strict=True) if d == o]
     stream(owned, [(i, 0, b) for i, (b, d, o) in enumerate(zip(bodies, docs, owners, strict=True)) if d != o and len(b) >= length])
-    left = []
-    for i, (body, doc, owner) in enumerate(zip(bodies, docs, owners, strict=True)):
-        if doc != owner and len(flags[i]):
-            edges = np.flatnonzero(np.diff(np.concatenate(([True], flags[i], [True])).astype(np.int8)))
-            left += [(i, a, body[a : b + length - 1]) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
-    stream([(body, int(docs[i])) for i, _, body in left], left)
-    return flags
+    part, a, b = spans_of(~flags & np.repeat(docs != owners, sizes), sizes)
+    left = [bodies[i][x : y + length - 1] for i, x, y in zip(part.tolist(), a.tolist(), b.tolist(), strict=True)]
+    # of what is left, strings that stand there once are settled; the others are indexed
+    of, x, y = spans_of(twice(left, b - a, length), b - a)
+    again = [(i, at, left[n][u : v + length - 1]) for n, i, at, u, v in zip(of.tolist(), part[of].tolist(), (a[of] + x).tolist(), x.tolist(), y.tolist(), strict=True)]
+    stream([(body, int(docs[i])) for i, _, body in again], again)
+    return flags, sizes
 
 
 def _matched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -223,19 +276,19 @@ def _matched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     held, group = 0, None
 
     def finish() -> Iterator[pa.RecordBatch]:
-        docs, owners = np.array([r[2] for r in rows], np.int64), np.array([r[0] for r in rows], np.int64)
-        found = earlier([r[4] for r in rows], docs, owners, length)
-        out: list[tuple[int, list[int] | None, int | None, bytes | None]] = []
-        for (owner, split, doc, start, body), flag in zip(rows, found, strict=True):
-            edges = np.flatnonzero(np.diff(np.concatenate(([False], flag, [False])).astype(np.int8)))
-            if len(edges):
-                edges[1::2] += length - 1
-                out.append((doc, (edges + start).tolist(), None, None))
-            if split >= HOT_SPLIT and doc != owner:
-                open_ = np.flatnonzero(np.diff(np.concatenate(([True], flag, [True])).astype(np.int8)))
-                out += [(doc, None, start + a, body[a : b + length - 1]) for a, b in zip(open_[::2].tolist(), open_[1::2].tolist(), strict=True)]
-        columns = list(zip(*out, strict=True)) if out else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "runs", "base", "text"])
+        owners, splits, docs, starts = np.array([r[:4] for r in rows], np.int64).T
+        flags, sizes = earlier_flat([r[4] for r in rows], docs, owners, length)
+        part, a, b = spans_of(flags, sizes)
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        bounds = np.stack((a + starts[part], b + starts[part] + length - 1), axis=1).ravel()
+        runs = pa.ListArray.from_arrays(pa.array(2 * np.append(first, len(part)), pa.int32()), pa.array(bounds))
+        yield matches(docs[part[first]], runs, pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.binary()))
+        part, a, b = spans_of(~flags & np.repeat((splits >= HOT_SPLIT) & (docs != owners), sizes), sizes)
+        open_ = [rows[i][4][x : y + length - 1] for i, x, y in zip(part.tolist(), a.tolist(), b.tolist(), strict=True)]
+        yield matches(docs[part], pa.nulls(len(part), pa.list_(pa.int64())), pa.array(a + starts[part]), pa.array(open_, pa.binary()))
+
+    def matches(docs: np.ndarray, *columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *columns], names=["doc_id", "runs", "base", "text"])
 
     for batch in batches:
         for owner, split, salt, doc, start, body in zip(*(batch.column(c).to_pylist() for c in PARTS), strict=True):

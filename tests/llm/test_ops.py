@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 import time
 import zlib
 
@@ -198,6 +199,40 @@ def brute_groups(by_id):
     return out
 
 
+def test_strings_left_once_are_not_indexed(monkeypatch):
+    """Parts that share a fingerprint but no string: what the owner doesn't settle stands once and needs no index."""
+    rng = np.random.default_rng(5)
+    word = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
+    shared, twin = b"the common middle of texts", word(60)
+    bodies = [word(60) + shared + word(60) for _ in range(40)]
+    bodies[30], bodies[35] = bodies[30] + twin, bodies[35] + twin
+    indexed = []
+
+    class Counted(RunLengthIndex):
+        def __init__(self, texts, owners, length):
+            indexed.append(sum(map(len, texts)))
+            super().__init__(texts, owners, length)
+
+    monkeypatch.setattr(suffix_dedup, "RunLengthIndex", Counted)
+    docs = np.arange(40, dtype=np.int64)
+    found = suffix_dedup.earlier(bodies, docs, np.zeros(40, np.int64), 50)
+    assert indexed == [len(bodies[0]), len(twin)]
+    wanted = [[any(body[at : at + 50] in other for other in bodies[:n]) for at in range(len(body) - 49)] for n, body in enumerate(bodies)]
+    assert [f.tolist() for f in found] == wanted and sum(map(sum, wanted)) == 11
+
+
+def test_spans_of_parts():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        sizes = rng.integers(0, 6, 8)
+        marks = rng.random(int(sizes.sum())) < 0.5
+        found = [tuple(map(int, x)) for x in zip(*suffix_dedup.spans_of(marks, sizes), strict=True)]
+        wanted = []
+        for part, one in enumerate(np.split(marks, np.cumsum(sizes)[:-1])):
+            wanted += [(part, m.start(), m.end()) for m in re.finditer("1+", "".join("01"[int(v)] for v in one))]
+        assert found == wanted
+
+
 def test_exact_dedup(docs, by_id, empty, odd):
     wanted = brute_groups(by_id)
     rows = lambda frame: {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in frame.collect()}
