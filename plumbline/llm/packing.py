@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 
 from plumbline.session import written
 
-from .bytesops import slices
 from .common import bounded_batches, small
-from .tokens import CACHE_PARTS, encoder, public_path
+from .tokens import CACHE_PARTS, encoded, public_path
 
 #: Context sizes, each a power of two.
 TIERS = (256, 512, 1024, 2048)
@@ -133,17 +132,14 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, tiers:
 
     context = TaskContext.get()
     packer = Packer(context.partitionId() if context else 0, tiers)
-    encode = encoder(tokenizer, cache_parts).encode
     end, held = np.uint32(end_id).tobytes(), 0
-    for batch in batches:
-        for part in slices(batch, "text"):
-            texts = [text or "" for text in part.column("text").to_pylist()]
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(texts), strict=True):
-                held += packer.add(doc_id, np.frombuffer(ids + end, "<u4"))
-            if held >= BATCH_TOKENS:
-                packer.pack()
-                held = 0
-            yield from packer.flush()
+    for doc_ids, _, found in encoded(batches, tokenizer, cache_parts):
+        for doc_id, ids in zip(doc_ids, found, strict=True):
+            held += packer.add(doc_id, np.frombuffer(ids + end, "<u4"))
+        if held >= BATCH_TOKENS:
+            packer.pack()
+            held = 0
+        yield from packer.flush()
     packer.pack(final=True)
     yield from packer.flush()
 

@@ -36,9 +36,8 @@ from pyspark.sql import functions as F
 
 from plumbline.session import scratch_path, written
 
-from .bytesops import slices
 from .common import bounded_batches, bounded_sample
-from .tokens import encoder, public_path
+from .tokens import encoded, encoder, public_path
 
 MAGIC, VERSION = b"PLTK", 1
 HEAD = struct.Struct("<4sIQ32sQ")
@@ -110,7 +109,7 @@ def _filesystem(path: str):
 def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int, dictionary: bytes) -> Iterator[pa.RecordBatch]:
     import zstandard
 
-    encode, end = encoder(tokenizer).encode, np.uint32(end_id).tobytes()
+    end = np.uint32(end_id).tobytes()
     compressor = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
     doc_ids: list[int | None] = []
     all_ids: list[bytes] = []
@@ -131,16 +130,14 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
         text_bytes, n_file = 0, n_file + 1
         return row
 
-    for batch in batches:
-        for piece in slices(batch, "text"):
-            texts = [text or "" for text in piece.column("text").to_pylist()]
-            for doc_id, text, ids in zip(piece.column("doc_id").to_pylist(), texts, encode(texts), strict=True):
-                doc_ids.append(doc_id)
-                all_ids.append(ids + end)
-                frames.append(compressor.compress(ids + end))
-                text_bytes += len(text)
-            if text_bytes >= FILE_TEXT_BYTES:
-                yield finish()
+    for keys, texts, found in encoded(batches, tokenizer):
+        for doc_id, text, ids in zip(keys, texts, found, strict=True):
+            doc_ids.append(doc_id)
+            all_ids.append(ids + end)
+            frames.append(compressor.compress(all_ids[-1]))
+            text_bytes += len(text)
+        if text_bytes >= FILE_TEXT_BYTES:
+            yield finish()
     if frames:
         yield finish()
 

@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,42 @@ def test_added_tokens_in_texts(name, ids):
     assert found == [plain.encode(text, add_special_tokens=False).ids for text in texts] and found[0] == ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_tokens_of_many_texts_at_once(name):
+    """The cache keeps its bound within a text; each different part of the texts of a call is encoded once."""
+    path = tokens.public_path(name)
+    draw = random.Random(9)
+    words = ["".join(draw.choices("abcdeÉéñ", k=draw.randint(1, 6))) + draw.choice(["", "", ",", ".", "'s", "&&&", "7", "я"]) for _ in range(2000)]
+    lines = [draw.choice([" ", " ", "\n", "  ", "\t"]).join(draw.choices(words, k=40)) for _ in range(200)]
+    texts = ["\0", "a\0b c\0", "one", "", " ".join(words), *lines, *[" ".join(draw.choices(words, k=40)).replace(" e", "\ne") for _ in range(200)]]
+    bounded = tokens.PartEncoder(path, cache_parts=50)
+    assert bounded.encode(texts) == tokens.PartEncoder(path, exact_cuts=False).encode(texts)
+    assert all(len(cache) <= 50 and len(cache.old) <= 50 for cache in (bounded.pieces, bounded.hard))
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array([1, None], pa.int64()), "text": pa.array(pair, pa.string())}) for pair in (["a b", None], ["b a", "c"])]
+    found = [(doc_ids, texts, ids) for cache_parts in (1, 800) for doc_ids, texts, ids in tokens.encoded(iter(batches), path, cache_parts)]
+    plain = tokens.PartEncoder(path, exact_cuts=False).encode
+    assert [x[:2] for x in found] == [([1, None], ["a b", ""]), ([1, None], ["b a", "c"])] * 2 and all(ids == plain(texts) for _, texts, ids in found)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_tokens_of_known_words_cost_little(name):
+    """Encoding words that are known takes less time than searching the texts by a regular expression, as was done before."""
+    draw = random.Random(4)
+    words = ["".join(draw.choices("abcdefgh", k=draw.randint(1, 9))) for _ in range(2000)]
+    texts = [" ".join(draw.choices(words, k=500)) for _ in range(400)]
+    encode, search = tokens.PartEncoder(tokens.public_path(name)).encode, re.compile(r"[\s\u180e\u200b\ufeff]{2}|[^\S \n]|[\u180e\u200b\ufeff]").search
+
+    def least(work):
+        spent = []
+        for _ in range(7):
+            start = time.process_time()
+            work()
+            spent.append(time.process_time() - start)
+        return min(spent)
+
+    assert least(lambda: encode(texts)) < least(lambda: [search(text) for text in texts])
+
+
 def test_packing(docs, by_id, empty, odd):
     rows = packing.packed(docs).collect()
     ids = {i: np.frombuffer(x, "<u4").tolist() + [1] for i, x in zip(by_id, tokens.PartEncoder(tokens.public_path("byte_bpe_50k.json"), False).encode(list(by_id.values())), strict=True)}
