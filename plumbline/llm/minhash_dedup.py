@@ -44,8 +44,11 @@ REST, MANTISSA = 44, 26
 SHORT = 10
 #: How many standard deviations below the threshold an estimate may lie.
 DEVIATIONS = 5
-#: Shingles outside a component that are compared at once, and shingles that they are streamed past in one task.
-BLOCK, STREAM = 500_000, 8_000_000
+#: Shingles outside a component that are compared at once, and shingles that they are streamed past in one task; a block
+#: is streamed past at least four times its own, as every such task reads the block.
+BLOCK, STREAM = 500_000, 50_000
+#: Texts that a task takes where pairs or blocks are few, and rows of registers.
+TEXTS, WIDE = 1000, 4096
 #: Members that are confirmed beside one copy of their partner's text.
 CHUNK = 64
 #: What ids are combined with to order a group's members by.
@@ -199,26 +202,28 @@ class _Search:
         self.texts, self.reps, self.n, self.percent = texts, reps, n, percent
         self.labels: DataFrame | None = None
 
-    def likely(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sizes and registers allow the threshold, with their estimates."""
-        pairs = written(pairs, "pairs")
+    def likely(self, pairs: DataFrame, most: int) -> DataFrame:
+        """The pairs (a, b), about `most`, whose sizes and registers allow the threshold, with their estimates."""
+        pairs = written(pairs, "pairs", most)
+        most = pairs.count()
         joined = pairs
         for x, y in (("a", "b"), ("b", "a")):
-            fans = written(pairs.groupBy(x).agg(F.count(F.lit(1)).alias("fan")), "fans")
+            fans = written(pairs.groupBy(x).agg(F.count(F.lit(1)).alias("fan")), "fans", most)
             side = fans.join(self.reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("high").alias(f"r{x}")), x)
             joined = lookup(joined, side, [x], "fan", by=y, sizes=fans).drop("fan")
         joined = joined.where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
+        joined = joined.coalesce(max(1, -(-most // WIDE)))
         return written(joined.mapInArrow(lambda batches, p=self.percent / 100: _estimate(batches, p), "a long, b long, estimate double"), "likely")
 
     def confirm(self, pairs: DataFrame) -> None:
         """Hold the full sets of the pairs against each other and add the links."""
-        n, percent = self.n, self.percent
+        n, percent, most = self.n, self.percent, 2 * pairs.count()
         fans = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("fan"))
         member = pairs.join(fans, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.ceil(F.col("fan") / CHUNK)).alias("chunk"), F.col("b").alias("doc_id"), F.lit(1).alias("role"))
         hubs = member.select("hub", "chunk", F.col("hub").alias("doc_id"), F.lit(0).alias("role")).distinct()
-        wanted = written(member.unionByName(hubs), "wanted")
+        wanted = written(member.unionByName(hubs), "wanted", most)
         rows = self.texts.join(small(wanted, "128"), "doc_id").select("hub", "chunk", "role", "doc_id", "text")
-        ordered = rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role", "doc_id")
+        ordered = rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role", "doc_id").coalesce(max(1, -(-most // TEXTS)))
         found = written(ordered.mapInArrow(lambda batches: _confirm(batches, n, percent), "a long, b long"), "confirmed")
         self.join(found)
 
@@ -229,13 +234,13 @@ class _Search:
             return
         label = lambda x: self.labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
         ends = found.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        bridges = written(ends.where("a <> b").distinct(), "bridges")
+        bridges = written(ends.where("a <> b").distinct(), "bridges", found.count())
         if bridges.isEmpty():
             return
         merged = components(bridges).select(F.col("node").alias("component"), F.col("component").alias("least"))
         kept = self.labels.join(merged, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
         fresh = merged.select(F.col("component").alias("node"), F.col("least").alias("component")).join(self.labels.select("node"), "node", "left_anti")
-        self.labels = written(kept.unionByName(fresh), "labels")
+        self.labels = written(kept.unionByName(fresh), "labels", self.labels.count() + merged.count())
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """The pairs that lie in different components."""
@@ -243,49 +248,53 @@ class _Search:
         both = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
         return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
-    def settle(self, pairs: DataFrame, fully: bool) -> None:
+    def settle(self, pairs: DataFrame, most: int, fully: bool) -> None:
         """Confirm each class's likeliest partner and, `fully`, all other likely pairs that still lie apart."""
-        likely = self.likely(pairs)
-        if likely.isEmpty():
+        likely = self.likely(pairs, most)
+        most = likely.count()
+        if not most:
             return
         ends = likely.select(F.col("a").alias("x"), F.col("b").alias("y"), "estimate").union(likely.select("b", "a", "estimate"))
         best = ends.groupBy("x").agg(F.max_by("y", F.col("estimate")).alias("y"))
-        first = written(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "first")
+        first = written(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "first", most)
         self.confirm(first)
         if not fully:
             return
-        rest = written(self.apart(likely.select("a", "b").join(first, ["a", "b"], "left_anti")), "rest")
+        rest = written(self.apart(likely.select("a", "b").join(first, ["a", "b"], "left_anti")), "rest", most)
         if not rest.isEmpty():
             self.confirm(rest)
 
     def split_groups(self, members: DataFrame) -> DataFrame:
         """The members (band, rep) of groups with several components: component, and the group's commonest one as main."""
+        most = members.count()
         labelled = members.join(self.labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         counts = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
         split = counts.groupBy("band").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-        return written(lookup(labelled, written(split.drop("kinds"), "split"), ["band"], "size", by="rep").select("band", "rep", "component", "main"), "split-groups")
+        return written(lookup(labelled, written(split.drop("kinds"), "split", most // 2), ["band"], "size", by="rep").select("band", "rep", "component", "main"), "split-groups", most)
 
     def compare(self, members: DataFrame) -> None:
         """Hold what lies outside a main component against all that shares a group with it, on full sets.
 
         Sizes are put into classes that grow by the ratio that the threshold allows, so that only neighbouring classes meet.
         """
-        n, percent = self.n, self.percent
+        n, percent, most = self.n, self.percent, members.count()
         ratio = 1.001 * max(1.0, 100 / percent)
         sized = members.select("main", "rep", "component").distinct().join(self.reps.select("rep", "n"), "rep")
-        sized = written(sized.withColumn("size", F.floor(F.log("n") / float(np.log(ratio))).cast("int")), "sized")
+        sized = written(sized.withColumn("size", F.floor(F.log("n") / float(np.log(ratio))).cast("int")), "sized", most)
         near = sized.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
         outside = sized.where("component <> main")
-        blocks = outside.groupBy("main", "size").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-        sizes = near.groupBy("main", "size").agg(F.ceil(F.sum("n") / STREAM).alias("chunks"), F.count(F.lit(1)).alias("rows")).join(blocks, ["main", "size"])
-        sizes = written(sizes, "block-sizes")
+        blocks = outside.groupBy("main", "size").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.sum("n").alias("asked"))
+        sizes = near.groupBy("main", "size").agg(F.sum("n").alias("streamed"), F.count(F.lit(1)).alias("rows")).join(blocks, ["main", "size"])
+        sizes = sizes.withColumn("chunks", F.ceil(F.col("streamed") / F.greatest(F.lit(STREAM), 4 * F.col("asked") / F.col("blocks"))))
+        sizes = written(sizes.select("main", "size", "rows", "blocks", "chunks"), "block-sizes", 3 * most)
         each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
         join = lambda rows: lookup(rows, sizes, ["main", "size"], "rows", by="rep")
         asked = join(outside).select("main", "size", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), each("chunks").alias("chunk"), F.lit(0).alias("role"), F.col("rep").alias("doc_id"), "component")
         streamed = join(near).select("main", "size", each("blocks").alias("block"), F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("chunks")).alias("chunk"), F.lit(1).alias("role"), F.col("rep").alias("doc_id"), "component")
-        wanted = written(asked.unionByName(streamed), "blocks")
+        wanted = written(asked.unionByName(streamed), "blocks", 4 * most)
+        tasks = max(1, -(-wanted.count() // TEXTS))
         rows = self.texts.join(small(wanted, "160"), "doc_id").select("main", "size", "block", "chunk", "role", "doc_id", "component", "text")
-        ordered = rows.repartition("main", "size", "block", "chunk").sortWithinPartitions("main", "size", "block", "chunk", "role", "doc_id")
+        ordered = rows.repartition("main", "size", "block", "chunk").sortWithinPartitions("main", "size", "block", "chunk", "role", "doc_id").coalesce(tasks)
         found = written(ordered.mapInArrow(lambda batches: _compare(batches, n, percent), "a long, b long"), "block-links")
         self.join(found)
 
@@ -354,24 +363,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = written(texts.mapInArrow(lambda batches: _sketch(batches, shingle), "doc_id long, n long, d1 long, d2 long, high binary, low binary"), "sketches")
     known = sketches.where("n > 0 AND doc_id IS NOT NULL")
-    reps = written(known.groupBy("d1", "d2", "n", "high", "low").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size")), "classes")
+    reps = written(known.groupBy("d1", "d2", "n", "high", "low").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size")), "classes", known.count(), WIDE)
+    most = BANDS * reps.count()
     bands = reps.select("rep", "high", "low").mapInArrow(_bands, "band long, rep long")
-    members = written(lookup(bands, written(_chosen(bands, ORDER), "chosen"), ["band"], "size", by="rep"), "groups")
+    members = written(lookup(bands, written(_chosen(bands, ORDER), "chosen", most), ["band"], "size", by="rep"), "groups", most)
     search = _Search(texts, reps, shingle, percent)
-    search.settle(_ordered_pairs(members.select("rep", F.explode(F.array("low", "high")).alias("other")), "rep", "other"), fully=True)
+    search.settle(_ordered_pairs(members.select("rep", F.explode(F.array("low", "high")).alias("other")), "rep", "other"), 2 * members.count(), fully=True)
     if search.labels is None:  # no link so far: every class is a component of its own
         search.labels = spark.createDataFrame([], "node long, component long")
     large = members.where("size > 3").select("band", "rep")  # both chosen members settle smaller groups
     split = search.split_groups(large)
     if not split.isEmpty():
         order = F.when(F.col("component") == F.col("main"), F.xxhash64(F.lit(1), "rep", "band"))
-        chosen = written(split.groupBy("band").agg(F.min_by("rep", order).alias("low"), F.max_by("rep", order).alias("high"), F.count_if(F.col("component") != F.col("main")).alias("size")), "chosen")
+        chosen = written(split.groupBy("band").agg(F.min_by("rep", order).alias("low"), F.max_by("rep", order).alias("high"), F.count_if(F.col("component") != F.col("main")).alias("size")), "chosen", split.count())
         pairs = lookup(split.where("component <> main"), chosen, ["band"], "size", by="rep").select("rep", F.explode(F.array("low", "high")).alias("other"))
-        search.settle(_ordered_pairs(pairs, "rep", "other"), fully=False)
+        search.settle(_ordered_pairs(pairs, "rep", "other"), 2 * split.count(), fully=False)
         search.compare(search.split_groups(split.select("band", "rep")))
     classed = reps.select("d1", "d2", "n", "rep", "class_size")
     classed = classed.join(search.labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    classed = written(classed.select("d1", "d2", "n", "component", "class_size"), "classed")
+    classed = written(classed.select("d1", "d2", "n", "component", "class_size"), "classed", most // BANDS)
     joined = lookup(known.select("doc_id", "n", "d1", "d2"), classed, ["d1", "d2", "n"], "class_size").select("doc_id", "n", "component")
     alone = sketches.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component"))
     out = joined.unionByName(alone)

@@ -95,9 +95,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(frame: DataFrame, label: str) -> DataFrame:
-    """Write a frame as a table in the shared folder and read it back: the lineage ends there and survives lost executors."""
+#: Narrow rows that go to one file where their number is known.
+ROWS_PER_FILE = 50_000
+
+
+def written(frame: DataFrame, label: str, rows: int | None = None, per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """Write a frame as a table in the shared folder and read it back: the lineage ends there and survives lost executors.
+
+    Where it is known about how many `rows` there are at most, they are written by as few tasks as get `per_file` each,
+    not by one for each shuffle partition; all rows are written in any case.
+    """
     spark = frame.sparkSession
     path = scratch_path(spark, label)
-    frame.write.parquet(path)
+    (frame if rows is None else frame.coalesce(max(1, -(-rows // per_file)))).write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

@@ -12,7 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import common, decontamination, exact_dedup, html_extract, language_id, minhash_dedup, packing, quality, suffix_dedup, token_binary, tokens, toxicity
+from plumbline import session
+from plumbline.llm import common, components, decontamination, exact_dedup, html_extract, language_id, minhash_dedup, packing, quality, suffix_dedup, token_binary, tokens, toxicity
 from plumbline.llm.run_length_index import RunLengthIndex
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -424,6 +425,55 @@ def test_links_when_no_chosen_member_is_near(spark, monkeypatch):
     assert found == brute_components(by_id, 2, 80)
 
 
+@pytest.mark.parametrize("block, stream", [(500_000, 50_000), (150, 200)])
+def test_blocks_and_chunks_lose_no_link(spark, monkeypatch, block, stream):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    monkeypatch.setattr(minhash_dedup, "STREAM", stream)
+    test_links_when_no_chosen_member_is_near(spark, monkeypatch)
+
+
+def test_few_rows_go_to_few_files(spark, by_id):
+    """However many shuffle partitions there are: a file for each took most of the time on small tables."""
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in names}
+    known = set(session.held())
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        rows = spark.createDataFrame(list(by_id.items()), "doc_id long, text string").coalesce(2)
+        found = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(rows, 2, 80).collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert found == brute_components(by_id, 2, 80)
+    tables = [p for p in session.held() if p not in known]
+    files = {p: sum(f.startswith("part-") for f in os.listdir(p.removeprefix("file:"))) for p in tables}
+    assert len(files) > 10 and max(files.values()) <= 3, files
+
+
+@pytest.mark.parametrize("at_once", [0, 1_000_000])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
+    draw = random.Random(8)
+    links = [(k + 1, k) for k in range(100, 160)]  # a chain
+    links += [(1000, k) for k in range(1001, 1100)] + [(7, 7), (None, 3), (5, None)]
+    links += [(draw.randrange(2000, 2300), draw.randrange(2000, 2300)) for _ in range(160)]
+    root = {x: x for link in links if None not in link and link[0] != link[1] for x in link}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a in root and b in root:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    found = components.components(spark.createDataFrame(links, "a long, b long"))
+    assert {r.node: r.component for r in found.collect()} == {x: find(x) for x in root} and found.count() == len(root)
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_register_estimates():
     draw = np.random.default_rng(2)
     for share in (0.2, 0.5, 0.8, 0.95):
