@@ -47,8 +47,8 @@ DEVIATIONS = 5
 #: Shingles outside a component that are compared at once, and shingles that they are streamed past in one task; a block
 #: is streamed past at least four times its own, as every such task reads the block.
 BLOCK, STREAM = 500_000, 50_000
-#: Texts that a task takes where pairs or blocks are few, and rows of registers.
-TEXTS, WIDE = 1000, 4096
+#: Texts and shingles that a task takes where pairs or blocks are few, and rows of registers.
+TEXTS, SHINGLES, WIDE = 1000, 200_000, 4096
 #: Members that are confirmed beside one copy of their partner's text.
 CHUNK = 64
 #: What ids are combined with to order a group's members by.
@@ -174,7 +174,7 @@ def _estimate(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
         n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("na", "nb"))
         values, filled = estimated(a, b, n, m)
         good = pa.array(values >= least - DEVIATIONS * np.sqrt(least * (1 - least) / np.maximum(filled, 1)))
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good), pa.array(values).filter(good)], names=["a", "b", "estimate"])
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good), pa.array(values).filter(good), pa.array(n + m).filter(good)], names=["a", "b", "estimate", "shingles"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -195,6 +195,11 @@ def _confirm(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterato
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _tasks(texts: int, shingles: int | None) -> int:
+    """How many tasks take texts with so many shingles, if there aren't fewer partitions anyway."""
+    return max(1, -(-texts // TEXTS), -(-(shingles or 0) // SHINGLES))
+
+
 class _Search:
     """The classes of one corpus and what is known of their links."""
 
@@ -213,17 +218,18 @@ class _Search:
             joined = lookup(joined, side, [x], "fan", by=y, sizes=fans).drop("fan")
         joined = joined.where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
         joined = joined.coalesce(max(1, -(-most // WIDE)))
-        return written(joined.mapInArrow(lambda batches, p=self.percent / 100: _estimate(batches, p), "a long, b long, estimate double"), "likely")
+        return written(joined.mapInArrow(lambda batches, p=self.percent / 100: _estimate(batches, p), "a long, b long, estimate double, shingles long"), "likely")
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Hold the full sets of the pairs against each other and add the links."""
-        n, percent, most = self.n, self.percent, 2 * pairs.count()
+        """Hold the full sets of the pairs against each other and add the links; the pairs say how many shingles they have."""
+        n, percent = self.n, self.percent
+        most, shingles = pairs.agg(2 * F.count(F.lit(1)), F.sum("shingles")).first()
         fans = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("fan"))
         member = pairs.join(fans, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.ceil(F.col("fan") / CHUNK)).alias("chunk"), F.col("b").alias("doc_id"), F.lit(1).alias("role"))
         hubs = member.select("hub", "chunk", F.col("hub").alias("doc_id"), F.lit(0).alias("role")).distinct()
         wanted = written(member.unionByName(hubs), "wanted", most)
         rows = self.texts.join(small(wanted, "128"), "doc_id").select("hub", "chunk", "role", "doc_id", "text")
-        ordered = rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role", "doc_id").coalesce(max(1, -(-most // TEXTS)))
+        ordered = rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role", "doc_id").coalesce(_tasks(most, shingles))
         found = written(ordered.mapInArrow(lambda batches: _confirm(batches, n, percent), "a long, b long"), "confirmed")
         self.join(found)
 
@@ -254,13 +260,13 @@ class _Search:
         most = likely.count()
         if not most:
             return
-        ends = likely.select(F.col("a").alias("x"), F.col("b").alias("y"), "estimate").union(likely.select("b", "a", "estimate"))
-        best = ends.groupBy("x").agg(F.max_by("y", F.col("estimate")).alias("y"))
-        first = written(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "first", most)
+        ends = likely.select(F.col("a").alias("x"), F.struct(F.col("b").alias("y"), "shingles").alias("other"), "estimate").union(likely.select("b", F.struct("a", "shingles"), "estimate"))
+        best = ends.groupBy("x").agg(F.max_by("other", F.col("estimate")).alias("other")).select("x", "other.*")
+        first = written(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shingles").distinct(), "first", most)
         self.confirm(first)
         if not fully:
             return
-        rest = written(self.apart(likely.select("a", "b").join(first, ["a", "b"], "left_anti")), "rest", most)
+        rest = written(self.apart(likely.select("a", "b", "shingles").join(first, ["a", "b"], "left_anti")), "rest", most)
         if not rest.isEmpty():
             self.confirm(rest)
 
@@ -286,13 +292,15 @@ class _Search:
         blocks = outside.groupBy("main", "size").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.sum("n").alias("asked"))
         sizes = near.groupBy("main", "size").agg(F.sum("n").alias("streamed"), F.count(F.lit(1)).alias("rows")).join(blocks, ["main", "size"])
         sizes = sizes.withColumn("chunks", F.ceil(F.col("streamed") / F.greatest(F.lit(STREAM), 4 * F.col("asked") / F.col("blocks"))))
-        sizes = written(sizes.select("main", "size", "rows", "blocks", "chunks"), "block-sizes", 3 * most)
+        sizes = written(sizes, "block-sizes", 3 * most)
+        shingles = sizes.agg(F.sum(F.col("asked") * F.col("chunks") + F.col("streamed") * F.col("blocks"))).first()[0]
+        sizes = sizes.select("main", "size", "rows", "blocks", "chunks")
         each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
         join = lambda rows: lookup(rows, sizes, ["main", "size"], "rows", by="rep")
         asked = join(outside).select("main", "size", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), each("chunks").alias("chunk"), F.lit(0).alias("role"), F.col("rep").alias("doc_id"), "component")
         streamed = join(near).select("main", "size", each("blocks").alias("block"), F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("chunks")).alias("chunk"), F.lit(1).alias("role"), F.col("rep").alias("doc_id"), "component")
         wanted = written(asked.unionByName(streamed), "blocks", 4 * most)
-        tasks = max(1, -(-wanted.count() // TEXTS))
+        tasks = _tasks(wanted.count(), shingles)
         rows = self.texts.join(small(wanted, "160"), "doc_id").select("main", "size", "block", "chunk", "role", "doc_id", "component", "text")
         ordered = rows.repartition("main", "size", "block", "chunk").sortWithinPartitions("main", "size", "block", "chunk", "role", "doc_id").coalesce(tasks)
         found = written(ordered.mapInArrow(lambda batches: _compare(batches, n, percent), "a long, b long"), "block-links")

@@ -451,6 +451,10 @@ def test_few_rows_go_to_few_files(spark, by_id):
     assert len(files) > 10 and max(files.values()) <= 3, files
 
 
+def test_few_long_texts_go_to_more_tasks():
+    assert minhash_dedup._tasks(2, 2 * 2_000_000) == 20 and minhash_dedup._tasks(5000, 10_000) == 5 and minhash_dedup._tasks(0, None) == 1
+
+
 @pytest.mark.parametrize("at_once", [0, 1_000_000])
 def test_components(spark, monkeypatch, at_once):
     monkeypatch.setattr(components, "AT_ONCE", at_once)
