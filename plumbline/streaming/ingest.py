@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -37,6 +38,28 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, interval: str | Non
 IDLE_BUCKETS = 1024
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("session_id"), F.lit(IDLE_BUCKETS)).alias("bucket")
+
+
+def _by_session(frames: Iterator[pd.DataFrame]) -> tuple[pd.DataFrame, np.ndarray, list]:
+    """The rows of a group's sessions, each session's in order of seq; the place of each row's session, and the sessions."""
+    parts = [frame for frame in frames if len(frame)]
+    if not parts:
+        return pd.DataFrame(), np.zeros(0, np.int64), []
+    rows = pd.concat(parts)
+    codes, names = pd.factorize(rows["session_id"], use_na_sentinel=False)
+    order = np.lexsort((rows["seq"].to_numpy(), codes))
+    return rows.take(order), codes[order], [None if pd.isna(name) else name for name in names]
+
+
+def _first(codes: np.ndarray, wanted: np.ndarray, sessions: int) -> np.ndarray:
+    """The first wanted row of each session, or the number of rows."""
+    first, places = np.full(sessions, len(codes)), np.flatnonzero(wanted)[::-1]
+    first[codes[places]] = places  # backwards, so that the first one stays
+    return first
+
+
 def idle_ends(stream: DataFrame, minutes: int = 10) -> DataFrame:
     """A session_end row for each session that is idle for longer than `minutes` of event time.
 
@@ -65,7 +88,7 @@ def idle_ends(stream: DataFrame, minutes: int = 10) -> DataFrame:
         yield pd.DataFrame({"session_id": [e[0] for e in ended], "ended_ms": [e[1] for e in ended], "events": [e[2] for e in ended], "reason": ["idle"] * len(ended)})
 
     timed = stream.where("session_id <> ''").withColumn("event_time", F.try_to_timestamp("ts")).where("event_time IS NOT NULL").withWatermark("event_time", "0 seconds").withColumn("ms", F.unix_millis("event_time"))
-    rows = timed.select(F.pmod(F.xxhash64("session_id"), F.lit(IDLE_BUCKETS)).alias("bucket"), "session_id", "event_time", "ms")
+    rows = timed.select(_bucket(), "session_id", "event_time", "ms")
     return rows.groupBy("bucket").applyInPandasWithState(step, "session_id string, ended_ms long, events long, reason string", "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -87,40 +110,53 @@ def session_ends(last: DataFrame, now_ms: int | None, minutes: int = 10, role: s
 def staged_boundary(stream: DataFrame, since: str, forget_after: str | None = None) -> DataFrame:
     """Events behind the capture boundary; a session's start from before it comes once the session crosses it.
 
-    State holds the start of a session until then. Events whose time can't be read are kept, as in the batch form. Rows of
-    a session that come in one trigger are taken in their order whatever frames they come in. With `forget_after`, a
-    session that is silent for so long in processing time is forgotten; it is staged anew if it goes on.
+    State holds the start of a session until then, for IDLE_BUCKETS groups of sessions. Events whose time can't be read are
+    kept, as in the batch form. Rows of a session that come in one trigger are taken in their order whatever frames they
+    come in. With `forget_after`, a session that is silent for so long in processing time is forgotten; it is staged anew if
+    it goes on.
     """
     limit_ms = int(pd.Timedelta(forget_after).total_seconds() * 1000) if forget_after else None
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held, crossed = state.get if state.exists else (None, False)
-        parts = [frame for frame in frames if len(frame)]
-        rows = pd.concat(parts).sort_values("seq") if parts else pd.DataFrame({"event_id": [], "kind": [], "kept": []})
-        kept = rows["kept"].to_numpy(bool)
-        out: list[str] = rows["event_id"][kept].tolist()
-        if not crossed:
-            first = int(kept.argmax()) if kept.any() else len(rows)  # what comes before the session crosses
-            for event_id, kind in zip(rows["event_id"].iloc[:first], rows["kind"].iloc[:first], strict=True):
-                if kind == "session_start":
-                    held = event_id
-                elif kind == "session_end":
-                    held = None
-            if kept.any():
-                out = [*([held] if held else []), *out]
-                held, crossed = None, True
-        state.update((held, crossed))
+        # of each session that crossed or has a start: that start (null if it crossed), and when it is forgotten
+        known = {session: (held, due) for session, held, due in json.loads(state.get[0])} if state.exists else {}
+        now = state.getCurrentProcessingTimeMs() if limit_ms else 0
+        rows, codes, sessions = _by_session(iter(()) if state.hasTimedOut else frames)
+        out = pd.DataFrame({"event_id": [], "session_id": []})
+        if sessions:
+            ids, kind, kept = rows["event_id"].to_numpy(), rows["kind"].to_numpy(), rows["kept"].to_numpy(bool)
+            first = _first(codes, kept, len(sessions))
+            marks = np.flatnonzero(np.isin(kind, ("session_start", "session_end")) & (np.arange(len(codes)) < first[codes]))  # before a session crosses
+            last = np.full(len(sessions), -1)
+            last[codes[marks]] = marks
+            staged, owners = [], []
+            for i, (session, crosses, mark) in enumerate(zip(sessions, (first < len(codes)).tolist(), last.tolist(), strict=True)):
+                before = known.pop(session, None)
+                crossed = before is not None and before[0] is None
+                held = None if crossed else (ids[mark] if kind[mark] == "session_start" else None) if mark >= 0 else before and before[0]
+                if crosses and held:
+                    staged.append(held)
+                    owners.append(i)
+                if crossed or crosses or held:
+                    known[session] = (None if crossed or crosses else held, now + (limit_ms or 0))
+            places = np.concatenate([np.array(owners, np.int64), codes[kept]])
+            order = np.argsort(places, kind="stable")
+            out = pd.DataFrame({"event_id": np.concatenate([np.array(staged, object), ids[kept]])[order], "session_id": np.array(sessions, object)[places[order]]})
+        seen = set(sessions)
         if limit_ms:
-            state.setTimeoutDuration(limit_ms)
-        yield pd.DataFrame({"event_id": out, "session_id": [key[0]] * len(out)})
+            known = {session: (held, due) for session, (held, due) in known.items() if due > now or session in seen}
+        if known:
+            state.update((json.dumps([(session, *entry) for session, entry in known.items()]),))
+            if limit_ms:
+                state.setTimeoutDuration(max(1, min(due for _, due in known.values()) - now))
+        elif state.exists:
+            state.remove()
+        yield out
 
     moment = F.unix_millis(F.try_to_timestamp("ts"))
-    rows = stream.select("session_id", "event_id", "seq", "kind", F.coalesce(moment >= epoch_ms(F.lit(since)), F.lit(True)).alias("kept"))
+    rows = stream.select(_bucket(), "session_id", "event_id", "seq", "kind", F.coalesce(moment >= epoch_ms(F.lit(since)), F.lit(True)).alias("kept"))
     timeout = GroupStateTimeout.ProcessingTimeTimeout if limit_ms else GroupStateTimeout.NoTimeout
-    return rows.groupBy("session_id").applyInPandasWithState(step, "event_id string, session_id string", "held string, crossed boolean", "append", timeout)
+    return rows.groupBy("bucket").applyInPandasWithState(step, "event_id string, session_id string", "known string", "append", timeout)
 
 
 def first_starts(stream: DataFrame) -> DataFrame:

@@ -246,3 +246,35 @@ def test_idle_sessions_share_state(spark, tmp_path):
     assert ends() == sorted(done)
     arrive("c", [line("far", "09:00:00")])
     assert ends() == sorted([*done, ("last", 29_460, 1, "idle"), ("s5", 29_520, 1, "idle"), ("s8", 29_640, 4, "idle")])
+
+
+def arriving(spark, tmp_path, operator):
+    """A function that lands a file, runs the stream over it and gives the rows of its state."""
+    land, out, checkpoint = (str(tmp_path / name) for name in ("land", "out", "checkpoint"))
+
+    def arrive(name, rows):
+        os.makedirs(land, exist_ok=True)
+        with open(f"{land}/{name}.json", "w") as file:
+            file.writelines(json.dumps(dict(zip(("session_id", "event_id", "seq", "kind", "ts"), row, strict=True))) + "\n" for row in rows)
+        query = streaming.append_to(operator(streaming.stream_envelopes(spark, land)), out, checkpoint)
+        query.awaitTermination()
+        return max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress)
+
+    return arrive, lambda: spark.read.parquet(out)
+
+
+def test_sessions_at_the_boundary_share_state(spark, tmp_path):
+    """Starts are staged over triggers; state has a row for a group of sessions, not for each."""
+    arrive, out = arriving(spark, tmp_path, lambda stream: streaming.staged_boundary(stream, "2031-01-01T08:00:00Z"))
+    old, new = "2031-01-01T07:00:00Z", "2031-01-01T09:00:00Z"
+    many = [(f"s{i}", f"a{i}", 1, "session_start", old) for i in range(3000)]
+    odd = [("end", "e1", 1, "session_start", old), ("end", "e2", 2, "session_end", old), ("one", "o3", 3, "tool_call", new), ("one", "o1", 1, "session_start", old), ("one", "o4", 4, "tool_call", old), (None, "n1", 1, "session_start", old), ("bad", "b1", 1, "tool_call", "never")]
+    assert arrive("a", many + odd) <= streaming.IDLE_BUCKETS
+    found = lambda: sorted((r.session_id or "", r.event_id) for r in out().collect())
+    done = [("bad", "b1"), ("one", "o1"), ("one", "o3")]
+    assert found() == done
+    arrive("b", [(f"s{i}", f"b{i}", 3, "tool_call", new) for i in range(0, 3000, 2)] + [("s2", "c2", 2, "session_start", old), ("end", "e3", 3, "tool_call", new), ("one", "o5", 5, "session_start", old), ("bad", "b2", 2, "tool_call", new), (None, "n2", 2, "tool_call", new)])
+    done += [(f"s{i}", f"b{i}") for i in range(0, 3000, 2)] + [(f"s{i}", f"a{i}" if i != 2 else "c2") for i in range(0, 3000, 2)] + [("end", "e3"), ("bad", "b2"), ("", "n1"), ("", "n2")]
+    assert found() == sorted(done)
+    arrive("c", [("s2", "d2", 4, "tool_call", new), ("s1", "d1", 4, "tool_call", new), ("one", "o6", 6, "tool_call", new)])
+    assert found() == sorted([*done, ("s2", "d2"), ("s1", "a1"), ("s1", "d1"), ("one", "o6")])
