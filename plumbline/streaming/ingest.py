@@ -162,24 +162,26 @@ def staged_boundary(stream: DataFrame, since: str, forget_after: str | None = No
 def first_starts(stream: DataFrame) -> DataFrame:
     """Exactly one session_start for each session, whatever batch its records come in; all other events pass.
 
-    Parsers say with every record that its session started, as they don't remember; state does. Events: event_id,
-    session_id, kind, seq.
+    Parsers say with every record that its session started, as they don't remember; state does, for IDLE_BUCKETS groups of
+    sessions. Events: event_id, session_id, kind, seq.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        started = state.get[0] if state.exists else False
-        parts = [frame for frame in frames if len(frame)]
-        if not parts:
+        rows, codes, sessions = _by_session(frames)
+        if not sessions:
             return
-        rows = pd.concat(parts).sort_values("seq")
+        known = set(json.loads(state.get[0])) if state.exists else set()
         starts = (rows["kind"] == "session_start").to_numpy()
-        nth = starts.cumsum()
-        keep = ~starts | ((nth == 1) & (not started))
-        state.update((bool(started or starts.any()),))
+        first = _first(codes, starts, len(sessions))
+        fresh = [i for i, (session, place) in enumerate(zip(sessions, first.tolist(), strict=True)) if place < len(codes) and session not in known]
+        keep = ~starts
+        keep[first[fresh]] = True
+        if fresh:
+            state.update((json.dumps([*known, *(sessions[i] for i in fresh)]),))
         yield rows[keep][["event_id", "session_id", "kind", "seq"]]
 
-    rows = stream.where(F.coalesce("session_id", F.lit("")) != "").select("event_id", "session_id", "kind", "seq")
-    return rows.groupBy("session_id").applyInPandasWithState(step, "event_id string, session_id string, kind string, seq long", "started boolean", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.where(F.coalesce("session_id", F.lit("")) != "").select(_bucket(), "event_id", "session_id", "kind", "seq")
+    return rows.groupBy("bucket").applyInPandasWithState(step, "event_id string, session_id string, kind string, seq long", "started string", "append", GroupStateTimeout.NoTimeout)
 
 
 def with_file_session(stream: DataFrame) -> DataFrame:

@@ -278,3 +278,13 @@ def test_sessions_at_the_boundary_share_state(spark, tmp_path):
     assert found() == sorted(done)
     arrive("c", [("s2", "d2", 4, "tool_call", new), ("s1", "d1", 4, "tool_call", new), ("one", "o6", 6, "tool_call", new)])
     assert found() == sorted([*done, ("s2", "d2"), ("s1", "a1"), ("s1", "d1"), ("one", "o6")])
+
+
+def test_starts_of_sessions_share_state(spark, tmp_path):
+    """One start a session over all triggers; state has a row for a group of sessions, not for each."""
+    arrive, out = arriving(spark, tmp_path, streaming.first_starts)
+    many = [(f"s{i}", f"a{i}-{n}", n, "session_start", "") for i in range(3000) for n in (2, 1)]
+    assert arrive("a", [*many, ("s7", "t7", 3, "tool_call", ""), ("late", "l1", 1, "tool_call", ""), (None, "n", 1, "session_start", ""), ("", "m", 1, "session_start", "")]) <= streaming.IDLE_BUCKETS
+    arrive("b", [("s7", "a7-0", 0, "session_start", ""), ("late", "l3", 3, "session_start", ""), ("late", "l2", 2, "session_start", ""), ("s7", "t8", 5, "tool_call", "")])
+    wanted = [(f"s{i}", f"a{i}-1") for i in range(3000)] + [("s7", "t7"), ("s7", "t8"), ("late", "l1"), ("late", "l2")]
+    assert sorted((r.session_id, r.event_id) for r in out().collect()) == sorted(wanted)
